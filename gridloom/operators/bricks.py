@@ -15,7 +15,11 @@ from pyspark.sql import functions as F
 from gridloom.functions.index import axis_of, idiv
 from gridloom.functions.slabs import Slabs
 from gridloom.model import GridDims
-from gridloom.operators.grid import BLOCK_CELLS, fill_runs, to_ijk
+from gridloom.operators.grid import dense_rows, to_ijk
+
+#: Cells per stored block of a brick. An aggregation holds up to 128 groups before it sorts, so
+#: this bounds a packing task to about 100 MB.
+BRICK_CELLS = 8192
 
 
 @dataclass(frozen=True)
@@ -80,9 +84,14 @@ def halo(df: DataFrame, layout: BrickLayout) -> DataFrame:
     slabs = layout.slabs
     cell = axis_of(F.col("index"), layout.axis, layout.dims)
     own = F.col("_own")
-    below = F.when((F.col("_cell") == slabs.start(own)) & (own > 0), own - 1)
-    above = F.when((F.col("_cell") == slabs.end(own) - 1) & (own < slabs.parts - 1), own + 1)
-    targets = F.array_compact(F.array(own, below, above))
+    at_lo = (F.col("_cell") == slabs.start(own)) & (own > 0)
+    at_hi = (F.col("_cell") == slabs.end(own) - 1) & (own < slabs.parts - 1)
+    targets = (
+        F.when(at_lo & at_hi, F.array(own, own - 1, own + 1))
+        .when(at_lo, F.array(own, own - 1))
+        .when(at_hi, F.array(own, own + 1))
+        .otherwise(F.array(own))
+    )
     return (
         df.withColumn("_cell", cell)
         .withColumn("_own", slabs.owner(F.col("_cell")))
@@ -112,14 +121,13 @@ def split_rejects(df: DataFrame, layout: BrickLayout) -> tuple[DataFrame, DataFr
     return placed.where(inside), placed.where(~inside)
 
 
-def brick(df: DataFrame, layout: BrickLayout, fill: float | None = 0.0, block_cells: int = BLOCK_CELLS) -> DataFrame:
+def brick(df: DataFrame, layout: BrickLayout, fill: float | None = 0.0, block_cells: int = BRICK_CELLS) -> DataFrame:
     """Assemble ``index, value`` rows into dense bricks.
 
     Returns ``pid, block, start, n_cells, min_x .. max_z, data``; ``start`` is the local index of
-    the block's first cell, missing cells hold ``fill``. One shuffle, keyed on (pid, block): the
-    window and the aggregation share it.
+    the block's first cell, missing cells hold ``fill``. One shuffle of the sparse rows, keyed on
+    (pid, block), serves the fill and the packing; a group is one block.
     """
-    spark = df.sparkSession
     pid = F.col("pid")
     located = with_local_index(owned_cells(df.select("index", F.col("value").cast("double")), layout), layout)
     sparse = located.select(
@@ -129,28 +137,23 @@ def brick(df: DataFrame, layout: BrickLayout, fill: float | None = 0.0, block_ce
         "value",
     )
     per_slab = -(-layout.max_cells() // block_cells)
+    length = F.least(layout.cells(pid) - F.col("block") * block_cells, F.lit(block_cells))
     markers = (
-        spark.range(layout.slabs.parts * per_slab)
+        df.sparkSession.range(layout.slabs.parts * per_slab)
         .select(idiv(F.col("id"), per_slab).cast("int").alias("pid"), (F.col("id") % per_slab).alias("block"))
-        .where(F.col("block") * block_cells < layout.cells(pid))
-        .select("pid", "block", F.lit(-1).alias("pos"), F.lit(None).cast("double").alias("value"))
+        .where(length > 0)
     )
-    length = F.least(layout.cells(pid) - F.col("block") * block_cells, F.lit(block_cells))
-    runs = fill_runs(sparse, ["pid", "block"], markers, length, ["value"])
-    filler = F.lit(fill).cast("double")
-    own = F.when(F.col("pos") >= 0, F.array("value")).otherwise(F.array().cast("array<double>"))
-    gap = F.array_repeat(filler, F.col("next_pos") - F.col("pos") - 1)
-    pieces = F.sort_array(F.collect_list(F.struct("pos", F.concat(own, gap).alias("run"))))
+    dense = dense_rows(sparse, markers, ["pid", "block"], length, {"value": F.lit(fill)})
     return (
-        runs.groupBy("pid", "block")
-        .agg(pieces.alias("_pieces"))
+        dense.groupBy("pid", "block")
+        .agg(F.sort_array(F.collect_list(F.struct("pos", "value"))).alias("_cells"))
         .select(
             "pid",
             "block",
             (F.col("block") * block_cells).alias("start"),
             layout.cells(pid).alias("n_cells"),
             *[c.alias(name) for name, c in layout.extent(pid).items()],
-            F.flatten(F.transform("_pieces", lambda piece: piece["run"])).alias("data"),
+            F.col("_cells.value").alias("data"),
         )
     )
 

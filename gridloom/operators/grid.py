@@ -110,21 +110,32 @@ def zip_positional(left: DataFrame, right: DataFrame, index: str = "index") -> D
     return left.join(right, index)
 
 
-def fill_runs(
-    sparse: DataFrame, keys: list[str], markers: DataFrame, block_len: Column, payload: list[str]
+def dense_rows(
+    sparse: DataFrame, markers: DataFrame, keys: list[str], length: Column, fill: dict[str, Column]
 ) -> DataFrame:
-    """Order the entries of each block and add the position of the next one.
+    """Fill every block to its full length: ``keys, pos`` and the columns of ``fill``.
 
-    ``sparse`` and ``markers`` carry ``keys + ['pos'] + payload``; a marker has ``pos = -1``, so
-    that a block without entries exists and every block starts with a run. Returns one row per
-    entry with ``next_pos``: the entry itself plus ``next_pos - pos - 1`` empty cells after it.
+    ``sparse`` has the entries (``keys``, ``pos``, values), ``markers`` one row per block with
+    ``pos = -1``, so that empty blocks exist and every block starts with a run. An entry knows the
+    position of the next one and generates the empty cells up to it. Only the sparse rows
+    are shuffled, and the output stays partitioned by ``keys`` and ordered by ``pos`` within them.
     """
+    values = list(fill)
+    types = dict(sparse.select(*values).dtypes)
+    blank = [F.lit(None).cast(types[c]).alias(c) for c in values]
     w = W.partitionBy(*keys).orderBy("pos")
-    return (
-        sparse.select(*keys, "pos", *payload)
-        .unionByName(markers.select(*keys, "pos", *payload))
-        .withColumn("next_pos", F.coalesce(F.lead("pos").over(w), block_len.cast("int")))
-        .where(F.col("next_pos") > F.greatest("pos", F.lit(0)))
+    runs = (
+        sparse.select(*keys, "pos", *values)
+        .unionByName(markers.select(*keys, F.lit(-1).alias("pos"), *blank))
+        .withColumn("_next", F.coalesce(F.lead("pos").over(w), length.cast("int")))
+        .where(F.col("_next") > F.greatest("pos", F.lit(0)))
+    )
+    cell = F.explode(F.sequence(F.greatest("pos", F.lit(0)), F.col("_next") - 1)).alias("_cell")
+    hit = F.col("_cell") == F.col("pos")
+    return runs.select(*keys, "pos", cell, *values).select(
+        *keys,
+        F.col("_cell").alias("pos"),
+        *[F.when(hit, F.col(c)).otherwise(fill[c]).cast(types[c]).alias(c) for c in values],
     )
 
 
@@ -133,26 +144,15 @@ def densify(
 ) -> DataFrame:
     """Scatter sparse rows into the full ``0 .. cells-1`` index range.
 
-    ``fill`` maps each value column to what an empty cell holds. The gaps are generated from
-    the row before them, block by block, so only the sparse rows are shuffled: there is no join
-    with the full grid.
+    ``fill`` maps each value column to what an empty cell holds. Works block by block; there is
+    no join with the full grid.
     """
-    spark = df.sparkSession
-    payload = list(fill)
-    types = dict(df.select(*payload).dtypes)
     block = idiv(F.col(index), block_cells)
-    sparse = df.select(block.alias("block"), (F.col(index) % block_cells).cast("int").alias("pos"), *payload)
-    markers = spark.range(-(-cells // block_cells)).select(
-        F.col("id").alias("block"), F.lit(-1).alias("pos"), *[F.lit(None).cast(types[c]).alias(c) for c in payload]
-    )
+    sparse = df.select(block.alias("block"), (F.col(index) % block_cells).cast("int").alias("pos"), *fill)
+    markers = df.sparkSession.range(-(-cells // block_cells)).select(F.col("id").alias("block"))
     length = F.least(F.lit(cells) - F.col("block") * block_cells, F.lit(block_cells))
-    runs = fill_runs(sparse, ["block"], markers, length, payload)
-    cell = F.explode(F.sequence(F.greatest("pos", F.lit(0)), F.col("next_pos") - 1)).alias("cell")
-    hit = F.col("cell") == F.col("pos")
-    return runs.select("block", "pos", cell, *payload).select(
-        (F.col("block") * block_cells + F.col("cell")).alias(index),
-        *[F.when(hit, F.col(c)).otherwise(fill[c]).cast(types[c]).alias(c) for c in payload],
-    )
+    dense = dense_rows(sparse, markers, ["block"], length, fill)
+    return dense.select((F.col("block") * block_cells + F.col("pos")).alias(index), *fill)
 
 
 def ghost_mask(df: DataFrame, dims: GridDims, slabs: Slabs, axis: str = "z") -> DataFrame:

@@ -12,11 +12,14 @@ from gridloom.session import broadcast_if_small
 
 
 def bands_long(bands: DataFrame, nx: int) -> DataFrame:
-    """``year, band, cell, y, x, value``: one row per pixel, value widened to DOUBLE before any sum."""
-    cells = bands.select("year", "band", F.posexplode("pixels").alias("cell", "value"))
+    """``year, [band,] cell, y, x, value``: one row per pixel, value widened to DOUBLE before any sum.
+
+    ``band`` is carried when the input has it; per-cell sums do not need it.
+    """
+    keys = [c for c in ("year", "band") if c in bands.columns]
+    cells = bands.select(*keys, F.posexplode("pixels").alias("cell", "value"))
     return cells.select(
-        "year",
-        "band",
+        *keys,
         "cell",
         idiv(F.col("cell"), nx).cast("int").alias("y"),
         (F.col("cell") % nx).alias("x"),
@@ -148,10 +151,28 @@ def chunks(bands: DataFrame, size: int) -> DataFrame:
     )
 
 
-def chunk_lookup(chunked: DataFrame, key: str, head: int = 10) -> DataFrame:
-    """Size and first values of the chunks with a key (one per band)."""
-    return chunked.where(F.col("key") == key).select(
-        "key", "band", F.size("pixels").alias("n"), F.slice("pixels", 1, head).alias("head")
+def chunk_lookup(bands: DataFrame, size: int, key: str, head: int = 10) -> DataFrame:
+    """Size and first values of the chunks with a key (one per band).
+
+    The key names its year and chunk, so the year is a filter on the scan and the chunk one slice
+    of the array; no other chunk is built.
+    """
+    year, chunk = (int(part) for part in key.split("-"))
+    part = F.slice("pixels", chunk * size + 1, size)
+    return (
+        bands.where((F.col("year") == year) & (F.size("pixels") > chunk * size))
+        .select("band", part.alias("pixels"))
+        .select(F.lit(key).alias("key"), "band", F.size("pixels").alias("n"), F.slice("pixels", 1, head).alias("head"))
+    )
+
+
+def pack(image: DataFrame, tile: int = 1 << 16) -> DataFrame:
+    """Cell values back to arrays ``year, tile, values``, in cell order; an image larger than a
+    tile becomes several rows, so that no row outgrows a task."""
+    return (
+        image.groupBy("year", idiv(F.col("cell"), tile).cast("int").alias("tile"))
+        .agg(F.sort_array(F.collect_list(F.struct("cell", "value"))).alias("cells"))
+        .select("year", "tile", F.col("cells.value").alias("values"))
     )
 
 

@@ -95,12 +95,13 @@ def segments(points: DataFrame) -> DataFrame:
     """Length and midpoint between neighbouring crossings (same ordering, so no new shuffle)."""
     w = W.partitionBy("ray").orderBy("s")
     nx, ny = F.lead("x").over(w), F.lead("y").over(w)
+    dx, dy = F.col("nx") - F.col("x"), F.col("ny") - F.col("y")
     return (
         points.withColumns({"nx": nx, "ny": ny})
         .where(F.col("nx").isNotNull())
         .withColumns(
             {
-                "len": F.sqrt(F.pow(F.col("nx") - F.col("x"), 2) + F.pow(F.col("ny") - F.col("y"), 2)),
+                "len": F.sqrt(dx * dx + dy * dy),
                 "mx": snap_zero(0.5 * (F.col("x") + F.col("nx")), EPS_DIRECTION),
                 "my": snap_zero(0.5 * (F.col("y") + F.col("ny")), EPS_DIRECTION),
             }
@@ -281,10 +282,11 @@ def residual_norm(
 ) -> DataFrame:
     """``sum((b - A f)^2)`` per slice; a ray that projects to nothing counts with its full ``b``."""
     projected = forward_project(matrix, pixels, geo)
+    off = F.col("value") - F.coalesce("projected", F.lit(0.0))
     return (
         measured.join(projected, ["slice", "ray"], "left")
         .groupBy("slice")
-        .agg(F.sum(F.pow(F.col("value") - F.coalesce("projected", F.lit(0.0)), 2)).alias("residual"))
+        .agg(F.sum(off * off).alias("residual"))
     )
 
 

@@ -13,6 +13,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.operators.place import place
+
 
 def column_udf(fn: Callable[..., pd.Series], returns: str):
     """A typed function of columns, called once per batch."""
@@ -72,9 +74,10 @@ def reduce_by_key(
     return df.mapInPandas(partial, schema).groupBy(*keys).applyInPandas(merged, schema)
 
 
-def partition_by(df: DataFrame, parts: int, rule: Column) -> DataFrame:
-    """Custom ``row -> partition`` rule, given as an expression; rows land exactly there."""
-    return df.withColumn("pid", rule.cast("int")).repartitionById(parts, "pid")
+def partition_by(df: DataFrame, parts: int, rule: Column, splits: int = 1) -> DataFrame:
+    """Custom ``row -> partition`` rule, given as an expression; rows land exactly there
+    (with ``splits``, in that partition's own run of tasks)."""
+    return place(df.withColumn("pid", rule.cast("int")), parts, splits=splits)
 
 
 def map_partitions_indexed(

@@ -14,7 +14,7 @@ from gridloom.sources import fixtures as fx
 
 
 def _masked(spark, sf):
-    return raster.with_mask(raster.bands_long(fx.bands(spark, sf), NX), *MASK)
+    return raster.with_mask(raster.bands_long(fx.band_arrays(spark, sf), NX), *MASK)
 
 
 @query("max_coord", f"WITH {Q.VOX} SELECT max(z) AS max_z FROM ijk")
@@ -51,12 +51,13 @@ CELL_SUMS = f"WITH {Q.MASKED} SELECT year, cell, round(total, 6) AS total, n_ban
 
 @query(
     "array_sum_by_key",
-    f"WITH {Q.MASKED} SELECT year, {Q.micros('total', 'cell')} AS totals FROM cell_sums GROUP BY year",
+    f"""WITH {Q.MASKED} SELECT year, CAST(cell // 65536 AS INTEGER) AS tile, {Q.micros('total', 'cell')} AS totals
+FROM cell_sums GROUP BY year, cell // 65536""",
 )
 def array_sum_by_key(spark, sf):
     sums = raster.cell_sum(_masked(spark, sf))
-    packed = sums.groupBy("year").agg(F.sort_array(F.collect_list(F.struct("cell", "total"))).alias("p"))
-    return packed.select("year", micros_text(F.col("p.total")).alias("totals"))
+    packed = raster.pack(sums.withColumnRenamed("total", "value"))
+    return packed.select("year", "tile", micros_text(F.col("values")).alias("totals"))
 
 
 @query("cell_sum_masked", CELL_SUMS)

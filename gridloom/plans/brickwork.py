@@ -24,8 +24,8 @@ CAST({PARTS} * index // plane // (nz + 1) AS INTEGER) AS pid FROM ijk""",
 )
 def point_cloud(spark, sf):
     dims = fx.vox_dims(spark, sf)
-    owned = place.place(place.with_owner_by_index(fx.vox(spark, sf), dims, PARTS), PARTS)
-    points = grid.to_ijk(owned, dims)
+    # packing a cloud is a projection: the owner is a column, no row has to move for it
+    points = grid.to_ijk(place.with_owner_by_index(fx.vox(spark, sf), dims, PARTS), dims)
     return points.select(*[F.col(a).cast("double").alias(f"p{a}") for a in "xyz"], "value", "pid")
 
 
@@ -44,7 +44,7 @@ def _shown(table):
     return table.select("pid", "block", "n_cells", *EXTENT, micros_text(F.col("data")).alias("data"))
 
 
-BLOCK = 65536
+BLOCK = bricks.BRICK_CELLS
 
 Z_BRICKS = f"""WITH {Q.SPARSE}, {Q.slabs('nz', 'dims', PARTS, 'threshold')},
 placed AS (SELECT s.pid, f.index - s.lo * 100 AS l, coalesce(f.value, 0) AS value, s.lo, s.hi

@@ -264,7 +264,7 @@ SELECT '{LOOKUP_KEY}' AS key, band, CAST(count(*) AS INTEGER) AS n, {Q.micros('v
 FROM cells WHERE concat(year, '-', cell // {CHUNK}) = '{LOOKUP_KEY}' GROUP BY band""",
 )
 def chunk_lookup(spark, sf):
-    found = raster.chunk_lookup(raster.chunks(fx.bands(spark, sf), CHUNK), LOOKUP_KEY)
+    found = raster.chunk_lookup(fx.bands(spark, sf), CHUNK, LOOKUP_KEY)
     return found.select("key", "band", "n", micros_text(F.col("head")).alias("head"))
 
 

@@ -14,9 +14,8 @@ from gridloom.sources import fixtures as fx
 
 
 def _years(spark, sf):
-    """Distinct years from a scan of the label column alone."""
-    labels = fx.table(spark, sf, "embeddings").select((F.col("label") + fx.FIRST_YEAR).alias("year"))
-    return raster.years_of(labels)
+    """Distinct years; the scan is pruned to the label column."""
+    return raster.years_of(fx.band_arrays(spark, sf))
 
 
 @query(
@@ -78,7 +77,7 @@ def halo_exchange(spark, sf):
 @query("slice_lookup", f"WITH {Q.MASKED} SELECT i.year, i.cell, o.z FROM image i JOIN ordinals o USING (year)")
 def slice_lookup(spark, sf):
     years = _years(spark, sf)
-    image = raster.cell_mean(raster.bands_long(fx.bands(spark, sf), NX))
+    image = raster.cell_mean(raster.bands_long(fx.band_arrays(spark, sf), NX))
     return raster.with_slice(image, years, years.count()).select("year", "cell", "z")
 
 
@@ -111,7 +110,7 @@ def owner_join(spark, sf):
 @query("sort_by_year", f"WITH {Q.MASKED} SELECT year, cell, round(value, 6) AS value FROM image")
 def sort_by_year(spark, sf):
     # the cell breaks ties, so range partitions can cut inside a year that holds most rows
-    image = raster.cell_mean(raster.with_mask(raster.bands_long(fx.bands(spark, sf), NX), *MASK))
+    image = raster.cell_mean(raster.with_mask(raster.bands_long(fx.band_arrays(spark, sf), NX), *MASK))
     return image.withColumn("value", F.round("value", 6)).orderBy("year", "cell")
 
 
@@ -164,7 +163,7 @@ def segment_lengths(spark, sf):
 @query("stack_years", f"WITH {Q.STACK} SELECT year, index, z, round(value, 6) AS value FROM stacked")
 def stack_years(spark, sf):
     years = _years(spark, sf)
-    image = raster.cell_mean(raster.with_mask(raster.bands_long(fx.bands(spark, sf), NX), *MASK))
+    image = raster.cell_mean(raster.with_mask(raster.bands_long(fx.band_arrays(spark, sf), NX), *MASK))
     volume = raster.stack(image, years, years.count(), NX, NX)
     return volume.select("year", "index", "z", F.round("value", 6).alias("value"))
 

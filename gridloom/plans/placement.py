@@ -16,7 +16,8 @@ from gridloom.sources import fixtures as fx
 
 @query("place_round_robin", f"WITH {Q.VOX} SELECT index, value FROM vox")
 def place_round_robin(spark, sf):
-    return fx.vox(spark, sf).repartition(PARTS)
+    dims = fx.vox_dims(spark, sf)
+    return fx.vox(spark, sf).repartition(PARTS * place.splits_for(dims.cells, PARTS))
 
 
 @query(
@@ -33,8 +34,13 @@ def place_hash_bin(spark, sf):
     f"WITH {Q.VOX} SELECT index, value, CAST({PARTS} * index // plane // (nz + 1) AS INTEGER) AS pid FROM ijk",
 )
 def place_z_closed(spark, sf):
-    owned = place.with_owner_by_index(fx.vox(spark, sf), fx.vox_dims(spark, sf), PARTS)
-    return place.place(owned, PARTS)
+    dims = fx.vox_dims(spark, sf)
+    return _move(place.with_owner_by_index(fx.vox(spark, sf), dims, PARTS), dims.cells)
+
+
+def _move(owned, rows: int):
+    """Rows to their slab, each slab over as many tasks as its size asks for."""
+    return place.place(owned, PARTS, splits=place.splits_for(rows, PARTS), spread_on=F.col("index"))
 
 
 def _slab_sql(axis: str, n: str, rule: str) -> str:
@@ -44,8 +50,7 @@ SELECT i.index, i.value, s.pid FROM ijk i JOIN slabs s ON i.{axis} >= s.lo AND i
 
 def _placed(spark, sf, axis: str, rule: str):
     dims = fx.vox_dims(spark, sf)
-    owned = place.with_owner(fx.vox(spark, sf), dims, axis, Slabs(dims.along(axis), PARTS, rule))
-    return place.place(owned, PARTS)
+    return _move(place.with_owner(fx.vox(spark, sf), dims, axis, Slabs(dims.along(axis), PARTS, rule)), dims.cells)
 
 
 @query("place_z_threshold", _slab_sql("z", "nz", "threshold"))
@@ -71,7 +76,7 @@ def place_x_balanced(spark, sf):
 def _volume(spark, sf):
     years = _years(spark, sf)
     n_years = years.count()
-    image = raster.cell_mean(raster.with_mask(raster.bands_long(fx.bands(spark, sf), NX), *MASK))
+    image = raster.cell_mean(raster.with_mask(raster.bands_long(fx.band_arrays(spark, sf), NX), *MASK))
     return raster.stack(image, years, n_years, NX, NX), n_years
 
 
@@ -83,7 +88,7 @@ SELECT v.year, v.index, round(v.value, 6) AS value, s.pid FROM stacked v JOIN sl
 def place_z_balanced(spark, sf):
     volume, n_years = _volume(spark, sf)
     owned = volume.withColumn("pid", Slabs(n_years, PARTS, "balanced").owner(F.col("z")))
-    return place.place(owned.select("year", "index", F.round("value", 6).alias("value"), "pid"), PARTS)
+    return _move(owned.select("year", "index", F.round("value", 6).alias("value"), "pid"), n_years * NX * NX)
 
 
 @query("place_contiguous", STACKED)
@@ -91,11 +96,12 @@ def place_contiguous(spark, sf):
     # neighbouring years stay together; the index splits a year over several tasks
     volume, n_years = _volume(spark, sf)
     owned = volume.withColumn("pid", Slabs(n_years, PARTS, "balanced").owner(F.col("z")))
-    return owned.select("year", "index", F.round("value", 6).alias("value"), "pid").repartitionByRange(PARTS, "year", "index")
+    parts = PARTS * place.splits_for(n_years * NX * NX, PARTS)
+    return owned.select("year", "index", F.round("value", 6).alias("value"), "pid").repartitionByRange(parts, "year", "index")
 
 
 @query("place_per_key", f"WITH {Q.OBS} SELECT year, day, x, y, value FROM obs")
 def place_per_key(spark, sf):
     obs = fx.observations(spark, sf)
     n_years = obs.select("year").distinct().count()
-    return place.place_by_key(obs, ["year"], n_years, splits=4)
+    return place.place_by_key(obs, ["year"], n_years)

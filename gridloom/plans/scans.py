@@ -46,7 +46,7 @@ def grid_from_values(spark, sf):
     "CAST((s_suppkey % 4 + 1) * 6 AS INTEGER) AS resolution FROM supplier",
 )
 def param_rows(spark, sf):
-    rows = fx.param_rows(spark, sf).repartition(4, "id")
+    rows = fx.param_rows(spark, sf).repartition("id")
     c = F.col("center")
     return rows.select("id", c[0].alias("cx"), c[1].alias("cy"), c[2].alias("cz"), "resolution")
 
@@ -65,7 +65,7 @@ FROM cells JOIN work USING (year, band) GROUP BY year, band""",
 )
 def band_worklist_scan(spark, sf):
     bands = fx.bands(spark, sf)
-    files = raster.years_of(fx.table(spark, sf, "embeddings").select((F.col("label") + fx.FIRST_YEAR).alias("year")))
+    files = raster.years_of(fx.band_arrays(spark, sf))
     return raster.scan_worklist(bands, files, WORK_DAYS).select("year", "band", micros_text(F.col("pixels")).alias("pixels"))
 
 
@@ -195,7 +195,7 @@ def frame_export_multi(spark, sf):
 
 
 def _annual(spark, sf):
-    return raster.cell_mean(raster.with_mask(raster.bands_long(fx.bands(spark, sf), NX), *MASK))
+    return raster.cell_mean(raster.with_mask(raster.bands_long(fx.band_arrays(spark, sf), NX), *MASK))
 
 
 @query(
@@ -216,7 +216,7 @@ def frame_export_annual(spark, sf):
 
 @query("frame_export_stack", f"WITH {Q.STACK} SELECT index, x, y, z, round(value, 6) AS value FROM stacked")
 def frame_export_stack(spark, sf):
-    years = raster.years_of(fx.table(spark, sf, "embeddings").select((F.col("label") + fx.FIRST_YEAR).alias("year")))
+    years = raster.years_of(fx.band_arrays(spark, sf))
     volume = raster.stack(_annual(spark, sf), years, years.count(), NX, NX)
     stored = etl.save(volume.drop("year"), scratch_path(spark, "stack"))
     return stored.withColumn("value", F.round("value", 6))

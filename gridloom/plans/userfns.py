@@ -52,9 +52,7 @@ def flat_map_rows(spark, sf):
         values = lists.flatten().to_numpy(zero_copy_only=False).astype("float64")
         yield pa.RecordBatch.from_arrays([pa.array(years), pa.array(values)], names=["year", "value"])
 
-    bands = fx.table(spark, sf, "embeddings").select(
-        (F.col("label") + fx.FIRST_YEAR).alias("year"), F.col("embedding").alias("pixels")
-    )
+    bands = fx.band_arrays(spark, sf).select("year", "pixels")
     return userfn.flat_map_rows(bands, pixels, "year INT, value DOUBLE")
 
 
@@ -83,7 +81,8 @@ SELECT i.index, i.value, s.pid FROM ijk i JOIN slabs s ON i.z >= s.lo AND i.z <
 def partition_function(spark, sf):
     dims = fx.vox_dims(spark, sf)
     rule = Slabs(dims.nz, PARTS, "threshold").owner(k_of(F.col("index"), dims))
-    return userfn.partition_by(fx.vox(spark, sf), PARTS, rule).select("index", "value", "pid")
+    splits = place.splits_for(dims.cells, PARTS)
+    return userfn.partition_by(fx.vox(spark, sf), PARTS, rule, splits).select("index", "value", "pid")
 
 
 @query(
@@ -106,7 +105,7 @@ def map_partitions_indexed(spark, sf):
 
     dims = fx.vox_dims(spark, sf)
     owned = place.with_owner(fx.vox(spark, sf), dims, "z", Slabs(dims.nz, PARTS, "threshold"))
-    placed = place.place(owned, PARTS, splits=2, spread_on=F.col("index"))
+    placed = place.place(owned, PARTS, splits=2 * place.splits_for(dims.cells, PARTS), spread_on=F.col("index"))
     partials = userfn.map_partitions_indexed(placed, partial, "pid INT, total BIGINT, n BIGINT, max_index BIGINT")
     return partials.groupBy("pid").agg(
         F.sum("total").alias("total"), F.sum("n").alias("n"), F.max("max_index").alias("max_index")

@@ -83,12 +83,16 @@ def tilt_voxels(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- bands ------------------------------------------------------------------------------
 
 
-def bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``year, band, vec_id, pixels``: one 8 x 8 band per embedding."""
-    vectors = table(spark, sf_dir, "embeddings").select(
+def band_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``year, vec_id, pixels``: one 8 x 8 band per embedding, for operators that need no band order."""
+    return table(spark, sf_dir, "embeddings").select(
         (F.col("label") + FIRST_YEAR).alias("year"), "vec_id", F.col("embedding").alias("pixels")
     )
-    return rank_in_group(vectors, "year", "vec_id", "band")
+
+
+def bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``year, band, vec_id, pixels``: the same with the ordinal of each band in its year."""
+    return rank_in_group(band_arrays(spark, sf_dir), "year", "vec_id", "band")
 
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
