@@ -7,6 +7,7 @@ Volumes are ``(nx, ny, nz)`` = (slices, rays, projections) before reconstruction
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +29,12 @@ from gridloom.functions.scalars import (
 from gridloom.functions.slabs import Slabs
 from gridloom.model import GridDims, TiltGeometry
 from gridloom.operators.bricks import BrickLayout, brick
-from gridloom.session import BROADCAST_LIMIT, broadcast_if_small
+from gridloom.session import BROADCAST_LIMIT
 
-#: Memory for the images one task reconstructs side by side.
+#: Memory for the images one task reconstructs side by side. The larger value applies when the
+#: matrix is joined by a shuffle: fewer batches, so fewer copies of it.
 BATCH_BYTES = 64 * 1024 * 1024
+SHUFFLED_BATCH_BYTES = 1024 * 1024 * 1024
 #: Tasks of one reconstruction; beyond that a task walks several batches in turn.
 MAX_ART_TASKS = 50_000
 
@@ -158,59 +161,89 @@ def measurements(tilt: DataFrame, dims: GridDims) -> DataFrame:
     return tilt.select(i_of(index, dims).alias("slice"), ray.cast("int").alias("ray"), "value")
 
 
-def forward_project(matrix: DataFrame, image: DataFrame, geo: TiltGeometry, keys: tuple[str, ...] = ("slice",)) -> DataFrame:
-    """``A f`` for images ``slice, pix, value``: join on the pixel, add up per (slice, ray).
+@dataclass(frozen=True)
+class BatchPlan:
+    """How slices are cut into batches that one task handles side by side.
 
-    The matrix is broadcast only when its entry bound fits; otherwise both sides are shuffled
-    on the pixel.
+    A batch is bounded by memory and small enough to keep all cores busy. ``small`` tells
+    whether the matrix fits a broadcast; beyond that batches are larger, so that fewer copies of
+    the matrix are shuffled.
     """
-    small = broadcast_if_small(matrix, geo.matrix_rows_bound(), 16)
-    return (
-        image.join(small, "pix")
-        .groupBy(*keys, "ray")
-        .agg(F.sum(F.col("len") * F.col("value")).alias("projected"))
-    )
+
+    slices: int
+    size: int
+    small: bool
+
+    @classmethod
+    def of(cls, spark: SparkSession, geo: TiltGeometry, slices: int) -> BatchPlan:
+        small = geo.matrix_rows_bound() * 16 <= BROADCAST_LIMIT
+        memory = BATCH_BYTES if small else SHUFFLED_BATCH_BYTES
+        by_memory = max(1, memory // (8 * geo.pixels))
+        by_cores = max(1, -(-slices // max(1, spark.sparkContext.defaultParallelism)))
+        return cls(slices, min(by_memory, by_cores), small)
+
+    @property
+    def batches(self) -> int:
+        return -(-self.slices // self.size)
+
+    @property
+    def tasks(self) -> int:
+        return min(self.batches, MAX_ART_TASKS)
+
+    def batch(self) -> Column:
+        return idiv(F.col("slice"), self.size).cast("int").alias("batch")
+
+    def rays_of_batches(self, spark: SparkSession, geo: TiltGeometry) -> DataFrame:
+        """``batch, ray``: every ray once per batch."""
+        return spark.range(self.batches * geo.rays).select(
+            idiv(F.col("id"), geo.rays).cast("int").alias("batch"), (F.col("id") % geo.rays).cast("int").alias("ray")
+        )
+
+    def place(self, df: DataFrame) -> DataFrame:
+        """Rows to the task of their batch; ``task`` stays as a column so that later steps see it."""
+        return df.withColumn("task", F.col("batch") % self.tasks).repartitionById(self.tasks, "task")
+
+
+def matrix_rows(matrix: DataFrame) -> DataFrame:
+    """``ray, pix[], len[]``: one row per ray, at most 2N+1 entries each."""
+    cells = F.sort_array(F.collect_list(F.struct("pix", "len"))).alias("cells")
+    return matrix.groupBy("ray").agg(cells).select("ray", F.col("cells.pix").alias("pix"), F.col("cells.len").alias("len"))
 
 
-def art_batch_size(geo: TiltGeometry, slices: int, parallelism: int) -> int:
-    """Slices one task handles side by side: bounded by memory, small enough to keep all cores busy."""
-    by_memory = max(1, BATCH_BYTES // (8 * geo.pixels))
-    by_cores = max(1, -(-slices // max(1, parallelism)))
-    return min(by_memory, by_cores)
+def _lists(batch: pa.RecordBatch, names: list[str]):
+    """Per row, the numpy slices of the list columns ``names``."""
+    columns = [batch.column(n) for n in names]
+    ends = [c.offsets.to_numpy() for c in columns]
+    flat = [c.values.to_numpy(zero_copy_only=False) for c in columns]
+    for r in range(batch.num_rows):
+        yield tuple(v[e[r] : e[r + 1]] for v, e in zip(flat, ends))
 
 
-def _art_kernel(n_pix: int, batch: int, slices: int, beta: float):
-    """Streams rows ``batch, ray, pix[], len[], at[], b[]`` sorted by (batch, step) and keeps one
-    (pixels x slices) image block; memory does not depend on the number of rays."""
+def _art_kernel(n_pix: int, plan: BatchPlan, beta: float):
+    """Streams rows ``batch, pix[], len[], at[], b[]`` in ray order and keeps one (pixels x slices)
+    block of images; memory does not depend on the number of rays."""
 
     def emit(batch_id: int, f: np.ndarray) -> pa.RecordBatch:
-        first = batch_id * batch
-        count = min(batch, slices - first)
-        flat = np.ascontiguousarray(f[:, :count].T).reshape(-1)
-        offsets = np.arange(0, (count + 1) * n_pix, n_pix, dtype=np.int32)
-        images = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.arange(first, first + count, dtype=np.int32)), images], names=["slice", "image"]
-        )
+        first = batch_id * plan.size
+        count = min(plan.size, plan.slices - first)
+        offsets = pa.array(np.arange(0, (count + 1) * n_pix, n_pix, dtype=np.int32))
+        images = pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(f[:, :count].T).reshape(-1)))
+        ids = pa.array(np.arange(first, first + count, dtype=np.int32))
+        return pa.RecordBatch.from_arrays([ids, images], names=["slice", "image"])
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, f = None, None
         for rb in batches:
-            ids = rb.column("batch").to_numpy(zero_copy_only=False)
-            lists = [rb.column(c) for c in ("pix", "len", "at", "b")]
-            ends = [c.offsets.to_numpy() for c in lists]
-            flat = [c.values.to_numpy(zero_copy_only=False) for c in lists]
-            for r in range(rb.num_rows):
-                if ids[r] != current:
+            ids = rb.column("batch").to_pylist()
+            for batch_id, (pix, length, at, b) in zip(ids, _lists(rb, ["pix", "len", "at", "b"])):
+                if batch_id != current:
                     if f is not None:
                         yield emit(current, f)
-                    current, f = int(ids[r]), np.zeros((n_pix, batch))
-                pix, length, at, b = (v[e[r] : e[r + 1]] for v, e in zip(flat, ends))
-                measured = np.zeros(batch)
+                    current, f = batch_id, np.zeros((n_pix, plan.size))
+                measured = np.zeros(plan.size)
                 measured[at] = b
-                touched = f[pix]
-                step = (measured - length @ touched) * (beta / (length @ length))
-                f[pix] = touched + np.outer(length, step)
+                step = (measured - length @ f[pix]) * (beta / (length @ length))
+                f[pix] += np.outer(length, step)
         if f is not None:
             yield emit(current, f)
 
@@ -225,43 +258,99 @@ def art(
     Slices are cut into batches; a batch meets the matrix row of each ray by an ordinary
     join (broadcast behind a size check, else a shuffle join) and a task then walks its rays in
     order over a stream of Arrow batches. Rays without pixels have no matrix row and drop out
-    of the join, missing measurements count as 0.
+    of the join; missing measurements count as 0.
     """
     spark = measured.sparkSession
-    batch = art_batch_size(geo, slices, spark.sparkContext.defaultParallelism)
-    rows = matrix.groupBy("ray").agg(F.sort_array(F.collect_list(F.struct("pix", "len"))).alias("cells"))
-    rows = rows.select("ray", F.col("cells.pix").alias("pix"), F.col("cells.len").alias("len"))
-    small = geo.matrix_rows_bound() * 16 <= BROADCAST_LIMIT
-    n_batches = -(-slices // batch)
-    tasks = min(n_batches, MAX_ART_TASKS)
-    target = F.col("batch") % tasks
-    entries = measured.select(
-        idiv(F.col("slice"), batch).cast("int").alias("batch"),
-        "ray",
-        F.struct((F.col("slice") % batch).cast("int").alias("at"), F.col("value").cast("double").alias("b")).alias("m"),
+    plan = BatchPlan.of(spark, geo, slices)
+    rows = matrix_rows(matrix)
+    entry = F.struct(
+        (F.col("slice") % plan.size).cast("int").alias("at"),
+        F.coalesce(F.col("value").cast("double"), F.lit(0.0)).alias("b"),
     )
-    if small:  # rows stay where their batch is: one shuffle, then a map-side join
-        entries = entries.withColumn("task", target).repartitionById(tasks, "task")
-    by_ray = (
-        entries.groupBy("batch", *(["task"] if small else []), "ray")
-        .agg(F.collect_list("m").alias("m"))
-        .select("batch", "ray", F.col("m.at").alias("at"), F.col("m.b").alias("b"))
+    # an empty entry per batch and ray: a ray that no slice of a batch measured still acts
+    entries = measured.select(plan.batch(), "ray", entry.alias("m")).unionByName(
+        plan.rays_of_batches(spark, geo).withColumn("m", F.lit(None).cast("struct<at: int, b: double>"))
     )
-    if small:
-        joined = by_ray.join(F.broadcast(rows), "ray")
+    if plan.small:  # rows stay where their batch is: one shuffle, then a map-side join
+        grouped = plan.place(entries).groupBy("task", "batch", "ray").agg(F.collect_list("m").alias("m"))
+        joined = grouped.join(F.broadcast(rows), "ray")
     else:  # the matrix is too large to copy: join on the ray, then bring batches together
-        joined = by_ray.join(rows, "ray").withColumn("task", target).repartitionById(tasks, "task")
+        joined = plan.place(entries.groupBy("batch", "ray").agg(F.collect_list("m").alias("m")).join(rows, "ray"))
     sweeps = F.explode(F.sequence(F.lit(1), F.lit(n_iter))) if n_iter > 1 else F.lit(1)
     ordered = (
         joined.withColumn("sweep", sweeps)
         .sortWithinPartitions("batch", "sweep", "ray")
-        .select("batch", "ray", "pix", "len", "at", "b")
+        .select("batch", "pix", "len", F.col("m.at").alias("at"), F.col("m.b").alias("b"))
     )
-    return ordered.mapInArrow(
-        _art_kernel(geo.pixels, batch, slices, beta), "slice INT, image ARRAY<DOUBLE>"
+    return ordered.mapInArrow(_art_kernel(geo.pixels, plan, beta), "slice INT, image ARRAY<DOUBLE>")
+
+
+def _project_kernel(n_pix: int, plan: BatchPlan):
+    """Streams rows ``batch, ray, id, pix[], val[]``: first the images of a batch (``ray`` null,
+    ``id`` = slice), then its rays. Emits the product of each ray with each image it meets."""
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, f, present = None, None, None
+        for rb in batches:
+            heads = zip(rb.column("batch").to_pylist(), rb.column("ray").to_pylist(), rb.column("id").to_pylist())
+            out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            for (batch_id, ray, slice_id), (pix, val) in zip(heads, _lists(rb, ["pix", "val"])):
+                if batch_id != current:
+                    current = batch_id
+                    f, present = np.zeros((n_pix, plan.size)), np.zeros((n_pix, plan.size), dtype=bool)
+                if ray is None:
+                    f[pix, slice_id - batch_id * plan.size] = val
+                    present[pix, slice_id - batch_id * plan.size] = True
+                else:
+                    met = np.flatnonzero(present[pix].any(axis=0))
+                    out.append((met + batch_id * plan.size, np.full(met.size, ray), (val @ f[pix])[met]))
+            if out:
+                slices, rays_, products = (np.concatenate(part) for part in zip(*out))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(slices.astype(np.int32)), pa.array(rays_.astype(np.int32)), pa.array(products)],
+                    names=["slice", "ray", "projected"],
+                )
+
+    return kernel
+
+
+def pack_pixels(pixels: DataFrame, tile: int = 1 << 16) -> DataFrame:
+    """``slice, pix, value`` rows to ``slice, pix[], val[]``, in tiles of bounded size."""
+    return (
+        pixels.groupBy("slice", idiv(F.col("pix"), tile).alias("_tile"))
+        .agg(F.collect_list(F.struct("pix", F.col("value").cast("double").alias("val"))).alias("p"))
+        .select("slice", F.col("p.pix").alias("pix"), F.col("p.val").alias("val"))
     )
 
 
+def forward_project(matrix: DataFrame, images: DataFrame, geo: TiltGeometry, slices: int) -> DataFrame:
+    """``A f``: ``slice, ray, projected`` for packed images ``slice, pix[], val[]``.
+
+    The plain form, a join on the pixel and a sum per (slice, ray), makes one row per matrix entry
+    and slice. Here a batch of images meets one row per ray, in the plan ``art`` uses.
+    """
+    spark = images.sparkSession
+    plan = BatchPlan.of(spark, geo, slices)
+    rows = matrix_rows(matrix)
+    stored = images.select(plan.batch(), F.lit(None).cast("int").alias("ray"), F.col("slice").alias("id"), "pix", "val")
+    every = plan.rays_of_batches(spark, geo)
+    if plan.small:
+        blank = [F.lit(None).cast(t).alias(c) for c, t in (("id", "int"), ("pix", "array<int>"), ("val", "array<double>"))]
+        placed = plan.place(stored.unionByName(every.select("batch", "ray", *blank)))
+        entries = F.broadcast(rows.withColumnsRenamed({"pix": "_pix", "len": "_len"}))
+        joined = placed.join(entries, "ray", "left").select(
+            "batch", "ray", "id", F.coalesce("pix", "_pix").alias("pix"), F.coalesce("val", "_len").alias("val")
+        )
+        joined = joined.where(F.col("pix").isNotNull())
+    else:
+        traced = every.join(rows, "ray").select(
+            "batch", "ray", F.lit(None).cast("int").alias("id"), "pix", F.col("len").alias("val")
+        )
+        joined = plan.place(stored.unionByName(traced))
+    ordered = joined.sortWithinPartitions("batch", F.col("ray").asc_nulls_first()).select("batch", "ray", "id", "pix", "val")
+    return ordered.mapInArrow(_project_kernel(geo.pixels, plan), "slice INT, ray INT, projected DOUBLE")
+
+
 def recon_pixels(recon: DataFrame) -> DataFrame:
     """``slice, pix, value``: one row per reconstructed pixel."""
     return recon.select("slice", F.posexplode("image").alias("pix", "value"))
@@ -277,11 +366,10 @@ def threshold_voxels(voxels: DataFrame) -> DataFrame:
     return voxels.withColumn("value", threshold(F.col("value")))
 
 
-def residual_norm(
-    measured: DataFrame, pixels: DataFrame, matrix: DataFrame, geo: TiltGeometry
-) -> DataFrame:
-    """``sum((b - A f)^2)`` per slice; a ray that projects to nothing counts with its full ``b``."""
-    projected = forward_project(matrix, pixels, geo)
+def residual_norm(measured: DataFrame, recon: DataFrame, matrix: DataFrame, geo: TiltGeometry, slices: int) -> DataFrame:
+    """``sum((b - A f)^2)`` per slice of ``art``'s output; a ray that projects to nothing counts with its full ``b``."""
+    every_pixel = F.sequence(F.lit(0), F.lit(geo.pixels - 1)).alias("pix")
+    projected = forward_project(matrix, recon.select("slice", every_pixel, F.col("image").alias("val")), geo, slices)
     off = F.col("value") - F.coalesce("projected", F.lit(0.0))
     return (
         measured.join(projected, ["slice", "ray"], "left")

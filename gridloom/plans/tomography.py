@@ -22,8 +22,7 @@ def _setup(spark, sf):
 def _recon(spark, sf):
     geometry, slices, measured = _setup(spark, sf)
     matrix = tomo.ray_matrix(spark, geometry)
-    pixels = tomo.recon_pixels(tomo.art(measured, matrix, geometry, slices))
-    return geometry, slices, measured, matrix, pixels
+    return geometry, slices, measured, matrix, tomo.art(measured, matrix, geometry, slices)
 
 
 @query("ray_matrix", f"WITH {Q.MATRIX} SELECT ray, pix, round(len, 6) AS len FROM matrix")
@@ -130,13 +129,14 @@ def forward_project(spark, sf):
     index = F.col("index")
     pix = F.call_function("div", index, F.lit(slices)).cast("int")
     image = fx.tilt_voxels(spark, sf).select((index % slices).cast("int").alias("slice"), pix.alias("pix"), "value")
-    projected = tomo.forward_project(tomo.ray_matrix(spark, geometry), image, geometry)
+    images = tomo.pack_pixels(image.where(F.col("pix") < geometry.pixels))
+    projected = tomo.forward_project(tomo.ray_matrix(spark, geometry), images, geometry, slices)
     return projected.withColumn("projected", F.round("projected", 6))
 
 
 @query("art_reconstruct", f"WITH RECURSIVE {Q.ART} SELECT slice, pix, round(value, 6) + 0.0 AS value FROM recon")
 def art_reconstruct(spark, sf):
-    pixels = _recon(spark, sf)[-1]
+    pixels = tomo.recon_pixels(_recon(spark, sf)[-1])
     return pixels.withColumn("value", F.round("value", 6) + 0.0)
 
 
@@ -146,8 +146,8 @@ def art_reconstruct(spark, sf):
 SELECT slice + (pix // nside) * sx + (pix % nside) * sx * nside AS index, round(value, 6) + 0.0 AS value FROM recon, geo""",
 )
 def recon_to_voxels(spark, sf):
-    geometry, slices, _, _, pixels = _recon(spark, sf)
-    voxels = tomo.to_voxels(pixels, geometry, tomo.volume_dims(geometry, slices))
+    geometry, slices, _, _, recon = _recon(spark, sf)
+    voxels = tomo.to_voxels(tomo.recon_pixels(recon), geometry, tomo.volume_dims(geometry, slices))
     return voxels.withColumn("value", F.round("value", 6) + 0.0)
 
 
@@ -170,5 +170,5 @@ SELECT m.slice, round(sum((m.value - coalesce(p.p, 0)) * (m.value - coalesce(p.p
 FROM measured m LEFT JOIN projected p ON p.slice = m.slice AND p.ray = m.ray GROUP BY m.slice""",
 )
 def residual_norm(spark, sf):
-    geometry, _, measured, matrix, pixels = _recon(spark, sf)
-    return tomo.residual_norm(measured, pixels, matrix, geometry).withColumn("residual", F.round("residual", 4))
+    geometry, slices, measured, matrix, recon = _recon(spark, sf)
+    return tomo.residual_norm(measured, recon, matrix, geometry, slices).withColumn("residual", F.round("residual", 4))
