@@ -8,3 +8,10 @@ The package is split by role:
 ``streaming``  Structured Streaming statistics
 ``plans``      every registered query next to the SQL text that checks it
 """
+
+import sys
+
+from pyspark import cloudpickle
+
+# Kernels travel to the Python workers as code, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

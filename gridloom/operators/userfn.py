@@ -42,14 +42,20 @@ def flat_map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.Reco
 
 
 def reduce_by_key(
-    df: DataFrame, keys: list[str], merge: Callable[[pd.DataFrame], dict], schema: str, max_keys: int = 100_000
+    df: DataFrame,
+    keys: list[str],
+    merge: Callable[[pd.DataFrame], dict],
+    schema: str,
+    max_keys: int = 100_000,
+    fan_in: int = 64,
 ) -> DataFrame:
     """Associative merge written in Python.
 
-    ``merge`` turns the rows of one key into one row of the same columns. It runs twice: over
-    the batches of each input partition (keeping one row per key), then over those partial
-    rows. A hot key therefore reaches the second step as one row per input partition. Partial
-    rows are handed on whenever more than ``max_keys`` keys are held, so memory is bounded.
+    ``merge`` turns the rows of one key into one row of the same columns. It runs as a tree: over
+    the batches of each input partition (keeping one row per key), over those partial rows in
+    ``fan_in`` salted groups per key, and over the rows of the groups. A hot key is therefore
+    never in one task before it is down to ``fan_in`` rows. Partial rows are handed on whenever
+    more than ``max_keys`` keys are held, so memory is bounded.
     """
 
     def merged(rows: pd.DataFrame) -> pd.DataFrame:
@@ -71,7 +77,14 @@ def reduce_by_key(
         if held is not None:
             yield held
 
-    return df.mapInPandas(partial, schema).groupBy(*keys).applyInPandas(merged, schema)
+    partials = df.mapInPandas(partial, schema)
+    salted = partials.withColumn("_salt", F.spark_partition_id() % fan_in)
+
+    def merged_group(rows: pd.DataFrame) -> pd.DataFrame:
+        return merged(rows.drop(columns="_salt"))
+
+    groups = salted.groupBy(*keys, "_salt").applyInPandas(merged_group, schema)
+    return groups.groupBy(*keys).applyInPandas(merged, schema)
 
 
 def partition_by(df: DataFrame, parts: int, rule: Column, splits: int = 1) -> DataFrame:

@@ -36,12 +36,18 @@ def replay_events(lines: DataFrame, path: str) -> str:
 
 
 def open_lines(spark: SparkSession, path: str, files_per_batch: int = 4) -> DataFrame:
-    """File stream of text lines: ``value, f``. (A socket source has the same ``value`` column.)"""
+    """File stream of text lines: ``value, f``."""
     return (
         spark.readStream.schema("value STRING, f INT").option("maxFilesPerTrigger", files_per_batch).text(path)
     )
 
 
+def open_socket(spark: SparkSession, host: str, port: int) -> DataFrame:
+    """The same rows from a line socket. It cannot be replayed after a failure: for live viewing only."""
+    lines = spark.readStream.format("socket").option("host", host).option("port", port).load()
+    return lines.withColumn("f", F.lit(0))
+
+
 def open_events(spark: SparkSession, path: str, files_per_batch: int = 4) -> DataFrame:
     schema = "ts TIMESTAMP, value STRING, f INT"
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
