@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -10,6 +15,9 @@ from gridloom.functions.index import idiv
 from gridloom.functions.scalars import mask_range
 from gridloom.session import broadcast_if_small
 
+#: Memory a task may hold in partial images before it hands them on.
+STATE_BYTES = 128 * 1024 * 1024
+
 
 def bands_long(bands: DataFrame, nx: int) -> DataFrame:
     """``year, [band,] cell, y, x, value``: one row per pixel, value widened to DOUBLE before any sum.
@@ -85,10 +93,74 @@ def cell_sum(cells: DataFrame, keys: tuple[str, ...] = ("year", "cell")) -> Data
     )
 
 
-def cell_mean(cells: DataFrame, divisor: int | None = None) -> DataFrame:
-    """Annual mean image: cell sum over all bands of the year, or over a fixed ``divisor``."""
+def _sum_bands(lo: float, hi: float, state_bytes: int):
+    """Adds up whole bands as arrays, one image per (year, length), while they stream by."""
+
+    def emit(held: dict) -> pa.RecordBatch:
+        sizes = [total.size for total, _, _ in held.values()]
+        offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+        totals = np.concatenate([total for total, _, _ in held.values()])
+        masked = np.concatenate([mask for _, mask, _ in held.values()])
+        images = pa.ListArray.from_arrays(offsets, pa.array(totals, mask=masked))
+        years = pa.array([year for year, _ in held], pa.int32())
+        counts = pa.array([n for _, _, n in held.values()], pa.int64())
+        return pa.RecordBatch.from_arrays([years, counts, images], names=["year", "n", "pixels"])
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, int]] = {}
+        for rb in batches:
+            lists = rb.column("pixels")
+            flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            starts = np.cumsum(sizes) - sizes
+            years = rb.column("year").to_numpy(zero_copy_only=False)
+            for year, size in {(int(y), int(n)) for y, n in zip(years, sizes) if n > 0}:
+                rows = starts[(years == year) & (sizes == size)]
+                images = flat[rows[:, None] + np.arange(size)]
+                valid = (images >= lo) & (images <= hi)  # a missing value fails both tests
+                total = np.where(valid, images, 0.0).sum(axis=0)
+                mask, n = ~valid.all(axis=0), rows.size
+                if (year, size) in held:
+                    before = held[year, size]
+                    total, mask, n = total + before[0], mask | before[1], n + before[2]
+                held[year, size] = (total, mask, n)
+            if sum(size for _, size in held) * 9 > state_bytes:
+                yield emit(held)
+                held = {}
+        if held:
+            yield emit(held)
+
+    return kernel
+
+
+def band_sums(bands: DataFrame, lo: float = -np.inf, hi: float = np.inf, state_bytes: int = STATE_BYTES) -> DataFrame:
+    """Per-cell sums of array bands ``year, pixels``: ``year, cell, total, n_bands`` as in ``cell_sum``.
+
+    For bands of many pixels. ``cell_sum`` makes a row per pixel and day and looks each one up in a
+    hash table; here a task adds the bands it reads as whole arrays, and only these partial
+    images (one per task and year) are exploded and shuffled. A partial image is null where
+    any of its days was outside ``[lo, hi]``.
+    """
+    partial = bands.select("year", "pixels").mapInArrow(
+        _sum_bands(lo, hi, state_bytes), "year INT, n BIGINT, pixels ARRAY<DOUBLE>"
+    )
+    cells = partial.select("year", "n", F.posexplode("pixels").alias("cell", "value"))
+    complete = F.count("value") == F.count(F.lit(1))
+    return cells.groupBy("year", "cell").agg(
+        F.when(complete, F.sum("value")).alias("total"), F.sum("n").alias("n_bands")
+    )
+
+
+def mean_image(sums: DataFrame, divisor: int | None = None) -> DataFrame:
+    """Annual mean image ``year, cell, value`` from per-cell sums: over all bands of the year, or
+    over a fixed ``divisor``."""
     by = F.col("n_bands") if divisor is None else F.lit(divisor)
-    return cell_sum(cells).select("year", "cell", (F.col("total") / by).alias("value"))
+    return sums.select("year", "cell", (F.col("total") / by).alias("value"))
+
+
+def cell_mean(cells: DataFrame, divisor: int | None = None) -> DataFrame:
+    """Annual mean image of pixel rows."""
+    return mean_image(cell_sum(cells), divisor)
 
 
 def raster_stats(image: DataFrame) -> DataFrame:

@@ -55,7 +55,7 @@ CELL_SUMS = f"WITH {Q.MASKED} SELECT year, cell, round(total, 6) AS total, n_ban
 FROM cell_sums GROUP BY year, cell // 65536""",
 )
 def array_sum_by_key(spark, sf):
-    sums = raster.cell_sum(_masked(spark, sf))
+    sums = raster.band_sums(fx.band_arrays(spark, sf), *MASK)
     packed = raster.pack(sums.withColumnRenamed("total", "value"))
     return packed.select("year", "tile", micros_text(F.col("values")).alias("totals"))
 

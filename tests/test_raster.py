@@ -1,5 +1,7 @@
 """Masks, means and stacking of rasters."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -35,6 +37,25 @@ def test_leap_year_means_differ(spark):
     assert uncut[2008] == pytest.approx(366 / 365)
 
 
+@pytest.mark.parametrize("state_bytes", [1, 1 << 20])
+def test_band_sums_equal_cell_sums(spark, state_bytes):
+    rnd = random.Random(2)
+    rows = []
+    for b in range(60):
+        size = 5 if b % 7 else 3  # a short band now and then
+        pixels = [None if rnd.random() < 0.05 else rnd.uniform(-1, 10) for _ in range(size)]
+        rows.append((2006 + rnd.choice([0, 0, 1]), b, pixels))
+    rows += [(2008, 0, []), (2006, 99, None)]
+    df = bands(spark, rows).repartition(3)
+    long = raster.cell_sum(raster.with_mask(raster.bands_long(df, 5), 0.0, 9.5))
+    want = {(r.year, r.cell): (r.total, r.n_bands) for r in long.collect()}
+    got = {(r.year, r.cell): (r.total, r.n_bands) for r in raster.band_sums(df, 0.0, 9.5, state_bytes).collect()}
+    assert got.keys() == want.keys()
+    for key, (total, n) in want.items():
+        assert got[key][1] == n
+        assert got[key][0] == (None if total is None else pytest.approx(total))
+
+
 def test_all_masked_year_has_stats(spark):
     df = bands(spark, [(2006, 0, [99.0, 98.0])])
     stats = raster.raster_stats(raster.cell_mean(raster.with_mask(raster.bands_long(df, 2), 0, 50))).first()
