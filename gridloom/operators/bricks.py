@@ -15,12 +15,7 @@ from pyspark.sql import functions as F
 from gridloom.functions.index import axis_of, idiv
 from gridloom.functions.slabs import Slabs
 from gridloom.model import GridDims
-from gridloom.operators.grid import dense_rows, to_ijk
-
-#: Cells per stored block of a brick. An aggregation holds up to 128 groups before it sorts, so
-#: this bounds a packing task to about 100 MB.
-BRICK_CELLS = 8192
-
+from gridloom.operators.grid import PACK_CELLS, dense_rows, to_ijk
 
 @dataclass(frozen=True)
 class BrickLayout:
@@ -121,7 +116,7 @@ def split_rejects(df: DataFrame, layout: BrickLayout) -> tuple[DataFrame, DataFr
     return placed.where(inside), placed.where(~inside)
 
 
-def brick(df: DataFrame, layout: BrickLayout, fill: float | None = 0.0, block_cells: int = BRICK_CELLS) -> DataFrame:
+def brick(df: DataFrame, layout: BrickLayout, fill: float | None = 0.0, block_cells: int = PACK_CELLS) -> DataFrame:
     """Assemble ``index, value`` rows into dense bricks.
 
     Returns ``pid, block, start, n_cells, min_x .. max_z, data``; ``start`` is the local index of

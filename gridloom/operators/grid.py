@@ -12,8 +12,11 @@ from gridloom.functions.slabs import Slabs
 from gridloom.model import GridDims
 from gridloom.session import broadcast_if_small, materialize
 
-#: Cells per block. A block is the largest group of rows any operator brings into one task.
+#: Cells per block when rows of a block are only sorted and filled.
 BLOCK_CELLS = 1 << 16
+#: Cells per block when a block becomes one array. An aggregation holds up to 128 groups before
+#: it sorts, so this bounds a packing task to about 100 MB.
+PACK_CELLS = 1 << 13
 
 
 def to_ijk(df: DataFrame, dims: GridDims) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.index import idiv
 from gridloom.functions.scalars import mask_range
+from gridloom.operators.grid import PACK_CELLS
 from gridloom.session import broadcast_if_small
 
 #: Memory a task may hold in partial images before it hands them on.
@@ -238,7 +239,7 @@ def chunk_lookup(bands: DataFrame, size: int, key: str, head: int = 10) -> DataF
     )
 
 
-def pack(image: DataFrame, tile: int = 1 << 16) -> DataFrame:
+def pack(image: DataFrame, tile: int = PACK_CELLS) -> DataFrame:
     """Cell values back to arrays ``year, tile, values``, in cell order; an image larger than a
     tile becomes several rows, so that no row outgrows a task."""
     return (

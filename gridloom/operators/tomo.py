@@ -29,6 +29,7 @@ from gridloom.functions.scalars import (
 from gridloom.functions.slabs import Slabs
 from gridloom.model import GridDims, TiltGeometry
 from gridloom.operators.bricks import BrickLayout, brick
+from gridloom.operators.grid import PACK_CELLS
 from gridloom.session import BROADCAST_LIMIT
 
 #: Memory for the images one task reconstructs side by side. The larger value applies when the
@@ -314,7 +315,7 @@ def _project_kernel(n_pix: int, plan: BatchPlan):
     return kernel
 
 
-def pack_pixels(pixels: DataFrame, tile: int = 1 << 16) -> DataFrame:
+def pack_pixels(pixels: DataFrame, tile: int = PACK_CELLS) -> DataFrame:
     """``slice, pix, value`` rows to ``slice, pix[], val[]``, in tiles of bounded size."""
     return (
         pixels.groupBy("slice", idiv(F.col("pix"), tile).alias("_tile"))

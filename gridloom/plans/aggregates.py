@@ -51,8 +51,8 @@ CELL_SUMS = f"WITH {Q.MASKED} SELECT year, cell, round(total, 6) AS total, n_ban
 
 @query(
     "array_sum_by_key",
-    f"""WITH {Q.MASKED} SELECT year, CAST(cell // 65536 AS INTEGER) AS tile, {Q.micros('total', 'cell')} AS totals
-FROM cell_sums GROUP BY year, cell // 65536""",
+    f"""WITH {Q.MASKED} SELECT year, CAST(cell // {grid.PACK_CELLS} AS INTEGER) AS tile, {Q.micros('total', 'cell')} AS totals
+FROM cell_sums GROUP BY year, cell // {grid.PACK_CELLS}""",
 )
 def array_sum_by_key(spark, sf):
     sums = raster.band_sums(fx.band_arrays(spark, sf), *MASK)

@@ -44,7 +44,7 @@ def _shown(table):
     return table.select("pid", "block", "n_cells", *EXTENT, micros_text(F.col("data")).alias("data"))
 
 
-BLOCK = bricks.BRICK_CELLS
+BLOCK = grid.PACK_CELLS
 
 Z_BRICKS = f"""WITH {Q.SPARSE}, {Q.slabs('nz', 'dims', PARTS, 'threshold')},
 placed AS (SELECT s.pid, f.index - s.lo * 100 AS l, coalesce(f.value, 0) AS value, s.lo, s.hi

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.index import idiv
 from gridloom.operators import raster
+from gridloom.operators.grid import PACK_CELLS
 from gridloom.plans import sqltext as Q
 from gridloom.plans.registry import ints_text, micros_text, query
 from gridloom.session import scratch_path
@@ -131,10 +132,10 @@ def etl_xyav(spark, sf):
 @query(
     "etl_tilt_wide",
     f"""WITH {Q.TILT}
-SELECT t.proj AS projection, CAST(0 AS INTEGER) AS tile, {Q.ints('CAST(floor(value) AS INTEGER)', 'index')} AS pixels,
-       t.proj AS tiltangles, concat(any_value(nproj), ',', any_value(nray), ',', any_value(sx)) AS dimensions,
+SELECT t.proj AS projection, CAST(index % (sx * nray) // {PACK_CELLS} AS INTEGER) AS tile,
+       {Q.ints('CAST(floor(value) AS INTEGER)', 'index')} AS pixels, t.proj AS tiltangles, concat(any_value(nproj), ',', any_value(nray), ',', any_value(sx)) AS dimensions,
        CAST(10 AS INTEGER) AS pixelsize
-FROM tilt t, geo GROUP BY t.proj""",
+FROM tilt t, geo GROUP BY t.proj, index % (sx * nray) // {PACK_CELLS}""",
 )
 def etl_tilt_wide(spark, sf):
     geometry, slices = fx.tilt_geometry(spark, sf)

@@ -115,7 +115,7 @@ def measurement_vector(spark, sf):
 
 
 IMAGE = """image AS (SELECT CAST(event_id % sx AS INTEGER) AS slice, CAST(event_id // sx AS INTEGER) AS pix, value
-FROM events, geo WHERE event_id // sx < nside * nside)"""
+FROM events, geo)"""
 
 
 @query(
@@ -124,12 +124,12 @@ FROM events, geo WHERE event_id // sx < nside * nside)"""
 SELECT slice, ray, round(sum(len * value), 6) AS projected FROM image JOIN matrix USING (pix) GROUP BY slice, ray""",
 )
 def forward_project(spark, sf):
-    # the tilt rows of a slice read as the first pixels of an image of that slice
+    # the tilt rows of a slice, read as pixels of an image of that slice (half of its pixels have a value)
     geometry, slices = fx.tilt_geometry(spark, sf)
     index = F.col("index")
     pix = F.call_function("div", index, F.lit(slices)).cast("int")
     image = fx.tilt_voxels(spark, sf).select((index % slices).cast("int").alias("slice"), pix.alias("pix"), "value")
-    images = tomo.pack_pixels(image.where(F.col("pix") < geometry.pixels))
+    images = tomo.pack_pixels(image)
     projected = tomo.forward_project(tomo.ray_matrix(spark, geometry), images, geometry, slices)
     return projected.withColumn("projected", F.round("projected", 6))
 

@@ -33,12 +33,13 @@ _LOCAL_SCRATCH: dict[str, str] = {}
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """Folder shared by all executors: ``spark.checkpoint.dir`` of the session.
+    """Folder shared by all executors: ``spark.checkpoint.dir`` of the session, or the checkpoint
+    folder set on its context.
 
     Only a ``local[*]`` master may fall back to a folder on this machine; on a
     cluster such a folder would vanish with its host, so a missing setting is an error.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     app_id = spark.sparkContext.applicationId
     if shared:
         return f"{shared.rstrip('/')}/gridloom-{app_id}"

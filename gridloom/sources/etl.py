@@ -9,7 +9,7 @@ from pyspark.sql.types import StructType
 from gridloom.functions.index import idiv
 from gridloom.functions.scalars import PIXEL_SIZE
 from gridloom.model import GridDims
-from gridloom.operators.grid import center, to_ijk
+from gridloom.operators.grid import PACK_CELLS, center, to_ijk
 
 VOXEL_SCHEMA = "index BIGINT, value INT"
 
@@ -55,7 +55,7 @@ def xyav(voxels: DataFrame, dims: GridDims) -> DataFrame:
     return center(to_ijk(voxels, dims), dims).select("x", "y", F.col("z").alias("angle"), "value")
 
 
-def tilt_wide(voxels: DataFrame, dims: GridDims, tile: int = 1 << 16) -> DataFrame:
+def tilt_wide(voxels: DataFrame, dims: GridDims, tile: int = PACK_CELLS) -> DataFrame:
     """One row per projection and tile of pixels, with the metadata columns.
 
     A projection up to ``tile`` pixels is one row (``tile`` = 0); a larger one is cut, so no row

@@ -85,8 +85,8 @@ class _Session:
         self.sparkContext = self
         self.master, self.applicationId = master, f"app-{master}-{shared}"
 
-    def getConf(self):
-        return self.conf
+    def getCheckpointDir(self):
+        return None
 
 
 def test_scratch_is_shared_on_a_cluster():
