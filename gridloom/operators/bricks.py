@@ -17,6 +17,7 @@ from gridloom.functions.slabs import Slabs
 from gridloom.model import GridDims
 from gridloom.operators.grid import PACK_CELLS, dense_rows, to_ijk
 
+
 @dataclass(frozen=True)
 class BrickLayout:
     """How a grid is cut into bricks: axis, slab rule and whether inner sides carry a halo plane."""
