@@ -36,6 +36,8 @@ from gridloom.session import BROADCAST_LIMIT
 #: matrix is joined by a shuffle: fewer batches, so fewer copies of it.
 BATCH_BYTES = 64 * 1024 * 1024
 SHUFFLED_BATCH_BYTES = 1024 * 1024 * 1024
+#: Slices that share the cost of walking the rays, even if fewer would keep all cores busy.
+MIN_BATCH = 8
 #: Tasks of one reconstruction; beyond that a task walks several batches in turn.
 MAX_ART_TASKS = 50_000
 
@@ -180,7 +182,9 @@ class BatchPlan:
         small = geo.matrix_rows_bound() * 16 <= BROADCAST_LIMIT
         memory = BATCH_BYTES if small else SHUFFLED_BATCH_BYTES
         by_memory = max(1, memory // (8 * geo.pixels))
-        by_cores = max(1, -(-slices // max(1, spark.sparkContext.defaultParallelism)))
+        # shuffle partitions stand for the cluster's size where executors are still being added
+        cores = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        by_cores = max(MIN_BATCH, -(-slices // cores))
         return cls(slices, min(by_memory, by_cores), small)
 
     @property

@@ -57,6 +57,22 @@ def test_ray_matrix(spark, geo):
     np.testing.assert_allclose(got, numpy_matrix(geo), atol=1e-7)
 
 
+def test_tilt_angles(spark):
+    def angles(n):
+        return [r.angle for r in tomo.tilt_angles(spark, n).orderBy("proj").collect()]
+
+    assert angles(4) == [-3, -1, 1, 3] and angles(5) == [-4, -2, 0, 2, 4]
+    assert angles(74)[0] == -73 and angles(74)[-1] == 73
+
+
+def test_batches_follow_memory_and_cores(spark, monkeypatch):
+    plan = tomo.BatchPlan.of(spark, TiltGeometry(256, 74, 256), 10_000)
+    assert plan.small and plan.size == tomo.BATCH_BYTES // (8 * 256 * 256) and plan.batches == -(-10_000 // plan.size)
+    assert tomo.BatchPlan.of(spark, TiltGeometry(10, 5, 10), 20).size == tomo.MIN_BATCH
+    huge = tomo.BatchPlan.of(spark, TiltGeometry(2048, 1000, 2048), 100_000)
+    assert not huge.small and huge.size * 8 * 2048 * 2048 <= tomo.SHUFFLED_BATCH_BYTES
+
+
 def test_missed_and_boundary_rays(spark):
     geo = TiltGeometry(6, 5, 13)  # offsets -6..6 over a grid of half width 3
     missed = {(r.ray // 13 - 2, r.ray % 13 - 6): r.reason for r in tomo.missed_rays(spark, geo).collect()}
@@ -109,7 +125,7 @@ def test_art_batches_do_not_change_the_result(spark, monkeypatch):
         return sorted((r.slice, tuple(np.round(r.image, 9))) for r in tomo.art(tomo.measurements(df, dims), matrix, geo, slices).collect())
 
     usual = images()
-    monkeypatch.setattr(tomo, "BATCH_BYTES", 8 * geo.pixels * 4)
+    monkeypatch.setattr(tomo, "BATCH_BYTES", 8 * geo.pixels * 2)
     monkeypatch.setattr(tomo, "MAX_ART_TASKS", 2)
     assert images() == usual
 
