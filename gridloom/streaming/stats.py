@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from gridloom.functions.scalars import VALID_UPPER, parse_number
 
@@ -81,6 +82,11 @@ def _start(writer, available_now: bool) -> StreamingQuery:
     return writer.trigger(**trigger).start()
 
 
+def _prepare(spark: SparkSession, out: str, schema: StructType | str) -> None:
+    """Create the result table with its schema, so that a feed without data reads as empty."""
+    spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{out}/batch_id=-1")
+
+
 def append_sink(df: DataFrame, out: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
     """Rows as they come, exactly once, into a Parquet folder."""
     writer = df.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
@@ -92,6 +98,8 @@ def batch_stats(
 ) -> StreamingQuery:
     """Per micro-batch ``(sum, count)`` of the valid numbers, per source folder. An empty batch writes no row."""
 
+    _prepare(lines.sparkSession, out, "f INT, s DOUBLE, n BIGINT")
+
     def sink(batch: DataFrame, batch_id: int) -> None:
         stats = sum_count(valid(parse(batch), hi), "f")
         stats.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
@@ -101,6 +109,8 @@ def batch_stats(
 
 
 def _table_per_batch(df: DataFrame, mode: str, out: str, checkpoint: str, available_now: bool) -> StreamingQuery:
+    _prepare(df.sparkSession, out, df.schema)
+
     def sink(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 

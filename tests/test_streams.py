@@ -26,6 +26,12 @@ def test_batch_stats_skip_invalid_and_empty(spark):
     assert sorted(map(tuple, stats.batch_totals(spark, out).collect())) == [(0, 3.5, 2), (2, 4.0, 1)]
 
 
+def test_feed_without_files_gives_an_empty_result(spark, tmp_path):
+    out, ck = scratch_path(spark, "t-out"), scratch_path(spark, "t-ck")
+    stats.batch_stats(stats.open_lines(spark, str(tmp_path)), 100.0, out, ck).awaitTermination()
+    assert stats.batch_totals(spark, out).count() == 0
+
+
 def test_restart_counts_every_line_once(spark):
     path = feed(spark, [(0, "1"), (1, "2")])
     out, ck = scratch_path(spark, "t-out"), scratch_path(spark, "t-ck")
