@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import blocknames, bytebpe
+from gridloom.llm import blocknames, bytebpe, langmix, subword, urltree, warc
+from gridloom.llm.urltree import Rule
 from gridloom.llm.registry import QUERIES, SQL, query, table
 
 __all__ = ["QUERIES", "SQL"]
@@ -19,6 +20,25 @@ WITH n AS (
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM n JOIN g USING (t)
 """
 
+URL_RULES = [
+    Rule("com", "/", "allow"),
+    Rule("example.com", "/en/", "block"),
+    Rule("www.example.com", "/en/", "allow"),
+    Rule("net", "/es/", "block"),
+    Rule("net", "/fr/", "block"),
+]
+
+
+@query("op1_url_filters")
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urltree.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+@query("op2_quality")
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return subword.quality_scores(docs, subword.fit_quality(docs, table(spark, sf_dir, "labels")))
+
 
 @query("op3_exact_dedup", EXACT_SQL)
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,3 +48,13 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_byte_bpe")
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bytebpe.digests(table(spark, sf_dir, "documents"), RANKS)
+
+
+@query("op6_warc")
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+@query("op9_language_id")
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langmix.identify(table(spark, sf_dir, "documents"))
