@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import blocknames, bytebpe, langmix, subword, urltree, warc
+from gridloom.llm import blocknames, bytebpe, jaccard, langmix, subword, urltree, warc
+from gridloom.llm.jaccard import JaccardSettings
 from gridloom.llm.urltree import Rule
 from gridloom.llm.registry import QUERIES, SQL, query, table
 
@@ -58,3 +59,8 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_language_id")
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langmix.identify(table(spark, sf_dir, "documents"))
+
+
+@query("op5_ngram_jaccard")
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similarity_components(table(spark, sf_dir, "documents"), JaccardSettings(words=3, percent=90))
