@@ -5,7 +5,8 @@ blocks get equal integer names. Adjacent names of a text are then paired and the
 way, until one name is left. Two texts of equally many blocks have the same last name exactly when
 they are equal: names stand for contents, never for hashes, so nothing can collide.
 
-Naming is a range partition on (content, row, position): a block that a third of all rows share is cut
+Naming is a range partition on (SHA-256 of the content, row, position); contents themselves are compared, and
+two contents with one SHA-256 would stop the job rather than be taken for equal. A block that a third of all rows share is cut
 over many tasks, and the ranks of the tasks are joined by the first and last content of each.
 """
 
@@ -31,8 +32,11 @@ def squeeze_spaces(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), "[\\x20\\x09-\\x0D]+", " ")
 
 
-def _local_ranks(key: str, carry: list[str]):
-    """Number the distinct keys of a sorted partition from 0; the first and last key stay as edges."""
+def _local_ranks(key: str, order: str, carry: list[str]):
+    """Number the distinct keys of a sorted partition from 0; the first and last key stay as edges.
+
+    Rows come sorted by ``order``; keys are compared themselves, and two keys with one order value are an error.
+    """
 
     def out(batch: pa.RecordBatch, ranks: np.ndarray, pid: int, head, tail) -> pa.RecordBatch:
         n = batch.num_rows
@@ -43,7 +47,7 @@ def _local_ranks(key: str, carry: list[str]):
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pid = TaskContext.get().partitionId()
-        held, last, rank = None, None, -1
+        held, last, place, rank = None, None, None, -1
         for batch in batches:
             n = batch.num_rows
             if n == 0:
@@ -53,10 +57,15 @@ def _local_ranks(key: str, carry: list[str]):
             change = np.empty(n, bool)
             change[0] = last is None or first != last
             change[1:] = pc.not_equal(keys.slice(1), keys.slice(0, n - 1)).to_numpy(zero_copy_only=False)
+            places = batch.column(order)
+            moved = pc.not_equal(places.slice(1), places.slice(0, n - 1)).to_numpy(zero_copy_only=False)
+            if (change[1:] != moved).any() or (place == places[0].as_py()) == bool(change[0]):
+                raise ValueError("two different blocks have one SHA-256")
+            place = places[n - 1].as_py()
             ranks = rank + np.cumsum(change)
             if held is not None:
                 yield out(*held, None)
-            held = (batch.drop_columns([key]), ranks, pid, first if last is None else None)
+            held = (batch, ranks, pid, first if last is None else None)
             last, rank = keys[n - 1].as_py(), int(ranks[-1])
         if held is not None:
             yield out(*held, last)
@@ -64,17 +73,20 @@ def _local_ranks(key: str, carry: list[str]):
     return kernel
 
 
-def dense_names(df: DataFrame, key: str, ties: list[str], label: str) -> DataFrame:
-    """Every column but the binary ``key``, plus ``name``: equal keys get equal integers, others differ.
+def dense_names(df: DataFrame, key: str, order: str, ties: list[str], label: str) -> DataFrame:
+    """Every column but the binary ``key`` and ``order``, plus ``name``: equal keys get equal integers, others differ.
+
+    ``order`` is the short value to sort by (the key itself, or its SHA-256): the bounds of the range partition
+    are sampled on the driver, so the sort column must not be a whole block.
 
     ``ties`` make rows distinct so that one frequent key can be cut. The result is a written table:
     names follow the partition bounds and must not be computed twice.
     """
-    carry = [c for c in df.columns if c != key]
+    carry = [c for c in df.columns if c not in (key, order)]
     fields = ", ".join(f"`{c}` {t}" for c, t in df.select(*carry).dtypes)
     schema = f"{fields}, pid int, rank bigint, head binary, tail binary"
-    ranged = df.repartitionByRange(key, *ties).sortWithinPartitions(key, *ties)
-    local = materialize(ranged.mapInArrow(_local_ranks(key, carry), schema), label)
+    ranged = df.repartitionByRange(order, *ties).sortWithinPartitions(order, *ties)
+    local = materialize(ranged.mapInArrow(_local_ranks(key, order, carry), schema), label)
     # One row per task from here on: its first key, its last key and how many keys it has.
     edges = local.groupBy("pid").agg(
         F.max("head").alias("head"), F.max("tail").alias("tail"), (F.max("rank") + 1).alias("keys")
@@ -112,8 +124,9 @@ def block_identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         F.when(F.col("b.pos") == 0, F.col("sha")).alias("sha"),
         "blocks",
         F.col("b.block").alias("block"),
+        F.unhex(F.sha2("b.block", 256)).alias("order"),
     )
-    first = dense_names(blocks, "block", ["uid", "pos"], "blocks")
+    first = dense_names(blocks, "block", "order", ["uid", "pos"], "blocks")
     whole = first.where("blocks = 1").select("uid", "id", "sha", "blocks", "name")
     longer = first.where("blocks > 1")
     most = longer.agg(F.max("blocks")).first()[0] or 1  # one number
@@ -124,7 +137,7 @@ def block_identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         odd = F.max(F.when(F.col("pos") % 2 == 1, F.col("name")))
         pairs = level.groupBy("uid", F.floor(F.col("pos") / 2).alias("pos"), F.ceil(F.col("left") / 2).alias("left"))
         pairs = pairs.agg(F.concat(_word(even), _word(F.coalesce(odd, F.lit(-1)))).alias("pair"))
-        level = dense_names(pairs, "pair", ["uid", "pos"], "pairs")
+        level = dense_names(pairs.withColumn("order", F.col("pair")), "pair", "order", ["uid", "pos"], "pairs")
         done.append(level.where("left = 1").select("uid", "name"))
         level = level.where("left > 1")
         most = (most + 1) // 2
