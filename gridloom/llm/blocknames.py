@@ -165,12 +165,15 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = materialize(block_identities(docs, id_col, text_col), "identities")
     first = F.min(F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("id"), F.col("uid").alias("uid")))
     groups = rows.groupBy("blocks", "name").agg(first.alias("first"), F.count(F.lit(1)).alias("group_size"))
-    joined = rows.join(groups, ["blocks", "name"])  # a large group is cut by the skew join of the adaptive plan
+    # Written first: the adaptive plan cuts a large group only where the join reads two plain exchanges.
+    groups = materialize(groups.where("group_size > 1"), "groups")
+    joined = rows.join(groups, ["blocks", "name"], "left")
+    copied = F.col("group_size").isNotNull()
     return joined.select(
         id_col,
-        F.col("first.id").alias("keep_id"),
-        "group_size",
-        (F.col("first.uid") == F.col("uid")).alias("kept"),
+        F.when(copied, F.col("first.id")).otherwise(F.col(id_col)).alias("keep_id"),
+        F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
+        (~copied | (F.col("first.uid") == F.col("uid"))).alias("kept"),
         F.col("sha").alias("text_sha256"),
     )
 

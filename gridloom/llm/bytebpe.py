@@ -41,7 +41,7 @@ SCAN_BLOCK = 64
 PIECE_CHARS = 1 << 20
 #: Slices longer than this are merged without being remembered.
 CACHED_CHARS = 48
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 100_000
 #: Slices up to so many bytes are merged side by side, longer ones alone.
 TOGETHER_BYTES = 64
 NO_RANK = np.iinfo(np.int64).max

@@ -244,13 +244,13 @@ class JaccardJoin:
         self.classes = count_classes(profile)
         rows = profile.where("n is not null").select("id", "n", "key")
         same = rows.where("key is not null and id is not null").groupBy("key").agg(F.min("id").alias("rep"))
-        same = materialize(same, "classes")
+        same = materialize(same, "sets")
         groups = self._links(same)
         # Documents with one set share its representative; representatives share a component.
         named = same.join(groups, same["rep"] == groups["node"], "left").select(
             "key", F.coalesce("component", "rep").alias("component")
         )
-        return rows.join(named, "key", "left").select("id", "n", F.coalesce("component", "id").alias("component"))
+        return rows.join(materialize(named, "named"), "key", "left").select("id", "n", F.coalesce("component", "id").alias("component"))
 
     def _links(self, same: DataFrame) -> DataFrame:
         s = self.s
@@ -261,14 +261,16 @@ class JaccardJoin:
         # Most prefix tokens are in one document only: count first, then keep those of two or more.
         postings = materialize(postings, "postings")
         counts = postings.groupBy("token").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select("token")
-        shared = postings.join(counts, "token")
+        # Written before the join, here and below: the adaptive plan cuts a frequent key only where the join
+        # reads two plain exchanges, not an aggregation.
+        shared = postings.join(materialize(counts, "counts"), "token")
         # Sizes of linked sets differ by the similarity at most: same or next size class. A bucket is a
         # token and two neighbouring classes, so every linked pair is in a bucket together.
         band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / s.percent)) + 1e-9).cast("int")
         shared = shared.select("token", "id", "n", F.explode(F.array(band, band + 1)).alias("band"))
         shared = materialize(shared, "shared")
         buckets = shared.groupBy("token", "band").agg(F.min(F.struct("id", "n")).alias("lead"), F.max("id").alias("b"))
-        buckets = buckets.where("lead.id <> b").select("token", "band", "lead")
+        buckets = materialize(buckets.where("lead.id <> b").select("token", "band", "lead"), "buckets")
         star = shared.join(buckets, ["token", "band"]).where("id <> lead.id")
         star = star.select(F.col("lead.id").alias("x"), F.col("lead.n").alias("nx"), F.col("id").alias("y"), F.col("n").alias("ny"), "token")
         first = materialize(self._verify(self._candidates(star)), "links")
@@ -281,10 +283,11 @@ class JaccardJoin:
         marked = shared.join(groups, shared["id"] == groups["node"], "left")
         marked = marked.select("token", "band", "id", "n", F.coalesce("component", "id").alias("c"))
         mixed = marked.groupBy("token", "band").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b")
-        marked = materialize(marked.join(mixed.select("token", "band"), ["token", "band"]), "mixed")
+        mixed = materialize(mixed.select("token", "band"), "keys")
+        marked = materialize(marked.join(mixed, ["token", "band"]), "mixed")
         sizes = marked.groupBy("token", "band", "c").agg(F.count(F.lit(1)).alias("size"))
         top = sizes.groupBy("token", "band").agg(F.max(F.struct("size", "c")).alias("top"))
-        minor = marked.join(top, ["token", "band"]).select("token", "band", "id", "n", "c", F.col("top.c").alias("major"))
+        minor = marked.join(materialize(top, "top"), ["token", "band"]).select("token", "band", "id", "n", "c", F.col("top.c").alias("major"))
         x, y = minor.where("c <> major").alias("x"), marked.alias("y")
         fits = (F.col("x.c") != F.col("y.c")) & ((F.col("y.c") == F.col("x.major")) | (F.col("x.id") < F.col("y.id")))
         fits &= self._sizes_fit(F.col("x.n"), F.col("y.n"))

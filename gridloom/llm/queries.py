@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gridloom.llm import blocknames, bytebpe, jaccard, langmix, subword, urltree, warc
+from gridloom.llm import blocknames, bytebpe, decontam, jaccard, langmix, linerepeats, subword, urltree, warc
 from gridloom.llm.jaccard import JaccardSettings
 from gridloom.llm.urltree import Rule
 from gridloom.llm.registry import QUERIES, SQL, query, table
@@ -64,3 +65,75 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_ngram_jaccard")
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similarity_components(table(spark, sf_dir, "documents"), JaccardSettings(words=3, percent=90))
+
+
+LINES_SQL = r"""
+WITH lines AS (
+  SELECT doc_id, CAST(unnest(range(len(l))) AS INTEGER) AS pos, unnest(l) AS line
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)
+), hashed AS (
+  SELECT doc_id, pos, substr(sha256(trim(line, ' ')), 1, 32) AS h,
+         length(trim(line, ' ')) - length(replace(trim(line, ' '), ' ', '')) + 1 AS w FROM lines
+), placed AS (
+  SELECT *, CAST(coalesce(sum(w) OVER (PARTITION BY doc_id ORDER BY pos
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS words_before FROM hashed
+), picked AS (
+  SELECT DISTINCT doc_id, CAST(substr(p, 33) AS INTEGER) AS pos FROM (
+    SELECT doc_id, min(h || lpad(CAST(pos AS VARCHAR), 10, '0')) OVER (PARTITION BY doc_id ORDER BY words_before
+      RANGE BETWEEN CURRENT ROW AND 9 FOLLOWING) AS p FROM placed)
+), marked AS (
+  SELECT a.*, f.pos IS NOT NULL AS mark,
+         count(f.pos) OVER (PARTITION BY a.doc_id ORDER BY a.pos ROWS UNBOUNDED PRECEDING) AS g
+  FROM placed a LEFT JOIN picked f ON a.doc_id = f.doc_id AND a.pos = f.pos
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY h ORDER BY doc_id, pos) AS k FROM marked WHERE mark
+), anchors AS (
+  SELECT a.doc_id, a.pos, a.g, a.w, f.doc_id AS src, f.pos AS spos, f.g AS sg
+  FROM ranked a JOIN ranked f ON a.h = f.h AND f.k = 1 AND a.k > 1
+), beside AS (
+  SELECT a.doc_id, a.pos, a.src, x.pos AS xpos, x.w, coalesce(y.h = x.h, false) AS ok
+  FROM anchors a JOIN marked x ON x.doc_id = a.doc_id AND NOT x.mark AND (x.g = a.g OR x.g = a.g - 1)
+  LEFT JOIN marked y ON y.doc_id = a.src AND y.pos = a.spos + x.pos - a.pos AND NOT y.mark AND y.g = a.sg + x.g - a.g
+), bounded AS (
+  SELECT *, min(CASE WHEN NOT ok AND xpos > pos THEN xpos END) OVER (PARTITION BY doc_id, pos) AS stop,
+         max(CASE WHEN NOT ok AND xpos < pos THEN xpos END) OVER (PARTITION BY doc_id, pos) AS start
+  FROM beside
+), hits AS (
+  SELECT doc_id, xpos, max(w) AS w, min(src) AS src FROM (
+    SELECT doc_id, pos AS xpos, w, src FROM anchors UNION ALL
+    SELECT doc_id, xpos, w, src FROM bounded WHERE ok AND ((xpos > pos AND xpos < coalesce(stop, xpos + 1))
+      OR (xpos < pos AND xpos > coalesce(start, xpos - 1)))
+  ) GROUP BY doc_id, xpos
+), runs AS (
+  SELECT *, xpos - row_number() OVER (PARTITION BY doc_id ORDER BY xpos) AS run FROM hits
+), gone AS (
+  SELECT * FROM (SELECT *, sum(w) OVER (PARTITION BY doc_id, run) AS words FROM runs) WHERE words >= 10
+), facts AS (
+  SELECT l.doc_id, count(*) AS n_lines, count(g.xpos) AS n_deleted, CAST(coalesce(sum(g.w), 0) AS BIGINT) AS words_deleted,
+         coalesce(string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (WHERE g.xpos IS NULL), '') AS kept
+  FROM lines l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.pos = g.xpos GROUP BY l.doc_id
+), sources AS (
+  SELECT doc_id, string_agg(CAST(src AS VARCHAR), ',' ORDER BY src) AS sources
+  FROM (SELECT DISTINCT doc_id, src FROM gone) GROUP BY doc_id
+)
+SELECT doc_id, n_lines, n_deleted, words_deleted, coalesce(sources, '') AS sources, sha256(kept) AS kept_sha256
+FROM facts LEFT JOIN sources USING (doc_id)
+"""
+
+
+@query("op7_line_dedup", LINES_SQL)
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = linerepeats.delete_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select(
+        "doc_id",
+        F.col("repeats.lines").alias("n_lines"),
+        F.col("repeats.deleted").alias("n_deleted"),
+        F.col("repeats.words").alias("words_deleted"),
+        F.array_join(F.transform("repeats.sources", lambda x: x.cast("string")), ",").alias("sources"),
+        F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"),
+    )
+
+
+@query("op8_decontamination")
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -117,7 +117,8 @@ def decide_revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "u
     best = F.max(F.struct(F.col("rank").isNotNull().alias("known"), F.col("rank").alias("rank"), F.col("uid").alias("uid"), F.col("id").alias("id")))
     groups = flat.where(F.col("length") >= MIN_REVISIT_BYTES).groupBy("content", "length")
     groups = groups.agg(best.alias("best"), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies")
-    joined = flat.join(groups, ["content", "length"], "left")  # a large group is cut by the skew join of the plan
+    # Written first: the adaptive plan cuts a large group only where the join reads two plain exchanges.
+    joined = flat.join(materialize(groups, "copies"), ["content", "length"], "left")
     revisit = F.col("best.uid") != F.col("uid")
     return joined.select(
         _urn(F.col("id"), F.col("uid")).alias("record_id"),
