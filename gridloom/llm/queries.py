@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import blocknames, bytebpe, decontam, jaccard, langmix, linerepeats, subword, urltree, warc
+from gridloom.llm import blocknames, bytebpe, decontam, jaccard, langmix, linerepeats, pseudonyms, subword, urltree, warc
 from gridloom.llm.jaccard import JaccardSettings
 from gridloom.llm.urltree import Rule
 from gridloom.llm.registry import QUERIES, SQL, query, table
@@ -22,6 +22,9 @@ WITH n AS (
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM n JOIN g USING (t)
 """
 
+#: The key of a production run comes from its owner; pseudonyms of different keys can't be linked.
+PII_KEY = "example-key"
+
 URL_RULES = [
     Rule("com", "/", "allow"),
     Rule("example.com", "/en/", "block"),
@@ -137,3 +140,9 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_decontamination")
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op10_pii_pseudonyms")
+def op10_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pseudonyms.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+    return rows.where(F.size("pii") > 0).select("doc_id", F.size("pii").alias("n_values"), "pii", "text")
