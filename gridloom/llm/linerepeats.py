@@ -100,33 +100,32 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def delete_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """Every row of ``docs`` with its columns, ``text_col`` without the repeated lines, and a struct ``repeats``:
-    ``lines`` and ``deleted`` (line counts), ``words`` (deleted), ``sources`` (ids of earlier documents) and
-    ``emptied`` (no word is left of a text that lost lines).
+    """``row`` (a struct of the columns of ``docs``, with ``text_col`` without the repeated lines), ``lines`` and
+    ``deleted`` (line counts), ``words`` (deleted), ``sources`` (ids of earlier documents) and ``emptied`` (no
+    word is left of a text that lost lines), for every row of ``docs``.
 
     The first of equal runs, by id and then position, stays; a null id comes after all others. Null text counts as
     one empty line and stays null. Rows of equal id and text are one document and get the same result; rows of equal id
-    and different text are ordered by a hash of the text. ``docs`` must not have columns named ``repeats`` or
-    beginning with ``__``.
+    and different text are ordered by a hash of the text. ``docs`` may have any other columns.
     """
     gone = repeated_lines(docs, id_col, text_col, min_words).groupBy("id", "th")
-    gone = gone.agg(F.collect_set("pos").alias("__gone"), F.sum("w").alias("__words"), F.array_sort(F.collect_set("source")).alias("__sources"))
-    gone = gone.withColumnRenamed("id", "__id").withColumnRenamed("th", "__th")
-    body = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.withColumn("__hash", F.xxhash64(body))
-    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__th"))
-    rows = rows.join(gone, same, "left").withColumn("__lines", F.split(body, "\n", -1))
-    every = F.sequence(F.lit(0), F.size("__lines") - 1)
-    stay = F.transform(F.array_except(every, F.col("__gone")), lambda i: F.get("__lines", i))
-    hit = F.col("__gone").isNotNull()
-    text = F.when(hit, F.array_join(stay, "\n")).otherwise(F.col(text_col))
-    rows = rows.withColumn("__text", text)
-    facts = F.struct(
-        F.size("__lines").cast("long").alias("lines"),
-        F.when(hit, F.size("__gone")).otherwise(0).cast("long").alias("deleted"),
-        F.coalesce("__words", F.lit(0)).cast("long").alias("words"),
-        F.coalesce("__sources", F.array().cast(gone.schema["__sources"].dataType)).alias("sources"),
-        (hit & ~F.coalesce(F.col("__text").rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))).alias("emptied"),
+    gone = gone.agg(F.collect_set("pos").alias("gone"), F.sum("w").alias("words"), F.array_sort(F.collect_set("source")).alias("sources"))
+    gone = gone.withColumnRenamed("id", "gone_id").withColumnRenamed("th", "gone_th")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    body = F.coalesce(F.col("row")[text_col], F.lit(""))
+    rows = rows.select("row", F.col("row")[id_col].alias("id"), F.xxhash64(body).alias("th"))
+    rows = rows.join(gone, F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("th") == F.col("gone_th")), "left")
+    rows = rows.withColumn("every", F.split(body, "\n", -1))
+    places = F.sequence(F.lit(0), F.size("every") - 1)
+    stay = F.transform(F.array_except(places, F.col("gone")), lambda i: F.get("every", i))
+    hit = F.col("gone").isNotNull()
+    rows = rows.withColumn("left", F.when(hit, F.array_join(stay, "\n")).otherwise(F.col("row")[text_col]))
+    solid = F.coalesce(F.col("left").rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
+    return rows.select(
+        F.col("row").withField(text_col, F.col("left")).alias("row"),
+        F.size("every").cast("long").alias("lines"),
+        F.when(hit, F.size("gone")).otherwise(0).cast("long").alias("deleted"),
+        F.coalesce("words", F.lit(0)).cast("long").alias("words"),
+        F.when(hit, F.col("sources")).otherwise(F.array().cast(gone.schema["sources"].dataType)).alias("sources"),
+        (hit & ~solid).alias("emptied"),
     )
-    columns = [F.col("__text").alias(text_col) if c == text_col else F.col(c) for c in docs.columns]
-    return rows.select(*columns, facts.alias("repeats"))

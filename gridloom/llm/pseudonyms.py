@@ -326,18 +326,19 @@ def _kind(value: Column) -> Column:
     )
 
 
-def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every row of ``docs`` with its columns, ``text_col`` with pseudonyms, and ``pii``: an array of structs
-    ``kind, start, value`` (the pseudonym and its place, in characters of the new text).
+def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
+    """``row`` (a struct of the columns of ``docs``, with pseudonyms in ``text_col``) and ``pii``, an array of structs
+    ``kind, start, value`` (the pseudonym and its place, in characters of the new text), for every row of ``docs``.
 
     A candidate that fails its check stays as it is. Null text stays null, with an empty array. Equal values
-    under one key get equal pseudonyms in all rows. ``docs`` must not have columns named ``pii`` or beginning with ``__``.
+    under one key get equal pseudonyms in all rows. ``docs`` may have any other columns.
     """
     pattern = "|".join(PATTERNS.values())
-    text = F.col(text_col)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    text = F.col("row")[text_col]
     may = text.rlike("[0-9@]")
     found = F.when(may, F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1)))
-    rows = docs.withColumn("__found", F.coalesce(found, F.array().cast("array<string>")))
+    rows = rows.withColumn("__found", F.coalesce(found, F.array().cast("array<string>")))
     kinds = F.transform("__found", lambda v: F.struct(v.alias("old"), _kind(v).alias("kind")))
     rows = rows.withColumn("__kinds", F.when(F.size("__found") > 0, kinds))
 
@@ -363,6 +364,5 @@ def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
     both = F.zip_with(F.slice("__gaps", F.lit(1), F.size("__new")), F.col("__new"), lambda g, n: F.struct(g.alias("gap"), n.alias("new")))
     spans = F.filter(F.aggregate(both, start, place, lambda s: s["out"]), lambda x: x["kind"].isNotNull())
     nothing = F.array().cast("array<struct<kind:string,start:bigint,value:string>>")
-    rows = rows.withColumn("__text", F.when(hit, joined).otherwise(text))
-    columns = [F.col("__text").alias(text_col) if c == text_col else F.col(c) for c in docs.columns]
-    return rows.select(*columns, F.when(hit, spans).otherwise(nothing).alias("pii"))
+    new = F.col("row").withField(text_col, F.when(hit, joined).otherwise(text))
+    return rows.select(new.alias("row"), F.when(hit, spans).otherwise(nothing).alias("pii"))

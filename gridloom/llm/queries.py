@@ -128,12 +128,12 @@ FROM facts LEFT JOIN sources USING (doc_id)
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = linerepeats.delete_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return rows.select(
-        "doc_id",
-        F.col("repeats.lines").alias("n_lines"),
-        F.col("repeats.deleted").alias("n_deleted"),
-        F.col("repeats.words").alias("words_deleted"),
-        F.array_join(F.transform("repeats.sources", lambda x: x.cast("string")), ",").alias("sources"),
-        F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"),
+        "row.doc_id",
+        F.col("lines").alias("n_lines"),
+        F.col("deleted").alias("n_deleted"),
+        F.col("words").alias("words_deleted"),
+        F.array_join(F.transform("sources", lambda x: x.cast("string")), ",").alias("sources"),
+        F.sha2(F.coalesce("row.text", F.lit("")), 256).alias("kept_sha256"),
     )
 
 
@@ -145,4 +145,4 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_pii_pseudonyms")
 def op10_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = pseudonyms.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
-    return rows.where(F.size("pii") > 0).select("doc_id", F.size("pii").alias("n_values"), "pii", "text")
+    return rows.where(F.size("pii") > 0).select("row.doc_id", F.size("pii").alias("n_values"), "pii", "row.text")

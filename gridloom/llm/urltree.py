@@ -85,6 +85,8 @@ def learn_templates(urls: DataFrame, settings: TreeSettings = TreeSettings()) ->
             F.sum("lab").alias("node_lab"),
             F.sum("blk").alias("node_blk"),
         )
+        # Written: the adaptive plan cuts a large host only where the join reads two plain exchanges.
+        nodes = materialize(nodes, "nodes")
         variable = (F.col("kinds") >= s.min_kinds) & (
             (F.col("paths") < F.col("kinds") * s.repeats) | (F.col("kinds") >= s.many_kinds)
         )
@@ -105,7 +107,7 @@ def learn_templates(urls: DataFrame, settings: TreeSettings = TreeSettings()) ->
     facts = rows.groupBy("host", "template").agg(F.sum("labelled").alias("lab"), F.sum("blocked").alias("blk"))
     facts = facts.withColumn("purity", _smoothed(F.col("blk"), F.col("lab"), s))
     reject = (F.col("lab") > 0) & (F.col("purity") >= s.reject_purity)
-    facts = facts.withColumn("reject", reject)
+    facts = materialize(facts.withColumn("reject", reject), "templates")
     return rows.select("host", "path", "template").join(facts, ["host", "template"])
 
 
