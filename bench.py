@@ -36,7 +36,7 @@ HEADLINE = [
     "ray_matrix",
     "forward_project",
     "art_reconstruct",
-    "tomo_end_to_end",
+    "tomo_pipeline",
     "stream_batch_stats",
     "reduce_custom",
 ]

@@ -19,6 +19,7 @@ VALID_UPPER = 5000         # stream and per-value jobs drop values from here on
 MASK_OWNED = 1             # cell present in this partition
 MASK_HIDDEN = 32           # cell of another partition
 Z_BINS_PER_PARTITION = 4   # bins of the z histogram per partition
+NUMBER_LINE = r"(?i)^[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf(inity)?|nan)$"
 EPS_DIRECTION = 1e-10      # ray directions and midpoints below this are 0
 EPS_ORIGIN = 1e-8          # ray origins below this are 0
 EPS_SAME_POINT = 1e-8      # crossings closer than this are one point
@@ -58,8 +59,9 @@ def year_from_tail(name: Column) -> Column:
 
 
 def parse_number(line: Column) -> Column:
-    """A number line, or null where the line is not a number."""
-    return F.trim(line).try_cast("double")
+    """A number line, or null where the line is not a number; a cast alone would take "1.5f" and "2d" too."""
+    text = F.trim(line)
+    return F.when(text.rlike(NUMBER_LINE), text.try_cast("double"))
 
 
 def z_bin(z: Column, max_z: Column, parts: int) -> Column:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from gridloom.functions.index import axis_of, idiv
 from gridloom.functions.slabs import Slabs
 from gridloom.model import GridDims
-from gridloom.operators.grid import PACK_CELLS, dense_rows, to_ijk
+from gridloom.operators.grid import PACK_CELLS, dense_rows, split_grid, to_ijk
 
 
 @dataclass(frozen=True)
@@ -122,10 +122,12 @@ def brick(df: DataFrame, layout: BrickLayout, fill: float | None = 0.0, block_ce
 
     Returns ``pid, block, start, n_cells, min_x .. max_z, data``; ``start`` is the local index of
     the block's first cell, missing cells hold ``fill``. One shuffle of the sparse rows, keyed on
-    (pid, block), serves the fill and the packing; a group is one block.
+    (pid, block), serves the fill and the packing; a group is one block. Rows outside the grid are left
+    out; ``grid.split_grid`` gives them.
     """
     pid = F.col("pid")
-    located = with_local_index(owned_cells(df.select("index", F.col("value").cast("double")), layout), layout)
+    inside = split_grid(df.select("index", F.col("value").cast("double")), layout.dims.cells)[0]
+    located = split_rejects(owned_cells(inside, layout), layout)[0]
     sparse = located.select(
         "pid",
         idiv(F.col("local_index"), block_cells).alias("block"),
@@ -180,7 +182,11 @@ def annotate(bricks: DataFrame, layout: BrickLayout) -> DataFrame:
     )
 
 
-def whole_extent(bricks: DataFrame) -> DataFrame:
-    """Extent of the union of all bricks."""
-    aggs = [F.min(f"min_{a}").alias(f"min_{a}") for a in "xyz"] + [F.max(f"max_{a}").alias(f"max_{a}") for a in "xyz"]
-    return bricks.agg(*aggs)
+def whole_extent(df: DataFrame, dims: GridDims) -> DataFrame:
+    """Point extent of the union of all bricks: that of the rows inside the grid, by one partial aggregation.
+
+    Bricks cover the slabs that hold their rows, and slabs together the grid, so nothing has to be assembled for it.
+    """
+    points = to_ijk(split_grid(df, dims.cells)[0], dims)
+    aggs = [F.min(a).alias(f"min_{a}") for a in "xyz"] + [F.max(a).alias(f"max_{a}") for a in "xyz"]
+    return points.agg(*aggs)

@@ -54,26 +54,34 @@ def tilt_rotate_index(df: DataFrame, dims: GridDims) -> DataFrame:
     return df.withColumns({"px": offset * F.cos(t), "py": j_of(index, dims).cast("double"), "pz": offset * F.sin(t)})
 
 
-def rank_in_group(df: DataFrame, group: str, id_col: str, out: str, bucket_ids: int = BLOCK_CELLS) -> DataFrame:
-    """0-based rank of a unique non-negative integer id within its group.
+def rank_in_group(df: DataFrame, group: str, id_col: str, out: str) -> DataFrame:
+    """``group, id_col, out``: 0-based rank of a unique id within its group.
 
-    A plain window over the group would sort a hot group in one task. Here a group is cut
-    into id ranges of at most ``bucket_ids`` rows: the window only ranks inside one range,
-    and the ranks of earlier ranges are a running sum over the (small) table of counts.
+    A plain window over the group would sort a hot group in one task. Here rows are range-partitioned on
+    (group, id), whatever the ids look like; a rank is the place in the partition plus what the group has in
+    earlier partitions, one count per partition and group. Only these two columns are moved and written.
     """
-    bucketed = df.withColumn("_bucket", idiv(F.col(id_col), bucket_ids))
-    before = W.partitionBy(group).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    spark = df.sparkSession
+    ranged = df.select(group, id_col).repartitionByRange(group, id_col).sortWithinPartitions(group, id_col)
+    fixed = _with_places(materialize(ranged.withColumn("_mid", F.monotonically_increasing_id()), "rank"))
+    before = W.partitionBy(group).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     offsets = (
-        bucketed.groupBy(group, "_bucket")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .select(group, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+        fixed.groupBy(group, "_part")
+        .agg(F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_first"))
+        .select(group, "_part", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
     )
-    inside = W.partitionBy(group, "_bucket").orderBy(id_col)
-    return (
-        bucketed.withColumn("_local", F.row_number().over(inside) - 1)
-        .join(offsets, [group, "_bucket"])
-        .withColumn(out, (F.col("_offset") + F.col("_local")).cast("int"))
-        .drop("_bucket", "_local", "_offset")
+    groups = df.select(group).distinct().count()
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))  # ranges cut at most so many groups
+    rank = F.col("_offset") + F.col("_row") - F.col("_first")
+    return fixed.join(broadcast_if_small(offsets, groups + partitions, 48), [group, "_part"]).select(
+        group, id_col, rank.cast("int").alias(out)
+    )
+
+
+def _with_places(fixed: DataFrame) -> DataFrame:
+    """Split ``_mid`` into partition and row: it is the partition number above 33 bits of row number."""
+    return fixed.withColumns(
+        {"_part": F.shiftright("_mid", 33), "_row": F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))}
     )
 
 
@@ -90,10 +98,7 @@ def positional_index(df: DataFrame, order_by: list[str], out: str = "index") ->
     ranged = (
         df.repartitionByRange(*order_by).sortWithinPartitions(*order_by).withColumn("_mid", F.monotonically_increasing_id())
     )
-    # monotonically_increasing_id is the partition number above 33 bits of row number
-    fixed = materialize(ranged, "position").withColumns(
-        {"_part": F.shiftright("_mid", 33), "_row": F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))}
-    )
+    fixed = _with_places(materialize(ranged, "position"))
     before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     offsets = (
         fixed.groupBy("_part")
@@ -109,8 +114,13 @@ def positional_index(df: DataFrame, order_by: list[str], out: str = "index") ->
 
 
 def zip_positional(left: DataFrame, right: DataFrame, index: str = "index") -> DataFrame:
-    """Pair the n-th rows of two tables that carry a dense position."""
-    return left.join(right, index)
+    """Pair the n-th rows of two tables that carry a dense position. A position that only one table has fails the job."""
+    own = [F.col(f"l.{c}") for c in left.columns if c != index]
+    other = [F.col(f"r.{c}") for c in right.columns if c != index]
+    paired = left.alias("l").join(right.alias("r"), F.col(f"l.{index}") == F.col(f"r.{index}"), "full")
+    alone = F.col(f"l.{index}").isNull() | F.col(f"r.{index}").isNull()
+    stop = F.raise_error(F.lit("zip_positional: the tables have different positions"))
+    return paired.select(F.when(alone, stop.cast("bigint")).otherwise(F.col(f"l.{index}")).alias(index), *own, *other)
 
 
 def dense_rows(
@@ -142,33 +152,58 @@ def dense_rows(
     )
 
 
+def split_grid(df: DataFrame, cells: int, index: str = "index") -> tuple[DataFrame, DataFrame]:
+    """Rows with an index in ``0 .. cells-1``, and the others (a null index among them)."""
+    inside = F.coalesce(F.col(index).between(F.lit(0), F.lit(cells - 1)), F.lit(False))
+    return df.where(inside), df.where(~inside)
+
+
 def densify(
     df: DataFrame, cells: int, fill: dict[str, Column], index: str = "index", block_cells: int = BLOCK_CELLS
 ) -> DataFrame:
     """Scatter sparse rows into the full ``0 .. cells-1`` index range.
 
     ``fill`` maps each value column to what an empty cell holds. Works block by block; there is
-    no join with the full grid.
+    no join with the full grid. Rows outside the range are left out; ``split_grid`` gives them.
     """
     block = idiv(F.col(index), block_cells)
-    sparse = df.select(block.alias("block"), (F.col(index) % block_cells).cast("int").alias("pos"), *fill)
+    inside = split_grid(df, cells, index)[0]
+    sparse = inside.select(block.alias("block"), (F.col(index) % block_cells).cast("int").alias("pos"), *fill)
     markers = df.sparkSession.range(-(-cells // block_cells)).select(F.col("id").alias("block"))
     length = F.least(F.lit(cells) - F.col("block") * block_cells, F.lit(block_cells))
     dense = dense_rows(sparse, markers, ["block"], length, fill)
     return dense.select((F.col("block") * block_cells + F.col("pos")).alias(index), *fill)
 
 
-def ghost_mask(df: DataFrame, dims: GridDims, slabs: Slabs, axis: str = "z") -> DataFrame:
-    """For every slab, a mask over the whole grid: owned cells 1, all others 32.
+def mask_runs(df: DataFrame, dims: GridDims, slabs: Slabs, axis: str = "z", block_cells: int = BLOCK_CELLS) -> DataFrame:
+    """The cells that each slab owns, as runs ``pid, start, length, mask``; all other cells of the grid are hidden.
 
-    The copies per slab are generated from each dense row; the owner is an expression.
+    This is the stored form: its size is that of the sparse volume, not slabs times cells. Runs end at blocks.
     """
-    owned = df.select("index", slabs.owner(axis_of(F.col("index"), axis, dims)).alias("owner"))
-    dense = densify(owned, dims.cells, {"owner": F.lit(None)})
-    return dense.select(
-        F.explode(F.sequence(F.lit(0), F.lit(slabs.parts - 1))).alias("pid"), "index", "owner"
-    ).select(
-        "pid",
-        "index",
-        F.when(F.col("owner") == F.col("pid"), F.lit(MASK_OWNED)).otherwise(F.lit(MASK_HIDDEN)).cast("tinyint").alias("mask"),
+    owner = slabs.owner(axis_of(F.col("index"), axis, dims))
+    cells = split_grid(df, dims.cells)[0].select("index", owner.alias("pid"), idiv(F.col("index"), block_cells).alias("block"))
+    order = W.partitionBy("pid", "block").orderBy("index")
+    island = F.col("index") - F.row_number().over(order)
+    runs = cells.withColumn("_island", island).groupBy("pid", "block", "_island")
+    return runs.agg(F.min("index").alias("start"), F.count(F.lit(1)).alias("length")).select(
+        "pid", "start", "length", F.lit(MASK_OWNED).cast("tinyint").alias("mask")
     )
+
+
+def expand_mask(runs: DataFrame, dims: GridDims, parts: int, block_cells: int = BLOCK_CELLS) -> DataFrame:
+    """Runs to ``pid, index, mask`` over the whole grid for every slab: cells outside the runs are hidden."""
+    at = F.explode(F.sequence("start", F.col("start") + F.col("length") - 1)).alias("index")
+    sparse = runs.where("length > 0").select("pid", "mask", at)
+    sparse = sparse.select("pid", idiv(F.col("index"), block_cells).alias("block"), (F.col("index") % block_cells).cast("int").alias("pos"), "mask")
+    blocks = -(-dims.cells // block_cells)
+    markers = runs.sparkSession.range(parts * blocks).select(
+        idiv(F.col("id"), blocks).cast("int").alias("pid"), (F.col("id") % blocks).alias("block")
+    )
+    length = F.least(F.lit(dims.cells) - F.col("block") * block_cells, F.lit(block_cells))
+    dense = dense_rows(sparse, markers, ["pid", "block"], length, {"mask": F.lit(MASK_HIDDEN)})
+    return dense.select("pid", (F.col("block") * block_cells + F.col("pos")).alias("index"), "mask")
+
+
+def ghost_mask(df: DataFrame, dims: GridDims, slabs: Slabs, axis: str = "z") -> DataFrame:
+    """For every slab, a mask over the whole grid: owned cells 1, all others 32."""
+    return expand_mask(mask_runs(df, dims, slabs, axis), dims, slabs.parts)

@@ -10,10 +10,6 @@ from gridloom.functions.index import axis_of, idiv
 from gridloom.functions.slabs import Slabs
 from gridloom.model import GridDims
 
-#: Rows of one placed partition that a task is expected to handle.
-ROWS_PER_TASK = 4_000_000
-
-
 def with_owner(df: DataFrame, dims: GridDims, axis: str, slabs: Slabs, out: str = "pid") -> DataFrame:
     """Add the owning slab of each voxel: an expression of the index, no join."""
     return df.withColumn(out, slabs.owner(axis_of(F.col("index"), axis, dims)))
@@ -25,17 +21,11 @@ def with_owner_by_index(df: DataFrame, dims: GridDims, parts: int, out: str = "p
     return df.withColumn(out, idiv(scaled, dims.nz + 1).cast("int"))
 
 
-def splits_for(rows: int, parts: int) -> int:
-    """Partitions per slab so that a task holds at most about ``ROWS_PER_TASK`` rows."""
-    return max(1, -(-rows // (parts * ROWS_PER_TASK)))
-
-
 def place(df: DataFrame, parts: int, pid: str = "pid", splits: int = 1, spread_on: Column | None = None) -> DataFrame:
     """Send each row to the partition of its slab: slab p fills partitions ``p*splits .. p*splits+splits-1``.
 
-    The number of slabs is a property of the result, not of the cluster: ``splits`` (see
-    ``splits_for``) spreads each slab over several neighbouring tasks, by a hash of ``spread_on``
-    (default: the whole row).
+    The number of slabs is a property of the result, not of the cluster: ``splits``, which the caller
+    states, spreads each slab over several neighbouring tasks, by a hash of ``spread_on`` (default: the whole row).
     """
     if splits == 1:
         return df.repartitionById(parts, F.col(pid).cast("int"))
@@ -44,16 +34,16 @@ def place(df: DataFrame, parts: int, pid: str = "pid", splits: int = 1, spread_o
     return df.withColumn("_target", target).repartitionById(parts * splits, "_target").drop("_target")
 
 
-def place_by_key(df: DataFrame, keys: list[str], parts: int, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
-    """Hash placement on ``keys``: a key stays whole as long as its rows fit one task.
+def keyed(df: DataFrame, keys: list[str], parts: int) -> DataFrame:
+    """Hash placement on ``keys``: all rows of a key are in one partition, however many there are."""
+    return df.repartition(parts, *keys)
 
-    The largest key is counted first (a partial aggregation). When it is too large the rows are
-    rebalanced instead: the same hash placement, with oversized partitions cut at run time.
-    """
-    largest = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    if largest <= rows_per_task:
-        return df.repartition(parts, *keys)
-    return df.hint("rebalance", parts, *keys)
+
+def keyed_split(df: DataFrame, keys: list[str], parts: int, splits: int, spread_on: list[str]) -> DataFrame:
+    """Hash placement on ``keys`` and one of ``splits`` salts (a hash of ``spread_on``): a key is spread over at most
+    ``splits`` partitions, at every size. For callers that can join or add up the parts of a key."""
+    salt = F.pmod(F.xxhash64(*spread_on), F.lit(splits))
+    return df.withColumn("_salt", salt).repartition(parts, *keys, "_salt").drop("_salt")
 
 
 def slab_table(spark: SparkSession, slabs: Slabs) -> DataFrame:

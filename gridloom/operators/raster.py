@@ -46,16 +46,9 @@ def file_names(years: DataFrame, prefix: str = "tasmax_day_") -> DataFrame:
 
 
 def worklist(files: DataFrame, days: int) -> DataFrame:
-    """One row per (file, day ordinal): the day list is generated from each file row."""
-    return files.withColumn("band", F.explode(F.sequence(F.lit(0), F.lit(days - 1))))
-
-
-def scan_worklist(bands: DataFrame, files: DataFrame, days: int) -> DataFrame:
-    """The bands named by the work list. The ``band`` bound is a plain filter below the join, so
-    pixel arrays of other bands are not carried; the list is broadcast only when its size,
-    files x days, is small."""
-    listed = broadcast_if_small(worklist(files, days), files.count() * days, 64)
-    return bands.where(F.col("band") < days).join(listed, ["year", "band"])
+    """One row per (file, day ordinal): the day list is generated from each file row. No days give no rows."""
+    ordinals = F.sequence(F.lit(0), F.lit(days - 1)) if days > 0 else F.array().cast("array<int>")
+    return files.withColumn("band", F.explode(ordinals))
 
 
 def with_mask(cells: DataFrame, lo: float, hi: float) -> DataFrame:
@@ -260,9 +253,8 @@ def frames(bands: DataFrame, nx: int) -> DataFrame:
         source = (ny - 1 - idiv(at, nx)) * nx + at % nx
         return F.get("pixels", source.cast("int")).cast("double").cast("int")
 
-    return bands.select(
-        "year", "band", F.transform(F.sequence(F.lit(0), F.size("pixels") - 1), flipped).alias("daily_max")
-    )
+    places = F.when(F.size("pixels") > 0, F.sequence(F.lit(0), F.size("pixels") - 1)).otherwise(F.array().cast("array<int>"))
+    return bands.select("year", "band", F.transform(places, flipped).alias("daily_max"))
 
 
 def multi_frames(frames_: DataFrame, band_ids: list[int]) -> DataFrame:

@@ -32,10 +32,10 @@ from gridloom.operators.bricks import BrickLayout, brick
 from gridloom.operators.grid import PACK_CELLS
 from gridloom.session import BROADCAST_LIMIT
 
-#: Memory for the images one task reconstructs side by side. The larger value applies when the
-#: matrix is joined by a shuffle: fewer batches, so fewer copies of it.
+#: Memory for the images one task reconstructs side by side.
 BATCH_BYTES = 64 * 1024 * 1024
-SHUFFLED_BATCH_BYTES = 1024 * 1024 * 1024
+#: Rows of a projection that a task collects before it hands them on.
+OUT_ROWS = 100_000
 #: Slices that share the cost of walking the rays, even if fewer would keep all cores busy.
 MIN_BATCH = 8
 #: Tasks of one reconstruction; beyond that a task walks several batches in turn.
@@ -49,14 +49,18 @@ def tilt_angles(spark: SparkSession, n_proj: int) -> DataFrame:
     )
 
 
-def rays(spark: SparkSession, geo: TiltGeometry) -> DataFrame:
-    """``ray, ox, oy, a, b``: origin and direction of every ray, tiny components set to 0."""
-    proj = idiv(F.col("id"), geo.n_ray)
-    offset = (F.col("id") % geo.n_ray - (geo.n_ray - 1) / 2.0) * geo.ray_width
+def ray_ids(measured: DataFrame) -> DataFrame:
+    """``ray``: the rays that the tilt table has a row of. A projection that was not taken has none."""
+    return measured.select("ray").distinct()
+
+
+def rays(ids: DataFrame, geo: TiltGeometry) -> DataFrame:
+    """``ray, ox, oy, a, b``: origin and direction of each ray in ``ids``, tiny components set to 0."""
+    proj = idiv(F.col("ray"), geo.n_ray)
+    offset = (F.col("ray") % geo.n_ray - (geo.n_ray - 1) / 2.0) * geo.ray_width
     t = radians(tilt_angle_deg(proj, geo.n_proj))
     return (
-        spark.range(geo.rays)
-        .select(F.col("id").cast("int").alias("ray"), offset.alias("o"), t.alias("t"))
+        ids.select("ray", offset.alias("o"), t.alias("t"))
         .select(
             "ray",
             snap_zero(F.cos("t") * F.col("o"), EPS_ORIGIN).alias("ox"),
@@ -130,29 +134,70 @@ def midpoint_pixel(geo: TiltGeometry) -> Column:
     return (row * n + col).cast("int")
 
 
-def ray_triples(spark: SparkSession, geo: TiltGeometry) -> DataFrame:
+def ray_triples(ids: DataFrame, geo: TiltGeometry) -> DataFrame:
     """``ray, pix, len`` before equal (ray, pixel) pairs are added up."""
-    cut = segments(crossings(rays(spark, geo).where(~on_boundary(geo)), geo))
+    cut = segments(crossings(rays(ids, geo).where(~on_boundary(geo)), geo))
     return cut.select("ray", midpoint_pixel(geo).alias("pix"), "len").where(
         F.col("pix").between(0, geo.pixels - 1)
     )
 
 
-def ray_matrix(spark: SparkSession, geo: TiltGeometry) -> DataFrame:
+def ray_matrix(ids: DataFrame, geo: TiltGeometry) -> DataFrame:
     """``ray, pix, len``: sparse system matrix. All steps are keyed by ray, so one shuffle."""
-    return ray_triples(spark, geo).groupBy("ray", "pix").agg(F.sum("len").alias("len"))
+    return ray_triples(ids, geo).groupBy("ray", "pix").agg(F.sum("len").alias("len"))
 
 
-def missed_rays(spark: SparkSession, geo: TiltGeometry) -> DataFrame:
+def missed_rays(ids: DataFrame, geo: TiltGeometry) -> DataFrame:
     """``ray, reason``: rays without any matrix entry, off the grid or along its top or right edge."""
     reason = F.when(on_boundary(geo), F.lit("boundary")).otherwise(F.lit("outside"))
     return (
-        rays(spark, geo)
+        rays(ids, geo)
         .select("ray", reason.alias("reason"))
-        .join(ray_triples(spark, geo).select("ray"), "ray", "left_anti")
+        .join(ray_triples(ids, geo).select("ray"), "ray", "left_anti")
     )
 
 
+def ray_entries(geo: TiltGeometry, ray: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pixels and lengths of one ray, in pixel order: the row of ``ray_matrix``, as arrays.
+
+    The same steps as the relational form (crossings, twins, segments, midpoints), for kernels that need
+    a ray at a time and would otherwise have to be sent the matrix.
+    """
+    none = np.zeros(0, np.int64), np.zeros(0)
+    t = geo.angle(ray // geo.n_ray) * np.pi / 180.0
+    o = (ray % geo.n_ray - (geo.n_ray - 1) / 2.0) * geo.ray_width
+
+    def snap(value, eps):
+        return np.where(np.abs(value) < eps, 0.0, value)
+
+    ox, oy = float(snap(np.cos(t) * o, EPS_ORIGIN)), float(snap(np.sin(t) * o, EPS_ORIGIN))
+    a, b = float(snap(-np.sin(t), EPS_DIRECTION)), float(snap(np.cos(t), EPS_DIRECTION))
+    if (b == 0 and abs(oy - geo.half) < EPS_BOUNDARY) or (a == 0 and abs(ox - geo.half) < EPS_BOUNDARY):
+        return none
+    g = (np.arange(geo.n_side + 1) - geo.n_side / 2.0) * geo.pixel_width
+    parts = []
+    if a != 0:
+        s = (g - ox) / a
+        parts.append(np.stack([s, g, b * s + oy]))
+    if b != 0:
+        s = (g - oy) / b
+        parts.append(np.stack([s, a * s + ox, g]))
+    points = np.concatenate(parts, axis=1)
+    points = points[:, (np.abs(points[1]) <= geo.half) & (np.abs(points[2]) <= geo.half)]
+    points = points[:, np.argsort(points[0], kind="stable")]
+    if points.shape[1] < 2:
+        return none
+    twin = (np.abs(np.diff(points[1])) <= EPS_SAME_POINT) & (np.abs(np.diff(points[2])) <= EPS_SAME_POINT)
+    _, x, y = points[:, np.append(~twin, True)]
+    length = np.hypot(np.diff(x), np.diff(y))
+    mx, my = snap(0.5 * (x[:-1] + x[1:]), EPS_DIRECTION), snap(0.5 * (y[:-1] + y[1:]), EPS_DIRECTION)
+    row = np.floor(geo.n_side / 2.0 - my / geo.pixel_width)
+    pix = (row * geo.n_side + np.floor(mx / geo.pixel_width + geo.n_side / 2.0)).astype(np.int64)
+    inside = (pix >= 0) & (pix < geo.pixels)
+    found, at = np.unique(pix[inside], return_inverse=True)
+    return found, np.bincount(at, weights=length[inside], minlength=len(found))
+
+
 def row_norms(matrix: DataFrame) -> DataFrame:
     return matrix.groupBy("ray").agg(F.sum(F.col("len") * F.col("len")).alias("norm"))
 
@@ -166,26 +211,25 @@ def measurements(tilt: DataFrame, dims: GridDims) -> DataFrame:
 
 @dataclass(frozen=True)
 class BatchPlan:
-    """How slices are cut into batches that one task handles side by side.
-
-    A batch is bounded by memory and small enough to keep all cores busy. ``small`` tells
-    whether the matrix fits a broadcast; beyond that batches are larger, so that fewer copies of
-    the matrix are shuffled.
-    """
+    """How slices are cut into batches that one task handles side by side: bounded by memory, and small enough to keep
+    all cores busy. ``acting`` marks the rays of the tilt table, a byte per ray of the geometry."""
 
+    geo: TiltGeometry
     slices: int
     size: int
-    small: bool
+    acting: np.ndarray
 
     @classmethod
-    def of(cls, spark: SparkSession, geo: TiltGeometry, slices: int) -> BatchPlan:
-        small = geo.matrix_rows_bound() * 16 <= BROADCAST_LIMIT
-        memory = BATCH_BYTES if small else SHUFFLED_BATCH_BYTES
-        by_memory = max(1, memory // (8 * geo.pixels))
+    def of(cls, spark: SparkSession, ids: DataFrame, geo: TiltGeometry, slices: int) -> BatchPlan:
+        by_memory = max(1, BATCH_BYTES // (8 * geo.pixels))
         # shuffle partitions stand for the cluster's size where executors are still being added
         cores = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
         by_cores = max(MIN_BATCH, -(-slices // cores))
-        return cls(slices, min(by_memory, by_cores), small)
+        if geo.rays > BROADCAST_LIMIT:
+            raise ValueError("the list of rays is too large to send to every task")
+        acting = np.zeros(geo.rays, bool)  # rays grow with the square root of the measurements
+        acting[ids.select("ray").toArrow().column(0).to_numpy()] = True
+        return cls(geo, slices, min(by_memory, by_cores), acting)
 
     @property
     def batches(self) -> int:
@@ -198,21 +242,16 @@ class BatchPlan:
     def batch(self) -> Column:
         return idiv(F.col("slice"), self.size).cast("int").alias("batch")
 
-    def rays_of_batches(self, spark: SparkSession, geo: TiltGeometry) -> DataFrame:
-        """``batch, ray``: every ray once per batch."""
-        return spark.range(self.batches * geo.rays).select(
-            idiv(F.col("id"), geo.rays).cast("int").alias("batch"), (F.col("id") % geo.rays).cast("int").alias("ray")
-        )
-
     def place(self, df: DataFrame) -> DataFrame:
         """Rows to the task of their batch; ``task`` stays as a column so that later steps see it."""
         return df.withColumn("task", F.col("batch") % self.tasks).repartitionById(self.tasks, "task")
 
-
-def matrix_rows(matrix: DataFrame) -> DataFrame:
-    """``ray, pix[], len[]``: one row per ray, at most 2N+1 entries each."""
-    cells = F.sort_array(F.collect_list(F.struct("pix", "len"))).alias("cells")
-    return matrix.groupBy("ray").agg(cells).select("ray", F.col("cells.pix").alias("pix"), F.col("cells.len").alias("len"))
+    def walk(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """The acting rays that meet pixels, in order, with their entries."""
+        for ray in np.flatnonzero(self.acting).tolist():
+            pix, length = ray_entries(self.geo, ray)
+            if len(pix):
+                yield ray, pix, length
 
 
 def _lists(batch: pa.RecordBatch, names: list[str]):
@@ -224,9 +263,10 @@ def _lists(batch: pa.RecordBatch, names: list[str]):
         yield tuple(v[e[r] : e[r + 1]] for v, e in zip(flat, ends))
 
 
-def _art_kernel(n_pix: int, plan: BatchPlan, beta: float):
-    """Streams rows ``batch, pix[], len[], at[], b[]`` in ray order and keeps one (pixels x slices)
-    block of images; memory does not depend on the number of rays."""
+def _art_kernel(plan: BatchPlan, beta: float):
+    """Streams rows ``batch, sweep, ray, at[], b[]`` (ray -1 opens a sweep) and keeps one (pixels x slices) block of
+    images. Between the measured rays of a batch it walks the other acting rays, whose measurements count as 0."""
+    n_pix = plan.geo.pixels
 
     def emit(batch_id: int, f: np.ndarray) -> pa.RecordBatch:
         first = batch_id * plan.size
@@ -237,84 +277,106 @@ def _art_kernel(n_pix: int, plan: BatchPlan, beta: float):
         return pa.RecordBatch.from_arrays([ids, images], names=["slice", "image"])
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, f = None, None
+        current, f, ahead = None, None, iter(())
+        waiting = None  # the next ray to act
+
+        def act(until: int | None, at: np.ndarray | None, b: np.ndarray | None) -> None:
+            """Let all rays before ``until`` act without measurements, and that one with ``b``."""
+            nonlocal waiting
+            while waiting is not None and (until is None or waiting[0] <= until):
+                ray, pix, length = waiting
+                measured = np.zeros(plan.size)
+                if ray == until:
+                    measured[at] = b
+                f[pix] += np.outer(length, (measured - length @ f[pix]) * (beta / (length @ length)))
+                waiting = next(ahead, None)
+
         for rb in batches:
-            ids = rb.column("batch").to_pylist()
-            for batch_id, (pix, length, at, b) in zip(ids, _lists(rb, ["pix", "len", "at", "b"])):
-                if batch_id != current:
+            heads = zip(rb.column("batch").to_pylist(), rb.column("ray").to_pylist())
+            for (batch_id, ray), (at, b) in zip(heads, _lists(rb, ["at", "b"])):
+                if ray < 0:
                     if f is not None:
-                        yield emit(current, f)
-                    current, f = batch_id, np.zeros((n_pix, plan.size))
-                measured = np.zeros(plan.size)
-                measured[at] = b
-                step = (measured - length @ f[pix]) * (beta / (length @ length))
-                f[pix] += np.outer(length, step)
+                        act(None, None, None)
+                    if batch_id != current:
+                        if f is not None:
+                            yield emit(current, f)
+                        current, f = batch_id, np.zeros((n_pix, plan.size))
+                    ahead = plan.walk()
+                    waiting = next(ahead, None)
+                else:
+                    act(ray, at, b)
         if f is not None:
+            act(None, None, None)
             yield emit(current, f)
 
     return kernel
 
 
-def art(
-    measured: DataFrame, matrix: DataFrame, geo: TiltGeometry, slices: int, n_iter: int = 1, beta: float = 1.0
-) -> DataFrame:
+def art(measured: DataFrame, geo: TiltGeometry, slices: int, n_iter: int = 1, beta: float = 1.0) -> DataFrame:
     """Row-action reconstruction of every slice: ``slice, image`` (row-major N x N array).
 
-    Slices are cut into batches; a batch meets the matrix row of each ray by an ordinary
-    join (broadcast behind a size check, else a shuffle join) and a task then walks its rays in
-    order over a stream of Arrow batches. Rays without pixels have no matrix row and drop out
-    of the join; missing measurements count as 0.
+    Slices are cut into batches, and a task walks the rays in order for the batches it holds. Only
+    measurements are shuffled, once: the entries of a ray follow from the geometry, so each task makes them. Rays
+    without pixels do not act; missing measurements count as 0; rays of which the table has no row do not act.
     """
     spark = measured.sparkSession
-    plan = BatchPlan.of(spark, geo, slices)
-    rows = matrix_rows(matrix)
+    plan = BatchPlan.of(spark, ray_ids(measured), geo, slices)
     entry = F.struct(
         (F.col("slice") % plan.size).cast("int").alias("at"),
         F.coalesce(F.col("value").cast("double"), F.lit(0.0)).alias("b"),
     )
-    # an empty entry per batch and ray: a ray that no slice of a batch measured still acts
-    entries = measured.select(plan.batch(), "ray", entry.alias("m")).unionByName(
-        plan.rays_of_batches(spark, geo).withColumn("m", F.lit(None).cast("struct<at: int, b: double>"))
+    # one empty row per batch opens its sweeps, so that batches without measurements exist
+    opening = spark.range(plan.batches).select(
+        F.col("id").cast("int").alias("batch"), F.lit(-1).alias("ray"), F.lit(None).cast("struct<at: int, b: double>").alias("m")
     )
-    if plan.small:  # rows stay where their batch is: one shuffle, then a map-side join
-        grouped = plan.place(entries).groupBy("task", "batch", "ray").agg(F.collect_list("m").alias("m"))
-        joined = grouped.join(F.broadcast(rows), "ray")
-    else:  # the matrix is too large to copy: join on the ray, then bring batches together
-        joined = plan.place(entries.groupBy("batch", "ray").agg(F.collect_list("m").alias("m")).join(rows, "ray"))
+    entries = measured.select(plan.batch(), "ray", entry.alias("m")).unionByName(opening)
+    grouped = plan.place(entries).groupBy("task", "batch", "ray").agg(F.collect_list("m").alias("m"))
     sweeps = F.explode(F.sequence(F.lit(1), F.lit(n_iter))) if n_iter > 1 else F.lit(1)
     ordered = (
-        joined.withColumn("sweep", sweeps)
+        grouped.withColumn("sweep", sweeps)
         .sortWithinPartitions("batch", "sweep", "ray")
-        .select("batch", "pix", "len", F.col("m.at").alias("at"), F.col("m.b").alias("b"))
+        .select("batch", "ray", F.col("m.at").alias("at"), F.col("m.b").alias("b"))
     )
-    return ordered.mapInArrow(_art_kernel(geo.pixels, plan, beta), "slice INT, image ARRAY<DOUBLE>")
-
-
-def _project_kernel(n_pix: int, plan: BatchPlan):
-    """Streams rows ``batch, ray, id, pix[], val[]``: first the images of a batch (``ray`` null,
-    ``id`` = slice), then its rays. Emits the product of each ray with each image it meets."""
+    return ordered.mapInArrow(_art_kernel(plan, beta), "slice INT, image ARRAY<DOUBLE>")
+
+
+def _project_kernel(plan: BatchPlan):
+    """Streams packed images ``batch, slice, pix[], val[]``; after a batch, emits the product of each acting ray with
+    each image it meets."""
+    n_pix = plan.geo.pixels
+
+    def project(batch_id: int, f: np.ndarray, present: np.ndarray) -> Iterator[pa.RecordBatch]:
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held = 0
+        for ray, pix, length in plan.walk():
+            met = np.flatnonzero(present[pix].any(axis=0))
+            out.append((met + batch_id * plan.size, np.full(met.size, ray), (length @ f[pix])[met]))
+            held += met.size
+            if held > OUT_ROWS:
+                yield pack(out)
+                out, held = [], 0
+        if out:
+            yield pack(out)
+
+    def pack(out: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        slices, rays_, products = (np.concatenate(part) for part in zip(*out))
+        columns = [pa.array(slices.astype(np.int32)), pa.array(rays_.astype(np.int32)), pa.array(products)]
+        return pa.RecordBatch.from_arrays(columns, names=["slice", "ray", "projected"])
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, f, present = None, None, None
         for rb in batches:
-            heads = zip(rb.column("batch").to_pylist(), rb.column("ray").to_pylist(), rb.column("id").to_pylist())
-            out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-            for (batch_id, ray, slice_id), (pix, val) in zip(heads, _lists(rb, ["pix", "val"])):
+            heads = zip(rb.column("batch").to_pylist(), rb.column("slice").to_pylist())
+            for (batch_id, slice_id), (pix, val) in zip(heads, _lists(rb, ["pix", "val"])):
                 if batch_id != current:
+                    if current is not None:
+                        yield from project(current, f, present)
                     current = batch_id
                     f, present = np.zeros((n_pix, plan.size)), np.zeros((n_pix, plan.size), dtype=bool)
-                if ray is None:
-                    f[pix, slice_id - batch_id * plan.size] = val
-                    present[pix, slice_id - batch_id * plan.size] = True
-                else:
-                    met = np.flatnonzero(present[pix].any(axis=0))
-                    out.append((met + batch_id * plan.size, np.full(met.size, ray), (val @ f[pix])[met]))
-            if out:
-                slices, rays_, products = (np.concatenate(part) for part in zip(*out))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(slices.astype(np.int32)), pa.array(rays_.astype(np.int32)), pa.array(products)],
-                    names=["slice", "ray", "projected"],
-                )
+                f[pix, slice_id - batch_id * plan.size] = val
+                present[pix, slice_id - batch_id * plan.size] = True
+        if current is not None:
+            yield from project(current, f, present)
 
     return kernel
 
@@ -328,32 +390,16 @@ def pack_pixels(pixels: DataFrame, tile: int = PACK_CELLS) -> DataFrame:
     )
 
 
-def forward_project(matrix: DataFrame, images: DataFrame, geo: TiltGeometry, slices: int) -> DataFrame:
-    """``A f``: ``slice, ray, projected`` for packed images ``slice, pix[], val[]``.
+def forward_project(ids: DataFrame, images: DataFrame, geo: TiltGeometry, slices: int) -> DataFrame:
+    """``A f``: ``slice, ray, projected`` for packed images ``slice, pix[], val[]`` and the rays in ``ids``.
 
-    The plain form, a join on the pixel and a sum per (slice, ray), makes one row per matrix entry
-    and slice. Here a batch of images meets one row per ray, in the plan ``art`` uses.
+    The plain form, a join of the matrix on the pixel and a sum per (slice, ray), makes one row per matrix entry and
+    slice. Here only the images are shuffled, and each task makes the entries of a ray from the geometry.
     """
-    spark = images.sparkSession
-    plan = BatchPlan.of(spark, geo, slices)
-    rows = matrix_rows(matrix)
-    stored = images.select(plan.batch(), F.lit(None).cast("int").alias("ray"), F.col("slice").alias("id"), "pix", "val")
-    every = plan.rays_of_batches(spark, geo)
-    if plan.small:
-        blank = [F.lit(None).cast(t).alias(c) for c, t in (("id", "int"), ("pix", "array<int>"), ("val", "array<double>"))]
-        placed = plan.place(stored.unionByName(every.select("batch", "ray", *blank)))
-        entries = F.broadcast(rows.withColumnsRenamed({"pix": "_pix", "len": "_len"}))
-        joined = placed.join(entries, "ray", "left").select(
-            "batch", "ray", "id", F.coalesce("pix", "_pix").alias("pix"), F.coalesce("val", "_len").alias("val")
-        )
-        joined = joined.where(F.col("pix").isNotNull())
-    else:
-        traced = every.join(rows, "ray").select(
-            "batch", "ray", F.lit(None).cast("int").alias("id"), "pix", F.col("len").alias("val")
-        )
-        joined = plan.place(stored.unionByName(traced))
-    ordered = joined.sortWithinPartitions("batch", F.col("ray").asc_nulls_first()).select("batch", "ray", "id", "pix", "val")
-    return ordered.mapInArrow(_project_kernel(geo.pixels, plan), "slice INT, ray INT, projected DOUBLE")
+    plan = BatchPlan.of(images.sparkSession, ids, geo, slices)
+    placed = plan.place(images.select(plan.batch(), "slice", "pix", "val"))
+    ordered = placed.sortWithinPartitions("batch").select("batch", "slice", "pix", "val")
+    return ordered.mapInArrow(_project_kernel(plan), "slice INT, ray INT, projected DOUBLE")
 
 
 def recon_pixels(recon: DataFrame) -> DataFrame:
@@ -371,16 +417,15 @@ def threshold_voxels(voxels: DataFrame) -> DataFrame:
     return voxels.withColumn("value", threshold(F.col("value")))
 
 
-def residual_norm(measured: DataFrame, recon: DataFrame, matrix: DataFrame, geo: TiltGeometry, slices: int) -> DataFrame:
-    """``sum((b - A f)^2)`` per slice of ``art``'s output; a ray that projects to nothing counts with its full ``b``."""
+def residual_norm(measured: DataFrame, recon: DataFrame, geo: TiltGeometry, slices: int) -> DataFrame:
+    """``sum((b - A f)^2)`` per slice of ``art``'s output, over every ray of the tilt table: a missing measurement counts
+    as 0, as it does in ``art``, and a ray that projects to nothing counts with its full ``b``."""
     every_pixel = F.sequence(F.lit(0), F.lit(geo.pixels - 1)).alias("pix")
-    projected = forward_project(matrix, recon.select("slice", every_pixel, F.col("image").alias("val")), geo, slices)
-    off = F.col("value") - F.coalesce("projected", F.lit(0.0))
-    return (
-        measured.join(projected, ["slice", "ray"], "left")
-        .groupBy("slice")
-        .agg(F.sum(off * off).alias("residual"))
-    )
+    images = recon.select("slice", every_pixel, F.col("image").alias("val"))
+    projected = forward_project(ray_ids(measured), images, geo, slices)
+    off = F.coalesce(F.col("value"), F.lit(0.0)) - F.coalesce("projected", F.lit(0.0))
+    # each (slice, ray) is in one of the two tables at least, or both its terms are 0
+    return measured.join(projected, ["slice", "ray"], "full").groupBy("slice").agg(F.sum(off * off).alias("residual"))
 
 
 def volume_dims(geo: TiltGeometry, slices: int) -> GridDims:
@@ -389,9 +434,8 @@ def volume_dims(geo: TiltGeometry, slices: int) -> GridDims:
 
 def tilt_to_bricks(tilt: DataFrame, geo: TiltGeometry, slices: int, parts: int) -> DataFrame:
     """Tilt series to thresholded ghost bricks along x: gather, reconstruct, threshold, assemble."""
-    spark = tilt.sparkSession
     dims = GridDims(slices, geo.n_ray, geo.n_proj)
-    recon = art(measurements(tilt, dims), ray_matrix(spark, geo), geo, slices)
+    recon = art(measurements(tilt, dims), geo, slices)
     volume = volume_dims(geo, slices)
     voxels = threshold_voxels(to_voxels(recon_pixels(recon), geo, volume))
     return brick(voxels, BrickLayout(volume, Slabs(slices, parts, "balanced"), axis="x", halo=True))

@@ -6,10 +6,11 @@ Everything the library needs itself is a native expression; these wrappers are f
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import groupby
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,16 +67,23 @@ def reduce_by_key(
         return pd.DataFrame(out, columns=rows.columns)
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
+        held: dict[tuple, dict] = {}
         for batch in batches:
             if batch.empty:
                 continue
-            held = merged(batch if held is None else pd.concat([held, batch], ignore_index=True))
+            fresh = merged(batch)
+            for row in fresh.to_dict("records"):  # one per key of this batch; other held keys are not touched
+                key = tuple(None if pd.isna(row[k]) else row[k] for k in keys)
+                if key in held:
+                    pair = pd.DataFrame([held[key], row], columns=fresh.columns)
+                    row = {**{k: row[k] for k in keys}, **merge(pair)}
+                held[key] = row
             if len(held) > max_keys:
-                yield held
-                held = None
-        if held is not None:
-            yield held
+                yield pd.DataFrame(list(held.values()), columns=fresh.columns)
+                held = {}
+        if held:
+            rows = list(held.values())
+            yield pd.DataFrame(rows, columns=list(rows[0]))
 
     partials = df.mapInPandas(partial, schema)
     salted = partials.withColumn("_salt", F.spark_partition_id() % fan_in)
@@ -100,14 +108,22 @@ def map_partitions_indexed(
 ) -> DataFrame:
     """Generator over a placed partition together with its ordinal.
 
-    The ordinal is read from the ``pid`` column, so it survives task retries and any later
-    change of the physical layout. Batches stream through; no partition is held whole.
+    ``fn`` is called once per task and ``pid``, with an iterator over all batches of that ``pid`` in the task, so
+    it can fold, count or write a header. The ordinal is read from the ``pid`` column (rows are sorted
+    by it within the task), so it survives retries and any later change of the physical layout. Batches stream
+    through; no partition is held whole.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
         for batch in batches:
-            pids = batch.column("pid")
-            for pid in pids.unique().to_pylist():
-                yield from fn(pid, iter([batch.filter(pc.equal(pids, pid))]))
+            pids = batch.column("pid").to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(pids[1:] != pids[:-1]) + 1).tolist(), len(pids)]
+            for a, b in zip(cuts, cuts[1:]):
+                if b > a:
+                    yield int(pids[a]), batch.slice(a, b - a)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for pid, pieces in groupby(runs(batches), key=lambda x: x[0]):
+            yield from fn(pid, (piece for _, piece in pieces))
 
-    return placed.mapInArrow(run, schema)
+    return placed.sortWithinPartitions("pid").mapInArrow(run, schema)

@@ -7,12 +7,17 @@ from pyspark.sql import functions as F
 from gridloom.functions.slabs import Slabs
 from gridloom.operators import bricks, grid, raster, tomo
 from gridloom.plans import sqltext as Q
-from gridloom.plans.expressions import BAND_CAP, EVT_HI, OBS_HI
+from gridloom.plans.expressions import EVT_HI, OBS_HI, capped_bands
 from gridloom.plans.registry import PARTS, micros_text, query
 from gridloom.plans.scans import MASK, NX
 from gridloom.sources import fixtures as fx
 
 
+def annual_image(spark, sf):
+    """Masked annual means; whole bands are added as arrays."""
+    return raster.mean_image(raster.band_sums(fx.band_arrays(spark, sf), *MASK))
+
+
 def _masked(spark, sf):
     return raster.with_mask(raster.bands_long(fx.band_arrays(spark, sf), NX), *MASK)
 
@@ -67,16 +72,16 @@ def cell_sum_masked(spark, sf):
 
 @query("cell_mean_bands", f"WITH {Q.MASKED} SELECT year, cell, round(value, 6) AS value FROM image")
 def cell_mean_bands(spark, sf):
-    return raster.cell_mean(_masked(spark, sf)).withColumn("value", F.round("value", 6))
+    return annual_image(spark, sf).withColumn("value", F.round("value", 6))
 
 
-FIXED = f"""WITH {Q.MASKED}, fixed AS (SELECT year, cell,
-CASE WHEN count(value) = count(*) THEN sum(value) END / {BAND_CAP} AS value FROM masked WHERE band < {BAND_CAP} GROUP BY year, cell)"""
+FIXED = f"""WITH {Q.MASKED}, {Q.CAP}, fixed AS (SELECT year, cell,
+CASE WHEN count(value) = count(*) THEN sum(value) END / any_value(days) AS value FROM masked, cap WHERE band < days GROUP BY year, cell)"""
 
 
 def _fixed(spark, sf):
-    capped = fx.bands(spark, sf).where(F.col("band") < BAND_CAP)
-    return raster.cell_mean(raster.with_mask(raster.bands_long(capped, NX), *MASK), divisor=BAND_CAP)
+    capped, days = capped_bands(spark, sf)
+    return raster.mean_image(raster.band_sums(capped, *MASK), divisor=days)
 
 
 @query("cell_mean_fixed", f"{FIXED} SELECT year, cell, round(value, 6) AS value FROM fixed")
@@ -90,7 +95,7 @@ def cell_mean_fixed(spark, sf):
 round(max(value), 6) AS max_cell, round(avg(value), 6) AS mean_cell FROM image GROUP BY year""",
 )
 def raster_stats(spark, sf):
-    stats = raster.raster_stats(raster.cell_mean(_masked(spark, sf)))
+    stats = raster.raster_stats(annual_image(spark, sf))
     rounded = [F.round(c, 6).alias(c) for c in ("total", "min_cell", "max_cell", "mean_cell")]
     return stats.select("year", "n_valid", *rounded)
 
@@ -118,8 +123,9 @@ def value_range(spark, sf):
 
 @query("row_inner_product", f"WITH {Q.MATRIX} SELECT ray, round(sum(len * len), 6) AS norm FROM matrix GROUP BY ray")
 def row_inner_product(spark, sf):
-    geometry, _ = fx.tilt_geometry(spark, sf)
-    return tomo.row_norms(tomo.ray_matrix(spark, geometry)).withColumn("norm", F.round("norm", 6))
+    geometry, slices = fx.tilt_geometry(spark, sf)
+    ids = tomo.ray_ids(tomo.measurements(fx.tilt_voxels(spark, sf), fx.tilt_dims(geometry, slices)))
+    return tomo.row_norms(tomo.ray_matrix(ids, geometry)).withColumn("norm", F.round("norm", 6))
 
 
 @query("sum_of_averages", f"{FIXED} SELECT year, round(sum(value), 6) AS total FROM fixed GROUP BY year")

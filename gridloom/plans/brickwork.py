@@ -47,10 +47,10 @@ def _shown(table):
 BLOCK = grid.PACK_CELLS
 
 Z_BRICKS = f"""WITH {Q.SPARSE}, {Q.slabs('nz', 'dims', PARTS, 'threshold')},
-placed AS (SELECT s.pid, f.index - s.lo * 100 AS l, coalesce(f.value, 0) AS value, s.lo, s.hi
+placed AS (SELECT s.pid, f.index - s.lo * f.plane AS l, coalesce(f.value, 0) AS value, s.lo, s.hi, f.nx, f.plane
            FROM full_grid f JOIN slabs s ON f.z >= s.lo AND f.z < s.hi)
-SELECT pid, l // {BLOCK} AS block, (any_value(hi) - any_value(lo)) * 100 AS n_cells, CAST(0 AS INTEGER) AS min_x, CAST(9 AS INTEGER) AS max_x,
-       CAST(0 AS INTEGER) AS min_y, CAST(9 AS INTEGER) AS max_y, CAST(any_value(lo) AS INTEGER) AS min_z, CAST(any_value(hi) - 1 AS INTEGER) AS max_z,
+SELECT pid, l // {BLOCK} AS block, (any_value(hi) - any_value(lo)) * any_value(plane) AS n_cells, CAST(0 AS INTEGER) AS min_x, CAST(any_value(nx) - 1 AS INTEGER) AS max_x,
+       CAST(0 AS INTEGER) AS min_y, CAST(any_value(nx) - 1 AS INTEGER) AS max_y, CAST(any_value(lo) AS INTEGER) AS min_z, CAST(any_value(hi) - 1 AS INTEGER) AS max_z,
        {Q.micros('value', 'l')} AS data
 FROM placed GROUP BY pid, l // {BLOCK}"""
 
@@ -113,13 +113,13 @@ def annotated_brick(spark, sf):
     f"""WITH {Q.VOX} SELECT min(x) AS min_x, min(y) AS min_y, min(z) AS min_z, max(x) AS max_x, max(y) AS max_y, max(z) AS max_z FROM ijk""",
 )
 def whole_extent(spark, sf):
-    return bricks.whole_extent(bricks.brick(fx.vox(spark, sf), _x_layout(spark, sf)))
+    return bricks.whole_extent(fx.vox(spark, sf), fx.vox_dims(spark, sf))
 
 
 @query("brick_sink", Z_BRICKS)
 def brick_sink(spark, sf):
     table = bricks.brick(fx.vox_sparse(spark, sf), _z_layout(spark, sf))
-    stored = etl.save(table, scratch_path(spark, "bricks"), partition_by=["pid"])
+    stored = etl.save(table, scratch_path(spark, "bricks"), partition_by=["pid"], order_by=["block"])
     return _shown(stored)
 
 

@@ -15,7 +15,6 @@ from gridloom.sources import fixtures as fx
 
 OBS_HI = 45.0    # observations from here on are invalid
 EVT_HI = 100.0   # events from here on are invalid
-BAND_CAP = 40    # bands per year that the fixed-length mean uses
 
 
 @query("idx_to_ijk", f"WITH {Q.VOX} SELECT index, x, y, z FROM ijk")
@@ -244,14 +243,21 @@ def mask_range(spark, sf):
 
 @query("band_subset", f"WITH {Q.CELLS} SELECT year, band, cell, value FROM cells WHERE band IN (0, 9, 19, 29)")
 def band_subset(spark, sf):
-    picked = fx.bands(spark, sf).where(F.col("band").isin(PICKED))
+    ids = fx.band_ids(spark, sf).where(F.col("band").isin(PICKED))
+    picked = fx.picked_bands(spark, sf, ids, len(PICKED) * fx.common_bands(spark, sf)[1])
     return raster.bands_long(picked, NX).select("year", "band", "cell", "value")
 
 
-@query("band_cap", f"WITH {Q.CELLS} SELECT year, band, cell, value FROM cells WHERE band < {BAND_CAP}")
+def capped_bands(spark, sf):
+    """Bands up to the number that every year has, and that number: only surplus bands of longer years go."""
+    days, years = fx.common_bands(spark, sf)
+    ids = fx.band_ids(spark, sf).where(F.col("band") < days)
+    return fx.picked_bands(spark, sf, ids, days * years), days
+
+
+@query("band_cap", f"WITH {Q.CELLS}, {Q.CAP} SELECT year, band, cell, value FROM cells, cap WHERE band < days")
 def band_cap(spark, sf):
-    capped = fx.bands(spark, sf).where(F.col("band") < BAND_CAP)
-    return raster.bands_long(capped, NX).select("year", "band", "cell", "value")
+    return raster.bands_long(capped_bands(spark, sf)[0], NX).select("year", "band", "cell", "value")
 
 
 LOOKUP_KEY = "2006-3"
@@ -270,7 +276,7 @@ def chunk_lookup(spark, sf):
 
 @query(
     "reject_out_of_brick",
-    f"""WITH {Q.VOX}, slabs AS (SELECT pid, lo, hi FROM (VALUES (0, 0, 3), (1, 3, 6), (2, 6, 8), (3, 8, 10)) t(pid, lo, hi)),
+    f"""WITH {Q.VOX}, {Q.slabs('nx', 'dims', PARTS, 'balanced')},
 owned AS (SELECT i.index, CAST(4 * i.x // i.nx AS INTEGER) AS pid, i.x, i.y, i.z, i.ny, i.nz FROM ijk i),
 local_ AS (SELECT o.index, o.pid, (x - lo) + y * (hi - lo) + CAST(z AS BIGINT) * (hi - lo) * ny AS local_index,
                   CAST(hi - lo AS BIGINT) * ny * nz AS cells FROM owned o JOIN slabs s USING (pid))

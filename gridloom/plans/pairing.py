@@ -9,7 +9,7 @@ from gridloom.functions.slabs import Slabs
 from gridloom.operators import bricks, grid, place, raster, tomo
 from gridloom.plans import sqltext as Q
 from gridloom.plans.registry import PARTS, query
-from gridloom.plans.scans import MASK, NX, WORK_DAYS
+from gridloom.plans.scans import MASK, NX
 from gridloom.sources import fixtures as fx
 
 
@@ -21,13 +21,14 @@ def _years(spark, sf):
 @query(
     "zip_positional",
     """WITH a AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1 AS index FROM orders),
-b AS (SELECT event_id AS index, value FROM events)
-SELECT a.index, a.o_orderkey, b.value FROM a JOIN b USING (index)""",
+b AS (SELECT o_totalprice, row_number() OVER (ORDER BY o_orderkey) - 1 AS index FROM orders)
+SELECT a.index, a.o_orderkey, b.o_totalprice FROM a JOIN b USING (index)""",
 )
 def zip_positional(spark, sf):
     orders = fx.table(spark, sf, "orders").select("o_totalprice", "o_orderkey")
     left = grid.positional_index(orders, ["o_totalprice", "o_orderkey"]).select("index", "o_orderkey")
-    return grid.zip_positional(left, fx.tilt_voxels(spark, sf))
+    right = grid.positional_index(orders, ["o_orderkey"]).select("index", "o_totalprice")
+    return grid.zip_positional(left, right)
 
 
 @query(
@@ -77,23 +78,23 @@ def halo_exchange(spark, sf):
 @query("slice_lookup", f"WITH {Q.MASKED} SELECT i.year, i.cell, o.z FROM image i JOIN ordinals o USING (year)")
 def slice_lookup(spark, sf):
     years = _years(spark, sf)
-    image = raster.cell_mean(raster.bands_long(fx.band_arrays(spark, sf), NX))
+    image = raster.mean_image(raster.band_sums(fx.band_arrays(spark, sf)))
     return raster.with_slice(image, years, years.count()).select("year", "cell", "z")
 
 
 @query(
     "files_x_days",
-    f"""WITH {Q.BANDS} SELECT year, concat('tasmax_day_', year, '.tif') AS name, CAST(d AS INTEGER) AS band
-FROM (SELECT DISTINCT year FROM bands) CROSS JOIN range({WORK_DAYS}) t(d)""",
+    f"""WITH {Q.BANDS}, {Q.CAP} SELECT year, concat('tasmax_day_', year, '.tif') AS name, CAST(unnest(range(days)) AS INTEGER) AS band
+FROM (SELECT DISTINCT year FROM bands), cap""",
 )
 def files_x_days(spark, sf):
-    return raster.worklist(raster.file_names(_years(spark, sf)), WORK_DAYS)
+    return raster.worklist(raster.file_names(_years(spark, sf)), fx.common_bands(spark, sf)[0])
 
 
 @query(
     "owner_join",
     f"""WITH {Q.VOX}, {Q.slabs('nz', 'dims', PARTS, 'threshold')}
-SELECT i.index, s.pid, s.lo, s.hi FROM ijk i JOIN slabs s ON i.index >= s.lo * 100 AND i.index < s.hi * 100""",
+SELECT i.index, s.pid, s.lo, s.hi FROM ijk i JOIN slabs s ON i.index >= s.lo * i.plane AND i.index < s.hi * i.plane""",
 )
 def owner_join(spark, sf):
     # the threshold list is a closed form, so the range join is an expression
@@ -104,13 +105,18 @@ def owner_join(spark, sf):
     return owned.select("index", "pid", slabs.start(pid).cast("bigint").alias("lo"), slabs.end(pid).cast("bigint").alias("hi"))
 
 
+def _ray_table(spark, sf):
+    geometry, slices = fx.tilt_geometry(spark, sf)
+    return geometry, tomo.ray_ids(tomo.measurements(fx.tilt_voxels(spark, sf), fx.tilt_dims(geometry, slices)))
+
+
 # --- ordering and windows -----------------------------------------------------------------
 
 
 @query("sort_by_year", f"WITH {Q.MASKED} SELECT year, cell, round(value, 6) AS value FROM image")
 def sort_by_year(spark, sf):
     # the cell breaks ties, so range partitions can cut inside a year that holds most rows
-    image = raster.cell_mean(raster.with_mask(raster.bands_long(fx.band_arrays(spark, sf), NX), *MASK))
+    image = raster.mean_image(raster.band_sums(fx.band_arrays(spark, sf), *MASK))
     return image.withColumn("value", F.round("value", 6)).orderBy("year", "cell")
 
 
@@ -120,8 +126,8 @@ def sort_by_year(spark, sf):
 round(x, 6) + 0.0 AS x, round(y, 6) + 0.0 AS y FROM once""",
 )
 def ray_order(spark, sf):
-    geometry, _ = fx.tilt_geometry(spark, sf)
-    points = tomo.crossings(tomo.rays(spark, geometry), geometry)
+    geometry, ids = _ray_table(spark, sf)
+    points = tomo.crossings(tomo.rays(ids, geometry), geometry)
     pos = F.row_number().over(W.partitionBy("ray").orderBy("s"))
     return points.select("ray", pos.alias("pos"), (F.round("x", 6) + 0.0).alias("x"), (F.round("y", 6) + 0.0).alias("y"))
 
@@ -140,7 +146,8 @@ def band_order(spark, sf):
 @query(
     "slab_offsets",
     f"""WITH {Q.VOX}, {Q.slabs('nz', 'dims', PARTS, 'threshold')}
-SELECT pid, CAST((hi - lo) * 100 AS BIGINT) AS size, lo * 100 AS lo, hi * 100 AS hi FROM slabs""",
+SELECT pid, count(*) AS size, min(first) AS lo, min(first) + count(*) AS hi FROM (
+  SELECT s.pid, s.lo * i.plane AS first FROM ijk i JOIN slabs s ON i.z >= s.lo AND i.z < s.hi) GROUP BY pid""",
 )
 def slab_offsets(spark, sf):
     dims = fx.vox_dims(spark, sf)
@@ -153,8 +160,8 @@ def slab_offsets(spark, sf):
     f"WITH {Q.MATRIX} SELECT ray, round(mx, 6) + 0.0 AS mx, round(my, 6) + 0.0 AS my, round(len, 6) AS len FROM cuts",
 )
 def segment_lengths(spark, sf):
-    geometry, _ = fx.tilt_geometry(spark, sf)
-    cuts = tomo.segments(tomo.crossings(tomo.rays(spark, geometry), geometry))
+    geometry, ids = _ray_table(spark, sf)
+    cuts = tomo.segments(tomo.crossings(tomo.rays(ids, geometry), geometry))
     return cuts.select(
         "ray", (F.round("mx", 6) + 0.0).alias("mx"), (F.round("my", 6) + 0.0).alias("my"), F.round("len", 6).alias("len")
     )
@@ -163,7 +170,7 @@ def segment_lengths(spark, sf):
 @query("stack_years", f"WITH {Q.STACK} SELECT year, index, z, round(value, 6) AS value FROM stacked")
 def stack_years(spark, sf):
     years = _years(spark, sf)
-    image = raster.cell_mean(raster.with_mask(raster.bands_long(fx.band_arrays(spark, sf), NX), *MASK))
+    image = raster.mean_image(raster.band_sums(fx.band_arrays(spark, sf), *MASK))
     volume = raster.stack(image, years, years.count(), NX, NX)
     return volume.select("year", "index", "z", F.round("value", 6).alias("value"))
 

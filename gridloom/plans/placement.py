@@ -9,15 +9,14 @@ from gridloom.operators import place, raster
 from gridloom.plans import sqltext as Q
 from gridloom.plans.expressions import zbin
 from gridloom.plans.pairing import _years
-from gridloom.plans.registry import PARTS, query
+from gridloom.plans.registry import PARTS, TASKS_PER_SLAB, query
 from gridloom.plans.scans import MASK, NX
 from gridloom.sources import fixtures as fx
 
 
 @query("place_round_robin", f"WITH {Q.VOX} SELECT index, value FROM vox")
 def place_round_robin(spark, sf):
-    dims = fx.vox_dims(spark, sf)
-    return fx.vox(spark, sf).repartition(PARTS * place.splits_for(dims.cells, PARTS))
+    return fx.vox(spark, sf).repartition(PARTS * TASKS_PER_SLAB)
 
 
 @query(
@@ -26,7 +25,7 @@ def place_round_robin(spark, sf):
 SELECT x, y, z, value, CAST(16 * z // ((SELECT max(z) FROM ijk) + 1) AS INTEGER) AS bin FROM ijk""",
 )
 def place_hash_bin(spark, sf):
-    return place.place_by_key(zbin(spark, sf), ["bin"], PARTS)
+    return place.keyed(zbin(spark, sf), ["bin"], PARTS)
 
 
 @query(
@@ -35,12 +34,12 @@ def place_hash_bin(spark, sf):
 )
 def place_z_closed(spark, sf):
     dims = fx.vox_dims(spark, sf)
-    return _move(place.with_owner_by_index(fx.vox(spark, sf), dims, PARTS), dims.cells)
+    return _move(place.with_owner_by_index(fx.vox(spark, sf), dims, PARTS))
 
 
-def _move(owned, rows: int):
-    """Rows to their slab, each slab over as many tasks as its size asks for."""
-    return place.place(owned, PARTS, splits=place.splits_for(rows, PARTS), spread_on=F.col("index"))
+def _move(owned):
+    """Rows to their slab: slab p is the partitions ``p * TASKS_PER_SLAB`` and the next ones."""
+    return place.place(owned, PARTS, splits=TASKS_PER_SLAB, spread_on=F.col("index"))
 
 
 def _slab_sql(axis: str, n: str, rule: str) -> str:
@@ -50,7 +49,7 @@ SELECT i.index, i.value, s.pid FROM ijk i JOIN slabs s ON i.{axis} >= s.lo AND i
 
 def _placed(spark, sf, axis: str, rule: str):
     dims = fx.vox_dims(spark, sf)
-    return _move(place.with_owner(fx.vox(spark, sf), dims, axis, Slabs(dims.along(axis), PARTS, rule)), dims.cells)
+    return _move(place.with_owner(fx.vox(spark, sf), dims, axis, Slabs(dims.along(axis), PARTS, rule)))
 
 
 @query("place_z_threshold", _slab_sql("z", "nz", "threshold"))
@@ -76,7 +75,7 @@ def place_x_balanced(spark, sf):
 def _volume(spark, sf):
     years = _years(spark, sf)
     n_years = years.count()
-    image = raster.cell_mean(raster.with_mask(raster.bands_long(fx.band_arrays(spark, sf), NX), *MASK))
+    image = raster.mean_image(raster.band_sums(fx.band_arrays(spark, sf), *MASK))
     return raster.stack(image, years, n_years, NX, NX), n_years
 
 
@@ -88,7 +87,7 @@ SELECT v.year, v.index, round(v.value, 6) AS value, s.pid FROM stacked v JOIN sl
 def place_z_balanced(spark, sf):
     volume, n_years = _volume(spark, sf)
     owned = volume.withColumn("pid", Slabs(n_years, PARTS, "balanced").owner(F.col("z")))
-    return _move(owned.select("year", "index", F.round("value", 6).alias("value"), "pid"), n_years * NX * NX)
+    return _move(owned.select("year", "index", F.round("value", 6).alias("value"), "pid"))
 
 
 @query("place_contiguous", STACKED)
@@ -96,12 +95,15 @@ def place_contiguous(spark, sf):
     # neighbouring years stay together; the index splits a year over several tasks
     volume, n_years = _volume(spark, sf)
     owned = volume.withColumn("pid", Slabs(n_years, PARTS, "balanced").owner(F.col("z")))
-    parts = PARTS * place.splits_for(n_years * NX * NX, PARTS)
-    return owned.select("year", "index", F.round("value", 6).alias("value"), "pid").repartitionByRange(parts, "year", "index")
+    rows = owned.select("year", "index", F.round("value", 6).alias("value"), "pid")
+    return rows.repartitionByRange(PARTS * TASKS_PER_SLAB, "year", "index")
 
 
 @query("place_per_key", f"WITH {Q.OBS} SELECT year, day, x, y, value FROM obs")
 def place_per_key(spark, sf):
     obs = fx.observations(spark, sf)
-    n_years = obs.select("year").distinct().count()
-    return place.place_by_key(obs, ["year"], n_years)
+    years = obs.select("year").distinct()
+    n_years = years.count()
+    # a partition of its own for each year: a hash of n years into n partitions would collide
+    placed = raster.with_slice(obs, years, n_years)
+    return place.place(placed, n_years, pid="z").drop("z")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PARTS = 4  # slabs the placement and brick queries cut a volume into
+TASKS_PER_SLAB = 4  # partitions that hold one slab, whatever its size
 
 
 @dataclass(frozen=True)

@@ -9,14 +9,13 @@ from gridloom.operators import raster
 from gridloom.operators.grid import PACK_CELLS
 from gridloom.plans import sqltext as Q
 from gridloom.plans.registry import ints_text, micros_text, query
-from gridloom.session import scratch_path
+from gridloom.session import broadcast_if_small, scratch_path
 from gridloom.sources import etl
 from gridloom.sources import fixtures as fx
 
 NX = fx.BAND_SIDE
 PLANE = NX * NX
 SCALE = 100.0        # band values are fractions: widened before they are cut to int32
-WORK_DAYS = 40       # day ordinals of the work list
 CHUNK = 10           # chunk size for 64-pixel bands: six full chunks and a short one
 PICKED = [0, 9, 19, 29]
 MASK = (-0.4, 0.4)
@@ -24,9 +23,8 @@ MASK = (-0.4, 0.4)
 
 @query("scan_voxels", "SELECT event_id AS index, CAST(floor(value) AS INTEGER) AS value FROM events")
 def scan_voxels(spark, sf):
-    stored = scratch_path(spark, "voxels")
-    fx.vox(spark, sf).write.parquet(stored)
-    return etl.scan_voxels(spark, stored)
+    columns = {"index": F.col("event_id"), "value": F.floor("value").cast("int")}
+    return etl.scan_voxels(spark, f"{sf}/events.parquet", fx.SCHEMAS["events"], columns)
 
 
 @query(
@@ -59,15 +57,16 @@ def band_scan_long(spark, sf):
 
 @query(
     "band_worklist_scan",
-    f"""WITH {Q.CELLS}, files AS (SELECT DISTINCT year FROM bands),
-work AS (SELECT year, CAST(d AS INTEGER) AS band FROM files CROSS JOIN range({WORK_DAYS}) t(d))
+    f"""WITH {Q.CELLS}, {Q.CAP}, files AS (SELECT DISTINCT year FROM bands),
+work AS (SELECT year, CAST(unnest(range(days)) AS INTEGER) AS band FROM files, cap)
 SELECT year, band, string_agg(CAST(CAST(round(value * 1000000) AS BIGINT) AS VARCHAR), ',' ORDER BY cell) AS pixels
 FROM cells JOIN work USING (year, band) GROUP BY year, band""",
 )
 def band_worklist_scan(spark, sf):
-    bands = fx.bands(spark, sf)
-    files = raster.years_of(fx.band_arrays(spark, sf))
-    return raster.scan_worklist(bands, files, WORK_DAYS).select("year", "band", micros_text(F.col("pixels")).alias("pixels"))
+    days, years = fx.common_bands(spark, sf)
+    work = raster.worklist(raster.years_of(fx.band_arrays(spark, sf)), days)
+    listed = fx.band_ids(spark, sf).join(broadcast_if_small(work, days * years, 64), ["year", "band"])
+    return fx.picked_bands(spark, sf, listed, days * years).select("year", "band", micros_text(F.col("pixels")).alias("pixels"))
 
 
 @query(
@@ -155,8 +154,8 @@ def etl_upload(spark, sf):
     return etl.save(fx.vox(spark, sf), scratch_path(spark, "upload"))
 
 
-def _frames(spark, sf):
-    scaled = fx.bands(spark, sf).withColumn("pixels", F.transform("pixels", lambda v: v.cast("double") * SCALE))
+def _frames(bands):
+    scaled = bands.withColumn("pixels", F.transform("pixels", lambda v: v.cast("double") * SCALE))
     return raster.frames(scaled, NX)
 
 
@@ -170,7 +169,7 @@ CENTI = "CAST(trunc(value * 100.0) AS INTEGER)"
 )
 def frame_export_single(spark, sf):
     # one row per frame; folders per year only, a folder per frame would be millions of tiny files
-    stored = etl.save(_frames(spark, sf), scratch_path(spark, "frames"), partition_by=["year"])
+    stored = etl.save(_frames(fx.bands(spark, sf)), scratch_path(spark, "frames"), partition_by=["year"], order_by=["band"])
     return stored.select("year", "band", ints_text(F.col("daily_max")).alias("daily_max"))
 
 
@@ -186,7 +185,9 @@ def frame_export_single(spark, sf):
     + " FROM cells GROUP BY year",
 )
 def frame_export_multi(spark, sf):
-    picked = raster.multi_frames(_frames(spark, sf), PICKED)
+    ids = fx.band_ids(spark, sf).where(F.col("band").isin(PICKED))
+    picked = fx.picked_bands(spark, sf, ids, len(PICKED) * fx.common_bands(spark, sf)[1])
+    picked = raster.multi_frames(_frames(picked), PICKED)
     names = [f"Daily Max ({b + 1})" for b in PICKED]
     path = scratch_path(spark, "multi")
     # array names are data of the file, so they are stored under plain column names
@@ -196,7 +197,7 @@ def frame_export_multi(spark, sf):
 
 
 def _annual(spark, sf):
-    return raster.cell_mean(raster.with_mask(raster.bands_long(fx.band_arrays(spark, sf), NX), *MASK))
+    return raster.mean_image(raster.band_sums(fx.band_arrays(spark, sf), *MASK))
 
 
 @query(
@@ -211,7 +212,7 @@ def frame_export_annual(spark, sf):
         ),
         NX,
     )
-    stored = etl.save(image, scratch_path(spark, "annual"), partition_by=["year"])
+    stored = etl.save(image, scratch_path(spark, "annual"), partition_by=["year"], order_by=["y", "x"])
     return stored.withColumn("value", F.round("value", 6))
 
 

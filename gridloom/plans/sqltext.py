@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-DIMS = "dims AS (SELECT 10 AS nx, 10 AS ny, 100 AS plane, (count(*) + 99) // 100 AS nz FROM events)"
+DIMS = """dims AS (SELECT m AS nx, m AS ny, m * m AS plane, (n + m * m - 1) // (m * m) AS nz
+         FROM (SELECT CAST(floor(sqrt(floor(sqrt(count(*))))) AS BIGINT) AS m, count(*) AS n FROM events))"""
 
 VOX = f"""{DIMS},
 vox AS (SELECT event_id AS index, CAST(floor(value) AS INTEGER) AS value FROM events),
@@ -11,23 +12,33 @@ ijk AS (SELECT index, value, CAST(index % nx AS INTEGER) AS x, CAST((index // nx
 
 SPARSE = f"""{DIMS},
 sparse AS (SELECT event_id AS index, CAST(floor(value) AS INTEGER) AS value FROM events WHERE event_type <> 'error'),
-full_grid AS (SELECT g.i AS index, s.value, CAST(g.i % 10 AS INTEGER) AS x, CAST((g.i // 10) % 10 AS INTEGER) AS y,
-                CAST(g.i // 100 AS INTEGER) AS z
-         FROM (SELECT unnest(range(nz * plane)) AS i FROM dims) g LEFT JOIN sparse s ON s.index = g.i)"""
+full_grid AS (SELECT g.i AS index, s.value, CAST(g.i % nx AS INTEGER) AS x, CAST((g.i // nx) % nx AS INTEGER) AS y,
+                CAST(g.i // plane AS INTEGER) AS z, nx, plane
+         FROM (SELECT unnest(range(nz * plane)) AS i, nx, plane FROM dims) g LEFT JOIN sparse s ON s.index = g.i)"""
 
 GEO = """geo AS (SELECT 2 * m AS nside, m AS nproj, 2 * m AS nray, (n + 2 * m * m - 1) // (2 * m * m) AS sx
         FROM (SELECT CAST(floor(sqrt(floor(sqrt(count(*))))) AS BIGINT) AS m, count(*) AS n FROM events))"""
 
-TILT = f"""{GEO},
+def tilt_of(source: str) -> str:
+    """The tilt series of a table ``event_id, value``."""
+    return f"""{GEO},
 tilt AS (SELECT event_id AS index, value, CAST(event_id % sx AS INTEGER) AS slice,
                 CAST((event_id // sx) % nray AS INTEGER) AS ray_in_proj, CAST(event_id // (sx * nray) AS INTEGER) AS proj
-         FROM events, geo),
+         FROM {source}, geo),
 measured AS (SELECT slice, CAST(proj * nray + ray_in_proj AS INTEGER) AS ray, value FROM tilt, geo)"""
 
+
+TILT = tilt_of("events")
+#: The series without the measurements of the ``error`` events.
+HOLED = tilt_of("(SELECT * FROM events WHERE event_type <> 'error')")
+
 BANDS = """bands AS (SELECT 2006 + label AS year,
                  CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS INTEGER) AS band,
                  vec_id, embedding AS pixels FROM embeddings)"""
 
+#: The number of bands that every year has.
+CAP = "cap AS (SELECT min(n) AS days FROM (SELECT count(*) AS n FROM bands GROUP BY year))"
+
 CELLS = f"""{BANDS},
 cells AS (SELECT year, band, CAST(c AS INTEGER) AS cell, CAST(c // 8 AS INTEGER) AS y, CAST(c % 8 AS INTEGER) AS x,
                  CAST(pixels[c + 1] AS DOUBLE) AS value
@@ -52,7 +63,7 @@ OBS = """obs AS (SELECT CAST(year(l_shipdate) AS INTEGER) AS year, CAST(dayofyea
          FROM lineitem)"""
 
 EVT = """lines AS (SELECT CAST(event_id // ((n + 9) // 10) AS INTEGER) AS f, ts,
-                  CASE WHEN event_id % 97 = 0 THEN 'bad' ELSE CAST(value AS VARCHAR) END AS value
+                  CASE WHEN event_id % 97 = 0 THEN 'bad' WHEN event_id % 89 = 0 THEN concat(event_id, 'd') ELSE CAST(value AS VARCHAR) END AS value
            FROM events, (SELECT count(*) AS n FROM events)),
 parsed AS (SELECT f, ts, value, try_cast(value AS DOUBLE) AS number FROM lines)"""
 
@@ -88,8 +99,7 @@ RAY_MATRIX = """rays AS (
          CASE WHEN abs(cos(t)) < 1e-10 THEN 0 ELSE cos(t) END AS b, n
   FROM (SELECT CAST(p * nray + j AS INTEGER) AS ray, CAST(p AS INTEGER) AS proj, CAST(j AS INTEGER) AS j,
                (2 * p - (nproj - 1)) * pi() / 180.0 AS t, (j - (nray - 1) / 2.0) AS o, nside AS n
-        FROM (SELECT nside, nproj, nray, unnest(range(nproj)) AS p FROM matrix_geo) q,
-             LATERAL (SELECT unnest(range(q.nray)) AS j))),
+        FROM ray_ids, matrix_geo)),
 lines_ AS (SELECT *, k - n / 2.0 AS g FROM (SELECT *, unnest(range(n + 1)) AS k FROM rays)),
 points AS (
   SELECT * FROM (
@@ -113,7 +123,10 @@ triples AS (
   WHERE NOT (b = 0 AND abs(oy - n / 2.0) < 1e-15) AND NOT (a = 0 AND abs(ox - n / 2.0) < 1e-15)),
 matrix AS (SELECT ray, pix, sum(len) AS len FROM triples WHERE pix >= 0 AND pix < n * n GROUP BY ray, pix)"""
 
-MATRIX = f"{TILT},\nmatrix_geo AS (SELECT nside, nproj, nray FROM geo),\n{RAY_MATRIX}"
+MATRIX = f"""{TILT},
+matrix_geo AS (SELECT nside, nproj, nray FROM geo),
+ray_ids AS (SELECT DISTINCT proj AS p, ray_in_proj AS j FROM tilt),
+{RAY_MATRIX}"""
 
 ART = f"""{MATRIX},
 dense AS (SELECT r.ray, list(coalesce(m.len, 0.0) ORDER BY p.pix) AS row_

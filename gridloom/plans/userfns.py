@@ -14,7 +14,7 @@ from gridloom.operators import place, userfn
 from gridloom.plans import sqltext as Q
 from gridloom.plans.aggregates import MEANS
 from gridloom.plans.expressions import OBS_HI
-from gridloom.plans.registry import PARTS, query
+from gridloom.plans.registry import PARTS, TASKS_PER_SLAB, query
 from gridloom.sources import etl
 from gridloom.sources import fixtures as fx
 
@@ -81,8 +81,7 @@ SELECT i.index, i.value, s.pid FROM ijk i JOIN slabs s ON i.z >= s.lo AND i.z <
 def partition_function(spark, sf):
     dims = fx.vox_dims(spark, sf)
     rule = Slabs(dims.nz, PARTS, "threshold").owner(k_of(F.col("index"), dims))
-    splits = place.splits_for(dims.cells, PARTS)
-    return userfn.partition_by(fx.vox(spark, sf), PARTS, rule, splits).select("index", "value", "pid")
+    return userfn.partition_by(fx.vox(spark, sf), PARTS, rule, TASKS_PER_SLAB).select("index", "value", "pid")
 
 
 @query(
@@ -93,19 +92,18 @@ FROM ijk i JOIN slabs s ON i.z >= s.lo AND i.z < s.hi GROUP BY s.pid""",
 )
 def map_partitions_indexed(spark, sf):
     def partial(pid: int, batches):
-        for b in batches:
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "pid": pa.array([pid], pa.int32()),
-                    "total": pa.array([pc.sum(b.column("value")).as_py()], pa.int64()),
-                    "n": pa.array([b.num_rows], pa.int64()),
-                    "max_index": pa.array([pc.max(b.column("index")).as_py()], pa.int64()),
-                }
-            )
+        total, n, top = 0, 0, -1
+        for b in batches:  # one fold over the whole partition
+            total += pc.sum(b.column("value")).as_py() or 0
+            n += b.num_rows
+            top = max(top, pc.max(b.column("index")).as_py())
+        columns = {"pid": pa.array([pid], pa.int32())}
+        columns |= {k: pa.array([v], pa.int64()) for k, v in (("total", total), ("n", n), ("max_index", top))}
+        yield pa.RecordBatch.from_pydict(columns)
 
     dims = fx.vox_dims(spark, sf)
     owned = place.with_owner(fx.vox(spark, sf), dims, "z", Slabs(dims.nz, PARTS, "threshold"))
-    placed = place.place(owned, PARTS, splits=2 * place.splits_for(dims.cells, PARTS), spread_on=F.col("index"))
+    placed = place.place(owned, PARTS, splits=TASKS_PER_SLAB, spread_on=F.col("index"))
     partials = userfn.map_partitions_indexed(placed, partial, "pid INT, total BIGINT, n BIGINT, max_index BIGINT")
     return partials.groupBy("pid").agg(
         F.sum("total").alias("total"), F.sum("n").alias("n"), F.max("max_index").alias("max_index")

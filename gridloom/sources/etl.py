@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -14,15 +14,24 @@ from gridloom.operators.grid import PACK_CELLS, center, to_ijk
 VOXEL_SCHEMA = "index BIGINT, value INT"
 
 
-def scan_voxels(spark: SparkSession, path: str, schema: str | StructType = VOXEL_SCHEMA) -> DataFrame:
-    return spark.read.schema(schema).parquet(path)
+def scan_voxels(
+    spark: SparkSession, path: str, schema: str | StructType = VOXEL_SCHEMA, columns: dict[str, Column] | None = None
+) -> DataFrame:
+    """Scan of a stored volume with a declared schema; ``columns`` names the voxel columns of another layout."""
+    stored = spark.read.schema(schema).parquet(path)
+    return stored.select(*[c.alias(name) for name, c in columns.items()]) if columns else stored
 
 
-def save(df: DataFrame, path: str, partition_by: list[str] | None = None, compression: str = "gzip") -> DataFrame:
+def save(
+    df: DataFrame, path: str, partition_by: list[str] | None = None, order_by: list[str] | None = None, compression: str = "gzip"
+) -> DataFrame:
     """Write a table (all or nothing, by Spark's commit protocol) and read it back.
 
-    The write is direct to ``path``: there is no local copy to upload or delete.
+    The write is direct to ``path``: there is no local copy to upload or delete. A folder per ``partition_by`` value gets
+    neighbouring ranges of ``order_by``, so the number of files is about that of folders plus tasks.
     """
+    if partition_by:
+        df = df.repartitionByRange(*partition_by, *(order_by or []))
     writer = df.write.option("compression", compression)
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -88,7 +97,8 @@ def sphere_points(params: DataFrame, radius: float = 0.5) -> DataFrame:
     Every row generates its own points; nothing is shuffled.
     """
     res = F.col("resolution")
-    rings = F.sequence(F.lit(1), res - 2)
+    # below a resolution of 3 there is no ring between the poles
+    rings = F.when(res >= 3, F.sequence(F.lit(1), res - 2)).otherwise(F.array().cast("array<int>"))
     inner = (
         params.select("id", "center", "resolution", F.explode(rings).alias("p"))
         .select("id", "center", "resolution", "p", F.explode(F.sequence(F.lit(0), res - 1)).alias("t"))

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from gridloom.functions.index import idiv
 from gridloom.model import GridDims, TiltGeometry, fourth_root
 from gridloom.operators.grid import rank_in_group
+from gridloom.session import broadcast_if_small
 
-VOX_SIDE = 10
 BAND_SIDE = 8
 FIRST_YEAR = 2006
 STREAM_FILES = 10
@@ -39,10 +39,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def vox_dims(spark: SparkSession, sf_dir: str) -> GridDims:
-    """Grid extent: 10 x 10 columns, as many planes as the table fills (one counted row)."""
+    """Grid extent: a square of side ``floor(n^(1/4))``, and as many planes as the table fills (one counted row).
+
+    All three extents grow, so every coordinate stays within INT for any BIGINT index.
+    """
     n = table(spark, sf_dir, "events").count()
-    plane = VOX_SIDE * VOX_SIDE
-    return GridDims(VOX_SIDE, VOX_SIDE, -(-n // plane))
+    side = fourth_root(n)
+    return GridDims(side, side, -(-n // (side * side)))
 
 
 def vox(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,11 +55,12 @@ def vox(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vox_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A volume with holes: every cell but those of the ``error`` events."""
-    return (
-        table(spark, sf_dir, "events")
-        .where(F.col("event_type") != "error")
-        .select(F.col("event_id").alias("index"), F.floor("value").cast("int").alias("value"))
+    """A volume with holes and strays: every cell but those of the ``error`` events, whose rows lie outside the
+    grid instead, half of them before its first cell and half behind its last."""
+    index, error = F.col("event_id"), F.col("event_type") == "error"
+    stray = F.when(index % 2 == 0, -1 - index).otherwise(index + vox_dims(spark, sf_dir).cells)
+    return table(spark, sf_dir, "events").select(
+        F.when(error, stray).otherwise(index).alias("index"), F.floor("value").cast("int").alias("value")
     )
 
 
@@ -80,6 +84,12 @@ def tilt_voxels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("event_id").alias("index"), "value")
 
 
+def tilt_with_holes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same without the ``error`` events: measurements that are missing."""
+    kept = table(spark, sf_dir, "events").where(F.col("event_type") != "error")
+    return kept.select(F.col("event_id").alias("index"), "value")
+
+
 # --- bands ------------------------------------------------------------------------------
 
 
@@ -92,9 +102,29 @@ def band_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``year, band, vec_id, pixels``: the same with the ordinal of each band in its year."""
+    ranked = band_ids(spark, sf_dir).select("vec_id", "band")
+    return band_arrays(spark, sf_dir).join(ranked, "vec_id").select("year", "band", "vec_id", "pixels")
+
+
+def band_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``year, vec_id, band``: the ordinals alone, ranked without the pixels."""
     return rank_in_group(band_arrays(spark, sf_dir), "year", "vec_id", "band")
 
 
+def picked_bands(spark: SparkSession, sf_dir: str, picked: DataFrame, rows: int) -> DataFrame:
+    """The bands whose ids are in ``picked`` (rows of ``band_ids``, at most ``rows``). A short list is broadcast, so that
+    the pixels of other bands are never shuffled."""
+    ids = broadcast_if_small(picked.select("vec_id", "band"), rows, 24)
+    return band_arrays(spark, sf_dir).join(ids, "vec_id").select("year", "band", "vec_id", "pixels")
+
+
+def common_bands(spark: SparkSession, sf_dir: str) -> tuple[int, int]:
+    """The number of bands that every year has (the smallest count of any year), and the number of years."""
+    counts = band_arrays(spark, sf_dir).groupBy("year").agg(F.count(F.lit(1)).alias("n"))
+    row = counts.agg(F.min("n"), F.count(F.lit(1))).first()
+    return row[0] or 0, row[1]
+
+
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``year, day, x, y, value``: one row per pixel observation."""
     return table(spark, sf_dir, "lineitem").select(
@@ -110,13 +140,17 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``f, ts, value``: number lines, one in 97 unparsable, split over ten replay folders."""
+    """``f, ts, value``: number lines, one in 97 unparsable, one in 89 with a type letter behind it, split over ten
+    replay folders."""
     events = table(spark, sf_dir, "events")
     per_file = -(-events.count() // STREAM_FILES)
     return events.select(
         idiv(F.col("event_id"), per_file).cast("int").alias("f"),
         F.col("ts").cast("timestamp").alias("ts"),
-        F.when(F.col("event_id") % 97 == 0, F.lit("bad")).otherwise(F.col("value").cast("string")).alias("value"),
+        F.when(F.col("event_id") % 97 == 0, F.lit("bad"))
+        .when(F.col("event_id") % 89 == 0, F.concat(F.col("event_id").cast("string"), F.lit("d")))
+        .otherwise(F.col("value").cast("string"))
+        .alias("value"),
     )
 
 

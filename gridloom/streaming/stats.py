@@ -14,6 +14,8 @@ from pyspark.sql.types import StructType
 from gridloom.functions.scalars import VALID_UPPER, parse_number
 
 LIVE_INTERVAL = "1 second"
+#: Bytes of one micro-batch. A batch is as large as the cluster can take, whatever the number of files.
+BATCH_BYTES = 16 << 30
 
 
 # --- sources ----------------------------------------------------------------------------
@@ -30,17 +32,20 @@ def replay(lines: DataFrame, path: str, order_by: list[str]) -> str:
 
 
 def replay_events(lines: DataFrame, path: str) -> str:
-    """The event-time form keeps ``ts`` next to the line, so it is written as Parquet."""
-    ordered = lines.repartitionByRange("f", "ts").sortWithinPartitions("f", "ts")
-    ordered.write.partitionBy("f").mode("append").parquet(path)
+    """The event-time form keeps ``ts`` next to the line, so it is written as Parquet.
+
+    Folders are written one after the other: a file stream takes files by age, so event time moves on with them as
+    long as ``f`` follows it.
+    """
+    for f in sorted(r["f"] for r in lines.select("f").distinct().toLocalIterator()):
+        part = lines.where(F.col("f") == f)
+        part.repartitionByRange("ts").sortWithinPartitions("ts").write.partitionBy("f").mode("append").parquet(path)
     return path
 
 
-def open_lines(spark: SparkSession, path: str, files_per_batch: int = 4) -> DataFrame:
+def open_lines(spark: SparkSession, path: str, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """File stream of text lines: ``value, f``."""
-    return (
-        spark.readStream.schema("value STRING, f INT").option("maxFilesPerTrigger", files_per_batch).text(path)
-    )
+    return spark.readStream.schema("value STRING, f INT").option("maxBytesPerTrigger", batch_bytes).text(path)
 
 
 def open_socket(spark: SparkSession, host: str, port: int) -> DataFrame:
@@ -49,9 +54,9 @@ def open_socket(spark: SparkSession, host: str, port: int) -> DataFrame:
     return lines.withColumn("f", F.lit(0))
 
 
-def open_events(spark: SparkSession, path: str, files_per_batch: int = 4) -> DataFrame:
+def open_events(spark: SparkSession, path: str, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     schema = "ts TIMESTAMP, value STRING, f INT"
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+    return spark.readStream.schema(schema).option("maxBytesPerTrigger", batch_bytes).parquet(path)
 
 
 # --- transformations (the same for static and streaming frames) ---------------------------
@@ -96,7 +101,7 @@ def append_sink(df: DataFrame, out: str, checkpoint: str, available_now: bool =
 def batch_stats(
     lines: DataFrame, hi: float, out: str, checkpoint: str, available_now: bool = True
 ) -> StreamingQuery:
-    """Per micro-batch ``(sum, count)`` of the valid numbers, per source folder. An empty batch writes no row."""
+    """Per micro-batch ``(sum, count)`` of the valid numbers, per source folder. A batch without any writes no row."""
 
     _prepare(lines.sparkSession, out, "f INT, s DOUBLE, n BIGINT")
 
@@ -135,9 +140,26 @@ def tumbling_stats(
     return _table_per_batch(stats, "update", out, checkpoint, available_now)
 
 
+def finish(query: StreamingQuery) -> None:
+    """Wait for a bounded stream and fail if rows came later than its lateness allows: Spark drops those.
+
+    Counted over the progress reports that the session keeps (``spark.sql.streaming.numRecentProgressUpdates``).
+    """
+    query.awaitTermination()
+    late = sum(op.numRowsDroppedByWatermark for p in query.recentProgress for op in p.stateOperators)
+    if late:
+        raise RuntimeError(f"{late} rows lie behind the watermark: allow more lateness or replay in event order")
+
+
 # --- reading results ----------------------------------------------------------------------
 
 
+def batch_table(spark: SparkSession, out: str) -> DataFrame:
+    """What each micro-batch reported: ``batch_id, f, s, n``."""
+    stored = spark.read.schema("f INT, s DOUBLE, n BIGINT, batch_id BIGINT").parquet(out)
+    return stored.where("batch_id >= 0").select("batch_id", "f", "s", "n")
+
+
 def batch_totals(spark: SparkSession, out: str) -> DataFrame:
     """Per source folder, the sum of what its batches reported."""
     stored = spark.read.schema("f INT, s DOUBLE, n BIGINT, batch_id BIGINT").parquet(out)

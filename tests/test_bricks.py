@@ -6,6 +6,7 @@ import pytest
 from gridloom.functions.slabs import Slabs
 from gridloom.model import GridDims
 from gridloom.operators.bricks import BrickLayout, annotate, brick, cell_extent, halo, split_rejects, whole_extent
+from gridloom.operators.grid import split_grid
 from gridloom.operators.place import with_owner
 
 
@@ -47,7 +48,7 @@ def test_brick_equals_numpy_slice(spark, axis, parts, with_halo, block):
         assert got[pid] == cut.flatten().tolist()
         assert (extents[pid][f"min_{axis}"], extents[pid][f"max_{axis}"]) == (lo, hi - 1)
         assert extents[pid].n_cells == cut.size
-    extent = whole_extent(table).first()
+    extent = whole_extent(df, dims).first()
     assert tuple(extent) == (0, 0, 0, 4, 3, 6)
 
 
@@ -76,6 +77,19 @@ def test_empty_brick_is_all_fill(spark):
     assert arrays(brick(empty, layout, fill=None)) == {p: [None] * 4 for p in range(3)}
 
 
+@pytest.mark.parametrize("axis", ["x", "z"])
+@pytest.mark.parametrize("with_halo", [False, True])
+def test_rows_outside_the_grid_make_no_bricks(spark, axis, with_halo):
+    dims = GridDims(4, 2, 2)
+    df, _ = voxels(spark, dims)
+    strays = spark.createDataFrame([(-1, 5.0), (-7, 5.0), (16, 5.0), (17, 5.0), (900, 5.0), (None, 5.0)], "index BIGINT, value DOUBLE")
+    layout = BrickLayout(dims, Slabs(dims.along(axis), 2, "balanced"), axis, with_halo)
+    table = brick(df.unionByName(strays), layout, block_cells=3)
+    assert arrays(table) == arrays(brick(df, layout, block_cells=3))
+    assert all(len(arrays(table)[r.pid]) == r.n_cells for r in table.collect())
+    assert split_grid(df.unionByName(strays), dims.cells)[1].count() == 6
+
+
 def test_missing_and_null_cells_stay_null_without_fill(spark):
     dims = GridDims(2, 1, 2)
     df = spark.createDataFrame([(0, 1.0), (1, None), (3, 4.0)], "index BIGINT, value DOUBLE")

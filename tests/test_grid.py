@@ -86,17 +86,18 @@ def test_place_puts_rows_into_their_partition(spark, splits):
     assert placed.where(F.col("at").between(F.col("pid") * splits, F.col("pid") * splits + splits - 1)).count() == dims.cells
 
 
-def test_splits_follow_size():
-    assert place.splits_for(1000, 4) == 1
-    assert place.splits_for(10 * place.ROWS_PER_TASK, 4) == 3
+def test_keyed_placement_keeps_every_key_whole_at_any_size(spark):
+    # half of the rows have one key; no row count changes what the operator promises
+    rows = spark.range(50_000).select((F.col("id") % 3 * F.when(F.col("id") < 25_000, 0).otherwise(1)).alias("k"), "id")
+    whole = place.keyed(rows, ["k"], 3).withColumn("at", F.spark_partition_id())
+    assert whole.groupBy("k").agg(F.countDistinct("at").alias("n")).where("n > 1").count() == 0
 
 
-def test_place_by_key_keeps_small_keys_whole_and_cuts_hot_ones(spark):
-    rows = spark.range(3000).select((F.col("id") % 3 * F.when(F.col("id") < 1500, 0).otherwise(1)).alias("k"), "id")
-    whole = place.place_by_key(rows, ["k"], 3).withColumn("at", F.spark_partition_id())
-    assert whole.groupBy("k").agg(F.countDistinct("at").alias("n")).where("n > 1").count() == 0
-    cut = place.place_by_key(rows, ["k"], 3, rows_per_task=100)
-    assert sorted(r.id for r in cut.collect()) == list(range(3000))
+def test_keyed_split_spreads_a_key_over_its_splits(spark):
+    rows = spark.range(3000).select(F.lit(1).alias("k"), "id")
+    cut = place.keyed_split(rows, ["k"], 64, 8, ["id"]).withColumn("at", F.spark_partition_id())
+    assert 1 < cut.select("at").distinct().count() <= 8
+    assert cut.columns == ["k", "id", "at"] and cut.select("id").distinct().count() == 3000
 
 
 def test_slab_offsets_accumulate(spark):
@@ -114,11 +115,13 @@ def test_positional_index_with_a_hot_leading_value(spark):
     assert got == {i: n for n, (_, i) in enumerate(sorted(rows))}
 
 
-def test_rank_in_group_across_buckets(spark):
+@pytest.mark.parametrize("spread", [1, 1 << 40])
+def test_rank_in_group(spark, spread):
+    # dense ids, and ids as sparse as hashes
     rnd = random.Random(5)
-    rows = [(0 if rnd.random() < 0.5 else rnd.randrange(4), i) for i in range(1000)]
+    rows = [(0 if rnd.random() < 0.5 else rnd.randrange(4), i * spread) for i in range(1000)]
     df = spark.createDataFrame(rows, "g INT, id BIGINT")
-    got = {r.id: r["rank"] for r in grid.rank_in_group(df, "g", "id", "rank", bucket_ids=37).collect()}
+    got = {r.id: r["rank"] for r in grid.rank_in_group(df.repartition(5), "g", "id", "rank").collect()}
     seen, want = {}, {}
     for g, i in rows:
         want[i] = seen.get(g, 0)
@@ -143,3 +146,36 @@ def test_ghost_mask_partitions_the_present_cells(spark):
     owned = masks.where("mask = 1").collect()
     assert sorted(r["index"] for r in owned) == present
     assert {r.mask for r in masks.collect()} == {1, 32}
+
+
+def test_densify_leaves_out_rows_outside_the_grid(spark):
+    df = spark.createDataFrame([(3, 30), (15, 150), (18, 180), (-2, 20), (None, 1)], "index BIGINT, value INT")
+    for block in (4, 1000):
+        rows = grid.densify(df, 10, {"value": F.lit(-1)}, block_cells=block).collect()
+        assert sorted((r["index"], r.value) for r in rows) == [(i, 30 if i == 3 else -1) for i in range(10)]
+    inside, outside = grid.split_grid(df, 10)
+    assert inside.count() == 1 and outside.count() == 4
+
+
+def test_mask_runs_are_the_stored_form(spark):
+    dims = GridDims(3, 2, 5)
+    df = spark.createDataFrame([(i, 1) for i in [0, 1, 2, 7, 12, 13, 29, 99]], "index BIGINT, value INT")
+    runs = grid.mask_runs(df, dims, Slabs(5, 3, "threshold"), block_cells=8)
+    assert sorted(tuple(r) for r in runs.collect()) == [(0, 0, 3, 1), (1, 7, 1, 1), (1, 12, 2, 1), (2, 29, 1, 1)]
+    masks = grid.expand_mask(runs, dims, 3, block_cells=8)
+    assert masks.count() == 3 * dims.cells and masks.where("mask = 1").count() == 7
+
+
+def test_zip_needs_equal_positions(spark):
+    left = spark.range(4).select(F.col("id").alias("index"), (F.col("id") * 2).alias("a"))
+    right = spark.range(4).select(F.col("id").alias("index"), (F.col("id") * 3).alias("b"))
+    assert sorted(tuple(r) for r in grid.zip_positional(left, right).collect()) == [(i, 2 * i, 3 * i) for i in range(4)]
+    for short in (right.where("index < 3"), right.where("index > 0")):
+        with pytest.raises(Exception, match="different positions"):
+            grid.zip_positional(left, short).collect()
+
+
+def test_a_huge_index_has_coordinates(spark):
+    dims = GridDims(740, 740, 548_000)
+    row = grid.to_ijk(spark.createDataFrame([(300_000_000_000,)], "index BIGINT"), dims).first()
+    assert row.x + row.y * 740 + row.z * 740 * 740 == 300_000_000_000

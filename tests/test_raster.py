@@ -110,12 +110,25 @@ def test_pack_cuts_large_images(spark):
 def test_worklist_reads_only_listed_bands(spark):
     df = bands(spark, [(y, b, [1.0]) for y in (2006, 2007) for b in range(5)])
     files = spark.createDataFrame([(2007,)], "year INT")
-    got = raster.scan_worklist(df, files, 3).select("year", "band").collect()
+    got = df.join(raster.worklist(files, 3), ["year", "band"]).select("year", "band").collect()
     assert sorted(map(tuple, got)) == [(2007, 0), (2007, 1), (2007, 2)]
 
 
+@pytest.mark.parametrize("line, number", [("2d", None), ("1e3", 1000.0), ("-.5", -0.5), ("+7.", 7.0), ("", None), ("1_0", None), ("0x1", None)])
+def test_parse_number_is_strict(spark, line, number):
+    df = spark.createDataFrame([(line,)], "line STRING")
+    assert df.select(parse_number(F.col("line"))).first()[0] == number
+
+
+def test_empty_sequences(spark):
+    files = spark.createDataFrame([(2007,)], "year INT")
+    assert raster.worklist(files, 0).count() == 0
+    empty = bands(spark, [(2006, 0, [])])
+    assert [r.daily_max for r in raster.frames(empty, 2).collect()] == [[]]
+
+
 def test_scalar_rules(spark):
-    df = spark.createDataFrame([("a_b_2011.tif", -2.7, " 4.5 "), ("x_1999.tif", 2.7, "bad")], "name STRING, v DOUBLE, line STRING")
+    df = spark.createDataFrame([("a_b_2011.tif", -2.7, " 4.5 "), ("x_1999.tif", 2.7, "1.5f")], "name STRING, v DOUBLE, line STRING")
     rows = df.select(
         year_from_name(F.col("name")).alias("y"), truncate_int(F.col("v")).alias("i"),
         parse_number(F.col("line")).alias("n"), kelvin_to_f(F.lit(273.15)).alias("f"),

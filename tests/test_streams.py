@@ -55,11 +55,29 @@ def test_tumbling_windows(spark):
     df = spark.createDataFrame(rows, "f INT, ts TIMESTAMP, value STRING")
     path = stats.replay_events(df, scratch_path(spark, "t-ev"))
     out, ck = scratch_path(spark, "t-out"), scratch_path(spark, "t-ck")
-    stats.tumbling_stats(stats.open_events(spark, path, 1), "1 day", "31 days", 1e9, out, ck).awaitTermination()
+    stats.finish(stats.tumbling_stats(stats.open_events(spark, path, 1), "1 day", "1 hour", 1e9, out, ck))
     got = {r.start.day: (r.s, r.n) for r in stats.latest_windows(spark, out).collect()}
     assert got == {1: (float(sum(range(24))), 24), 2: (float(sum(range(24, 48))), 24), 3: (float(sum(range(48, 60))), 12)}
 
 
+def test_rows_behind_the_watermark_fail_the_stream(spark):
+    start = dt.datetime(2024, 1, 1)
+    rows = [(i, start + dt.timedelta(days=d), "1") for i, d in enumerate((9, 20, 0))]  # the last one is weeks late
+    df = spark.createDataFrame(rows, "f INT, ts TIMESTAMP, value STRING")
+    path = stats.replay_events(df, scratch_path(spark, "t-ev"))
+    out, ck = scratch_path(spark, "t-out"), scratch_path(spark, "t-ck")
+    with pytest.raises(RuntimeError, match="behind the watermark"):
+        stats.finish(stats.tumbling_stats(stats.open_events(spark, path, 1), "1 day", "1 hour", 1e9, out, ck))
+
+
+def test_each_batch_reports(spark):
+    out, ck, path = (scratch_path(spark, x) for x in ("t-out", "t-ck", "t-feed"))
+    for more in ([(0, "1"), (1, "2")], [(2, "4")]):
+        feed(spark, more, path)
+        stats.batch_stats(stats.open_lines(spark, path), 100.0, out, ck).awaitTermination()
+    assert sorted(map(tuple, stats.batch_table(spark, out).collect())) == [(0, 0, 1.0, 1), (0, 1, 2.0, 1), (1, 2, 4.0, 1)]
+
+
 def test_live_trigger_starts_and_stops(spark):
     path = feed(spark, [(0, "1")])
     out, ck = scratch_path(spark, "t-out"), scratch_path(spark, "t-ck")

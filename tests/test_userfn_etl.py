@@ -3,6 +3,7 @@
 import math
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from gridloom.model import GridDims
@@ -40,6 +41,33 @@ def test_map_partitions_gets_each_row_once(spark):
     assert sorted(r.id for r in rows) == list(range(1000)) and all(r.pid == r.id % 4 for r in rows)
 
 
+def test_map_partitions_calls_once_per_partition(spark):
+    # 50,000 rows are several Arrow batches; a running number per partition must not start again
+    placed = userfn.partition_by(spark.range(50_000), 2, F.col("id") % 2)
+
+    def numbered(pid, batches):
+        seen = 0
+        for b in batches:
+            seen += b.num_rows
+        yield pa.RecordBatch.from_pydict({"pid": pa.array([pid], pa.int32()), "n": pa.array([seen], pa.int64())})
+
+    rows = userfn.map_partitions_indexed(placed, numbered, "pid INT, n BIGINT").collect()
+    assert sorted((r.pid, r.n) for r in rows) == [(0, 25_000), (1, 25_000)]
+
+
+def test_reduce_by_key_merges_only_the_keys_of_a_batch(spark):
+    df = spark.range(0, 60_000, 1, 1).select((F.col("id") / 20).cast("int").alias("k"), F.lit(1).cast("bigint").alias("n"))
+    calls = spark.sparkContext.accumulator(0)
+
+    def merge(rows: pd.DataFrame) -> dict:
+        calls.add(1)
+        return {"n": rows["n"].sum()}
+
+    got = userfn.reduce_by_key(df, ["k"], merge, "k INT, n BIGINT").collect()
+    assert len(got) == 3000 and all(r.n == 20 for r in got)
+    assert calls.value <= 4 * 3000
+
+
 def test_round_trips(spark):
     dims = GridDims(3, 4, 2)
     vox = spark.range(dims.cells).select(F.col("id").alias("index"), (F.col("id") * 2).cast("int").alias("value"))
@@ -61,6 +89,11 @@ def test_tilt_wide_tiles_large_projections(spark):
     assert [len(r.pixels) for r in cut] == [5, 5, 2, 5, 5, 2]
 
 
+def test_sphere_without_rings_has_two_poles(spark):
+    params = spark.createDataFrame([(1, [0.0, 0.0, 0.0], 2), (2, [0.0, 0.0, 0.0], 1)], "id BIGINT, center ARRAY<DOUBLE>, resolution INT")
+    assert sorted((r.id, r.point) for r in etl.sphere_points(params).collect()) == [(1, 0), (1, 1), (2, 0), (2, 1)]
+
+
 def test_sphere_points_lie_on_the_sphere(spark):
     params = spark.createDataFrame([(3, [3.0, 0.0, 0.0], 6)], "id BIGINT, center ARRAY<DOUBLE>, resolution INT")
     points = etl.sphere_points(params).collect()
