@@ -40,7 +40,7 @@ _POWERS: dict[str, np.ndarray] = {}
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of BASE and of its inverse modulo 2**64."""
     if not _POWERS or len(_POWERS["up"]) < n:
-        size = max(n, 1 << 20)
+        size = max(n, 1 << 18)
         inverse = pow(BASE, -1, 1 << 64)
         for key, base in (("up", BASE), ("down", inverse)):
             out = np.full(size, base, np.uint64)
@@ -209,22 +209,23 @@ def _trainer(s: SubwordSettings):
     return kernel
 
 
-def fit(examples: DataFrame, s: SubwordSettings = SubwordSettings()) -> tuple[np.ndarray, float]:
-    """Margin of class 1 over class 0 by feature, and the bias, from ``examples(key, label, text)``.
+def fit(marks: DataFrame, texts: DataFrame, s: SubwordSettings = SubwordSettings()) -> tuple[np.ndarray, float]:
+    """Margin of class 1 over class 0 by feature, and the bias, from ``marks(key, label)`` and ``texts(key, text)``.
 
-    The sample is bounded: of each class the ``sample_per_class`` rows with the smallest hash of ``key``; whole texts.
-    The bias is corrected to the class shares of all examples, and holds even where a text has no feature.
+    The sample is bounded: of each class the ``sample_per_class`` marks with the smallest hash of ``key``; whole texts.
+    The bias is corrected to the class shares of all marks, and holds even where a text has no feature.
     Rows with a null label are no examples; without examples of both classes every score is the share of class 1.
     """
-    marked = examples.where("label in (0, 1)").select(F.xxhash64("key").alias("order"), "key", F.col("label").cast("int").alias("label"))
-    shares = {r["label"]: r["n"] for r in marked.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    marks = marks.where("key is not null and label in (0, 1)")
+    marks = marks.select(F.xxhash64("key").alias("order"), "key", F.col("label").cast("int").alias("label"))
+    shares = {r["label"]: r["n"] for r in marks.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     chosen = None
     for label in (0, 1):
-        part = marked.where(F.col("label") == label).orderBy("order", "key").limit(s.sample_per_class)
+        part = marks.where(F.col("label") == label).orderBy("order", "key").limit(s.sample_per_class)
         chosen = part if chosen is None else chosen.unionByName(part)
-    keys = F.broadcast(chosen.select("key").distinct())  # at most 2 * sample_per_class keys
-    texts = examples.join(keys, "key", "left_semi").where("label in (0, 1)").select(F.col("label").cast("int"), "text")
-    bags = texts.mapInArrow(_bags(s), "label int, ids binary, counts binary")
+    # At most 2 * sample_per_class marks, so the texts are not shuffled to find theirs.
+    sample = texts.join(F.broadcast(chosen.select("key", "label")), "key").select("label", "text")
+    bags = sample.mapInArrow(_bags(s), "label int, ids binary, counts binary")
     model = bags.repartition(1).mapInArrow(_trainer(s), "margin binary, bias double").first()
     prior = float(np.log((shares.get(1, 0) + 1) / (shares.get(0, 0) + 1)))
     return np.frombuffer(model["margin"], "<f4"), model["bias"] + prior
@@ -264,9 +265,14 @@ def fold(key: Column, folds: int) -> Column:
 
 def fit_quality(docs: DataFrame, labels: DataFrame, s: SubwordSettings = SubwordSettings()) -> tuple[np.ndarray, float]:
     """Model of ``labels.quality`` over the texts of ``docs``, learned from rows outside fold 1 of 3."""
-    marked = labels.select(F.col("doc_id").alias("key"), F.col("quality").alias("label")).where(fold(F.col("key"), 3) != 1)
-    texts = docs.select(F.col("doc_id").alias("id"), "text")
-    return fit(marked.join(texts, marked["key"] == texts["id"]).select("key", "label", "text"), s)
+    marks = labels.select(F.col("doc_id").alias("key"), F.col("quality").alias("label")).where(fold(F.col("key"), 3) != 1)
+    return fit(marks, docs.select(F.col("doc_id").alias("key"), "text"), s)
+
+
+def keep_good(docs: DataFrame, model: tuple[np.ndarray, float], s: SubwordSettings = SubwordSettings(), text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that score at least 0.5, with their columns."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).withColumn("text", F.col("row")[text_col])
+    return score(rows, model, ["row"], s).where("score >= 0.5").select("row.*")
 
 
 def quality_scores(docs: DataFrame, model: tuple[np.ndarray, float], s: SubwordSettings = SubwordSettings()) -> DataFrame:
