@@ -3,9 +3,12 @@
 In each document the windows are the stretches of lines that begin within ``min_words`` words of a line; the line with
 the smallest hash of each window is a fingerprint. Two documents that share a run of lines of at least
 ``min_words`` words share a whole window, hence a fingerprint, whatever stands around the run. Every
-fingerprint is joined with its first occurrence only; the match is extended over the lines up to the
-neighbouring fingerprints (which are joined themselves). Each line found this way repeats an earlier one.
-Stretches of such lines with at least ``min_words`` words are deleted.
+fingerprint is joined with its first occurrence only, and the match is extended both ways as far as the next
+fingerprint of the run can lie, which is ``min_words`` words; so every line of a shared run is reached. Each line
+found this way repeats an earlier one. Stretches of such lines with at least ``min_words`` words are deleted.
+
+A run is found with certainty where its fingerprints first occur in one earlier run. Where a short line of it occurred by
+itself before, the match is extended there, and up to ``min_words`` words at the ends of the run can stay.
 
 Only DataFrame functions are used.
 """
@@ -36,31 +39,38 @@ def _lines(docs: DataFrame) -> DataFrame:
     return lines.select("id", "th", "pos", hashed.alias("h"), (spaces + 1).cast("long").alias("w"))
 
 
-def _segments(lines: DataFrame, min_words: int) -> DataFrame:
-    """Each fingerprint with the lines up to the next one: ``id, th, g, pos, h, w, right, left``.
+def _fingerprints(lines: DataFrame, min_words: int) -> DataFrame:
+    """``id, th, pos, h, w, right, left`` of each fingerprint.
 
-    ``right`` holds the lines after the fingerprint, ``left`` those after the one before, nearest last. Both
-    hold fewer than ``min_words`` lines.
+    ``right`` holds the lines that begin within ``min_words`` words after it, ``left`` those that begin within
+    ``min_words`` words before it, nearest first: fewer than ``min_words`` lines each. Both depend on the text around
+    alone, so equal runs have equal neighbours in every document.
     """
     doc = Window.partitionBy("id", "th")
-    by_pos = doc.orderBy("pos")
+    by_pos, by_words = doc.orderBy("pos"), doc.orderBy("at")
     # Rows of one document come together once; all windows below reuse that placement.
     rows = lines.repartition("id", "th").groupBy("id", "th", "pos").agg(F.first("h").alias("h"), F.first("w").alias("w"))
     before = F.coalesce(F.sum("w").over(by_pos.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     rows = rows.withColumn("at", before)
-    window = doc.orderBy("at").rangeBetween(0, min_words - 1)
+    window = by_words.rangeBetween(0, min_words - 1)
     rows = rows.withColumn("pick", F.min(F.struct("h", "pos")).over(window)["pos"])
-    back = doc.orderBy("at").rangeBetween(-(min_words - 1), 0)
+    back = by_words.rangeBetween(-(min_words - 1), 0)
     rows = rows.withColumn("mark", F.array_contains(F.collect_set("pick").over(back), F.col("pos")))
-    counted = F.sum(F.col("mark").cast("long")).over(by_pos.rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumn("g", counted)
-    after = F.collect_list(F.when(~F.col("mark"), F.struct("pos", "h", "w")))
-    head = F.max(F.when(F.col("mark"), F.struct("pos", "h", "w")))
-    groups = rows.groupBy("id", "th", "g").agg(head.alias("head"), F.array_sort(after).alias("right"))
-    groups = groups.withColumn("left", F.lag("right").over(doc.orderBy("g")))
-    empty = F.array().cast("array<struct<pos:int,h:binary,w:bigint>>")
-    return groups.where("head is not null").select(
-        "id", "th", "head.pos", "head.h", "head.w", "right", F.coalesce("left", empty).alias("left")
+    line = F.struct("h", "w", "at")
+    # Every line weighs a word at least, so the lines in reach are among the next min_words lines.
+    ahead = F.collect_list(line).over(by_pos.rowsBetween(1, min_words))
+    behind = F.collect_list(line).over(by_words.rangeBetween(-(min_words - 1), -1))
+    reach = F.col("at") + F.col("w") + min_words
+    rows = rows.withColumn("ahead", ahead).withColumn("behind", behind).where("mark")
+    slim = lambda x: F.struct(x["h"].alias("h"), x["w"].alias("w"))
+    return rows.select(
+        "id",
+        "th",
+        "pos",
+        "h",
+        "w",
+        F.transform(F.filter("ahead", lambda x: x["at"] < reach), slim).alias("right"),
+        F.transform(F.reverse("behind"), slim).alias("left"),
     )
 
 
@@ -78,19 +88,23 @@ def _common(mine: Column, other: Column) -> Column:
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """The lines to delete: ``id, th, pos, w, source`` (id of the document with the earlier run)."""
-    segments = materialize(_segments(_lines(_document(docs, id_col, text_col)), min_words), "segments")
+    prints = materialize(_fingerprints(_lines(_document(docs, id_col, text_col)), min_words), "fingerprints")
     place = F.struct(F.col("id").isNull().alias("nil"), "id", "th", "pos", "right", "left")
-    first = segments.groupBy("h").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    first = prints.groupBy("h").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     # Written first: the adaptive plan cuts a frequent line only where the join reads two plain exchanges.
-    later = segments.join(materialize(first.select("h", "first"), "first"), "h")
+    later = prints.join(materialize(first.select("h", "first"), "first"), "h")
     later = later.where(
         ~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("th") == F.col("first.th")) & (F.col("pos") == F.col("first.pos")))
     )
-    ahead = F.slice("right", F.lit(1), _common(F.col("right"), F.col("first.right")))
-    behind = _common(F.reverse("left"), F.reverse("first.left"))
-    behind = F.slice(F.reverse("left"), F.lit(1), behind)
-    own = F.array(F.struct("pos", "h", "w"))
-    hits = later.select("id", "th", F.col("first.id").alias("source"), F.explode(F.concat(own, ahead, behind)).alias("x"))
+
+    def run(side: str, sign: int) -> Column:
+        """The neighbours on one side that agree with those of the first occurrence, with their positions."""
+        alike = F.slice(side, F.lit(1), _common(F.col(side), F.col(f"first.{side}")))
+        return F.transform(alike, lambda x, i: F.struct((F.col("pos") + sign * (i + 1)).alias("pos"), x["w"].alias("w")))
+
+    own = F.array(F.struct("pos", "w"))
+    found = F.explode(F.concat(own, run("right", 1), run("left", -1))).alias("x")
+    hits = later.select("id", "th", F.col("first.id").alias("source"), found)
     hits = hits.groupBy("id", "th", F.col("x.pos").alias("pos")).agg(F.max("x.w").alias("w"), F.min("source").alias("source"))
     # Stretches of neighbouring lines; all of a document's rows are few compared with its text.
     doc = Window.partitionBy("id", "th")

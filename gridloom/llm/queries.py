@@ -84,19 +84,17 @@ WITH lines AS (
   SELECT DISTINCT doc_id, CAST(substr(p, 33) AS INTEGER) AS pos FROM (
     SELECT doc_id, min(h || lpad(CAST(pos AS VARCHAR), 10, '0')) OVER (PARTITION BY doc_id ORDER BY words_before
       RANGE BETWEEN CURRENT ROW AND 9 FOLLOWING) AS p FROM placed)
-), marked AS (
-  SELECT a.*, f.pos IS NOT NULL AS mark,
-         count(f.pos) OVER (PARTITION BY a.doc_id ORDER BY a.pos ROWS UNBOUNDED PRECEDING) AS g
-  FROM placed a LEFT JOIN picked f ON a.doc_id = f.doc_id AND a.pos = f.pos
 ), ranked AS (
-  SELECT *, row_number() OVER (PARTITION BY h ORDER BY doc_id, pos) AS k FROM marked WHERE mark
+  SELECT p.*, row_number() OVER (PARTITION BY p.h ORDER BY p.doc_id, p.pos) AS k
+  FROM placed p JOIN picked f ON p.doc_id = f.doc_id AND p.pos = f.pos
 ), anchors AS (
-  SELECT a.doc_id, a.pos, a.g, a.w, f.doc_id AS src, f.pos AS spos, f.g AS sg
+  SELECT a.doc_id, a.pos, a.w, a.words_before, f.doc_id AS src, f.pos AS spos
   FROM ranked a JOIN ranked f ON a.h = f.h AND f.k = 1 AND a.k > 1
 ), beside AS (
   SELECT a.doc_id, a.pos, a.src, x.pos AS xpos, x.w, coalesce(y.h = x.h, false) AS ok
-  FROM anchors a JOIN marked x ON x.doc_id = a.doc_id AND NOT x.mark AND (x.g = a.g OR x.g = a.g - 1)
-  LEFT JOIN marked y ON y.doc_id = a.src AND y.pos = a.spos + x.pos - a.pos AND NOT y.mark AND y.g = a.sg + x.g - a.g
+  FROM anchors a JOIN placed x ON x.doc_id = a.doc_id AND x.pos <> a.pos
+    AND x.words_before BETWEEN a.words_before - 9 AND a.words_before + a.w + 9
+  LEFT JOIN placed y ON y.doc_id = a.src AND y.pos = a.spos + x.pos - a.pos
 ), bounded AS (
   SELECT *, min(CASE WHEN NOT ok AND xpos > pos THEN xpos END) OVER (PARTITION BY doc_id, pos) AS stop,
          max(CASE WHEN NOT ok AND xpos < pos THEN xpos END) OVER (PARTITION BY doc_id, pos) AS start
