@@ -30,6 +30,7 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, **conf:
 
 
 _LOCAL_SCRATCH: dict[str, str] = {}
+_REMOVED_AT_EXIT: set[str] = set()
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -37,17 +38,30 @@ def scratch_root(spark: SparkSession) -> str:
     folder set on its context.
 
     Only a ``local[*]`` master may fall back to a folder on this machine; on a
-    cluster such a folder would vanish with its host, so a missing setting is an error.
+    cluster such a folder would vanish with its host, so a missing setting is an error. The folder of an
+    application is removed when its driver ends.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     app_id = spark.sparkContext.applicationId
     if shared:
-        return f"{shared.rstrip('/')}/gridloom-{app_id}"
+        return _removed_at_exit(spark, f"{shared.rstrip('/')}/gridloom-{app_id}")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
     if app_id not in _LOCAL_SCRATCH:
         _LOCAL_SCRATCH[app_id] = tempfile.mkdtemp(prefix="gridloom-")
-    return _LOCAL_SCRATCH[app_id]
+    return _removed_at_exit(spark, _LOCAL_SCRATCH[app_id])
+
+
+def _removed_at_exit(spark: SparkSession, root: str) -> str:
+    """Create the folder and have the driver's file system client delete it when the application ends."""
+    jvm = getattr(spark.sparkContext, "_jvm", None)
+    if jvm is not None and root not in _REMOVED_AT_EXIT:
+        path = jvm.org.apache.hadoop.fs.Path(root)
+        store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        store.mkdirs(path)
+        store.deleteOnExit(path)
+        _REMOVED_AT_EXIT.add(root)
+    return root
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
