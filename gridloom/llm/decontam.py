@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class MatchSettings:
-    error_rate: float = 0.05  # edits per character of an item, rounded down
+    error_rate: float = 0.08  # edits per character of an item, rounded down
     min_chars: int = 20  # shorter items are not searched: they occur by chance
     block_chars: int = 4_000_000  # characters of items in one pass
 

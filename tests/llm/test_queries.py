@@ -93,7 +93,7 @@ def test_op8(spark, small_dir, small_docs):
                 want[doc, i] = 0
             elif doc < 30:  # the plain dynamic programme over the whole text is slow
                 distance, _ = decontam.myers(masks[i], len(item), text)
-                if distance <= int(len(item) * 0.05):
+                if distance <= int(len(item) * decontam.MatchSettings().error_rate):
                     want[doc, i] = distance
     assert {k: v for k, v in got.items() if v == 0 or k[0] < 30} == want
 

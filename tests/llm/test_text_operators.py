@@ -173,13 +173,14 @@ def test_contaminations(spark, frame):
         (None, item),
     ]
     items = spark.createDataFrame([(10, item), (11, None), (12, ""), (13, "short"), (14, item)], "item_id BIGINT, text STRING")
-    found = decontam.contaminations(frame(rows), items)
+    five = decontam.MatchSettings(error_rate=0.05)
+    found = decontam.contaminations(frame(rows), items, five)
     got = sorted(((r.doc_id, r.distance) for r in found.where("item_id = 10").collect()), key=str)
     assert got == sorted([(1, 0), (1, 0), (2, 6), (4, 0), (5, 3), (None, 0)], key=str)
     assert found.where("item_id = 14").count() == len(got) and found.where("item_id in (11, 12, 13)").count() == 0
-    small_blocks = decontam.contaminations(frame(rows), items, decontam.MatchSettings(block_chars=100))
+    small_blocks = decontam.contaminations(frame(rows), items, decontam.MatchSettings(error_rate=0.05, block_chars=100))
     assert sorted(map(str, small_blocks.collect())) == sorted(map(str, found.collect()))
-    kept = decontam.without_contaminated(frame(rows[:8]), items)
+    kept = decontam.without_contaminated(frame(rows[:8]), items, five)
     assert sorted(r.doc_id for r in kept.collect()) == [3, 6, 7, 8] and kept.columns == frame([]).columns
     assert decontam.contaminations(frame([]), items).count() == 0
     assert decontam.contaminations(frame(rows), items.where("false")).count() == 0
