@@ -1,6 +1,6 @@
 """N-gram Jaccard join: prefix filters under several global token orders, then exact verification.
 
-Tokens are hashed word shingles. A global order ranks them by how often they occur (a count sketch over all
+Tokens are hashed word shingles. A global order ranks them by how frequent their words are (a count sketch over all
 documents) and then by a salted hash; the salts give different orders. If two sets are similar enough they
 share tokens of their prefixes under every such order, so a pair must pass all of them before it is verified.
 
@@ -27,10 +27,13 @@ from gridloom.llm.components import components
 from gridloom.llm.subword import span_hashes, word_spans
 from gridloom.session import materialize
 
+#: Bytes of text that a kernel hashes at a time.
+GROUP_BYTES = 1 << 18
 SKETCH_BITS = 20
 SKETCH_BLOCK = 4096
 #: Buckets of the row filter that goes to the tasks: 128 KB, however many documents there are.
 FILTER_BITS = 20
+PARITY_BITS = 1024
 
 
 @dataclass(frozen=True)
@@ -38,7 +41,7 @@ class JaccardSettings:
     words: int = 5  # words of a shingle
     percent: int = 80  # linked when 100 * intersection >= percent * union
     orders: int = 3  # global token orders that must agree
-    common: int = 3  # prefixes are longer by common - 1, and must share so many tokens under the first order
+    common: int = 3  # under the first order, prefixes are longer by common - 1 and must share so many tokens at least
 
 
 FOLD_CASE = np.arange(256, dtype=np.uint8)
@@ -47,66 +50,83 @@ FOLD_CASE[ord("A") : ord("Z") + 1] += 32
 
 # --- shingle sets ----------------------------------------------------------------------------------------
 
+MIX = np.uint64(0x9E3779B97F4A7C15)
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> list[np.ndarray]:
-    """Sorted distinct 64-bit shingle hashes of each row. A row with fewer words is one shingle of all its words."""
-    data = FOLD_CASE[data]
-    starts, ends = word_spans(data, offsets)
-    hashes = span_hashes(data, starts, ends)
-    bounds = np.searchsorted(starts, offsets)
-    joined = hashes.copy()
+
+def shingle_sets(
+    hashes: np.ndarray, bounds: np.ndarray, words: int, classes: np.ndarray | None = None
+) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
+    """For each row, the sorted distinct 64-bit hashes of its shingles, and with ``classes`` the sum of the frequency
+    classes of the words of each. A row with fewer words is one shingle of all its words.
+
+    ``hashes`` are those of all words in order, row i's at ``bounds[i]:bounds[i+1]``.
+    """
+    joined = hashes
     for k in range(1, words):
-        joined = joined[: len(hashes) - k] if len(hashes) > k else joined[:0]
-        joined = mix64(joined * np.uint64(0x9E3779B97F4A7C15)) + hashes[k:]
+        joined = mix64(joined[: max(0, len(hashes) - k)] * MIX) + hashes[k:]
     joined = mix64(joined)
-    out = []
+    grades = None if classes is None else classes[sketch_slots(hashes)].astype(np.uint64)
+    sums = None if grades is None else np.append(np.uint64(0), np.cumsum(grades))
     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
         if b - a >= words:
-            row = np.sort(joined[a : b - words + 1])
-            out.append(row[np.append(True, row[1:] != row[:-1])])
+            row, first = np.unique(joined[a : b - words + 1], return_index=True)
+            yield row, None if sums is None else sums[first + a + words] - sums[first + a]
         elif b > a:
-            short = np.uint64(b - a)
+            short = np.array([b - a], np.uint64)
             for h in hashes[a:b]:
-                short = mix64(np.array([short * np.uint64(0x9E3779B97F4A7C15) + h], np.uint64))[0]
-            out.append(np.array([short], np.uint64))
+                short = mix64(short * MIX + h)
+            yield short, None if sums is None else np.array([sums[b] - sums[a]], np.uint64)
         else:
-            out.append(np.zeros(0, np.uint64))
-    return out
+            yield np.zeros(0, np.uint64), None if sums is None else np.zeros(0, np.uint64)
 
 
-def sets_of(batch: pa.RecordBatch, words: int) -> Iterator[tuple[int, np.ndarray]]:
-    """``(row, set)`` of the last column of a batch."""
-    data, offsets = text_bytes(batch.column(batch.num_columns - 1))
-    with np.errstate(over="ignore"):
-        for i, j in row_groups(offsets):
-            yield from enumerate(shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], words), i)
+def word_groups(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """``(i, j, hashes, bounds)``: the hashed words of rows i to j, a bounded number of bytes at a time."""
+    data, offsets = text_bytes(column)
+    for i, j in row_groups(offsets, GROUP_BYTES):
+        part = FOLD_CASE[data[offsets[i] : offsets[j]]]
+        at = offsets[i : j + 1] - offsets[i]
+        starts, ends = word_spans(part, at)
+        yield i, j, span_hashes(part, starts, ends), np.searchsorted(starts, at)
 
 
-def sketch_slots(tokens: np.ndarray) -> np.ndarray:
-    return (tokens >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+def sketch_slots(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+
+
+def parity_words(tokens: np.ndarray) -> np.ndarray:
+    """PARITY_BITS bits, each the parity of the number of tokens hashed to it, as 64-bit words.
+
+    A token that only one of two sets has flips one bit, so the sets differ in at least as many tokens as the words in bits.
+    """
+    slots = (mix64(tokens) % np.uint64(PARITY_BITS)).astype(np.int64)
+    odd = (np.bincount(slots, minlength=PARITY_BITS) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64)
 
 
 def _profiler(words: int):
-    """Per row the set size and the digest of the set; per task one sketch of token counts, in blocks."""
+    """Per row the set size, the digest and the parity bits of the set; per task one sketch of word counts, in blocks."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
-        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
-        names = ["id", "n", "key", "block", "counts"]
+        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.int32(), pa.binary()]
+        names = ["id", "n", "key", "parity", "block", "counts"]
         for batch in batches:
-            sizes, keys = [], []
-            for _, tokens in sets_of(batch, words):
-                np.add.at(sketch, sketch_slots(tokens), 1)
-                sizes.append(len(tokens))
-                keys.append(hashlib.sha256(tokens.tobytes()).digest() if len(tokens) else None)
+            sizes, keys, bits = [], [], []
+            for _, _, hashes, bounds in word_groups(batch.column(1)):
+                np.add.at(sketch, sketch_slots(hashes), 1)
+                for tokens, _ in shingle_sets(hashes, bounds, words):
+                    sizes.append(len(tokens))
+                    keys.append(hashlib.sha256(tokens.tobytes()).digest() if len(tokens) else None)
+                    bits.append(parity_words(tokens))
             nothing = [None] * batch.num_rows
-            columns = [batch.column(0), sizes, keys, nothing, nothing]
+            columns = [batch.column(0), sizes, keys, bits, nothing, nothing]
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, kinds)], names)
         if sketch.any():
             blocks = range(0, len(sketch), SKETCH_BLOCK)
             packed = [zlib.compress(sketch[k : k + SKETCH_BLOCK].tobytes(), 1) for k in blocks]
             none = [None] * len(packed)
-            columns = [none, none, none, [k // SKETCH_BLOCK for k in blocks], packed]
+            columns = [none, none, none, none, [k // SKETCH_BLOCK for k in blocks], packed]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names)
 
     return kernel
@@ -136,23 +156,30 @@ def count_classes(profile: DataFrame) -> np.ndarray:
     for r in sums:
         total[r["block"] * SKETCH_BLOCK : (r["block"] + 1) * SKETCH_BLOCK] = np.frombuffer(r["counts"], np.int64)
     base = max(1.0, 2 * total.mean())
-    return np.maximum(0, np.ceil(np.log2(np.maximum(total, 1) / base))).astype(np.uint8)
+    return np.clip(np.ceil(np.log2(np.maximum(total, 1) / base)), 0, 40).astype(np.uint8)
+
+
+def shared_with_larger(size, s: JaccardSettings):
+    """Tokens that a set of ``size`` shares at least with a linked set that is not smaller."""
+    return (2 * s.percent * size + 99 + s.percent) // (100 + s.percent)
 
 
-def ordered(tokens: np.ndarray, classes: np.ndarray, order: int) -> np.ndarray:
-    """Tokens in the given global order: rare classes first, then by a salted hash."""
-    rank = mix64(tokens + np.uint64(0xA0761D6478BD642F) * np.uint64(order + 1)) >> np.uint64(8)
-    return tokens[np.argsort(rank | classes[sketch_slots(tokens)].astype(np.uint64) << np.uint64(56), kind="stable")]
+def shared_with_any(size, s: JaccardSettings):
+    """Tokens that a set of ``size`` shares at least with any linked set."""
+    return (s.percent * size + 99) // 100
 
 
-def shared_at_least(size: int, s: JaccardSettings) -> int:
-    """Tokens that a linked partner shares with a set of ``size`` at least."""
-    return -(-s.percent * size // 100)
+def in_order(tokens: np.ndarray, grades: np.ndarray, order: int) -> np.ndarray:
+    """Tokens in the given global order: shingles of rare words first, then by a salted hash."""
+    salt = np.uint64(0xA0761D6478BD642F * (order + 1) % 2**64)
+    rank = mix64(tokens + salt) >> np.uint64(8)
+    rank |= np.minimum(grades, np.uint64(255)) << np.uint64(56)
+    return tokens[np.argsort(rank, kind="stable")]
 
 
-def prefix(tokens: np.ndarray, classes: np.ndarray, order: int, common: int, s: JaccardSettings) -> np.ndarray:
-    need = shared_at_least(len(tokens), s)
-    return ordered(tokens, classes, order)[: len(tokens) - need + min(common, need)]
+def prefix_length(size: int, need: int, common: int) -> int:
+    """If two sets share ``need`` tokens, prefixes of this length share ``common`` of them, or all ``need``."""
+    return size - need + min(common, need)
 
 
 # --- postings and sets -----------------------------------------------------------------------------------
@@ -170,17 +197,17 @@ def _poster(sent, s: JaccardSettings):
         for batch in batches:
             batch = _filtered(batch, wanted)
             ids = batch.column(0).to_numpy()
-            rows, tokens, sizes = [], [], []
-            with np.errstate(over="ignore"):
-                for row, found in sets_of(batch, s.words):
-                    if len(found):
-                        first = prefix(found, classes, 0, s.common, s)
-                        rows.append(np.full(len(first), ids[row]))
-                        tokens.append(first.view(np.int64))
-                        sizes.append(np.full(len(first), len(found), np.int32))
-            if rows:
-                columns = [pa.array(np.concatenate(c)) for c in (tokens, rows, sizes)]
-                yield pa.RecordBatch.from_arrays(columns, ["token", "id", "n"])
+            for i, j, hashes, bounds in word_groups(batch.column(2)):
+                rows, tokens, sizes, leads = [], [], [], []
+                for row, (found, grades) in enumerate(shingle_sets(hashes, bounds, s.words, classes), i):
+                    n = len(found)
+                    size = prefix_length(n, shared_with_any(n, s), s.common)
+                    rows.append(np.full(size, ids[row]))
+                    tokens.append(in_order(found, grades, 0)[:size].view(np.int64))
+                    sizes.append(np.full(size, n, np.int32))
+                    leads.append(np.arange(size) < prefix_length(n, shared_with_larger(n, s), s.common))
+                columns = [pa.array(np.concatenate(c)) for c in (tokens, rows, sizes, leads)]
+                yield pa.RecordBatch.from_arrays(columns, ["token", "id", "n", "lead"])
 
     return kernel
 
@@ -190,14 +217,14 @@ def _keeper(sent, s: JaccardSettings):
         classes, wanted = sent.value
         for batch in batches:
             batch = _filtered(batch, wanted)
-            out: list[tuple[bytes, list]] = []
-            with np.errstate(over="ignore"):
-                for _, found in sets_of(batch, s.words):
-                    heads = [prefix(found, classes, r, 1, s).astype(np.uint32).view(np.int32) for r in range(1, s.orders)]
-                    out.append((found.tobytes(), heads))
-            sets = pa.array([x for x, _ in out], pa.binary())
-            heads = pa.array([h for _, h in out], pa.list_(pa.list_(pa.int32())))
-            yield pa.RecordBatch.from_arrays([batch.column(0), sets, heads], ["id", "tokens", "heads"])
+            for i, j, hashes, bounds in word_groups(batch.column(2)):
+                sets, heads = [], []
+                for found, grades in shingle_sets(hashes, bounds, s.words, classes):
+                    sets.append(found.tobytes())
+                    size = prefix_length(len(found), shared_with_any(len(found), s), 1)
+                    heads.append([in_order(found, grades, r)[:size].view(np.int64) for r in range(1, s.orders)])
+                columns = [batch.column(0).slice(i, j - i), pa.array(sets, pa.binary()), pa.array(heads, pa.list_(pa.list_(pa.int64())))]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "tokens", "heads"])
 
     return kernel
 
@@ -239,80 +266,114 @@ class JaccardJoin:
         """One row per input row: ``id, n, component``."""
         s = self.s
         kernel = _profiler(s.words)
-        schema = "id bigint, n bigint, key binary, block int, counts binary"
+        schema = "id bigint, n bigint, key binary, parity array<bigint>, block int, counts binary"
         profile = materialize(self.docs.mapInArrow(kernel, schema), "profile")
         self.classes = count_classes(profile)
         rows = profile.where("n is not null").select("id", "n", "key")
-        same = rows.where("key is not null and id is not null").groupBy("key").agg(F.min("id").alias("rep"))
+        same = profile.where("key is not null and id is not null").groupBy("key").agg(
+            F.min("id").alias("rep"), F.first("parity").alias("parity")
+        )
         same = materialize(same, "sets")
         groups = self._links(same)
         # Documents with one set share its representative; representatives share a component.
         named = same.join(groups, same["rep"] == groups["node"], "left").select(
             "key", F.coalesce("component", "rep").alias("component")
         )
-        return rows.join(materialize(named, "named"), "key", "left").select("id", "n", F.coalesce("component", "id").alias("component"))
+        return rows.join(materialize(named, "named"), "key", "left").select(
+            "id", "n", F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component")
+        )
 
     def _links(self, same: DataFrame) -> DataFrame:
         s = self.s
         reps = same.select(F.col("rep").alias("id"))
         sent = self.spark.sparkContext.broadcast((self.classes, row_filter(reps)))
         filtered = self.docs.where("id is not null").select("id", _slot().alias("slot"), "text")
-        postings = filtered.mapInArrow(_poster(sent, s), "token bigint, id bigint, n int")
+        # The smaller set of a linked pair meets the larger one in its short prefix (``lead``) already.
+        postings = filtered.mapInArrow(_poster(sent, s), "token bigint, id bigint, n int, lead boolean")
         # Most prefix tokens are in one document only: count first, then keep those of two or more.
         postings = materialize(postings, "postings")
-        counts = postings.groupBy("token").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select("token")
+        counts = postings.groupBy("token").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.max("lead").alias("lead"))
         # Written before the join, here and below: the adaptive plan cuts a frequent key only where the join
         # reads two plain exchanges, not an aggregation.
-        shared = postings.join(materialize(counts, "counts"), "token")
+        counts = materialize(counts.where("a <> b and lead").select("token"), "counts")
+        shared = postings.join(counts, "token")
         # Sizes of linked sets differ by the similarity at most: same or next size class. A bucket is a
         # token and two neighbouring classes, so every linked pair is in a bucket together.
-        band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / s.percent)) + 1e-9).cast("int")
-        shared = shared.select("token", "id", "n", F.explode(F.array(band, band + 1)).alias("band"))
+        band = self._band(F.col("n"))
+        shared = shared.select("token", "id", "n", "lead", F.explode(F.array(band, band + 1)).alias("band"))
         shared = materialize(shared, "shared")
-        buckets = shared.groupBy("token", "band").agg(F.min(F.struct("id", "n")).alias("lead"), F.max("id").alias("b"))
-        buckets = materialize(buckets.where("lead.id <> b").select("token", "band", "lead"), "buckets")
-        star = shared.join(buckets, ["token", "band"]).where("id <> lead.id")
-        star = star.select(F.col("lead.id").alias("x"), F.col("lead.n").alias("nx"), F.col("id").alias("y"), F.col("n").alias("ny"), "token")
+        smallest = F.min(F.when(F.col("lead"), F.struct("n", "id")))
+        buckets = shared.groupBy("token", "band").agg(smallest.alias("first"), F.max(F.struct("n", "id")).alias("last"))
+        buckets = materialize(buckets.where("first < last").select("token", "band", "first"), "buckets")
+        star = shared.join(buckets, ["token", "band"]).where(F.col("first") < F.struct("n", "id"))
+        star = star.select(F.col("first.id").alias("x"), F.col("first.n").alias("nx"), F.col("id").alias("y"), F.col("n").alias("ny"), "band")
         first = materialize(self._verify(self._candidates(star)), "links")
         groups = materialize(components(first, "x", "y"), "groups")
-        rest = materialize(self._verify(self._candidates(self._across(shared, groups))), "links")
+        rest = materialize(self._verify(self._candidates(self._across(shared, groups, same))), "links")
         return components(first.unionByName(rest), "x", "y")
 
-    def _across(self, shared: DataFrame, groups: DataFrame) -> DataFrame:
-        """Pairs of a bucket whose components differ. The bucket's largest component is not paired with itself."""
+    def _across(self, shared: DataFrame, groups: DataFrame, same: DataFrame) -> DataFrame:
+        """Pairs of a bucket whose components differ. The bucket's largest component is not paired with itself.
+
+        Sets whose parity bits differ in more bits than linked sets have tokens of their own are left out in the join.
+        """
         marked = shared.join(groups, shared["id"] == groups["node"], "left")
-        marked = marked.select("token", "band", "id", "n", F.coalesce("component", "id").alias("c"))
-        mixed = marked.groupBy("token", "band").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b")
-        mixed = materialize(mixed.select("token", "band"), "keys")
-        marked = materialize(marked.join(mixed, ["token", "band"]), "mixed")
+        marked = marked.select("token", "band", "id", "n", "lead", F.coalesce("component", "id").alias("c"))
+        keys = marked.groupBy("token", "band").agg(F.min("c").alias("a"), F.max("c").alias("b"), F.max("lead").alias("lead"))
+        keys = materialize(keys.where("a <> b and lead").select("token", "band"), "keys")
+        marked = materialize(marked.join(keys, ["token", "band"]), "mixed")
         sizes = marked.groupBy("token", "band", "c").agg(F.count(F.lit(1)).alias("size"))
         top = sizes.groupBy("token", "band").agg(F.max(F.struct("size", "c")).alias("top"))
-        minor = marked.join(materialize(top, "top"), ["token", "band"]).select("token", "band", "id", "n", "c", F.col("top.c").alias("major"))
-        x, y = minor.where("c <> major").alias("x"), marked.alias("y")
-        fits = (F.col("x.c") != F.col("y.c")) & ((F.col("y.c") == F.col("x.major")) | (F.col("x.id") < F.col("y.id")))
-        fits &= self._sizes_fit(F.col("x.n"), F.col("y.n"))
+        marked = marked.join(materialize(top, "top"), ["token", "band"])
+        marked = marked.select("token", "band", "id", "n", "lead", "c", (F.col("c") == F.col("top.c")).alias("major"))
+        # An id has one row here unless rows with one id differ in their sets; then no bits are compared for it.
+        bits = same.groupBy("rep").agg(F.when(F.count(F.lit(1)) == 1, F.first("parity")).alias("parity"))
+        bits = materialize(bits, "parity")
+        marked = materialize(marked.join(bits, marked["id"] == bits["rep"]).drop("rep"), "marked")
+        minor = marked.where("not major")
+        pairs = self._pairs(minor.where("lead"), marked)
+        return pairs.unionByName(self._pairs(marked.where("lead and major"), minor))
+
+    def _pairs(self, smaller: DataFrame, larger: DataFrame) -> DataFrame:
+        x, y = smaller.alias("x"), larger.alias("y")
+        fits = (F.col("x.c") != F.col("y.c")) & (F.struct("x.n", "x.id") < F.struct("y.n", "y.id"))
+        fits &= self._sizes_fit(F.col("x.n"), F.col("y.n")) & self._own_bucket(F.col("y.n"), F.col("x.band"))
+        words = range(PARITY_BITS // 64)
+        differ = sum(F.bit_count(F.col("x.parity")[k].bitwiseXOR(F.col("y.parity")[k])) for k in words)
+        apart = F.col("x.n") + F.col("y.n") - 2 * self._both(F.col("x.n"), F.col("y.n"))
+        fits &= F.coalesce(differ <= apart, F.lit(True))
         same = (F.col("x.token") == F.col("y.token")) & (F.col("x.band") == F.col("y.band"))
-        pairs = x.join(y, same & fits)
-        low = F.col("x.id") < F.col("y.id")
-        return pairs.select(
-            F.when(low, F.col("x.id")).otherwise(F.col("y.id")).alias("x"),
-            F.when(low, F.col("x.n")).otherwise(F.col("y.n")).alias("nx"),
-            F.when(low, F.col("y.id")).otherwise(F.col("x.id")).alias("y"),
-            F.when(low, F.col("y.n")).otherwise(F.col("x.n")).alias("ny"),
-            F.col("x.token").alias("token"),
+        return x.join(y, same & fits).select(
+            F.col("x.id").alias("x"), F.col("x.n").alias("nx"), F.col("y.id").alias("y"), F.col("y.n").alias("ny"), F.col("x.band").alias("band")
         )
 
-    def _sizes_fit(self, a: Column, b: Column) -> Column:
-        return (F.least(a, b) * 100 >= F.greatest(a, b) * self.s.percent)
+    def _both(self, a: Column, b: Column) -> Column:
+        """Tokens that linked sets of these sizes share at least."""
+        return F.call_function("div", self.s.percent * (a + b) + 99 + self.s.percent, F.lit(100 + self.s.percent))
+
+    def _band(self, n: Column) -> Column:
+        return F.floor(F.log(n.cast("double")) / F.log(F.lit(100.0 / self.s.percent)) + 1e-9).cast("int")
+
+    def _own_bucket(self, larger: Column, band: Column) -> Column:
+        """Two sets may share two buckets of a token; they count in the one of the larger class."""
+        return self._band(larger) == band
+
+    def _sizes_fit(self, smaller: Column, larger: Column) -> Column:
+        return smaller * 100 >= larger * self.s.percent
 
     def _candidates(self, hits: DataFrame) -> DataFrame:
-        """Pairs with enough shared prefix tokens under the first order."""
-        need = F.least(
-            F.lit(self.s.common), *(F.ceil(F.col(c) * self.s.percent / 100.0 - 1e-9).cast("int") for c in ("nx", "ny"))
-        )
-        pairs = hits.where(self._sizes_fit(F.col("nx"), F.col("ny"))).groupBy("x", "y", "nx", "ny")
-        pairs = pairs.agg(F.count_distinct("token").alias("hits")).where(F.col("hits") >= need)
-        return materialize(pairs.select("x", "y"), "candidates")
+        """Pairs ``x, nx, y, ny`` (x the smaller set) with enough shared prefix tokens under the first order.
+
+        One of the two prefixes ends first; all common tokens in it are hits, and it can miss no more tokens than the set may.
+        """
+        s = self.s
+        both = self._both(F.col("nx"), F.col("ny"))
+        low = self._both(F.col("nx"), F.col("nx"))
+        high = F.call_function("div", s.percent * F.col("ny") + 99, F.lit(100))
+        need = both - F.greatest(low - s.common, high - s.common, F.lit(0))
+        hits = hits.where(self._sizes_fit(F.col("nx"), F.col("ny")) & self._own_bucket(F.col("ny"), F.col("band")))
+        pairs = hits.groupBy("x", "nx", "y", "ny").agg(F.count(F.lit(1)).alias("hits")).where(F.col("hits") >= need)
+        return materialize(pairs.drop("hits"), "candidates")
 
     def _verify(self, pairs: DataFrame) -> DataFrame:
         """The linked pairs: those that pass the other orders, then the exact similarity of their sets."""
@@ -320,10 +381,12 @@ class JaccardJoin:
         ids = pairs.select(F.col("x").alias("id")).unionByName(pairs.select(F.col("y").alias("id")))
         sent = self.spark.sparkContext.broadcast((self.classes, row_filter(ids)))
         filtered = self.docs.where("id is not null").select("id", _slot().alias("slot"), "text")
-        sets = filtered.mapInArrow(_keeper(sent, s), "id bigint, tokens binary, heads array<array<int>>")
+        sets = filtered.mapInArrow(_keeper(sent, s), "id bigint, tokens binary, heads array<array<bigint>>")
         sets = materialize(sets.where(F.length("tokens") > 0), "sets")
-        for side in ("x", "y"):
-            pairs = pairs.join(sets.select(F.col("id").alias(side), F.col("heads").alias(f"{side}_heads")), side)
+        short = (F.col("nx") - self._both(F.col("nx"), F.col("nx")) + 1).cast("int")
+        heads = F.transform("heads", lambda h: F.slice(h, F.lit(1), short))
+        pairs = pairs.join(sets.select(F.col("id").alias("x"), "heads"), "x").withColumn("x_heads", heads).drop("heads")
+        pairs = pairs.join(sets.select(F.col("id").alias("y"), F.col("heads").alias("y_heads")), "y")
         for r in range(s.orders - 1):
             pairs = pairs.where(F.arrays_overlap(F.col("x_heads")[r], F.col("y_heads")[r]))
         pairs = materialize(pairs.select("x", "y").distinct(), "passed")
