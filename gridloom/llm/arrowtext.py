@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text a kernel takes at a time (a single longer text is taken whole, or cut by the kernel).
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -38,7 +38,7 @@ S_END, S_LETTER, S_SHORT, S_PAIR, S_NUMBER, S_OTHER, S_QUOTE, S_RUN, S_JOIN, S_L
 CLOSED, AFTER_JOIN, IN_LETTERS, IN_NUMBERS, IN_OTHERS, IN_SPACE, AFTER_QUOTE, IN_SUFFIX = range(8)
 
 SCAN_BLOCK = 64
-PIECE_CHARS = 1 << 20
+PIECE_CHARS = 1 << 18
 #: Slices longer than this are merged without being remembered.
 CACHED_CHARS = 48
 CACHE_ENTRIES = 100_000

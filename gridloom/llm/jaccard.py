@@ -41,7 +41,7 @@ class JaccardSettings:
     words: int = 5  # words of a shingle
     percent: int = 80  # linked when 100 * intersection >= percent * union
     orders: int = 3  # global token orders that must agree
-    common: int = 3  # under the first order, prefixes are longer by common - 1 and must share so many tokens at least
+    common: int = 1  # under the first order, prefixes are longer by common - 1 and must share so many tokens at least
 
 
 FOLD_CASE = np.arange(256, dtype=np.uint8)

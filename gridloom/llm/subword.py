@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.arrowtext import mix64, row_groups, text_bytes
+from gridloom.llm.arrowtext import CHUNK_BYTES, mix64, row_groups, text_bytes
 
 
 @dataclass(frozen=True)
@@ -106,7 +106,7 @@ def feature_streams(data: np.ndarray, offsets: np.ndarray, s: SubwordSettings) -
         yield bucket(packed[inside], n << 56, s.bits), np.searchsorted(at[inside], offsets)
 
 
-def pieces(data: np.ndarray, limit: int = 1 << 20) -> Iterator[np.ndarray]:
+def pieces(data: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[np.ndarray]:
     """A long text in parts that end after white space where there is some; a feature across a cut is not counted."""
     at = 0
     while len(data) - at > limit:
@@ -122,7 +122,7 @@ def groups_with_rows(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np
     """``(bytes, offsets, rows)`` of bounded size; one long row comes in several parts."""
     for i, j in row_groups(offsets):
         part = data[offsets[i] : offsets[j]]
-        if j - i > 1 or len(part) <= 1 << 20:
+        if j - i > 1 or len(part) <= CHUNK_BYTES:
             yield part, offsets[i : j + 1] - offsets[i], np.arange(i, j)
         else:
             for piece in pieces(part):
