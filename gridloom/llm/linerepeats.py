@@ -1,14 +1,17 @@
-"""Repeated passages of lines, by winnowing over line hashes.
+"""Repeated passages of lines, by the content of windows and by winnowing over line hashes.
 
-In each document the windows are the stretches of lines that begin within ``min_words`` words of a line; the line with
-the smallest hash of each window is a fingerprint. Two documents that share a run of lines of at least
-``min_words`` words share a whole window, hence a fingerprint, whatever stands around the run. Every
-fingerprint is joined with its first occurrence only, and the match is extended both ways as far as the next
-fingerprint of the run can lie, which is ``min_words`` words; so every line of a shared run is reached. Each line
-found this way repeats an earlier one. Stretches of such lines with at least ``min_words`` words are deleted.
+The windows of a document are its shortest stretches of lines with at least ``min_words`` words, counted from each first and
+from each last line. Each is joined with the first occurrence of its content; a later one repeats an earlier one. Every
+line of a run of at least ``min_words`` words lies in a window inside the run (the one that begins or ends with
+the line, or the first of the run), so a run that stood anywhere before is found whole, whatever stands around it and
+wherever its lines stood by themselves. Repeats may overlap, as in a document that says the same line on and on.
 
-A run is found with certainty where its fingerprints first occur in one earlier run. Where a short line of it occurred by
-itself before, the match is extended there, and up to ``min_words`` words at the ends of the run can stay.
+Shorter repeats that meet are found by winnowing: among the lines that begin within ``min_words`` words of a line the one with
+the smallest hash is a fingerprint. It is joined with its first occurrence only, and the match is extended both ways as far
+as the next fingerprint of the run can lie, which is ``min_words`` words. A window of one line is such a fingerprint.
+
+Stretches of lines found either way with at least ``min_words`` words are deleted. Both joins are one, with a row per key
+on its other side.
 
 Only DataFrame functions are used.
 """
@@ -39,12 +42,13 @@ def _lines(docs: DataFrame) -> DataFrame:
     return lines.select("id", "th", "pos", hashed.alias("h"), (spaces + 1).cast("long").alias("w"))
 
 
-def _fingerprints(lines: DataFrame, min_words: int) -> DataFrame:
-    """``id, th, pos, h, w, right, left`` of each fingerprint.
+def _anchors(lines: DataFrame, min_words: int) -> DataFrame:
+    """``id, th, pos, h, words, right, left`` of each fingerprint and each window of several lines.
 
+    ``h`` is the hash of the content, ``pos`` the first line and ``words`` the weights of its lines. For a fingerprint
     ``right`` holds the lines that begin within ``min_words`` words after it, ``left`` those that begin within
     ``min_words`` words before it, nearest first: fewer than ``min_words`` lines each. Both depend on the text around
-    alone, so equal runs have equal neighbours in every document.
+    alone, so equal runs have equal neighbours in every document. For a window both are empty.
     """
     doc = Window.partitionBy("id", "th")
     by_pos, by_words = doc.orderBy("pos"), doc.orderBy("at")
@@ -60,18 +64,34 @@ def _fingerprints(lines: DataFrame, min_words: int) -> DataFrame:
     # Every line weighs a word at least, so the lines in reach are among the next min_words lines.
     ahead = F.collect_list(line).over(by_pos.rowsBetween(1, min_words))
     behind = F.collect_list(line).over(by_words.rangeBetween(-(min_words - 1), -1))
-    reach = F.col("at") + F.col("w") + min_words
-    rows = rows.withColumn("ahead", ahead).withColumn("behind", behind).where("mark")
+    ending = F.collect_list(line).over(by_pos.rowsBetween(-(min_words - 1), -1))
+    rows = rows.withColumn("ahead", ahead).withColumn("behind", behind).withColumn("ending", ending)
+    end = F.col("at") + F.col("w")
+    rows = rows.withColumn("after", F.filter("ahead", lambda x: x["at"] < F.col("at") + min_words))
+    rows = rows.withColumn("ending", F.filter("ending", lambda x: x["at"] + x["w"] > end - min_words))
     slim = lambda x: F.struct(x["h"].alias("h"), x["w"].alias("w"))
-    return rows.select(
-        "id",
-        "th",
-        "pos",
-        "h",
-        "w",
-        F.transform(F.filter("ahead", lambda x: x["at"] < reach), slim).alias("right"),
-        F.transform(F.reverse("behind"), slim).alias("left"),
+    right = F.transform(F.filter("ahead", lambda x: x["at"] < end + min_words), slim)
+    left = F.transform(F.reverse("behind"), slim)
+    total = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda n, x: n + x["w"])
+
+    def anchor(pos: Column, h: Column, words: Column, right: Column, left: Column) -> Column:
+        return F.struct(pos.alias("pos"), h.alias("h"), words.alias("words"), right.alias("right"), left.alias("left"))
+
+    def several(pos: Column, xs: Column) -> Column:
+        content = F.aggregate(xs, F.unhex(F.lit("")), lambda c, x: F.concat(c, x["h"]))
+        none = F.slice(right, F.lit(1), F.lit(0))
+        return anchor(pos, F.substring(F.unhex(F.sha2(content, 256)), 1, 16), F.transform(xs, lambda x: x["w"]), none, none)
+
+    own = F.array(line)
+    first = (F.size("after") > 0) & (F.col("w") + total(F.col("after")) >= min_words)
+    # Where the lines before the last one are enough, the window is none of those counted from a first line.
+    last = total(F.col("ending")) >= min_words
+    found = F.array(
+        F.when(F.col("mark"), anchor(F.col("pos"), F.col("h"), F.array("w"), right, left)),
+        F.when(first, several(F.col("pos"), F.concat(own, "after"))),
+        F.when(last, several(F.col("pos") - F.size("ending"), F.concat("ending", own))),
     )
+    return rows.select("id", "th", F.inline(F.filter(found, lambda x: x.isNotNull())))
 
 
 def _common(mine: Column, other: Column) -> Column:
@@ -88,11 +108,11 @@ def _common(mine: Column, other: Column) -> Column:
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """The lines to delete: ``id, th, pos, w, source`` (id of the document with the earlier run)."""
-    prints = materialize(_fingerprints(_lines(_document(docs, id_col, text_col)), min_words), "fingerprints")
+    anchors = materialize(_anchors(_lines(_document(docs, id_col, text_col)), min_words), "anchors")
     place = F.struct(F.col("id").isNull().alias("nil"), "id", "th", "pos", "right", "left")
-    first = prints.groupBy("h").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    first = anchors.groupBy("h").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     # Written first: the adaptive plan cuts a frequent line only where the join reads two plain exchanges.
-    later = prints.join(materialize(first.select("h", "first"), "first"), "h")
+    later = anchors.join(materialize(first.select("h", "first"), "first"), "h")
     later = later.where(
         ~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("th") == F.col("first.th")) & (F.col("pos") == F.col("first.pos")))
     )
@@ -102,7 +122,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         alike = F.slice(side, F.lit(1), _common(F.col(side), F.col(f"first.{side}")))
         return F.transform(alike, lambda x, i: F.struct((F.col("pos") + sign * (i + 1)).alias("pos"), x["w"].alias("w")))
 
-    own = F.array(F.struct("pos", "w"))
+    own = F.transform("words", lambda w, i: F.struct((F.col("pos") + i).alias("pos"), w.alias("w")))
     found = F.explode(F.concat(own, run("right", 1), run("left", -1))).alias("x")
     hits = later.select("id", "th", F.col("first.id").alias("source"), found)
     hits = hits.groupBy("id", "th", F.col("x.pos").alias("pos")).agg(F.max("x.w").alias("w"), F.min("source").alias("source"))

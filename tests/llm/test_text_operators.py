@@ -102,6 +102,38 @@ def test_repeats_within_a_document_and_repeated_rows(frame):
     assert sorted((str(i), text, n) for i, text, n, _, _ in got) == [("1", line, 4), ("1", line, 4), ("2", line + "\r\nx", 0), ("None", "", 1)]
 
 
+def test_a_run_whose_lines_stood_scattered_before_is_deleted_whole(frame):
+    passage = [f"a{k} b{k}" for k in range(30)]  # sixty words
+    scattered = "\n".join(f"{line}\nfiller of document zero number {k}" for k, line in enumerate(passage))
+    run = "\n".join(passage)
+    wide = "one two three four five six seven eight\nnine ten eleven"  # found from its last line
+    rows = [(0, scattered), (1, f"own one\n{run}\nend one"), (2, f"own two\n{run}\nend two"), (3, f"x\n{wide}\ny"), (4, f"nine ten eleven\nu\n{wide}\nv")]
+    got = {i: (text, n, sources) for i, text, n, sources, _ in deleted(frame, rows, 10)}
+    assert got[0][1] == got[1][1] == got[3][1] == 0
+    assert got[2][:2] == ("own two\nend two", 30) and 1 in got[2][2]
+    assert got[4][0] == "nine ten eleven\nu\nv"
+
+
+@pytest.mark.parametrize("words", [4, 7])
+def test_every_window_that_stood_before_is_deleted(frame, words):
+    rnd = random.Random(words)
+    pool = [" ".join(f"t{k}" for _ in range(rnd.randrange(1, 6))) for k in range(5)]
+    rows = [(i, "\n".join(rnd.choice(pool) for _ in range(rnd.randrange(1, 9)))) for i in range(60)]
+    got = {i: text for i, text, *_ in deleted(frame, rows, words)}
+    seen = set()
+    for i, text in rows:
+        lines, here, gone = text.split("\n"), [], set()
+        for a in range(len(lines)):
+            for b in range(a + 1, len(lines) + 1):
+                if sum(len(x.split()) for x in lines[a:b]) >= words:
+                    run = tuple(lines[a:b])
+                    gone |= set(range(a, b)) if run in seen or run in here else set()
+                    here.append(run)
+        seen |= set(here)
+        rest = iter(x for k, x in enumerate(lines) if k not in gone)
+        assert all(any(x == y for y in rest) for x in (got[i].split("\n") if got[i] else []))
+
+
 def mixed_documents(seed, distinct):
     rnd = random.Random(seed)
     pool = [" ".join(f"t{rnd.randrange(30)}" for _ in range(rnd.randrange(1, 6))) + (f" p{k}" if distinct else "") for k in range(40)]
