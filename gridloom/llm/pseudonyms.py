@@ -18,12 +18,39 @@ ROUNDS = 8
 #: Characters of one half of a permuted string: 26**12 fits a 64-bit integer with room to add.
 HALF = 12
 
+# Length of an IBAN by country.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "AO CV GW LY MZ PT ST", 26: "DZ IR IS TR", 27: "BI CF CG CM DJ FR GA GQ GR IT KM MC MG MR SM TD",
+    28: "AL AZ BF BJ BY CI CY DO GT HN HU LB MA ML NE NI PL SN SV TG", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+    31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _iban_pattern() -> str:
+    """Of a listed country exactly as long as its numbers are, so that no word behind can join; of any other country as
+    long as fits, up to a listed number."""
+    forms = []
+    for size, countries in IBAN_LENGTHS.items():
+        fours, rest = divmod(size - 4, 4)
+        tail = f" ?[A-Z0-9]{{{rest}}}" if rest else ""
+        forms.append(f"(?:{countries.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{fours}}}{tail}")
+    begin, end = "(?<![A-Za-z0-9])", "(?![A-Za-z0-9])"
+    listed = f"{begin}(?:{'|'.join(forms)}){end}"
+    known = "|".join(IBAN_LENGTHS.values()).replace(" ", "|")
+    other = f"{begin}(?!{known})[A-Z]{{2}}[0-9]{{2}}(?: ?(?!{listed})[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?{end}"
+    return f"(?:{listed}|{other})"
+
+
 # Candidate patterns, tried in this order at each place of the text.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "iban": _iban_pattern(),
     "date_iso": r"(?<![A-Za-z0-9.-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![A-Za-z0-9]|-[0-9])",
     "date_slash": r"(?<![A-Za-z0-9/])[0-9]{2}/[0-9]{2}/[0-9]{4}(?![A-Za-z0-9]|/[0-9])",
+    # The same shape: month first where day first is no day.
+    "date_month": r"(?<![A-Za-z0-9/])[0-9]{2}/[0-9]{2}/[0-9]{4}(?![A-Za-z0-9]|/[0-9])",
     "date_dot": r"(?<![A-Za-z0-9.])[0-9]{2}\.[0-9]{2}\.[0-9]{4}(?![A-Za-z0-9]|\.[0-9])",
     "ipv4": r"(?<![A-Za-z0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![A-Za-z0-9]|\.[0-9])",
     "card": r"(?<![A-Za-z0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){2}[ -][0-9]{1,7}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![A-Za-z0-9])",
@@ -35,6 +62,8 @@ LOWER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "0123456789"
 UPPER = LOWER.upper()
 #: Days of one permuted range: 200 years of 365 days; a date stays in its range, counted from 0001-01-01.
 SPAN_YEARS, SPAN_DAYS = 200, 365
+#: Days after the 12th in a year, without a 29th of February.
+LATE_DAYS = 221
 
 
 def _digest(key: str, *parts: Column) -> Column:
@@ -214,7 +243,7 @@ def permute_iban(value: Column, key: str) -> Column:
 
 def parse_date(value: Column, kind: str) -> Column:
     """The date, or null where there is no such day."""
-    pieces = {"date_iso": (1, 6, 9), "date_slash": (7, 4, 1), "date_dot": (7, 4, 1)}[kind]
+    pieces = {"date_iso": (1, 6, 9), "date_slash": (7, 4, 1), "date_month": (7, 1, 4), "date_dot": (7, 4, 1)}[kind]
     year, month, day = (F.substring(value, at, 4 if k == 0 else 2) for k, at in enumerate(pieces))
     return F.try_to_date(F.concat_ws("-", year, month, day), "yyyy-MM-dd")
 
@@ -239,6 +268,45 @@ def permute_date(value: Column, key: str, kind: str) -> Column:
     return _bind(number, moved)
 
 
+def _late_days(year: Column) -> Column:
+    """Days after the 12th of a month in the years 1 to ``year``."""
+    return (year * LATE_DAYS + F.floor(year / 4) - F.floor(year / 100) + F.floor(year / 400)).cast("long")
+
+
+def _late_date(number: Column) -> Column:
+    """The date that ``number`` days after the 12th of a month precede, counted from 0001-01-13."""
+    guess = F.floor(number / (LATE_DAYS + 0.2425)).cast("long")  # years before, at most one off
+
+    def dated(past: Column) -> Column:
+        start = F.make_date((past + 1).cast("int"), F.lit(1), F.lit(1))
+        in_year = number - _late_days(past) + 1
+        lasts = [F.dayofyear(F.last_day(F.add_months(start, m - 1))) - 12 * m for m in range(1, 12)]
+        month = reduce(lambda n, last: n + (in_year > last).cast("int"), lasts, F.lit(1))
+        return F.date_add(start, (in_year + 12 * month - 1).cast("int"))
+
+    past = F.when(_late_days(guess) > number, guess - 1).when(_late_days(guess + 1) <= number, guess + 1).otherwise(guess)
+    return _bind(past, dated)
+
+
+def permute_month_first(value: Column, key: str) -> Column:
+    """Another day after the 12th of a month of the same range of 44,200 such days: read with the day first it is no day
+    again, so it equals no pseudonym of a date with the day first."""
+    size = SPAN_YEARS * LATE_DAYS
+    date = parse_date(value, "date_month")
+    number = _late_days(F.year(date).cast("long") - 1) + F.dayofyear(date) - 12 * F.month(date) - 1
+
+    def moved(n: Column) -> Column:
+        inside = n % size
+        half = F.floor(inside / LATE_DAYS).cast("long")
+        part = F.concat(F.lit("month:"), ((n - inside) / size).cast("int").cast("string"))
+        mixed = feistel(half, inside % LATE_DAYS, F.lit(SPAN_YEARS), F.lit(LATE_DAYS), key, part)
+        # A lambda over one element binds the number, so that it is computed once.
+        late = F.transform(F.array(mixed), lambda m: n - inside + m["l"] * LATE_DAYS + m["r"])[0]
+        return _bind(late, lambda k: F.date_format(_late_date(k), "MM/dd/yyyy"))
+
+    return _bind(number, moved)
+
+
 def permute_ipv4(value: Column, key: str) -> Column:
     octets = F.split(value, "\\.")
     pair = [F.get(octets, F.lit(k)).cast("long") * 256 + F.get(octets, F.lit(k + 1)).cast("long") for k in (0, 2)]
@@ -287,6 +355,8 @@ def _valid(kind: str, value: Column) -> Column:
 
 
 def _permuted(kind: str, value: Column, key: str) -> Column:
+    if kind == "date_month":
+        return permute_month_first(value, key)
     if kind.startswith("date"):
         return permute_date(value, key, kind)
     if kind == "ssn":
@@ -317,13 +387,9 @@ def permute_ssn(value: Column, key: str) -> Column:
 
 
 def _kind(value: Column) -> Column:
-    """The first pattern that the whole candidate has, if its check passes; else null."""
+    """The first pattern that the whole candidate has and whose check passes; else null."""
     shapes = [(kind, value.rlike(f"^(?:{pattern})$")) for kind, pattern in PATTERNS.items()]
-    return reduce(
-        lambda rest, shape: F.when(shape[1], F.when(_valid(shape[0], value), F.lit(shape[0]))).otherwise(rest),
-        reversed(shapes),
-        F.lit(None).cast("string"),
-    )
+    return F.coalesce(*[F.when(shape, F.when(_valid(kind, value), F.lit(kind))) for kind, shape in shapes])
 
 
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
@@ -333,7 +399,7 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     A candidate that fails its check stays as it is. Null text stays null, with an empty array. Equal values
     under one key get equal pseudonyms in all rows. ``docs`` may have any other columns.
     """
-    pattern = "|".join(PATTERNS.values())
+    pattern = "|".join(dict.fromkeys(PATTERNS.values()))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     text = F.col("row")[text_col]
     may = text.rlike("[0-9@]")

@@ -291,3 +291,31 @@ def test_pseudonyms(frame):
     other = pseudonyms.pseudonymise(frame(rows[:1]), "another").first()
     assert other.row.text != one.row.text
     assert pseudonyms.pseudonymise(frame([]), "k").count() == 0
+
+
+def test_values_with_a_capital_or_digit_word_behind(frame):
+    ibans = ["ES9121000418450200051332", "AT611904300234573201", "BE68539007547034", "ES91 2100 0418 4502 0005 1332", "NO9386011117947", "MT84MALT011000012345MTLCAST001S"]
+    behind = ["EUR 500", "BIC", "I paid", "2024-01-05", "4111 1111 1111 1111", "12", "."]
+    rows = [(k, f"{iban} {word}") for k, (iban, word) in enumerate((i, w) for i in ibans for w in behind)]
+    rows.append((100, f"AB12 {ibans[0]}"))
+    for r in pseudonyms.pseudonymise(frame(rows), "k").collect():
+        old = dict(rows)[r.row.doc_id]
+        new = next(x.value for x in r.pii if x.kind == "iban").replace(" ", "")
+        assert int("".join(str(int(c, 36)) for c in new[4:] + new[:4])) % 97 == 1 and len(r.row.text) == len(old)
+        assert not any(iban in r.row.text for iban in ibans)
+        more = {"2024-01-05": "date_iso", "4111 1111 1111 1111": "card"}
+        assert [x.kind for x in r.pii][1:] == [v for k, v in more.items() if old.endswith(k)]
+
+
+def test_dates_with_the_month_first(spark, frame):
+    rows = [(1, "on 12/31/1999 AT 5"), (2, "12/31/1999"), (3, "13/31/1999 and 02/30/2000"), (4, "02/29/2000 EUR"), (5, "04/05/2000")]
+    by = {r.row.doc_id: r for r in pseudonyms.pseudonymise(frame(rows), "k").collect()}
+    assert [x.kind for i in (1, 2, 4, 5) for x in by[i].pii] == ["date_month"] * 3 + ["date_slash"] and by[3].pii == []
+    assert by[1].pii[0].value == by[2].row.text != "12/31/1999" and by[3].row.text == rows[2][1]
+    first = spark.range(150_000).select(F.date_add(F.lit("1800-01-01").cast("date"), F.col("id").cast("int")).alias("d")).where("day(d) > 12")
+    value = F.date_format("d", "MM/dd/yyyy")
+    moved = [r[0] for r in first.select(pseudonyms.permute_month_first(value, "k")).collect()]
+    assert len(set(moved)) == len(moved) and all(int(x[3:5]) > 12 and int(x[:2]) <= 12 for x in moved)
+    plain = spark.range(1, 2_000_000, 7).select("id", pseudonyms._late_date(F.col("id")).alias("d"))
+    again = pseudonyms._late_days(F.year("d").cast("long") - 1) + F.dayofyear("d") - 12 * F.month("d") - 1
+    assert plain.where((again != F.col("id")) | (F.day("d") <= 12)).count() == 0
