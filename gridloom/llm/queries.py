@@ -143,4 +143,4 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_pii_pseudonyms")
 def op10_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = pseudonyms.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
-    return rows.where(F.size("pii") > 0).select("row.doc_id", F.size("pii").alias("n_values"), "pii", "row.text")
+    return rows.select("row.doc_id", F.size("pii").alias("n_values"), "pii", "row.text")

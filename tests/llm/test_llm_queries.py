@@ -117,3 +117,10 @@ def test_op10(spark, small_dir, small_docs):
     for r in rows:
         assert len(r.text) == len(small_docs[r.doc_id]) or any(x.kind == "ipv4" for x in r.pii)
         assert r.n_values == len(r.pii) and all(r.text[x.start :].startswith(x.value) for x in r.pii)
+
+
+def test_op10_returns_every_document(spark, small_dir, small_docs):
+    rows = QUERIES["op10_pii_pseudonyms"](spark, small_dir).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(small_docs)
+    clean = [r for r in rows if r.n_values == 0]
+    assert clean and all(r.pii == [] and r.text == small_docs[r.doc_id] for r in clean)
