@@ -16,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.arrowtext import text_bytes
-from gridloom.llm.subword import bucket, fold, groups_with_rows, packed_ngrams, row_sums, word_spans
+from gridloom.llm.arrowtext import CHUNK_BYTES, row_groups, text_bytes
+from gridloom.llm.subword import bucket, fold, row_sums, span_hashes, word_spans
 
 UNDETERMINED = "und"
 
@@ -35,15 +35,29 @@ FOLD_CASE = np.arange(256, dtype=np.uint8)
 FOLD_CASE[ord("A") : ord("Z") + 1] += 32
 
 
-def trigram_buckets(data: np.ndarray, bits: int) -> np.ndarray:
-    """Bucket of the trigram around each byte, with spaces around the text; white space counts as a space."""
-    padded = np.full(len(data) + 2, 32, np.uint8)
-    padded[1:-1] = FOLD_CASE[data]
+def trigram_buckets(data: np.ndarray, offsets: np.ndarray, bits: int, before: int = 32, behind: int = 32) -> np.ndarray:
+    """Bucket of the trigram around each byte, with spaces around each row; white space counts as a space.
+
+    ``before`` and ``behind`` are the bytes around ``data`` where it is a part of a row.
+    """
+    padded = np.concatenate([[before], data, [behind]]).astype(np.uint8)
+    padded = FOLD_CASE[padded]
     padded[(padded >= 9) & (padded <= 13)] = 32
-    _, packed = next(packed_ngrams(padded, (3,)))
+    left, right = padded[:-2].copy(), padded[2:].copy()
+    inner = offsets[(offsets > 0) & (offsets < len(data))]
+    left[inner] = 32
+    right[inner - 1] = 32
+    packed = left.astype(np.uint64) | padded[1:-1].astype(np.uint64) << np.uint64(8) | right.astype(np.uint64) << np.uint64(16)
     return bucket(packed, 3, bits)
 
 
+def long_parts(data: np.ndarray) -> Iterator[tuple[np.ndarray, int, int]]:
+    """A long row in parts, with the bytes before and behind each."""
+    for at in range(0, len(data), CHUNK_BYTES):
+        stop = min(at + CHUNK_BYTES, len(data))
+        yield data[at:stop], int(data[at - 1]) if at else 32, int(data[stop]) if stop < len(data) else 32
+
+
 # --- learning --------------------------------------------------------------------------------------------
 
 
@@ -53,13 +67,17 @@ def _counter(s: MixtureSettings):
         for batch in batches:
             langs = batch.column(0).to_pylist()
             data, offsets = text_bytes(batch.column(1))
-            for part, bounds, rows in groups_with_rows(data, offsets):
-                buckets = trigram_buckets(part, s.bits)
-                names = np.array([langs[r] for r in rows], object)
-                for lang in set(names):
-                    wanted = np.repeat(names == lang, np.diff(bounds))
-                    table = tables.setdefault(lang, np.zeros(1 << s.bits, np.int64))
-                    table += np.bincount(buckets[wanted], minlength=1 << s.bits)
+            for i, j in row_groups(offsets):
+                data_here, names = data[offsets[i] : offsets[j]], np.array(langs[i:j], object)
+                # Several rows are within the bound; one row may be longer and comes in parts.
+                parts = [(data_here, 32, 32)] if j - i > 1 else long_parts(data_here)
+                for part, before, behind in parts:
+                    bounds = offsets[i : j + 1] - offsets[i] if j - i > 1 else np.array([0, len(part)])
+                    buckets = trigram_buckets(part, bounds, s.bits, before, behind)
+                    for lang in set(names):
+                        wanted = np.repeat(names == lang, np.diff(bounds))
+                        table = tables.setdefault(lang, np.zeros(1 << s.bits, np.int64))
+                        table += np.bincount(buckets[wanted], minlength=1 << s.bits)
         for lang, table in tables.items():
             seen = np.flatnonzero(table)
             columns = [pa.array([lang] * len(seen), pa.string()), pa.array(seen.astype(np.int32)), pa.array(table[seen])]
@@ -90,47 +108,105 @@ def learn(docs: DataFrame, s: MixtureSettings = MixtureSettings(), lang_col: str
 # --- inference -------------------------------------------------------------------------------------------
 
 
-def word_likelihoods(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Relative likelihoods ``[language, word]`` (1 for the best), their log scale, and each row's bounds among the words."""
-    buckets = trigram_buckets(data, bits)
-    starts, ends = word_spans(data, offsets)
-    spans = np.stack([starts, ends])
+def word_logs(buckets: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Log-likelihoods ``[language, word]``."""
     logs = np.empty((len(table), len(starts)))
     for k, weights in enumerate(table):
-        total = np.zeros(len(data) + 1)
+        total = np.zeros(len(buckets) + 1)
         np.cumsum(weights.take(buckets), out=total[1:])
-        logs[k] = total[spans[1]] - total[spans[0]]
-    top = logs.max(axis=0) if len(starts) else np.zeros(0)
-    return np.exp(logs - top), top, np.searchsorted(starts, offsets)
+        logs[k] = total[ends] - total[starts]
+    return logs
+
+
+def relative(logs: np.ndarray) -> np.ndarray:
+    """Likelihoods relative to the best language of each word."""
+    return np.exp(logs - logs.max(axis=0)) if logs.shape[1] else logs
 
 
-def em(likely: np.ndarray, bounds: np.ndarray, shares: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """``rounds`` of EM from ``shares [language, row]``; the last shares and the log-likelihood of each row."""
+def word_likelihoods(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Relative likelihoods ``[language, word]`` and each row's bounds among the words."""
+    starts, ends = word_spans(data, offsets)
+    logs = word_logs(trigram_buckets(data, offsets, bits), starts, ends, table)
+    return relative(logs), np.searchsorted(starts, offsets)
+
+
+def long_row_likelihoods(data: np.ndarray, table: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Relative likelihoods of the different words of one long row and how often each occurs.
+
+    The row is read in parts; a word across a cut is put together again.
+    """
+    keys, counts, logs = [], [], []  # of different words, parts appended and merged now and then
+    odd: list[np.ndarray] = []  # words across cuts
+    merged, open_word = 1 << 16, None
+
+    def merge() -> None:
+        key, at, to = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+        count = np.bincount(to, np.concatenate(counts), len(key))
+        log = np.concatenate(logs, axis=1)[:, at]
+        keys[:], counts[:], logs[:] = [key], [count], [log]
+
+    for part, before, behind in long_parts(data):
+        bounds = np.array([0, len(part)])
+        starts, ends = word_spans(part, bounds)
+        found = word_logs(trigram_buckets(part, bounds, bits, before, behind), starts, ends, table)
+        hashes = span_hashes(FOLD_CASE[part], starts, ends)
+        whole = np.ones(len(starts), bool)
+        begun = open_word
+        open_word = None
+        if begun is not None:
+            if len(starts) and starts[0] == 0:
+                found[:, 0] += begun
+                whole[0] = False
+            else:
+                odd.append(begun)
+        if len(ends) and ends[-1] == len(part) and not (behind == 32 or 9 <= behind <= 13):
+            open_word, whole[-1] = found[:, -1], False
+            if len(starts) == 1 and begun is not None and starts[0] == 0:
+                continue  # one word fills the part
+        if begun is not None and len(starts) and starts[0] == 0:
+            odd.append(found[:, 0])
+        key, at, count = np.unique(hashes[whole], return_index=True, return_counts=True)
+        keys.append(key), counts.append(count.astype(float)), logs.append(found[:, whole][:, at])
+        if sum(map(len, keys)) > 2 * merged:
+            merge()
+            merged = max(merged, len(keys[0]))
+    if keys:
+        merge()
+    every = np.concatenate([*logs, np.stack(odd, axis=1)] if odd else logs, axis=1)
+    return relative(every), np.concatenate([*counts, np.ones(len(odd))])
+
+
+def em(likely: np.ndarray, bounds: np.ndarray, shares: np.ndarray, rounds: int, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``rounds`` of EM from ``shares [language, row]``; the last shares and the log-likelihood of each row.
+
+    ``counts`` says how often each word stands in its row.
+    """
     sizes = np.diff(bounds)
-    safe = np.maximum(sizes, 1)
+    safe = np.maximum(row_sums(counts, bounds), 1)
     mixed = np.zeros(0)
     for _ in range(rounds):
         joint = likely * np.repeat(shares, sizes, axis=1)
         mixed = np.maximum(joint.sum(axis=0), 1e-300)
-        joint /= mixed
+        joint *= counts / mixed
         shares = np.stack([row_sums(j, bounds) for j in joint]) / safe
     joint = likely * np.repeat(shares, sizes, axis=1)
     mixed = np.maximum(joint.sum(axis=0), 1e-300)
-    return shares, row_sums(np.log(mixed), bounds)
+    return shares, row_sums(counts * np.log(mixed), bounds)
 
 
-def infer(likely: np.ndarray, bounds: np.ndarray, s: MixtureSettings) -> np.ndarray:
+def infer(likely: np.ndarray, bounds: np.ndarray, s: MixtureSettings, counts: np.ndarray | None = None) -> np.ndarray:
     """Shares ``[language, row]`` under the chosen set of languages; rows without words get equal shares."""
     langs, rows = len(likely), len(bounds) - 1
-    words = np.diff(bounds)
-    every, fit = em(likely, bounds, np.full((langs, rows), 1 / langs), s.rounds)
+    counts = np.ones(bounds[-1]) if counts is None else counts
+    words = row_sums(counts, bounds)
+    every, fit = em(likely, bounds, np.full((langs, rows), 1 / langs), s.rounds, counts)
     cost = s.penalty * 0.5 * np.log(np.maximum(words, 2))
     best, value = every, fit - cost * langs
     rank = np.argsort(np.argsort(-every, axis=0, kind="stable"), axis=0, kind="stable")
     for size in range(langs - 1, 0, -1):
         kept = np.where(rank < size, np.maximum(every, 1e-12), 0.0)
         kept /= kept.sum(axis=0)
-        shares, fit = em(likely, bounds, kept, s.refit if size > 1 else 0)
+        shares, fit = em(likely, bounds, kept, s.refit if size > 1 else 0, counts)
         better = fit - cost * size >= value
         best = np.where(better, shares, best)
         value = np.where(better, fit - cost * size, value)
@@ -145,13 +221,13 @@ def _predictor(model, s: MixtureSettings):
             data, offsets = text_bytes(batch.column(batch.num_columns - 1))
             lettered = batch.column(batch.num_columns - 2).to_numpy(zero_copy_only=False).astype(bool)
             shares = np.zeros((len(langs), batch.num_rows))
-            weight = np.zeros(batch.num_rows)
-            for part, bounds, rows in groups_with_rows(data, offsets) if langs else ():
-                likely, _, at = word_likelihoods(part, bounds, table, s.bits)
-                words = np.maximum(np.diff(at), 1)  # the parts of one long text count by their words
-                shares[:, rows] += infer(likely, at, s) * words
-                weight[rows] += words
-            shares /= np.maximum(weight, 1)
+            for i, j in row_groups(offsets) if langs else ():
+                part = data[offsets[i] : offsets[j]]
+                if len(part) <= CHUNK_BYTES:
+                    shares[:, i:j] = infer(*word_likelihoods(part, offsets[i : j + 1] - offsets[i], table, s.bits), s)
+                else:
+                    likely, counts = long_row_likelihoods(part, table, s.bits)
+                    shares[:, i:j] = infer(likely, np.array([0, len(counts)]), s, counts)
             known = lettered & bool(langs)
             top = shares.argmax(axis=0) if langs else np.zeros(batch.num_rows, int)
             names = [langs[k] if ok else UNDETERMINED for k, ok in zip(top.tolist(), known.tolist())]

@@ -142,6 +142,27 @@ def test_language_mixture(spark, frame):
     assert langmix.predict(frame([(1, "abba")]), nothing, ["doc_id"]).first().lang_pred == "und"
 
 
+def test_language_evidence_does_not_depend_on_neighbours_or_cuts(monkeypatch):
+    data = lambda x: np.frombuffer(x, np.uint8)
+    alone = langmix.trigram_buckets(data(b"kiki"), np.array([0, 4]), 16)
+    beside = langmix.trigram_buckets(data(b"zuzkikizuz"), np.array([0, 3, 7, 10]), 16)
+    assert beside[3:7].tolist() == alone.tolist()
+    table = np.random.default_rng(0).normal(size=(3, 1 << 16)) - 9
+    rnd = random.Random(5)
+    text = " ".join(rnd.choice(["ba", "Abba", "kiki", "zuz", "x" * 40]) for _ in range(60)).encode()
+    whole = np.array([0, len(text)])
+    s = langmix.MixtureSettings()
+    likely, bounds = langmix.word_likelihoods(data(text), whole, table, 16)
+    learned = lambda: next(langmix._counter(s)(iter([pa.record_batch({"l": ["aa"], "t": [text.decode()]})]))).column(2).to_pylist()
+    want, counts = langmix.infer(likely, bounds, s), learned()
+    for size in (7, 16, 50):
+        monkeypatch.setattr(langmix, "CHUNK_BYTES", size)
+        columns, n = langmix.long_row_likelihoods(data(text), table, 16)
+        assert n.sum() == len(text.split())
+        assert langmix.infer(columns, np.array([0, len(n)]), s, n) == pytest.approx(want)
+        assert learned() == counts
+
+
 # --- URL tree -------------------------------------------------------------------------------------------------
 
 
