@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 @dataclass(frozen=True)
 class MatchSettings:
     error_rate: float = 0.08  # edits per character of an item, rounded down
-    min_chars: int = 20  # shorter items are not searched: they occur by chance
+    min_chars: int = 20  # shorter items are searched without edits, as whole words
     block_chars: int = 4_000_000  # characters of items in one pass
 
 
@@ -72,11 +72,17 @@ def masks(item: str) -> dict[str, int]:
     return dict(out)
 
 
+def whole_words(text: str, start: int, end: int) -> bool:
+    """Whether neither end of the stretch lies within a word."""
+    return not any(0 < at < len(text) and text[at - 1].isalnum() and text[at].isalnum() for at in (start, end))
+
+
 class Matcher:
     """Search of one block of items, ``(item_id, normalised text)``."""
 
     def __init__(self, items: list[tuple[int, str]], s: MatchSettings):
-        self.items = [(i, x, int(len(x) * s.error_rate)) for i, x in items if len(x) >= s.min_chars]
+        self.items = [(i, x, int(len(x) * s.error_rate) if len(x) >= s.min_chars else 0) for i, x in items if x]
+        self.short = [len(x) < s.min_chars for _, x, _ in self.items]
         pieces: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for k, (_, item, errors) in enumerate(self.items):
             for offset, piece in cut(item, errors + 1):
@@ -99,6 +105,8 @@ class Matcher:
                 start = stop + 1 - length - offset  # where the item would begin without edits
                 if k in best and best[k][0] == 0 or any(abs(start - x) <= errors for x in seen[k][-8:]):
                     continue
+                if self.short[k] and not whole_words(text, start, start + len(item)):
+                    continue
                 seen[k].append(start)
                 if text.startswith(item, start) and start >= 0:
                     best[k] = (0, start, start + len(item))
@@ -127,21 +135,37 @@ def _search(sent, s: MatchSettings):
     return kernel
 
 
+def _clean(sent, s: MatchSettings):
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = Matcher(sent.value, s)
+        for batch in batches:
+            texts = batch.column(batch.num_columns - 1)
+            stay = pa.array([not matcher.find(normal(x.as_py())) for x in texts], pa.bool_())
+            yield batch.select(range(batch.num_columns - 1)).filter(stay)
+
+    return kernel
+
+
+def _blocks(benchmark: DataFrame, s: MatchSettings) -> Iterator[list[tuple[int, str]]]:
+    """``(item_id, normalised text)`` of all items in blocks of about ``block_chars`` characters, at least one block."""
+    items = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
+    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0  # one number
+    passes = max(1, -(-chars // s.block_chars))
+    for k in range(passes):
+        block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k)
+        yield [(r["item_id"], normal(r["text"])) for r in block.toLocalIterator()]
+
+
 def contaminations(docs: DataFrame, benchmark: DataFrame, s: MatchSettings = MatchSettings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document and item found in it: ``doc_id, item_id, distance, start, end`` (of the best occurrence, in
     the lower-cased text with single spaces).
 
-    Null and empty texts and items match nothing, and neither do items shorter than ``min_chars``. Rows with repeated
-    ids are searched each by itself. Without items or documents the result is empty.
+    Null and empty texts and items match nothing; items shorter than ``min_chars`` match as whole words without edits. Rows
+    with repeated ids are searched each by itself. Without items or documents the result is empty.
     """
-    items = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
-    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0  # one number
-    passes = max(1, -(-chars // s.block_chars))
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     out = None
-    for k in range(passes):
-        block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k)
-        rows = [(r["item_id"], normal(r["text"])) for r in block.toLocalIterator()]  # about block_chars characters
+    for rows in _blocks(benchmark, s):
         sent = docs.sparkSession.sparkContext.broadcast(rows)
         found = slim.mapInArrow(_search(sent, s), "doc_id bigint, item_id bigint, distance int, start bigint, end bigint")
         out = found if out is None else out.unionByName(found)
@@ -149,6 +173,8 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, s: MatchSettings = Mat
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, s: MatchSettings = MatchSettings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` in which no item was found."""
-    found = contaminations(docs, benchmark, s, id_col, text_col).select(F.col("doc_id").alias("__found")).distinct()
-    return docs.join(found, docs[id_col] == found["__found"], "left_anti")
+    """The rows of ``docs`` in which no item was found, each judged by its own text, whatever its id (``id_col`` is not read)."""
+    for rows in _blocks(benchmark, s):
+        sent = docs.sparkSession.sparkContext.broadcast(rows)
+        docs = docs.select("*", F.col(text_col).alias("__text")).mapInArrow(_clean(sent, s), docs.schema)
+    return docs

@@ -216,3 +216,15 @@ def test_contaminations(spark, frame):
     assert sorted(r.doc_id for r in kept.collect()) == [3, 6, 7, 8] and kept.columns == frame([]).columns
     assert decontam.contaminations(frame([]), items).count() == 0
     assert decontam.contaminations(frame(rows), items.where("false")).count() == 0
+
+
+def test_rows_are_judged_by_their_own_text_and_short_items_as_words(spark, frame):
+    item = "the quick brown fox jumps over the lazy dog"
+    rows = [(1, f"so {item}"), (1, "clean"), (None, item), (None, "clean too"), (2, "An answer: Forty Two!"), (3, "forty twofold"), (4, "xforty two"), (5, None)]
+    items = spark.createDataFrame([(10, item), (11, "forty two"), (12, "")], "item_id BIGINT, text STRING")
+    found = decontam.contaminations(frame(rows), items.where("item_id > 10"))
+    assert [(r.doc_id, r.item_id, r.distance, r.start, r.end) for r in found.collect()] == [(2, 11, 0, 11, 20)]
+    for blocks in (decontam.MatchSettings(), decontam.MatchSettings(block_chars=10)):
+        kept = decontam.without_contaminated(frame(rows), items, blocks)
+        assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([rows[k] for k in (1, 3, 5, 6, 7)], key=str)
+        assert kept.schema == frame([]).schema
