@@ -5,7 +5,8 @@ the report is a written table, and only archives in it are read, so files of los
 
 The reader checks every record (gzip CRC, version line, length, digest). Where a check fails it searches
 for the next gzip member or version line that passes, goes on from there, and reports the bytes between
-as a gap.
+as a gap. A member may hold several records: they are read the same way from its inflated bytes, which are held in
+memory, and a gap among them is reported with the member's place.
 """
 
 from __future__ import annotations
@@ -24,7 +25,9 @@ from pyspark.sql import functions as F
 
 from gridloom.session import materialize, scratch_path
 
-GZIP, VERSION = b"\x1f\x8b\x08", b"WARC/1."
+GZIP = b"\x1f\x8b\x08"
+#: Version lines begin with one of these; all have one length.
+VERSIONS = (b"WARC/1.", b"WARC/0.")
 READ_BYTES = 1 << 18
 OUT_BYTES = 4 << 20
 #: Payloads shorter than this never become revisits.
@@ -151,7 +154,7 @@ def write_archives(records: DataFrame, folder: str, limit: int = ARCHIVE_BYTES)
 
 def parse_record(raw: bytes) -> dict:
     """Headers and payload of one whole record, after all checks."""
-    if not raw.startswith(VERSION):
+    if not raw.startswith(VERSIONS):
         raise Damaged("no version line")
     head, found, rest = raw.partition(b"\r\n\r\n")
     if not found:
@@ -205,50 +208,86 @@ def read_plain(source, at: int, size: int) -> tuple[int, bytes]:
     return at + whole, source.read_at(whole, at)
 
 
-def read_at(source, at: int, size: int) -> tuple[int, dict]:
+class Inflated:
+    """The bytes of a member as a source."""
+
+    def __init__(self, raw: bytes):
+        self.raw = raw
+
+    def read_at(self, count: int, at: int) -> bytes:
+        return self.raw[at : at + count]
+
+
+def records_in(raw: bytes) -> list[tuple[str | None, dict | None]]:
+    """``(problem, record)`` of the records and gaps in the inflated bytes of a member, which hold one record at least."""
+    try:
+        return [(None, parse_record(raw))]
+    except Damaged as x:
+        found = [(problem, record) for _, _, problem, record in walk(Inflated(raw), len(raw), read_record, VERSIONS)]
+        if not any(record for _, record in found):
+            raise x
+        return found
+
+
+def read_record(source, at: int, size: int) -> tuple[int, list[tuple[str | None, dict | None]]]:
+    """End and content of the uncompressed record at ``at``."""
+    if not source.read_at(min(8, size - at), at).startswith(VERSIONS):
+        raise Damaged("no version line")
+    end, raw = read_plain(source, at, size)
+    return end, [(None, parse_record(raw))]
+
+
+def read_any(source, at: int, size: int) -> tuple[int, list[tuple[str | None, dict | None]]]:
+    """End and content of the member or uncompressed record at ``at``."""
     start = source.read_at(min(8, size - at), at)
     if start.startswith(GZIP):
         end, raw = read_member(source, at, size)
-    elif start.startswith(VERSION):
-        end, raw = read_plain(source, at, size)
-    else:
-        raise Damaged("neither a member nor a version line")
-    return end, parse_record(raw)
+        return end, records_in(raw)
+    if start.startswith(VERSIONS):
+        return read_record(source, at, size)
+    raise Damaged("neither a member nor a version line")
 
 
-def next_start(source, at: int, size: int) -> int:
-    """The next byte at which a member or a version line may begin; ``size`` without one."""
+def next_start(source, at: int, size: int, marks: tuple[bytes, ...]) -> int:
+    """The next byte at which one of ``marks`` stands; ``size`` without one."""
     while at < size:
         piece = source.read_at(min(READ_BYTES, size - at), at)
-        hits = [x for x in (piece.find(GZIP), piece.find(VERSION)) if x >= 0]
+        hits = [x for x in map(piece.find, marks) if x >= 0]
         if hits:
             return at + min(hits)
         if at + len(piece) >= size:
             return size
-        at += len(piece) - len(VERSION) + 1
+        at += len(piece) - len(VERSIONS[0]) + 1
     return size
 
 
-def salvage(source, size: int) -> Iterator[tuple[int, int, str | None, dict | None]]:
-    """``(offset, length, problem, record)`` in file order; gaps have a problem and no record."""
+def walk(source, size: int, read, marks: tuple[bytes, ...]) -> Iterator[tuple[int, int, str | None, dict | None]]:
+    """``(offset, length, problem, record)`` in order of what ``read`` finds; gaps have a problem and no record."""
     at, gap, problem = 0, None, None
     while at < size:
         try:
-            end, record = read_at(source, at, size)
+            end, found = read(source, at, size)
         except Damaged as x:
             if gap is None:
                 gap, problem = at, str(x)
-            at = next_start(source, at + 1, size)
+            at = next_start(source, at + 1, size, marks)
             continue
         if gap is not None:
             yield gap, at - gap, problem, None
             gap = None
-        yield at, end - at, None, record
+        for trouble, record in found:
+            yield at, end - at, trouble, record
         at = end
     if gap is not None:
         yield gap, size - gap, problem, None
 
 
+def salvage(source, size: int) -> Iterator[tuple[int, int, str | None, dict | None]]:
+    """``(offset, length, problem, record)`` in file order; gaps have a problem and no record. What a member of several
+    records holds has the member's offset and length."""
+    return walk(source, size, read_any, (GZIP, *VERSIONS))
+
+
 def _reader():
     def row_of(path: str, offset: int, length: int, problem: str | None, record: dict | None) -> dict:
         row = {"path": path, "offset": offset, "length": length, "problem": problem}

@@ -235,6 +235,18 @@ def test_salvage_of_uncompressed_records_and_digests():
     assert [(r[0], r[1]) for r in got if r[2]] == [(len(plain[0]), len(bad) + len(cut))]
 
 
+def test_salvage_of_members_with_several_records_and_old_versions():
+    plain = [record(i, b"body %d" % i) for i in range(5)]
+    bad = plain[2].replace(b"body 2", b"BODY 2")  # the digest no longer fits
+    first = warc.gzip_member(plain[0] + plain[1] + bad + plain[3])
+    raw = first + warc.gzip_member(plain[4]) + warc.gzip_member(b"no record")
+    got = read(raw)
+    assert [r[3] for r in got if r[2] is None] == [f"<urn:page:{i}:0>" for i in (0, 1, 3, 4)]
+    assert [(r[0], r[1]) for r in got][:4] == [(0, len(first))] * 4 and got[2][2] and got[-1][2]
+    old = plain[0].replace(b"WARC/1.1", b"WARC/0.18")
+    assert [r[3] for r in read(old + plain[1])] == ["<urn:page:0:0>", "<urn:page:1:0>"]
+
+
 def test_round_trip_edge_cases(spark):
     big = "é" * 800
     rows = [(1, "http://a/\r\nX: y", big), (2, None, big), (2, "u", big), (3, "u", "s" * 999), (4, "u", "s" * 999), (5, "u", None), (6, "u", ""), (None, "u", big)]
