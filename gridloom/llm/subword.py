@@ -63,12 +63,22 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.flatnonzero(first), np.flatnonzero(last) + 1
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each span: a polynomial over all bytes, from one running sum, then scrambled with the length."""
+def span_sums(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A polynomial over the bytes of each span, modulo 2**64, from one running sum."""
     up, down = powers(len(data) + 1)
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:])
-    return mix64((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    return (total[ends] - total[starts]) * down[starts]
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of each span: its polynomial, scrambled with the length."""
+    return mix64(span_sums(data, starts, ends) + (ends - starts).astype(np.uint64))
+
+
+def pair_hashes(words: np.ndarray) -> np.ndarray:
+    """Hash of each two neighbouring words; 0 for a repeated word."""
+    return np.where(words[1:] == words[:-1], np.uint64(0), mix64(words[1:] + mix64(words[:-1])))
 
 
 def packed_ngrams(data: np.ndarray, orders: tuple[int, ...]) -> Iterator[tuple[int, np.ndarray]]:
@@ -97,7 +107,7 @@ def feature_streams(data: np.ndarray, offsets: np.ndarray, s: SubwordSettings) -
     if len(words) > 1:
         row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
         same_row = row[1:] == row[:-1]
-        pairs = np.where(words[1:] == words[:-1], np.uint64(0), mix64(words[1:] + mix64(words[:-1])))[same_row]
+        pairs = pair_hashes(words)[same_row]
         yield bucket(pairs, 2, s.bits), np.searchsorted(row[1:][same_row], np.arange(len(bounds)))
     for n, packed in packed_ngrams(data, s.orders):
         at = np.arange(len(packed))
@@ -106,27 +116,39 @@ def feature_streams(data: np.ndarray, offsets: np.ndarray, s: SubwordSettings) -
         yield bucket(packed[inside], n << 56, s.bits), np.searchsorted(at[inside], offsets)
 
 
-def pieces(data: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[np.ndarray]:
-    """A long text in parts that end after white space where there is some; a feature across a cut is not counted."""
-    at = 0
-    while len(data) - at > limit:
-        window = data[at + limit // 2 : at + limit]
-        spaces = np.flatnonzero((window == 32) | ((window >= 9) & (window <= 13)))
-        cut = at + limit // 2 + int(spaces[-1]) + 1 if len(spaces) else at + limit
-        yield data[at:cut]
-        at = cut
-    yield data[at:]
-
-
-def groups_with_rows(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """``(bytes, offsets, rows)`` of bounded size; one long row comes in several parts."""
-    for i, j in row_groups(offsets):
-        part = data[offsets[i] : offsets[j]]
-        if j - i > 1 or len(part) <= CHUNK_BYTES:
-            yield part, offsets[i : j + 1] - offsets[i], np.arange(i, j)
-        else:
-            for piece in pieces(part):
-                yield piece, np.array([0, len(piece)]), np.array([i])
+def long_features(data: np.ndarray, s: SubwordSettings) -> Iterator[np.ndarray]:
+    """The features of one long row, part by part; words, pairs and n-grams across a cut are counted as any other."""
+    open_sum, open_size = 0, 0  # polynomial and bytes of a word that a cut goes through
+    last = np.zeros(0, np.uint64)  # the word before the part
+    for at in range(0, len(data), CHUNK_BYTES):
+        stop = min(at + CHUNK_BYTES, len(data))
+        part = data[at:stop]
+        starts, ends = word_spans(part, np.array([0, len(part)]))
+        sums, sizes = span_sums(part, starts, ends), (ends - starts).astype(np.uint64)
+        if open_size and len(starts) and starts[0] == 0:
+            sums[0] = (open_sum + pow(BASE, open_size, 1 << 64) * int(sums[0])) % (1 << 64)
+            sizes[0] += np.uint64(open_size)
+        elif open_size:
+            sums, sizes = np.append(np.uint64(open_sum), sums), np.append(np.uint64(open_size), sizes)
+        open_sum, open_size = 0, 0
+        if stop < len(data) and len(ends) and ends[-1] == len(part) and not (data[stop] == 32 or 9 <= data[stop] <= 13):
+            open_sum, open_size = int(sums[-1]), int(sizes[-1])
+            sums, sizes = sums[:-1], sizes[:-1]
+        words = mix64(sums + sizes)
+        yield bucket(words, 1, s.bits)
+        row = np.append(last, words)
+        yield bucket(pair_hashes(row), 2, s.bits)
+        last = row[-1:]
+        for n, packed in packed_ngrams(data[at : stop + max(s.orders) - 1], s.orders):
+            yield bucket(packed[: len(part)], n << 56, s.bits)
+
+
+def row_features(data: np.ndarray, s: SubwordSettings) -> Iterator[np.ndarray]:
+    """The features of one row."""
+    if len(data) > CHUNK_BYTES:
+        yield from long_features(data, s)
+    else:
+        yield from (features for features, _ in feature_streams(data, np.array([0, len(data)]), s))
 
 
 def row_sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -147,9 +169,8 @@ def _bags(s: SubwordSettings):
             counts = []
             for i in range(batch.num_rows):
                 bag = np.zeros(1 << s.bits, np.int64)
-                for piece in pieces(data[offsets[i] : offsets[i + 1]]):
-                    for features, _ in feature_streams(piece, np.array([0, len(piece)]), s):
-                        bag += np.bincount(features, minlength=1 << s.bits)
+                for features in row_features(data[offsets[i] : offsets[i + 1]], s):
+                    bag += np.bincount(features, minlength=1 << s.bits)
                 counts.append(bag)
             found = [np.flatnonzero(bag) for bag in counts]
             ids = [f.astype("<i4").tobytes() for f in found]
@@ -240,10 +261,16 @@ def _scorer(model, s: SubwordSettings):
         for batch in batches:
             data, offsets = text_bytes(batch.column(batch.num_columns - 1))
             sums, counts = np.zeros(batch.num_rows), np.zeros(batch.num_rows)
-            for part, bounds, rows in groups_with_rows(data, offsets):
-                for features, at in feature_streams(part, bounds, s):
-                    sums[rows] += row_sums(margin.take(features), at)
-                    counts[rows] += np.diff(at)
+            for i, j in row_groups(offsets):
+                part = data[offsets[i] : offsets[j]]
+                if len(part) > CHUNK_BYTES:
+                    for features in long_features(part, s):
+                        sums[i] += margin.take(features).sum(dtype=float)
+                        counts[i] += len(features)
+                    continue
+                for features, at in feature_streams(part, offsets[i : j + 1] - offsets[i], s):
+                    sums[i:j] += row_sums(margin.take(features), at)
+                    counts[i:j] += np.diff(at)
             logit = np.clip(sums / np.maximum(counts, 1) + bias, -500, 500)
             columns = [*batch.columns[:-1], pa.array(1 / (1 + np.exp(-logit)))]
             yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:-1], "score"])

@@ -109,6 +109,18 @@ def test_quality_without_labels(spark, frame):
     assert subword.quality_scores(frame([(1, "a")]), model, subword.SubwordSettings(bits=8)).first().score == 0.5
 
 
+def test_features_of_a_long_text_do_not_depend_on_cuts(monkeypatch):
+    s = subword.SubwordSettings(bits=16)
+    rnd = random.Random(3)
+    for words in (["a", "bb", "bb", "éé", "long" * 9], ["x" * 70]):
+        text = ("".join(rnd.choice(words) + rnd.choice([" ", "\n ", " "]) for _ in range(40)) + "end").encode()
+        data = np.frombuffer(text, np.uint8)
+        want = sorted(np.concatenate([f for f, _ in subword.feature_streams(data, np.array([0, len(data)]), s)]).tolist())
+        for size in (1, 5, 16, 33, len(text) - 1):
+            monkeypatch.setattr(subword, "CHUNK_BYTES", size)
+            assert sorted(np.concatenate(list(subword.row_features(data, s))).tolist()) == want
+
+
 def test_features_of_a_word_do_not_depend_on_its_place():
     s = subword.SubwordSettings(bits=20)
     for text in (b"alpha beta alpha", b"xx alpha beta alpha yy", "é alpha beta alpha".encode()):
