@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import blocknames, bytebpe, decontam, jaccard, langmix, linerepeats, pseudonyms, subword, urltree, warc
+from gridloom.llm import blocknames, bytebpe, decontam, jaccard, langmix, linerepeats, pseudonyms, subword, urltree, warc, whitening
 from gridloom.llm.jaccard import JaccardSettings
 from gridloom.llm.urltree import Rule
 from gridloom.llm.registry import QUERIES, SQL, query, table
@@ -144,3 +144,18 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = pseudonyms.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
     return rows.select("row.doc_id", F.size("pii").alias("n_values"), "pii", "row.text")
+
+
+@query("op12_whitening")
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whitening.whiten(table(spark, sf_dir, "embeddings"), components=4)
+    rows = rows.select("row.vec_id", "n", "deviation", "identity_error", F.posexplode(F.arrays_zip("whitened", "explained")).alias("k", "z"))
+    return rows.select(
+        "vec_id",
+        (F.col("k") + 1).cast("int").alias("component"),
+        "n",
+        F.col("deviation").cast("long").alias("deviation"),
+        F.col("z.whitened").alias("whitened"),
+        F.col("z.explained").alias("explained"),
+        "identity_error",
+    )
