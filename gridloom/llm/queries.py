@@ -6,8 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import blocknames, bytebpe, decontam, jaccard, langmix, linerepeats, pseudonyms, subword, urltree, warc, whitening
+from gridloom.llm import blocknames, bytebpe, decontam, jaccard, langmix, linerepeats, minhash, pseudonyms, subword, urltree, warc, whitening
 from gridloom.llm.jaccard import JaccardSettings
+from gridloom.llm.minhash import MinHashSettings
 from gridloom.llm.urltree import Rule
 from gridloom.llm.registry import QUERIES, SQL, query, table
 
@@ -146,6 +147,11 @@ def op10_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("row.doc_id", F.size("pii").alias("n_values"), "pii", "row.text")
 
 
+@query("op11_minhash")
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), MinHashSettings(words=2, percent=80))
+
+
 @query("op12_whitening")
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = whitening.whiten(table(spark, sf_dir, "embeddings"), components=4)
