@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import blocknames, bytebpe, decontam, jaccard, langmix, linerepeats, minhash, pseudonyms, subword, urltree, warc, whitening
+from gridloom.llm import blocknames, bytebpe, decontam, jaccard, langmix, lexical, linerepeats, minhash, pseudonyms, subword, urltree, warc, whitening
 from gridloom.llm.jaccard import JaccardSettings
 from gridloom.llm.minhash import MinHashSettings
 from gridloom.llm.urltree import Rule
@@ -165,3 +165,34 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("z.explained").alias("explained"),
         "identity_error",
     )
+
+
+SEARCH_SQL = r"""
+WITH tokens AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')),
+                           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM documents
+), counts AS (SELECT doc_id, term, count(*) AS tf FROM tokens GROUP BY ALL),
+lengths AS (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM counts GROUP BY doc_id),
+whole AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM lengths),
+items AS (
+  SELECT DISTINCT item_id, translate(unnest(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')),
+                           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM benchmark
+), weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) AS BIGINT) AS w
+  FROM (SELECT term, count(*) AS df FROM counts GROUP BY term), whole
+), impacts AS (
+  SELECT doc_id, term, (1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // terms)) AS v
+  FROM counts JOIN lengths USING (doc_id), whole
+), scores AS (
+  SELECT item_id, doc_id, CAST(sum(w * v) AS BIGINT) AS score
+  FROM items JOIN weights USING (term) JOIN impacts USING (term) GROUP BY item_id, doc_id
+), ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM scores WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+
+@query("op13_ranked_search", SEARCH_SQL)
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

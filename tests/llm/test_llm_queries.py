@@ -17,7 +17,7 @@ from gridloom.llm.registry import QUERIES, SQL
 
 
 def test_one_query_per_operator_and_the_pipeline():
-    for n in range(1, 11):
+    for n in (*range(1, 14),):
         assert sum(name.startswith(f"op{n}_") for name in QUERIES) == 1
     assert set(QUERIES) | {"pipeline"} <= set(contract.queries())
 
