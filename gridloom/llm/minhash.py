@@ -6,9 +6,10 @@ that two sets agree in a bin is their similarity, however few shingles they have
 documents with an equal band meet in a bucket.
 
 In a bucket only pairs with one leader are candidates, so a bucket costs as many pairs as it has documents. The links that
-hold on the full sets give components. A bucket that still holds several components gets its next leader (the smallest id
-after the last one), round after round, as long as rounds find links. What is then left of mixed buckets is
-compared pair by pair across components, so no pair of a bucket that could join two components is left out.
+hold on the full sets give components. The first leader is the smallest id, which the buckets of a group share. Buckets that
+still hold several components get a second leader each, drawn by a hash, so that many documents of a large group lead.
+What is then left in mixed buckets is compared across components, where parity bits show that the sets may be similar
+enough, so no pair of a bucket that could join two components is left out.
 """
 
 from __future__ import annotations
@@ -19,12 +20,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.arrowtext import mix64
 from gridloom.llm.components import components
-from gridloom.llm.jaccard import MIX, row_filter, shingle_sets, word_groups
+from gridloom.llm.jaccard import MIX, PARITY_BITS, parity_words, row_filter, shingle_sets, word_groups
 from gridloom.session import materialize
 
 
@@ -95,14 +96,16 @@ def _signer(s: MinHashSettings):
 
 
 def _setter(sent, s: MinHashSettings):
-    """``id, tokens`` of the rows that may be wanted (second column: their slot in the filter)."""
+    """``id, tokens, parity`` of the rows that may be wanted (second column: their slot in the filter)."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             batch = batch.filter(pa.array(sent.value[batch.column(1).to_numpy()]))
             for i, j, hashes, bounds in word_groups(batch.column(2)):
-                sets = [tokens.tobytes() for tokens, _ in shingle_sets(hashes, bounds, s.words)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(sets, pa.binary())], ["id", "tokens"])
+                sets = [tokens for tokens, _ in shingle_sets(hashes, bounds, s.words)]
+                columns = [batch.column(0).slice(i, j - i), pa.array([x.tobytes() for x in sets], pa.binary())]
+                columns.append(pa.array([parity_words(x) for x in sets], pa.list_(pa.int64())))
+                yield pa.RecordBatch.from_arrays(columns, ["id", "tokens", "parity"])
 
     return kernel
 
@@ -122,63 +125,69 @@ def _confirm(percent: int):
 
 
 class _Stars:
-    """Candidate edges of buckets ``key, id, n`` and their verification on the sets ``id, tokens``."""
+    """Candidate edges of buckets ``key, id, n`` and their verification on the sets ``id, tokens, parity``."""
 
     def __init__(self, buckets: DataFrame, sets: DataFrame, percent: int):
         self.sets, self.percent = sets, percent
-        # Without a leader yet; every document is a component of its own.
-        self.rows = buckets.withColumn("c", F.col("id"))
-        self.links: list[DataFrame] = []
-
-    def _verify(self, pairs: DataFrame) -> int:
-        """Keep the pairs ``x, nx, y, ny`` whose full sets are similar; their number."""
-        small, large = F.least("nx", "ny"), F.greatest("nx", "ny")
-        pairs = pairs.where(small * 100 >= large * self.percent).select("x", "y").distinct()
+        self.rows = buckets.withColumn("c", F.col("id"))  # every document is a component of its own
+        self.links: DataFrame | None = None
+
+    def _fits(self, nx: Column, ny: Column) -> Column:
+        """Whether sets of these sizes can be similar enough."""
+        return F.least(nx, ny) * 100 >= F.greatest(nx, ny) * self.percent
+
+    def _near(self, x: str, y: str) -> Column:
+        """Whether the parity bits allow it: two sets differ in as many tokens as bits at least."""
+        bits = [F.bit_count(F.col(f"{x}.parity")[k].bitwiseXOR(F.col(f"{y}.parity")[k])) for k in range(PARITY_BITS // 64)]
+        both = F.col(f"{x}.n") + F.col(f"{y}.n")
+        shared = F.call_function("div", self.percent * both + 99 + self.percent, F.lit(100 + self.percent))
+        return sum(bits[1:], bits[0]) <= both - 2 * shared
+
+    def _verify(self, pairs: DataFrame) -> None:
+        """Add the pairs ``x, y`` whose full sets are similar to the links."""
         # Written first: the adaptive plan cuts a leader of many pairs only where a join reads plain exchanges.
-        pairs = materialize(pairs, "candidates")
+        pairs = materialize(pairs.select("x", "y").distinct(), "candidates")
         for side, name in (("x", "left"), ("y", "right")):
             pairs = pairs.join(self.sets.select(F.col("id").alias(side), F.col("tokens").alias(name)), side)
         found = pairs.select("x", "y", "left", "right").mapInArrow(_confirm(self.percent), "x bigint, y bigint")
         found = materialize(found, "links")
-        self.links.append(found)
-        return found.count()
-
-    def all_links(self) -> DataFrame:
-        out = self.links[0]
-        for more in self.links[1:]:
-            out = out.unionByName(more)
-        return out
-
-    def _mixed(self) -> None:
-        """Give the rows their present components and leave buckets of one component out."""
-        if self.links:
-            groups = materialize(components(self.all_links(), "x", "y"), "groups")
-            rows = self.rows.drop("c").join(groups, F.col("id") == F.col("node"), "left")
-            self.rows = rows.select("key", "id", "n", F.coalesce("component", "id").alias("c"))
-        by_key = self.rows.groupBy("key").agg(F.min("c").alias("a"), F.max("c").alias("b"), F.min(F.struct("id", "n", "c")).alias("leader"))
+        self.links = found if self.links is None else self.links.unionByName(found)
+
+    def _mixed(self, leader: Column) -> None:
+        """Give the rows their present components, leave buckets of one component out and choose a leader for the others."""
+        if self.links is not None:
+            groups = materialize(components(self.links, "x", "y"), "groups")
+            rows = self.rows.drop("c", "leader").join(groups, F.col("id") == F.col("node"), "left")
+            self.rows = rows.select(*(x for x in rows.columns if x not in ("node", "component")), F.coalesce("component", "id").alias("c"))
+        by_key = self.rows.groupBy("key").agg(F.min("c").alias("a"), F.max("c").alias("b"), F.min(leader).alias("leader"))
         by_key = materialize(by_key.where("a <> b").select("key", "leader"), "leaders")
         self.rows = materialize(self.rows.join(by_key, "key"), "mixed")
 
     def run(self) -> DataFrame:
-        """All links ``x, y`` needed for the components."""
-        while True:
-            self._mixed()
-            apart = self.rows.where("c <> leader.c")
-            found = self._verify(
-                apart.select(F.col("leader.id").alias("x"), F.col("leader.n").alias("nx"), F.col("id").alias("y"), F.col("n").alias("ny"))
-            )
-            # A leader has met its whole bucket; the rest of the bucket goes on without it.
-            self.rows = self.rows.where("id > leader.id").drop("leader")
-            if found == 0:
-                break
-        self._mixed()
-        rest = self.rows.drop("leader")
-        x, y = rest.alias("x"), rest.alias("y")
-        small, large = F.least("x.n", "y.n"), F.greatest("x.n", "y.n")
-        fits = (F.col("x.id") < F.col("y.id")) & (F.col("x.c") != F.col("y.c")) & (small * 100 >= large * self.percent)
-        pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & fits)
-        self._verify(pairs.select(F.col("x.id").alias("x"), F.col("x.n").alias("nx"), F.col("y.id").alias("y"), F.col("y.n").alias("ny")))
-        return self.all_links()
+        """All links ``x, y`` that are needed for the components."""
+        self._mixed(F.struct("id", "n", "c"))
+        self._verify(self._led())
+        # Few rows are left that have not met their likes; they carry their parity bits from here on.
+        self._mixed(F.struct("id", "n", "c"))
+        self.rows = materialize(self.rows.drop("leader").join(self.sets.select("id", "parity"), "id"), "bits")
+        self._verify(self._salted())
+        self._mixed(F.struct("id"))
+        x, y = self.rows.alias("x"), self.rows.alias("y")
+        open_pair = (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.c") != F.col("y.c"))
+        pairs = x.join(y, open_pair & self._fits(F.col("x.n"), F.col("y.n")) & self._near("x", "y"))
+        self._verify(pairs.select(F.col("x.id").alias("x"), F.col("y.id").alias("y")))
+        return self.links
+
+    def _led(self) -> DataFrame:
+        apart = self.rows.where((F.col("c") != F.col("leader.c")) & self._fits(F.col("n"), F.col("leader.n")))
+        return apart.select(F.col("leader.id").alias("x"), F.col("id").alias("y"))
+
+    def _salted(self) -> DataFrame:
+        drawn = F.struct(F.xxhash64("key", "id").alias("draw"), "id", "n", "c", "parity")
+        leaders = materialize(self.rows.groupBy("key").agg(F.min(drawn).alias("l")), "leaders").select("key", "l.*").alias("l")
+        rows = self.rows.alias("r").join(leaders, F.col("r.key") == F.col("l.key"))
+        rows = rows.where((F.col("r.c") != F.col("l.c")) & self._fits(F.col("r.n"), F.col("l.n")) & self._near("r", "l"))
+        return rows.select(F.least("l.id", "r.id").alias("x"), F.greatest("l.id", "r.id").alias("y"))
 
 
 # --- the operator ----------------------------------------------------------------------------------------
@@ -202,7 +211,7 @@ def near_duplicates(docs: DataFrame, s: MinHashSettings = MinHashSettings(), id_
     buckets = materialize(buckets.join(materialize(shared, "shared"), "key"), "buckets")
     sent = docs.sparkSession.sparkContext.broadcast(row_filter(buckets.select("id")))
     slots = docs.where("id is not null").select("id", F.pmod(F.xxhash64("id"), F.lit(len(sent.value))).cast("int").alias("slot"), "text")
-    sets = slots.mapInArrow(_setter(sent, s), "id bigint, tokens binary")
+    sets = slots.mapInArrow(_setter(sent, s), "id bigint, tokens binary, parity array<bigint>")
     # Rows of an id outside the buckets come through the filter by chance and match no pair.
     sets = materialize(sets.where(F.length("tokens") > 0).distinct(), "tokens")
     sent.unpersist()
