@@ -164,17 +164,17 @@ def _bags(s: SubwordSettings):
     """Per sampled row its distinct features and their counts, packed."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bag = np.zeros(1 << s.bits, np.int64)  # one for all rows: only what a row holds is kept
         for batch in batches:
             data, offsets = text_bytes(batch.column(1))
-            counts = []
+            ids, weights = [], []
             for i in range(batch.num_rows):
-                bag = np.zeros(1 << s.bits, np.int64)
+                bag[:] = 0
                 for features in row_features(data[offsets[i] : offsets[i + 1]], s):
                     bag += np.bincount(features, minlength=1 << s.bits)
-                counts.append(bag)
-            found = [np.flatnonzero(bag) for bag in counts]
-            ids = [f.astype("<i4").tobytes() for f in found]
-            weights = [bag[f].astype("<i4").tobytes() for bag, f in zip(counts, found)]
+                found = np.flatnonzero(bag)
+                ids.append(found.astype("<i4").tobytes())
+                weights.append(bag[found].astype("<i4").tobytes())
             columns = [batch.column(0), pa.array(ids, pa.binary()), pa.array(weights, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["label", "ids", "counts"])
 
