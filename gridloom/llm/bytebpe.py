@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import tiktoken
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm.arrowtext import row_groups, text_bytes
@@ -388,13 +388,24 @@ def decode(encoded: DataFrame, tables) -> DataFrame:
     return encoded.mapInArrow(_decoder(tables), f"{fields}ids binary, decoded binary")
 
 
+def _digester(tables):
+    """Both kernels in one Python node; only digests leave it."""
+    encoded, decoded = _encoder(tables), _decoder(tables)
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in decoded(encoded(batches)):
+            ids = [x.as_buffer() for x in batch.column("ids")]
+            columns = [batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64())]
+            columns.append(pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()))
+            columns.append(pa.array([hashlib.sha256(x.as_buffer()).hexdigest() for x in batch.column("decoded")], pa.string()))
+            yield pa.RecordBatch.from_arrays(columns, [batch.schema.names[0], "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return kernel
+
+
 def digests(docs: DataFrame, rank_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode and decode; per row the number of ids and SHA-256 of the ids and of the decoded bytes."""
     tables = tables_of(docs.sparkSession, rank_path)
-    ids: Column = F.col("ids")
-    return decode(encode(docs, tables, [id_col], text_col), tables).select(
-        id_col,
-        (F.length(ids) / 4).cast("long").alias("n_tokens"),
-        F.sha2(ids, 256).alias("ids_sha256"),
-        F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
-    )
+    slim = docs.select(id_col, F.col(text_col).alias("__text"))
+    kind = slim.dtypes[0][1]
+    return slim.mapInArrow(_digester(tables), f"`{id_col}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
