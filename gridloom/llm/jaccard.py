@@ -5,9 +5,10 @@ documents) and then by a salted hash; the salts give different orders. If two se
 share tokens of their prefixes under every such order, so a pair must pass all of them before it is verified.
 
 Large groups of near copies are not expanded into pairs: in each bucket (prefix token and size class) all
-documents are first compared with one leader, the links found give components, and then only documents
-of a bucket that are still in different components are compared. No pair that could add a link
-between components is left out, so the components are exact.
+documents are first compared with one leader and the links found give components. Buckets that are still mixed get a
+second leader, each its own, so that many documents of a large group lead. Then only documents of a bucket that are still
+in different components are compared, in the bucket of the first token they share (a later one can't be followed by
+enough tokens). No pair that could add a link between components is left out, so the components are exact.
 """
 
 from __future__ import annotations
@@ -198,16 +199,17 @@ def _poster(sent, s: JaccardSettings):
             batch = _filtered(batch, wanted)
             ids = batch.column(0).to_numpy()
             for i, j, hashes, bounds in word_groups(batch.column(2)):
-                rows, tokens, sizes, leads = [], [], [], []
+                rows, tokens, sizes, leads, places = [], [], [], [], []
                 for row, (found, grades) in enumerate(shingle_sets(hashes, bounds, s.words, classes), i):
                     n = len(found)
                     size = prefix_length(n, shared_with_any(n, s), s.common)
                     rows.append(np.full(size, ids[row]))
                     tokens.append(in_order(found, grades, 0)[:size].view(np.int64))
                     sizes.append(np.full(size, n, np.int32))
-                    leads.append(np.arange(size) < prefix_length(n, shared_with_larger(n, s), s.common))
-                columns = [pa.array(np.concatenate(c)) for c in (tokens, rows, sizes, leads)]
-                yield pa.RecordBatch.from_arrays(columns, ["token", "id", "n", "lead"])
+                    places.append(np.arange(size, dtype=np.int32))
+                    leads.append(places[-1] < prefix_length(n, shared_with_larger(n, s), s.common))
+                columns = [pa.array(np.concatenate(c)) for c in (tokens, rows, sizes, leads, places)]
+                yield pa.RecordBatch.from_arrays(columns, ["token", "id", "n", "lead", "at"])
 
     return kernel
 
@@ -289,7 +291,7 @@ class JaccardJoin:
         sent = self.spark.sparkContext.broadcast((self.classes, row_filter(reps)))
         filtered = self.docs.where("id is not null").select("id", _slot().alias("slot"), "text")
         # The smaller set of a linked pair meets the larger one in its short prefix (``lead``) already.
-        postings = filtered.mapInArrow(_poster(sent, s), "token bigint, id bigint, n int, lead boolean")
+        postings = filtered.mapInArrow(_poster(sent, s), "token bigint, id bigint, n int, lead boolean, at int")
         # Most prefix tokens are in one document only: count first, then keep those of two or more.
         postings = materialize(postings, "postings")
         counts = postings.groupBy("token").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.max("lead").alias("lead"))
@@ -300,7 +302,7 @@ class JaccardJoin:
         # Sizes of linked sets differ by the similarity at most: same or next size class. A bucket is a
         # token and two neighbouring classes, so every linked pair is in a bucket together.
         band = self._band(F.col("n"))
-        shared = shared.select("token", "id", "n", "lead", F.explode(F.array(band, band + 1)).alias("band"))
+        shared = shared.select("token", "id", "n", "lead", "at", F.explode(F.array(band, band + 1)).alias("band"))
         shared = materialize(shared, "shared")
         smallest = F.min(F.when(F.col("lead"), F.struct("n", "id")))
         buckets = shared.groupBy("token", "band").agg(smallest.alias("first"), F.max(F.struct("n", "id")).alias("last"))
@@ -308,44 +310,60 @@ class JaccardJoin:
         star = shared.join(buckets, ["token", "band"]).where(F.col("first") < F.struct("n", "id"))
         star = star.select(F.col("first.id").alias("x"), F.col("first.n").alias("nx"), F.col("id").alias("y"), F.col("n").alias("ny"), "band")
         first = materialize(self._verify(self._candidates(star)), "links")
-        groups = materialize(components(first, "x", "y"), "groups")
-        rest = materialize(self._verify(self._candidates(self._across(shared, groups, same))), "links")
-        return components(first.unionByName(rest), "x", "y")
-
-    def _across(self, shared: DataFrame, groups: DataFrame, same: DataFrame) -> DataFrame:
-        """Pairs of a bucket whose components differ. The bucket's largest component is not paired with itself.
-
-        Sets whose parity bits differ in more bits than linked sets have tokens of their own are left out in the join.
-        """
-        marked = shared.join(groups, shared["id"] == groups["node"], "left")
-        marked = marked.select("token", "band", "id", "n", "lead", F.coalesce("component", "id").alias("c"))
-        keys = marked.groupBy("token", "band").agg(F.min("c").alias("a"), F.max("c").alias("b"), F.max("lead").alias("lead"))
-        keys = materialize(keys.where("a <> b and lead").select("token", "band"), "keys")
-        marked = materialize(marked.join(keys, ["token", "band"]), "mixed")
-        sizes = marked.groupBy("token", "band", "c").agg(F.count(F.lit(1)).alias("size"))
-        top = sizes.groupBy("token", "band").agg(F.max(F.struct("size", "c")).alias("top"))
-        marked = marked.join(materialize(top, "top"), ["token", "band"])
-        marked = marked.select("token", "band", "id", "n", "lead", "c", (F.col("c") == F.col("top.c")).alias("major"))
+        mixed = self._mixed(shared, first)
         # An id has one row here unless rows with one id differ in their sets; then no bits are compared for it.
         bits = same.groupBy("rep").agg(F.when(F.count(F.lit(1)) == 1, F.first("parity")).alias("parity"))
         bits = materialize(bits, "parity")
-        marked = materialize(marked.join(bits, marked["id"] == bits["rep"]).drop("rep"), "marked")
+        mixed = materialize(mixed.join(bits, mixed["id"] == bits["rep"]).drop("rep"), "marked")
+        links = first.unionByName(materialize(self._verify(self._distinct(self._drawn(mixed))), "links"))
+        mixed = self._mixed(mixed.drop("c"), links)
+        rest = materialize(self._verify(self._distinct(self._across(mixed))), "links")
+        return components(links.unionByName(rest), "x", "y")
+
+    def _mixed(self, shared: DataFrame, links: DataFrame) -> DataFrame:
+        """The rows of buckets that hold several components, with their component ``c``."""
+        groups = materialize(components(links, "x", "y"), "groups")
+        marked = shared.join(groups, shared["id"] == groups["node"], "left").withColumn("c", F.coalesce("component", "id"))
+        marked = marked.drop("node", "component")
+        keys = marked.groupBy("token", "band").agg(F.min("c").alias("a"), F.max("c").alias("b"), F.max("lead").alias("lead"))
+        keys = materialize(keys.where("a <> b and lead").select("token", "band"), "keys")
+        return materialize(marked.join(keys, ["token", "band"]), "mixed")
+
+    def _drawn(self, mixed: DataFrame) -> DataFrame:
+        """Pairs of each bucket with a document that is drawn by a hash."""
+        draw = F.struct(F.xxhash64("token", "id").alias("draw"), "id", "n", "lead", "at", "c", "parity")
+        leaders = materialize(mixed.groupBy("token", "band").agg(F.min(draw).alias("l")), "leaders")
+        leaders = leaders.select("token", "band", "l.*").drop("draw")
+        return self._pairs(leaders, mixed).unionByName(self._pairs(mixed, leaders))
+
+    def _across(self, mixed: DataFrame) -> DataFrame:
+        """Pairs of a bucket whose components differ. The bucket's largest component is not paired with itself."""
+        sizes = mixed.groupBy("token", "band", "c").agg(F.count(F.lit(1)).alias("size"))
+        top = sizes.groupBy("token", "band").agg(F.max(F.struct("size", "c")).alias("top"))
+        marked = mixed.join(materialize(top, "top"), ["token", "band"])
+        marked = materialize(marked.withColumn("major", F.col("c") == F.col("top.c")).drop("top"), "marked")
         minor = marked.where("not major")
-        pairs = self._pairs(minor.where("lead"), marked)
-        return pairs.unionByName(self._pairs(marked.where("lead and major"), minor))
+        return self._pairs(minor, marked).unionByName(self._pairs(marked.where("major"), minor))
 
     def _pairs(self, smaller: DataFrame, larger: DataFrame) -> DataFrame:
-        x, y = smaller.alias("x"), larger.alias("y")
+        """Pairs of rows of a bucket that can be linked, the first the smaller set.
+
+        Left out are those of one component, those whose parity bits differ in more bits than linked sets have tokens of their
+        own, and those of which a row has too few tokens behind this one if it is the first that they share.
+        """
+        x, y = smaller.where("lead").alias("x"), larger.alias("y")
         fits = (F.col("x.c") != F.col("y.c")) & (F.struct("x.n", "x.id") < F.struct("y.n", "y.id"))
         fits &= self._sizes_fit(F.col("x.n"), F.col("y.n")) & self._own_bucket(F.col("y.n"), F.col("x.band"))
+        both = self._both(F.col("x.n"), F.col("y.n"))
+        fits &= F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at")) >= both
         words = range(PARITY_BITS // 64)
         differ = sum(F.bit_count(F.col("x.parity")[k].bitwiseXOR(F.col("y.parity")[k])) for k in words)
-        apart = F.col("x.n") + F.col("y.n") - 2 * self._both(F.col("x.n"), F.col("y.n"))
-        fits &= F.coalesce(differ <= apart, F.lit(True))
+        fits &= F.coalesce(differ <= F.col("x.n") + F.col("y.n") - 2 * both, F.lit(True))
         same = (F.col("x.token") == F.col("y.token")) & (F.col("x.band") == F.col("y.band"))
-        return x.join(y, same & fits).select(
-            F.col("x.id").alias("x"), F.col("x.n").alias("nx"), F.col("y.id").alias("y"), F.col("y.n").alias("ny"), F.col("x.band").alias("band")
-        )
+        return x.join(y, same & fits).select(F.col("x.id").alias("x"), F.col("x.n").alias("nx"), F.col("y.id").alias("y"), F.col("y.n").alias("ny"))
+
+    def _distinct(self, pairs: DataFrame) -> DataFrame:
+        return materialize(pairs.distinct(), "candidates")
 
     def _both(self, a: Column, b: Column) -> Column:
         """Tokens that linked sets of these sizes share at least."""
