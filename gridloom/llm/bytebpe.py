@@ -10,6 +10,7 @@ the states. A second table says at which (state, symbol) a slice begins.
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
 import unicodedata
 from collections.abc import Iterator
