@@ -42,13 +42,16 @@ def years_of(bands: DataFrame) -> DataFrame:
 
 
 def file_names(years: DataFrame, prefix: str = "tasmax_day_") -> DataFrame:
-    return years.select("year", F.concat(F.lit(prefix), F.col("year").cast("string"), F.lit(".tif")).alias("name"))
+    return years.select(*years.columns, F.concat(F.lit(prefix), F.col("year").cast("string"), F.lit(".tif")).alias("name"))
 
 
-def worklist(files: DataFrame, days: int) -> DataFrame:
-    """One row per (file, day ordinal): the day list is generated from each file row. No days give no rows."""
-    ordinals = F.sequence(F.lit(0), F.lit(days - 1)) if days > 0 else F.array().cast("array<int>")
-    return files.withColumn("band", F.explode(ordinals))
+def worklist(files: DataFrame, days: int | str = "days") -> DataFrame:
+    """One row per (file, day ordinal): the day list is generated from each file row, ``days`` long (a number or the
+    name of a column, which goes). No days give no rows."""
+    length = F.col(days) if isinstance(days, str) else F.lit(days)
+    ordinals = F.when(length > 0, F.sequence(F.lit(0), length - 1))
+    rows = files.withColumn("band", F.explode(ordinals))
+    return rows.drop(days) if isinstance(days, str) else rows
 
 
 def with_mask(cells: DataFrame, lo: float, hi: float) -> DataFrame:

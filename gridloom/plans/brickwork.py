@@ -11,7 +11,7 @@ from gridloom.plans import sqltext as Q
 from gridloom.plans.placement import _volume
 from gridloom.plans.registry import PARTS, ints_text, micros_text, query
 from gridloom.session import scratch_path
-from gridloom.sources import etl
+from gridloom.sources import published
 from gridloom.sources import fixtures as fx
 
 EXTENT = ["min_x", "max_x", "min_y", "max_y", "min_z", "max_z"]
@@ -119,8 +119,9 @@ def whole_extent(spark, sf):
 @query("brick_sink", Z_BRICKS)
 def brick_sink(spark, sf):
     table = bricks.brick(fx.vox_sparse(spark, sf), _z_layout(spark, sf))
-    stored = etl.save(table, scratch_path(spark, "bricks"), partition_by=["pid"], order_by=["block"])
-    return _shown(stored)
+    path = scratch_path(spark, "bricks")
+    published.publish(table.repartitionByRange("pid", "block"), path)
+    return _shown(published.read(spark, path))
 
 
 @query(

@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridloom.functions.slabs import Slabs
-from gridloom.operators import bricks, grid, place, raster, tomo
+from gridloom.operators import bricks, grid, intervals, place, raster, tomo
 from gridloom.plans import sqltext as Q
 from gridloom.plans.registry import PARTS, query
 from gridloom.plans.scans import MASK, NX
@@ -84,11 +84,11 @@ def slice_lookup(spark, sf):
 
 @query(
     "files_x_days",
-    f"""WITH {Q.BANDS}, {Q.CAP} SELECT year, concat('tasmax_day_', year, '.tif') AS name, CAST(unnest(range(days)) AS INTEGER) AS band
-FROM (SELECT DISTINCT year FROM bands), cap""",
+    f"""WITH {Q.BANDS}, {Q.DAY_LIST} SELECT year, concat('tasmax_day_', year, '.tif') AS name, CAST(unnest(range(days)) AS INTEGER) AS band
+FROM day_list""",
 )
 def files_x_days(spark, sf):
-    return raster.worklist(raster.file_names(_years(spark, sf)), fx.common_bands(spark, sf)[0])
+    return raster.worklist(raster.file_names(fx.day_lists(spark, sf)))
 
 
 @query(
@@ -97,12 +97,27 @@ def files_x_days(spark, sf):
 SELECT i.index, s.pid, s.lo, s.hi FROM ijk i JOIN slabs s ON i.index >= s.lo * i.plane AND i.index < s.hi * i.plane""",
 )
 def owner_join(spark, sf):
-    # the threshold list is a closed form, so the range join is an expression
+    # cumulative thresholds from the slab widths, as a list like any other
     dims = fx.vox_dims(spark, sf)
-    slabs = Slabs(dims.nz, PARTS, "threshold")
-    owned = place.with_owner(fx.vox(spark, sf), dims, "z", slabs)
-    pid = F.col("pid")
-    return owned.select("index", "pid", slabs.start(pid).cast("bigint").alias("lo"), slabs.end(pid).cast("bigint").alias("hi"))
+    widths = place.slab_table(spark, Slabs(dims.nz, PARTS, "threshold")).select("pid", F.col("width").alias("size"))
+    listed = place.running_offsets(widths)
+    cells = listed.select("pid", (F.col("lo") * dims.plane).alias("lo"), (F.col("hi") * dims.plane).alias("hi"))
+    owned = intervals.owner_by_list(fx.vox(spark, sf).select("index"), "index", cells)
+    slab = lambda c: (F.col(c) / dims.plane).cast("bigint").alias(c)
+    return owned.select("index", F.col("pid").cast("int").alias("pid"), slab("lo"), slab("hi"))
+
+
+@query(
+    "owner_join_list",
+    f"""WITH {Q.VOX}, listed AS (SELECT CAST(s_suppkey AS BIGINT) AS pid, CAST(s_suppkey * 10 AS BIGINT) AS lo,
+  CAST(s_suppkey * 10 + s_suppkey % 7 + 1 AS BIGINT) AS hi FROM supplier)
+SELECT i.index, s.pid, s.lo, s.hi FROM vox i JOIN listed s ON i.index >= s.lo AND i.index < s.hi""",
+)
+def owner_join_list(spark, sf):
+    # a list with gaps and uneven widths, which no closed form describes
+    key = F.col("s_suppkey").cast("bigint")
+    listed = fx.table(spark, sf, "supplier").select(key.alias("pid"), (key * 10).alias("lo"), (key * 10 + key % 7 + 1).alias("hi"))
+    return intervals.owner_by_list(fx.vox(spark, sf).select("index"), "index", listed)
 
 
 def _ray_table(spark, sf):

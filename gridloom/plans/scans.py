@@ -9,8 +9,8 @@ from gridloom.operators import raster
 from gridloom.operators.grid import PACK_CELLS
 from gridloom.plans import sqltext as Q
 from gridloom.plans.registry import ints_text, micros_text, query
-from gridloom.session import broadcast_if_small, scratch_path
-from gridloom.sources import etl
+from gridloom.session import scratch_path
+from gridloom.sources import archive, etl
 from gridloom.sources import fixtures as fx
 
 NX = fx.BAND_SIDE
@@ -52,21 +52,21 @@ def param_rows(spark, sf):
 
 @query("band_scan_long", f"WITH {Q.CELLS} SELECT year, band, y, x, value FROM cells")
 def band_scan_long(spark, sf):
-    return raster.bands_long(fx.bands(spark, sf), NX).select("year", "band", "y", "x", "value")
+    stored = archive.read(spark, fx.archived_bands(spark, sf))
+    return raster.bands_long(stored, NX).select("year", "band", "y", "x", "value")
 
 
 @query(
     "band_worklist_scan",
-    f"""WITH {Q.CELLS}, {Q.CAP}, files AS (SELECT DISTINCT year FROM bands),
-work AS (SELECT year, CAST(unnest(range(days)) AS INTEGER) AS band FROM files, cap)
+    f"""WITH {Q.CELLS}, {Q.DAY_LIST},
+work AS (SELECT year, CAST(unnest(range(days)) AS INTEGER) AS band FROM day_list)
 SELECT year, band, string_agg(CAST(CAST(round(value * 1000000) AS BIGINT) AS VARCHAR), ',' ORDER BY cell) AS pixels
 FROM cells JOIN work USING (year, band) GROUP BY year, band""",
 )
 def band_worklist_scan(spark, sf):
-    days, years = fx.common_bands(spark, sf)
-    work = raster.worklist(raster.years_of(fx.band_arrays(spark, sf)), days)
-    listed = fx.band_ids(spark, sf).join(broadcast_if_small(work, days * years, 64), ["year", "band"])
-    return fx.picked_bands(spark, sf, listed, days * years).select("year", "band", micros_text(F.col("pixels")).alias("pixels"))
+    work = raster.worklist(fx.day_lists(spark, sf))
+    found = archive.read_listed(spark, fx.archived_bands(spark, sf), work)
+    return found.select("year", "band", micros_text(F.col("pixels")).alias("pixels"))
 
 
 @query(
@@ -89,7 +89,7 @@ SELECT year, CAST(band AS BIGINT) * 64 + cell AS index, CAST(trunc(value * 100.0
        round(value * 100.0, 6) AS value FROM cells""",
 )
 def volume_scan(spark, sf):
-    stacked = etl.stack_pages(fx.bands(spark, sf), PLANE, SCALE)
+    stacked = etl.stack_pages(archive.read(spark, fx.archived_bands(spark, sf)), PLANE, SCALE)
     return stacked.select(
         "year", "index", F.col("value").cast("int").alias("value_int"), F.round("value", 6).alias("value")
     )

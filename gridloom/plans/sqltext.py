@@ -39,6 +39,9 @@ BANDS = """bands AS (SELECT 2006 + label AS year,
 #: The number of bands that every year has.
 CAP = "cap AS (SELECT min(n) AS days FROM (SELECT count(*) AS n FROM bands GROUP BY year))"
 
+#: The day list of a file: its bands up to the length of a year, so that a leap day goes.
+DAY_LIST = "day_list AS (SELECT year, least(count(*), 365) AS days FROM bands GROUP BY year)"
+
 CELLS = f"""{BANDS},
 cells AS (SELECT year, band, CAST(c AS INTEGER) AS cell, CAST(c // 8 AS INTEGER) AS y, CAST(c % 8 AS INTEGER) AS x,
                  CAST(pixels[c + 1] AS DOUBLE) AS value

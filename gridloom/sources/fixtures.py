@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from gridloom.functions.index import idiv
 from gridloom.model import GridDims, TiltGeometry, fourth_root
 from gridloom.operators.grid import rank_in_group
-from gridloom.session import broadcast_if_small
+from gridloom.session import broadcast_if_small, scratch_path
+from gridloom.sources import archive
 
 BAND_SIDE = 8
 FIRST_YEAR = 2006
@@ -125,6 +126,23 @@ def common_bands(spark: SparkSession, sf_dir: str) -> tuple[int, int]:
     return row[0] or 0, row[1]
 
 
+#: Days of a day list at most: a leap day goes.
+DAYS = 365
+
+
+def day_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``year, days``: the length of each file's own day list, its bands but no more than ``DAYS``."""
+    counts = band_arrays(spark, sf_dir).groupBy("year").agg(F.count(F.lit(1)).alias("n"))
+    return counts.select("year", F.least("n", F.lit(DAYS)).cast("int").alias("days"))
+
+
+def archived_bands(spark: SparkSession, sf_dir: str) -> str:
+    """All bands as an archive in a scratch folder; its path."""
+    path = scratch_path(spark, "bands")
+    archive.save(bands(spark, sf_dir), path)
+    return path
+
+
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``year, day, x, y, value``: one row per pixel observation."""
     return table(spark, sf_dir, "lineitem").select(
