@@ -1,17 +1,16 @@
-"""Repeated passages of lines, by the content of windows and by winnowing over line hashes.
+"""Repeated passages of lines by winnowing over line hashes.
 
-The windows of a document are its shortest stretches of lines with at least ``min_words`` words, counted from each first and
-from each last line. Each is joined with the first occurrence of its content; a later one repeats an earlier one. Every
-line of a run of at least ``min_words`` words lies in a window inside the run (the one that begins or ends with
-the line, or the first of the run), so a run that stood anywhere before is found whole, whatever stands around it and
-wherever its lines stood by themselves. Repeats may overlap, as in a document that says the same line on and on.
+Of the lines that begin within half of ``min_words`` words of a line's beginning, the one with the smallest hash is a
+fingerprint; every line has such a window. The choice depends on the lines of the window alone, so equal passages have
+equal fingerprints. A fingerprint is known by its surroundings, to the right (with the lines that begin within
+``min_words`` words of its beginning) and to the left (with those that end within ``min_words`` words before its end), so an
+early line that stands by itself can't be taken for the passage. Each of the two is joined with its first occurrence, one
+row per key on that side however often a line is repeated, and the match is extended line by line both ways, as far as
+twice ``min_words`` words. Stretches of matched lines with at least ``min_words`` words are deleted.
 
-Shorter repeats that meet are found by winnowing: among the lines that begin within ``min_words`` words of a line the one with
-the smallest hash is a fingerprint. It is joined with its first occurrence only, and the match is extended both ways as far
-as the next fingerprint of the run can lie, which is ``min_words`` words. A window of one line is such a fingerprint.
-
-Stretches of lines found either way with at least ``min_words`` words are deleted. Both joins are one, with a row per key
-on its other side.
+A run of at least one and a half times ``min_words`` holds a fingerprint with its right side, whatever stands around the
+run. The lines between two fingerprints of a run belong to the right side of the first of them. Shorter runs are found
+where a fingerprint has its side within them.
 
 Only DataFrame functions are used.
 """
@@ -25,7 +24,6 @@ from gridloom.session import materialize
 
 MIN_WORDS = 10
 
-
 def _document(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``id``, ``body`` and ``th``, a hash of the body: rows of equal id and text are one document."""
     return docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("body")).select(
@@ -43,55 +41,39 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 
 def _anchors(lines: DataFrame, min_words: int) -> DataFrame:
-    """``id, th, pos, h, words, right, left`` of each fingerprint and each window of several lines.
+    """``id, th, pos, w, key, right, left``: two rows of each fingerprint, one for the side that ``key`` stands for.
 
-    ``h`` is the hash of the content, ``pos`` the first line and ``words`` the weights of its lines. For a fingerprint
-    ``right`` holds the lines that begin within ``min_words`` words after it, ``left`` those that begin within
-    ``min_words`` words before it, nearest first: fewer than ``min_words`` lines each. Both depend on the text around
-    alone, so equal runs have equal neighbours in every document. For a window both are empty.
+    ``right`` holds the lines behind the fingerprint that begin within ``reach`` words of its end, ``left`` those before it
+    that end within ``reach`` words of its beginning, nearest first. Every line weighs a word at least, so there are no more
+    than ``reach`` lines on a side. Sides of fewer than ``min_words`` words have no row.
     """
+    window, reach = max(1, min_words // 2), 2 * min_words
     doc = Window.partitionBy("id", "th")
     by_pos, by_words = doc.orderBy("pos"), doc.orderBy("at")
     # Rows of one document come together once; all windows below reuse that placement.
     rows = lines.repartition("id", "th").groupBy("id", "th", "pos").agg(F.first("h").alias("h"), F.first("w").alias("w"))
     before = F.coalesce(F.sum("w").over(by_pos.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     rows = rows.withColumn("at", before)
-    window = by_words.rangeBetween(0, min_words - 1)
-    rows = rows.withColumn("pick", F.min(F.struct("h", "pos")).over(window)["pos"])
-    back = by_words.rangeBetween(-(min_words - 1), 0)
-    rows = rows.withColumn("mark", F.array_contains(F.collect_set("pick").over(back), F.col("pos")))
+    rows = rows.withColumn("pick", F.min(F.struct("h", "pos")).over(by_words.rangeBetween(0, window - 1))["pos"])
+    picks = F.collect_set("pick").over(by_words.rangeBetween(-(window - 1), 0))
     line = F.struct("h", "w", "at")
-    # Every line weighs a word at least, so the lines in reach are among the next min_words lines.
-    ahead = F.collect_list(line).over(by_pos.rowsBetween(1, min_words))
-    behind = F.collect_list(line).over(by_words.rangeBetween(-(min_words - 1), -1))
-    ending = F.collect_list(line).over(by_pos.rowsBetween(-(min_words - 1), -1))
-    rows = rows.withColumn("ahead", ahead).withColumn("behind", behind).withColumn("ending", ending)
+    rows = rows.withColumn("mark", F.array_contains(picks, F.col("pos")))
+    rows = rows.withColumn("ahead", F.collect_list(line).over(by_pos.rowsBetween(1, reach)))
+    rows = rows.withColumn("behind", F.reverse(F.collect_list(line).over(by_pos.rowsBetween(-reach, -1))))
     end = F.col("at") + F.col("w")
-    rows = rows.withColumn("after", F.filter("ahead", lambda x: x["at"] < F.col("at") + min_words))
-    rows = rows.withColumn("ending", F.filter("ending", lambda x: x["at"] + x["w"] > end - min_words))
-    slim = lambda x: F.struct(x["h"].alias("h"), x["w"].alias("w"))
-    right = F.transform(F.filter("ahead", lambda x: x["at"] < end + min_words), slim)
-    left = F.transform(F.reverse("behind"), slim)
-    total = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda n, x: n + x["w"])
-
-    def anchor(pos: Column, h: Column, words: Column, right: Column, left: Column) -> Column:
-        return F.struct(pos.alias("pos"), h.alias("h"), words.alias("words"), right.alias("right"), left.alias("left"))
-
-    def several(pos: Column, xs: Column) -> Column:
-        content = F.aggregate(xs, F.unhex(F.lit("")), lambda c, x: F.concat(c, x["h"]))
-        none = F.slice(right, F.lit(1), F.lit(0))
-        return anchor(pos, F.substring(F.unhex(F.sha2(content, 256)), 1, 16), F.transform(xs, lambda x: x["w"]), none, none)
-
-    own = F.array(line)
-    first = (F.size("after") > 0) & (F.col("w") + total(F.col("after")) >= min_words)
-    # Where the lines before the last one are enough, the window is none of those counted from a first line.
-    last = total(F.col("ending")) >= min_words
-    found = F.array(
-        F.when(F.col("mark"), anchor(F.col("pos"), F.col("h"), F.array("w"), right, left)),
-        F.when(first, several(F.col("pos"), F.concat(own, "after"))),
-        F.when(last, several(F.col("pos") - F.size("ending"), F.concat("ending", own))),
-    )
-    return rows.select("id", "th", F.inline(F.filter(found, lambda x: x.isNotNull())))
+    rows = rows.where("mark").withColumn("ahead", F.filter("ahead", lambda x: x["at"] < end + reach))
+    rows = rows.withColumn("behind", F.filter("behind", lambda x: x["at"] + x["w"] > F.col("at") - reach))
+    right = F.filter("ahead", lambda x: x["at"] < F.col("at") + min_words)
+    left = F.filter("behind", lambda x: x["at"] + x["w"] > end - min_words)
+    slim = lambda xs: F.transform(xs, lambda x: F.struct(x["h"].alias("h"), x["w"].alias("w")))
+
+    def key(side: str, xs: Column) -> Column:
+        content = F.aggregate(xs, F.concat(F.lit(side).cast("binary"), F.col("h")), lambda c, x: F.concat(c, x["h"]))
+        words = F.aggregate(xs, F.col("w"), lambda n, x: n + x["w"])
+        return F.when(words >= min_words, F.substring(F.unhex(F.sha2(content, 256)), 1, 16))
+
+    keys = F.filter(F.array(key("r", right), key("l", left)), lambda k: k.isNotNull())
+    return rows.select("id", "th", "pos", "w", slim("ahead").alias("right"), slim("behind").alias("left"), F.explode(keys).alias("key"))
 
 
 def _common(mine: Column, other: Column) -> Column:
@@ -110,9 +92,9 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """The lines to delete: ``id, th, pos, w, source`` (id of the document with the earlier run)."""
     anchors = materialize(_anchors(_lines(_document(docs, id_col, text_col)), min_words), "anchors")
     place = F.struct(F.col("id").isNull().alias("nil"), "id", "th", "pos", "right", "left")
-    first = anchors.groupBy("h").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    # Written first: the adaptive plan cuts a frequent line only where the join reads two plain exchanges.
-    later = anchors.join(materialize(first.select("h", "first"), "first"), "h")
+    first = anchors.groupBy("key").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    # Written first: the adaptive plan cuts a frequent key only where the join reads two plain exchanges.
+    later = anchors.join(materialize(first.select("key", "first"), "first"), "key")
     later = later.where(
         ~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("th") == F.col("first.th")) & (F.col("pos") == F.col("first.pos")))
     )
@@ -122,7 +104,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         alike = F.slice(side, F.lit(1), _common(F.col(side), F.col(f"first.{side}")))
         return F.transform(alike, lambda x, i: F.struct((F.col("pos") + sign * (i + 1)).alias("pos"), x["w"].alias("w")))
 
-    own = F.transform("words", lambda w, i: F.struct((F.col("pos") + i).alias("pos"), w.alias("w")))
+    own = F.array(F.struct("pos", "w"))
     found = F.explode(F.concat(own, run("right", 1), run("left", -1))).alias("x")
     hits = later.select("id", "th", F.col("first.id").alias("source"), found)
     hits = hits.groupBy("id", "th", F.col("x.pos").alias("pos")).agg(F.max("x.w").alias("w"), F.min("source").alias("source"))

@@ -84,21 +84,30 @@ WITH lines AS (
 ), picked AS (
   SELECT DISTINCT doc_id, CAST(substr(p, 33) AS INTEGER) AS pos FROM (
     SELECT doc_id, min(h || lpad(CAST(pos AS VARCHAR), 10, '0')) OVER (PARTITION BY doc_id ORDER BY words_before
-      RANGE BETWEEN CURRENT ROW AND 9 FOLLOWING) AS p FROM placed)
+      RANGE BETWEEN CURRENT ROW AND 4 FOLLOWING) AS p FROM placed)
+), prints AS (
+  SELECT p.* FROM placed p JOIN picked USING (doc_id, pos)
+), keyed AS (
+  SELECT a.doc_id, a.pos, a.w, a.words_before, 'r' || string_agg(x.h, '' ORDER BY x.pos) AS key
+  FROM prints a JOIN placed x ON x.doc_id = a.doc_id AND x.pos >= a.pos AND x.words_before < a.words_before + 10
+  GROUP BY ALL HAVING sum(x.w) >= 10
+  UNION ALL
+  SELECT a.doc_id, a.pos, a.w, a.words_before, 'l' || string_agg(x.h, '' ORDER BY x.pos) AS key
+  FROM prints a JOIN placed x ON x.doc_id = a.doc_id AND x.pos <= a.pos AND x.words_before + x.w > a.words_before + a.w - 10
+  GROUP BY ALL HAVING sum(x.w) >= 10
 ), ranked AS (
-  SELECT p.*, row_number() OVER (PARTITION BY p.h ORDER BY p.doc_id, p.pos) AS k
-  FROM placed p JOIN picked f ON p.doc_id = f.doc_id AND p.pos = f.pos
+  SELECT *, row_number() OVER (PARTITION BY key ORDER BY doc_id, pos) AS k FROM keyed
 ), anchors AS (
-  SELECT a.doc_id, a.pos, a.w, a.words_before, f.doc_id AS src, f.pos AS spos
-  FROM ranked a JOIN ranked f ON a.h = f.h AND f.k = 1 AND a.k > 1
+  SELECT a.key, a.doc_id, a.pos, a.w, a.words_before, f.doc_id AS src, f.pos AS spos
+  FROM ranked a JOIN ranked f ON a.key = f.key AND f.k = 1 AND a.k > 1
 ), beside AS (
-  SELECT a.doc_id, a.pos, a.src, x.pos AS xpos, x.w, coalesce(y.h = x.h, false) AS ok
+  SELECT a.key, a.doc_id, a.pos, a.src, x.pos AS xpos, x.w, coalesce(y.h = x.h, false) AS ok
   FROM anchors a JOIN placed x ON x.doc_id = a.doc_id AND x.pos <> a.pos
-    AND x.words_before BETWEEN a.words_before - 9 AND a.words_before + a.w + 9
+    AND x.words_before + x.w > a.words_before - 20 AND x.words_before < a.words_before + a.w + 20
   LEFT JOIN placed y ON y.doc_id = a.src AND y.pos = a.spos + x.pos - a.pos
 ), bounded AS (
-  SELECT *, min(CASE WHEN NOT ok AND xpos > pos THEN xpos END) OVER (PARTITION BY doc_id, pos) AS stop,
-         max(CASE WHEN NOT ok AND xpos < pos THEN xpos END) OVER (PARTITION BY doc_id, pos) AS start
+  SELECT *, min(CASE WHEN NOT ok AND xpos > pos THEN xpos END) OVER (PARTITION BY doc_id, pos, key) AS stop,
+         max(CASE WHEN NOT ok AND xpos < pos THEN xpos END) OVER (PARTITION BY doc_id, pos, key) AS start
   FROM beside
 ), hits AS (
   SELECT doc_id, xpos, max(w) AS w, min(src) AS src FROM (
