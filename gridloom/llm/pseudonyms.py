@@ -43,11 +43,13 @@ def _iban_pattern() -> str:
     return f"(?:{listed}|{other})"
 
 
-# Candidate patterns, tried in this order at each place of the text.
+# Candidate patterns, tried in this order at each place of the text. Every repetition of a group is bounded, as
+# Java's engine recurses in them; a host name has at most 127 labels of 63 characters.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]{1,63}+\.){1,126}[A-Za-z]{2,63}",
     "iban": _iban_pattern(),
-    "date_iso": r"(?<![A-Za-z0-9.-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![A-Za-z0-9]|-[0-9])",
+    "date_iso": r"(?<![A-Za-z0-9.-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?!(?!T[0-9]{2}:)[A-Za-z0-9]|-[0-9])",  # or a time behind
+    "date_year": r"(?<![A-Za-z0-9/])[0-9]{4}/[0-9]{2}/[0-9]{2}(?![A-Za-z0-9]|/[0-9])",
     "date_slash": r"(?<![A-Za-z0-9/])[0-9]{2}/[0-9]{2}/[0-9]{4}(?![A-Za-z0-9]|/[0-9])",
     # The same shape: month first where day first is no day.
     "date_month": r"(?<![A-Za-z0-9/])[0-9]{2}/[0-9]{2}/[0-9]{4}(?![A-Za-z0-9]|/[0-9])",
@@ -190,6 +192,29 @@ def _bind(value: Column, fn: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), fn)[0]
 
 
+def _total(xs: Column) -> Column:
+    return F.aggregate(xs, F.lit(0).cast("long"), lambda a, x: a + x)
+
+
+def _running(sizes: Column, step: int = 128) -> Column:
+    """For each entry the sum of those before it; blocks of ``step`` entries keep the work near the number of entries."""
+
+    def of(xs: Column) -> Column:
+        last = F.floor((F.greatest(F.size(xs), F.lit(1)) - 1) / step).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(xs, i * step + 1, F.lit(step)))
+
+        def in_blocks(bs: Column) -> Column:
+            def summed(totals: Column) -> Column:
+                starts = F.transform(totals, lambda _, i: _total(F.slice(totals, F.lit(1), i)))
+                return F.flatten(F.zip_with(bs, starts, lambda b, s: F.transform(b, lambda _, j: s + _total(F.slice(b, F.lit(1), j)))))
+
+            return _bind(F.transform(bs, _total), summed)
+
+        return _bind(blocks, in_blocks)
+
+    return _bind(sizes, of)
+
+
 def permute_card(value: Column, key: str) -> Column:
     """All but the first digit and the check digit are permuted; the check digit follows."""
     digits = digits_of(value)
@@ -243,14 +268,14 @@ def permute_iban(value: Column, key: str) -> Column:
 
 def parse_date(value: Column, kind: str) -> Column:
     """The date, or null where there is no such day."""
-    pieces = {"date_iso": (1, 6, 9), "date_slash": (7, 4, 1), "date_month": (7, 1, 4), "date_dot": (7, 4, 1)}[kind]
+    pieces = {"date_iso": (1, 6, 9), "date_year": (1, 6, 9), "date_slash": (7, 4, 1), "date_month": (7, 1, 4), "date_dot": (7, 4, 1)}[kind]
     year, month, day = (F.substring(value, at, 4 if k == 0 else 2) for k, at in enumerate(pieces))
     return F.try_to_date(F.concat_ws("-", year, month, day), "yyyy-MM-dd")
 
 
 def permute_date(value: Column, key: str, kind: str) -> Column:
     """Another day of the same 73,000-day range, written in the same form."""
-    form = {"date_iso": "yyyy-MM-dd", "date_slash": "dd/MM/yyyy", "date_dot": "dd.MM.yyyy"}[kind]
+    form = {"date_iso": "yyyy-MM-dd", "date_year": "yyyy/MM/dd", "date_slash": "dd/MM/yyyy", "date_dot": "dd.MM.yyyy"}[kind]
     size = SPAN_YEARS * SPAN_DAYS
     origin = F.to_date(F.lit("0001-01-01"))
     number = F.datediff(parse_date(value, kind), origin)
@@ -420,15 +445,12 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     values = F.concat(F.transform("__new", lambda x: x["value"]), F.array(F.lit("")))
     rows = rows.withColumn("__gaps", F.when(hit, gaps))
     joined = F.array_join(F.zip_with("__gaps", values, lambda g, v: F.concat(g, v)), "")
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<kind:string,start:bigint,value:string>>").alias("out"))
-
-    def place(state: Column, x: Column) -> Column:
-        at = state["at"] + F.length(x["gap"])
-        here = F.struct(x["new"]["kind"].alias("kind"), at.alias("start"), x["new"]["value"].alias("value"))
-        return F.struct((at + F.length(x["new"]["value"])).alias("at"), F.concat(state["out"], F.array(here)).alias("out"))
-
-    both = F.zip_with(F.slice("__gaps", F.lit(1), F.size("__new")), F.col("__new"), lambda g, n: F.struct(g.alias("gap"), n.alias("new")))
-    spans = F.filter(F.aggregate(both, start, place, lambda s: s["out"]), lambda x: x["kind"].isNotNull())
+    before = F.transform(F.slice("__gaps", F.lit(1), F.size("__new")), lambda g: F.length(g).cast("long"))
+    own = F.transform("__new", lambda x: F.length(x["value"]).cast("long"))
+    begins = _running(F.zip_with(before, own, lambda g, v: g + v))
+    places = F.zip_with(begins, before, lambda s, g: s + g)
+    spans = F.zip_with(F.col("__new"), places, lambda x, at: F.struct(x["kind"].alias("kind"), at.alias("start"), x["value"].alias("value")))
+    spans = F.filter(spans, lambda x: x["kind"].isNotNull())
     nothing = F.array().cast("array<struct<kind:string,start:bigint,value:string>>")
     new = F.col("row").withField(text_col, F.when(hit, joined).otherwise(text))
     return rows.select(new.alias("row"), F.when(hit, spans).otherwise(nothing).alias("pii"))

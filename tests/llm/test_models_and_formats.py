@@ -364,3 +364,34 @@ def test_dates_with_the_month_first(spark, frame):
     plain = spark.range(1, 2_000_000, 7).select("id", pseudonyms._late_date(F.col("id")).alias("d"))
     again = pseudonyms._late_days(F.year("d").cast("long") - 1) + F.dayofyear("d") - 12 * F.month("d") - 1
     assert plain.where((again != F.col("id")) | (F.day("d") <= 12)).count() == 0
+
+
+def test_pseudonyms_of_very_long_candidates(frame):
+    """Repeated groups are bounded: no text is too long for the pattern engine."""
+    long_host = "x@" + "a." * 50_000 + "com"
+    rows = [(1, "x@" + "a." * 3000 + "com"), (2, long_host), (3, "x@" + "a" * 100_000), (4, "1" * 5_000_000), (5, "y" * 1_000_000 + "@h.org"), (6, "me@" + "ab." * 100 + "com")]
+    got = {r.row.doc_id: r for r in pseudonyms.pseudonymise(frame(rows), "k").collect()}
+    assert all(got[i].row.text == dict(rows)[i] and got[i].pii == [] for i in (1, 3, 4, 5))
+    # Within an endless chain of labels the end that looks like a host name is not taken for an address.
+    assert got[2].row.text == long_host
+    assert [x.kind for x in got[6].pii] == ["email"] and got[6].row.text != rows[5][1] and len(got[6].row.text) == len(rows[5][1])
+
+
+def test_pseudonyms_of_dates_in_logs_and_year_first(frame):
+    rows = [(1, "at 2024-01-05T10:00:00Z and 2024-01-05"), (2, "on 2024/01/05, not 2024/13/05 nor a/2024/01/05"), (3, "2024-01-05Tuesday")]
+    got = {r.row.doc_id: r for r in pseudonyms.pseudonymise(frame(rows), "k").collect()}
+    iso = [x.value for x in got[1].pii]
+    assert len(iso) == 2 and iso[0] == iso[1] != "2024-01-05" and got[1].row.text == f"at {iso[0]}T10:00:00Z and {iso[0]}"
+    assert [x.value for x in got[2].pii] == [iso[0].replace("-", "/")]
+    assert got[2].row.text.endswith("not 2024/13/05 nor a/2024/01/05") and got[3].pii == []
+
+
+def test_pseudonyms_of_many_values_in_a_document(frame):
+    """Places of the values by running sums: 40,000 of them in one text."""
+    days = [f"{1900 + k % 100}-{k % 12 + 1:02}-{k % 28 + 1:02}" for k in range(40_000)]
+    text = "; ".join(f"{'x' * (k % 5)} {d}" for k, d in enumerate(days))
+    (row,) = pseudonyms.pseudonymise(frame([(1, text)]), "k").collect()
+    assert len(row.pii) == len(days) and len(row.row.text) == len(text)
+    again = {}
+    for old, x in zip(days, row.pii):
+        assert row.row.text[x.start : x.start + 10] == x.value and again.setdefault(old, x.value) == x.value
