@@ -91,6 +91,17 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of tables from ``materialize`` that nothing reads again (all that reads them is written, too)."""
+    for table in tables:
+        spark = table.sparkSession
+        owner = scratch_root(spark).rstrip("/").rsplit("/", 1)[1]
+        for folder in {file.rsplit("/", 1)[0] for file in table.inputFiles()}:
+            if folder.split("/")[-2] == owner:  # never anything but a scratch table of this application
+                path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def broadcast_if_small(df: DataFrame, rows: int, row_bytes: int, limit: int = BROADCAST_LIMIT) -> DataFrame:
     """Mark ``df`` for broadcast when its known size stays under ``limit``.
 
