@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from gridloom.llm.arrowtext import mix64, row_groups, text_bytes
 from gridloom.llm.components import components
 from gridloom.llm.subword import span_hashes, word_spans
-from gridloom.session import materialize
+from gridloom.session import discard, materialize
 
 #: Bytes of text that a kernel hashes at a time.
 GROUP_BYTES = 1 << 18
@@ -304,21 +304,24 @@ class JaccardJoin:
         band = self._band(F.col("n"))
         shared = shared.select("token", "id", "n", "lead", "at", F.explode(F.array(band, band + 1)).alias("band"))
         shared = materialize(shared, "shared")
+        discard(postings, counts)
         smallest = F.min(F.when(F.col("lead"), F.struct("n", "id")))
         buckets = shared.groupBy("token", "band").agg(smallest.alias("first"), F.max(F.struct("n", "id")).alias("last"))
         buckets = materialize(buckets.where("first < last").select("token", "band", "first"), "buckets")
         star = shared.join(buckets, ["token", "band"]).where(F.col("first") < F.struct("n", "id"))
         star = star.select(F.col("first.id").alias("x"), F.col("first.n").alias("nx"), F.col("id").alias("y"), F.col("n").alias("ny"), "band")
-        first = materialize(self._verify(self._candidates(star)), "links")
+        first = self._verify(self._candidates(star))
         mixed = self._mixed(shared, first)
+        discard(shared, buckets)
         # An id has one row here unless rows with one id differ in their sets; then no bits are compared for it.
         bits = same.groupBy("rep").agg(F.when(F.count(F.lit(1)) == 1, F.first("parity")).alias("parity"))
         bits = materialize(bits, "parity")
-        mixed = materialize(mixed.join(bits, mixed["id"] == bits["rep"]).drop("rep"), "marked")
-        links = first.unionByName(materialize(self._verify(self._distinct(self._drawn(mixed))), "links"))
-        mixed = self._mixed(mixed.drop("c"), links)
-        rest = materialize(self._verify(self._distinct(self._across(mixed))), "links")
-        return components(links.unionByName(rest), "x", "y")
+        links = first.unionByName(self._verify(self._drawn(mixed, bits)))
+        open_rows = self._mixed(mixed.drop("c"), links)
+        discard(mixed)
+        found = links.unionByName(self._verify(self._across(open_rows, bits)))
+        discard(open_rows, bits)
+        return materialize(components(found, "x", "y"), "components")
 
     def _mixed(self, shared: DataFrame, links: DataFrame) -> DataFrame:
         """The rows of buckets that hold several components, with their component ``c``."""
@@ -329,42 +332,51 @@ class JaccardJoin:
         keys = materialize(keys.where("a <> b and lead").select("token", "band"), "keys")
         return materialize(marked.join(keys, ["token", "band"]), "mixed")
 
-    def _drawn(self, mixed: DataFrame) -> DataFrame:
+    def _drawn(self, mixed: DataFrame, bits: DataFrame) -> DataFrame:
         """Pairs of each bucket with a document that is drawn by a hash."""
-        draw = F.struct(F.xxhash64("token", "id").alias("draw"), "id", "n", "lead", "at", "c", "parity")
+        draw = F.struct(F.xxhash64("token", "id").alias("draw"), "id", "n", "lead", "at", "c")
         leaders = materialize(mixed.groupBy("token", "band").agg(F.min(draw).alias("l")), "leaders")
-        leaders = leaders.select("token", "band", "l.*").drop("draw")
-        return self._pairs(leaders, mixed).unionByName(self._pairs(mixed, leaders))
-
-    def _across(self, mixed: DataFrame) -> DataFrame:
+        drawn = leaders.select("token", "band", "l.*").drop("draw")
+        pairs = materialize(self._pairs(drawn, mixed).unionByName(self._pairs(mixed, drawn)).distinct(), "drawn")
+        near = pairs
+        for side in ("x", "y"):
+            near = near.join(bits.select(F.col("rep").alias(side), F.col("parity").alias(f"{side}_parity")), side)
+        near = materialize(near.where(self._bits_fit("nx", "ny", "x_parity", "y_parity")).select("x", "nx", "y", "ny"), "candidates")
+        discard(leaders, pairs)
+        return near
+
+    def _across(self, mixed: DataFrame, bits: DataFrame) -> DataFrame:
         """Pairs of a bucket whose components differ. The bucket's largest component is not paired with itself."""
         sizes = mixed.groupBy("token", "band", "c").agg(F.count(F.lit(1)).alias("size"))
-        top = sizes.groupBy("token", "band").agg(F.max(F.struct("size", "c")).alias("top"))
-        marked = mixed.join(materialize(top, "top"), ["token", "band"])
-        marked = materialize(marked.withColumn("major", F.col("c") == F.col("top.c")).drop("top"), "marked")
+        top = materialize(sizes.groupBy("token", "band").agg(F.max(F.struct("size", "c")).alias("top")), "top")
+        marked = mixed.join(top, ["token", "band"]).withColumn("major", F.col("c") == F.col("top.c")).drop("top")
+        marked = materialize(marked.join(bits, marked["id"] == bits["rep"]).drop("rep"), "marked")
         minor = marked.where("not major")
-        return self._pairs(minor, marked).unionByName(self._pairs(marked.where("major"), minor))
-
-    def _pairs(self, smaller: DataFrame, larger: DataFrame) -> DataFrame:
+        near = self._bits_fit("x.n", "y.n", "x.parity", "y.parity")
+        pairs = self._pairs(minor, marked, near).unionByName(self._pairs(marked.where("major"), minor, near))
+        pairs = materialize(pairs.distinct(), "candidates")
+        discard(top, marked)
+        return pairs
+
+    def _bits_fit(self, nx: str, ny: str, x: str, y: str) -> Column:
+        """Whether parity bits differ in no more bits than linked sets have tokens of their own."""
+        differ = sum(F.bit_count(F.col(x)[k].bitwiseXOR(F.col(y)[k])) for k in range(PARITY_BITS // 64))
+        return F.coalesce(differ <= F.col(nx) + F.col(ny) - 2 * self._both(F.col(nx), F.col(ny)), F.lit(True))
+
+    def _pairs(self, smaller: DataFrame, larger: DataFrame, near: Column | None = None) -> DataFrame:
         """Pairs of rows of a bucket that can be linked, the first the smaller set.
 
-        Left out are those of one component, those whose parity bits differ in more bits than linked sets have tokens of their
-        own, and those of which a row has too few tokens behind this one if it is the first that they share.
+        Left out are those of one component, those that are not ``near``, and those of which a row has too few tokens behind
+        this one if it is the first that they share.
         """
         x, y = smaller.where("lead").alias("x"), larger.alias("y")
         fits = (F.col("x.c") != F.col("y.c")) & (F.struct("x.n", "x.id") < F.struct("y.n", "y.id"))
         fits &= self._sizes_fit(F.col("x.n"), F.col("y.n")) & self._own_bucket(F.col("y.n"), F.col("x.band"))
-        both = self._both(F.col("x.n"), F.col("y.n"))
-        fits &= F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at")) >= both
-        words = range(PARITY_BITS // 64)
-        differ = sum(F.bit_count(F.col("x.parity")[k].bitwiseXOR(F.col("y.parity")[k])) for k in words)
-        fits &= F.coalesce(differ <= F.col("x.n") + F.col("y.n") - 2 * both, F.lit(True))
+        fits &= F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at")) >= self._both(F.col("x.n"), F.col("y.n"))
+        fits = fits if near is None else fits & near
         same = (F.col("x.token") == F.col("y.token")) & (F.col("x.band") == F.col("y.band"))
         return x.join(y, same & fits).select(F.col("x.id").alias("x"), F.col("x.n").alias("nx"), F.col("y.id").alias("y"), F.col("y.n").alias("ny"))
 
-    def _distinct(self, pairs: DataFrame) -> DataFrame:
-        return materialize(pairs.distinct(), "candidates")
-
     def _both(self, a: Column, b: Column) -> Column:
         """Tokens that linked sets of these sizes share at least."""
         return F.call_function("div", self.s.percent * (a + b) + 99 + self.s.percent, F.lit(100 + self.s.percent))
@@ -394,7 +406,8 @@ class JaccardJoin:
         return materialize(pairs.drop("hits"), "candidates")
 
     def _verify(self, pairs: DataFrame) -> DataFrame:
-        """The linked pairs: those that pass the other orders, then the exact similarity of their sets."""
+        """The linked pairs, written: those that pass the other orders, then the exact similarity of their sets. ``pairs`` goes."""
+        given = pairs
         s = self.s
         ids = pairs.select(F.col("x").alias("id")).unionByName(pairs.select(F.col("y").alias("id")))
         sent = self.spark.sparkContext.broadcast((self.classes, row_filter(ids)))
@@ -407,10 +420,13 @@ class JaccardJoin:
         pairs = pairs.join(sets.select(F.col("id").alias("y"), F.col("heads").alias("y_heads")), "y")
         for r in range(s.orders - 1):
             pairs = pairs.where(F.arrays_overlap(F.col("x_heads")[r], F.col("y_heads")[r]))
-        pairs = materialize(pairs.select("x", "y").distinct(), "passed")
+        passed = pairs = materialize(pairs.select("x", "y").distinct(), "passed")
         for side, name in (("x", "left"), ("y", "right")):
             pairs = pairs.join(sets.select(F.col("id").alias(side), F.col("tokens").alias(name)), side)
-        return pairs.select("x", "y", "left", "right").mapInArrow(_verifier(s), "x bigint, y bigint")
+        links = materialize(pairs.select("x", "y", "left", "right").mapInArrow(_verifier(s), "x bigint, y bigint"), "links")
+        discard(given, sets, passed)
+        sent.unpersist()
+        return links
 
 
 def similarity_components(docs: DataFrame, s: JaccardSettings = JaccardSettings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

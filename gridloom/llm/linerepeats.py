@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.session import materialize
+from gridloom.session import discard, materialize
 
 MIN_WORDS = 10
 
@@ -41,11 +41,11 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 
 def _anchors(lines: DataFrame, min_words: int) -> DataFrame:
-    """``id, th, pos, w, key, right, left``: two rows of each fingerprint, one for the side that ``key`` stands for.
+    """``id, th, pos, w, keys, right, left`` of each fingerprint; ``keys`` has one hash of the content of either side.
 
     ``right`` holds the lines behind the fingerprint that begin within ``reach`` words of its end, ``left`` those before it
     that end within ``reach`` words of its beginning, nearest first. Every line weighs a word at least, so there are no more
-    than ``reach`` lines on a side. Sides of fewer than ``min_words`` words have no row.
+    than ``reach`` lines on a side. Sides of fewer than ``min_words`` words have no key.
     """
     window, reach = max(1, min_words // 2), 2 * min_words
     doc = Window.partitionBy("id", "th")
@@ -73,7 +73,7 @@ def _anchors(lines: DataFrame, min_words: int) -> DataFrame:
         return F.when(words >= min_words, F.substring(F.unhex(F.sha2(content, 256)), 1, 16))
 
     keys = F.filter(F.array(key("r", right), key("l", left)), lambda k: k.isNotNull())
-    return rows.select("id", "th", "pos", "w", slim("ahead").alias("right"), slim("behind").alias("left"), F.explode(keys).alias("key"))
+    return rows.select("id", "th", "pos", "w", slim("ahead").alias("right"), slim("behind").alias("left"), keys.alias("keys")).where(F.size("keys") > 0)
 
 
 def _common(mine: Column, other: Column) -> Column:
@@ -91,28 +91,39 @@ def _common(mine: Column, other: Column) -> Column:
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """The lines to delete: ``id, th, pos, w, source`` (id of the document with the earlier run)."""
     anchors = materialize(_anchors(_lines(_document(docs, id_col, text_col)), min_words), "anchors")
-    place = F.struct(F.col("id").isNull().alias("nil"), "id", "th", "pos", "right", "left")
-    first = anchors.groupBy("key").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    # Places alone are joined by key; the neighbours follow for the repeated ones.
+    keyed = materialize(anchors.select("id", "th", "pos", F.explode("keys").alias("key")), "keyed")
+    place = F.struct(F.col("id").isNull().alias("nil"), "id", "th", "pos")
+    first = keyed.groupBy("key").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     # Written first: the adaptive plan cuts a frequent key only where the join reads two plain exchanges.
-    later = anchors.join(materialize(first.select("key", "first"), "first"), "key")
-    later = later.where(
-        ~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("th") == F.col("first.th")) & (F.col("pos") == F.col("first.pos")))
-    )
+    first = materialize(first.select("key", "first.id", "first.th", "first.pos"), "first")
+    names = ("id", "th", "pos")
+    later = keyed.join(first.select("key", *[F.col(c).alias(f"first_{c}") for c in names]), "key").drop("key")
+    itself = [F.col(c).eqNullSafe(F.col(f"first_{c}")) for c in names]
+    later = materialize(later.where(~(itself[0] & itself[1] & itself[2])).distinct(), "later")
+    own = anchors.select(*[F.col(c).alias(f"own_{c}") for c in names], "w", "right", "left")
+    later = later.join(own, (F.col("id").eqNullSafe(F.col("own_id"))) & (F.col("th") == F.col("own_th")) & (F.col("pos") == F.col("own_pos")))
+    source = anchors.select(*[F.col(c).alias(f"at_{c}") for c in names], F.struct("right", "left").alias("first"))
+    at = F.col("first_id").eqNullSafe(F.col("at_id")) & (F.col("first_th") == F.col("at_th")) & (F.col("first_pos") == F.col("at_pos"))
+    later = later.join(source, at)
 
     def run(side: str, sign: int) -> Column:
         """The neighbours on one side that agree with those of the first occurrence, with their positions."""
         alike = F.slice(side, F.lit(1), _common(F.col(side), F.col(f"first.{side}")))
         return F.transform(alike, lambda x, i: F.struct((F.col("pos") + sign * (i + 1)).alias("pos"), x["w"].alias("w")))
 
-    own = F.array(F.struct("pos", "w"))
-    found = F.explode(F.concat(own, run("right", 1), run("left", -1))).alias("x")
-    hits = later.select("id", "th", F.col("first.id").alias("source"), found)
+    mine = F.array(F.struct("pos", "w"))
+    found = F.explode(F.concat(mine, run("right", 1), run("left", -1))).alias("x")
+    hits = later.select("id", "th", F.col("first_id").alias("source"), found)
     hits = hits.groupBy("id", "th", F.col("x.pos").alias("pos")).agg(F.max("x.w").alias("w"), F.min("source").alias("source"))
     # Stretches of neighbouring lines; all of a document's rows are few compared with its text.
     doc = Window.partitionBy("id", "th")
     hits = hits.withColumn("run", F.col("pos") - F.row_number().over(doc.orderBy("pos")))
     size = F.sum("w").over(Window.partitionBy("id", "th", "run"))
-    return hits.withColumn("words", size).where(F.col("words") >= min_words).select("id", "th", "pos", "w", "source")
+    hits = hits.withColumn("words", size).where(F.col("words") >= min_words).select("id", "th", "pos", "w", "source")
+    hits = materialize(hits, "repeats")
+    discard(anchors, keyed, first)
+    return hits
 
 
 def delete_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
