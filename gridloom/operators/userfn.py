@@ -11,6 +11,7 @@ from itertools import groupby
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -95,6 +96,68 @@ def reduce_by_key(
     return groups.groupBy(*keys).applyInPandas(merged, schema)
 
 
+def reduce_segments(
+    df: DataFrame,
+    keys: list[str],
+    merge: Callable[[dict[str, np.ndarray], np.ndarray], dict[str, np.ndarray]],
+    schema: str,
+    held_rows: int = 1 << 20,
+    fan_in: int = 64,
+) -> DataFrame:
+    """Associative and commutative merge of whole batches: one call for many keys.
+
+    ``merge(values, starts)`` gets the columns without the keys, rows of a key next to each other, and the first row
+    of each key (as ``np.add.reduceat`` takes them), and returns one value per key and column. A state of any kind fits
+    in a binary column. It runs over the batches of each input partition, then over sorted partial rows in ``fan_in``
+    salted parts per key, then over the rows of the parts. Memory is bounded by ``held_rows`` and a batch. Null keys
+    are a key; ``df`` has the columns of ``schema``; an empty table gives an empty result.
+    """
+
+    def reduced(table: pa.Table) -> pa.Table:
+        change = np.zeros(table.num_rows, bool)
+        change[0] = True
+        for k in keys:
+            codes = table.column(k).combine_chunks().dictionary_encode("encode").indices.to_numpy(zero_copy_only=False)
+            change[1:] |= codes[1:] != codes[:-1]
+        starts = np.flatnonzero(change)
+        values = {c: table.column(c).to_numpy() for c in table.column_names if c not in keys}
+        merged, firsts = merge(values, starts), table.select(keys).take(pa.array(starts))
+        columns = [firsts.column(f.name) if f.name in keys else pa.array(merged[f.name], f.type) for f in table.schema]
+        return pa.Table.from_arrays(columns, schema=table.schema)
+
+    def by_key(table: pa.Table) -> pa.Table:
+        return reduced(table.take(pc.sort_indices(table, [(k, "ascending") for k in keys])))
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            fresh = pa.Table.from_batches([batch])
+            held = by_key(fresh if held is None else pa.concat_tables([held, fresh]))
+            if held.num_rows > held_rows:
+                yield from held.to_batches()
+                held = None
+        if held is not None:
+            yield from held.to_batches()
+
+    def of_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None  # the key at the end of a batch may go on in the next one
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            fresh = pa.Table.from_batches([batch])
+            done = reduced(fresh if last is None else pa.concat_tables([last, fresh]))
+            yield from done.slice(0, done.num_rows - 1).to_batches()
+            last = done.slice(done.num_rows - 1)
+        if last is not None:
+            yield from last.to_batches()
+
+    partials = df.mapInArrow(partial, schema).withColumn("_salt", F.spark_partition_id() % fan_in)
+    parts = partials.repartition(*keys, "_salt").drop("_salt").sortWithinPartitions(*keys).mapInArrow(of_sorted, schema)
+    return parts.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(of_sorted, schema)
+
+
 def partition_by(df: DataFrame, parts: int, rule: Column, splits: int = 1) -> DataFrame:
     """Custom ``row -> partition`` rule, given as an expression; rows land exactly there
     (with ``splits``, in that partition's own run of tasks)."""

@@ -11,6 +11,7 @@ from gridloom.plans.expressions import EVT_HI
 from gridloom.plans.registry import query
 from gridloom.plans.scans import NX
 from gridloom.session import scratch_path
+from gridloom.sources import archive
 from gridloom.sources import fixtures as fx
 from gridloom.streaming import stats
 
@@ -39,15 +40,12 @@ def stream_source(spark, sf):
     f"WITH {Q.CELLS} SELECT year, count(*) AS n, round(sum(value), 4) AS total FROM cells GROUP BY year",
 )
 def stream_replay(spark, sf):
-    cells = raster.bands_long(fx.bands(spark, sf), NX)
-    lines = cells.select(F.col("year").alias("f"), "band", "cell", F.col("value").cast("string").alias("value"))
-    path = stats.replay(lines, scratch_path(spark, "bands"), ["band", "cell"])
+    # the archive itself is the source: band after band, in batches of a bounded size
+    cells = raster.bands_long(archive.stream(spark, fx.archived_bands(spark, sf)), NX)
     out, checkpoint = _dirs(spark, "replay")
-    stats.append_sink(stats.parse(stats.open_lines(spark, path)), out, checkpoint).awaitTermination()
-    stored = spark.read.schema("value STRING, f INT, number DOUBLE").parquet(out)
-    return stored.groupBy(F.col("f").alias("year")).agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.sum("number"), 4).alias("total")
-    )
+    stats.drain(stats.append_sink(cells.select("year", "band", "cell", "value"), out, checkpoint, available_now=False))
+    stored = spark.read.schema("year INT, band INT, cell INT, value DOUBLE").parquet(out)
+    return stored.groupBy("year").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
 PER_FILE = f"""WITH {Q.EVT} SELECT f, round(sum(number), 4) AS s, count(*) AS n FROM parsed WHERE number < {EVT_HI} GROUP BY f"""
@@ -107,15 +105,49 @@ def stream_rejects(spark, sf):
     return spark.read.schema("value STRING, f INT").parquet(out)
 
 
+@query(
+    "stream_late_rows",
+    f"""WITH {Q.EVT}, mark AS (SELECT max(ts) - INTERVAL 1 HOUR AS closed FROM lines WHERE f <> 0)
+SELECT f = 0 AND date_trunc('day', ts) + INTERVAL 1 DAY <= closed AS late, strftime(date_trunc('day', ts), '%Y-%m-%d') AS day,
+       round(sum(number), 4) AS s, count(*) AS n
+FROM parsed, mark WHERE number < {EVT_HI} GROUP BY 1, 2""",
+)
+def stream_late_rows(spark, sf):
+    # the first file comes after all others, as one batch: rows of closed windows are set aside
+    lines = fx.stream_lines(spark, sf)
+    path = scratch_path(spark, "disorder")
+    out, checkpoint = _dirs(spark, "late")
+    for part in (F.col("f") != 0, F.col("f") == 0):
+        stats.replay_events(lines.where(part), path)
+        events = stats.open_events(spark, path, batch_bytes=1 << 60)
+        stats.tumbling_with_late(events, WINDOW, LATENESS, EVT_HI, out, checkpoint).awaitTermination()
+    day = F.date_format("start", "yyyy-MM-dd").alias("day")
+    windows = stats.windows_on_time(spark, out).select(F.lit(False).alias("late"), day, F.round("s", 4).alias("s"), "n")
+    late = stats.late_rows(spark, out).groupBy(F.lit(True).alias("late"), F.date_format("ts", "yyyy-MM-dd").alias("day"))
+    return windows.unionByName(late.agg(F.round(F.sum("number"), 4).alias("s"), F.count(F.lit(1)).alias("n")))
+
+
 @query("stream_lifecycle", f"WITH {Q.EVT} SELECT f, count(*) AS n FROM lines GROUP BY f")
 def stream_lifecycle(spark, sf):
-    # half of the feed, stop, the other half, restart from the same checkpoint: every line counts once
+    # two halves with state between them. The batch of the second fails before its commit; the restart repeats it from the
+    # checkpoint and the state store, and the ledger shows each offset committed once
     lines = fx.stream_lines(spark, sf)
     path = scratch_path(spark, "halves")
     out, checkpoint = _dirs(spark, "lifecycle")
-    for half in (F.col("f") < 5, F.col("f") >= 5):
-        stats.replay(lines.where(half), path, ["ts"])
-        running = stats.append_sink(stats.open_lines(spark, path), out, checkpoint)
-        running.awaitTermination()
-    stored = spark.read.schema("value STRING, f INT").parquet(out)
-    return stored.groupBy("f").agg(F.count(F.lit(1)).alias("n"))
+    faults = iter(["first try of the second batch"])
+
+    def drill(batch_id):
+        if batch_id == 1 and (fault := next(faults, None)):
+            raise RuntimeError(fault)
+
+    ledger = stats.CommitLedger()
+    spark.streams.addListener(ledger)
+    try:
+        for half in (F.col("f") < 5, F.col("f") >= 5):
+            stats.replay(lines.where(half), path, ["ts"])
+            feed = stats.open_lines(spark, path)
+            stats.with_restarts(lambda: stats.line_counts(feed, out, checkpoint, after_write=drill), ledger)
+    finally:
+        spark.streams.removeListener(ledger)
+    ledger.check()
+    return stats.latest_counts(spark, out)

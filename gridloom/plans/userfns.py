@@ -64,10 +64,10 @@ def reduce_custom(spark, sf):
         .select("year", F.col("value").alias("s"), F.lit(1).cast("bigint").alias("n"))
     )
 
-    def merge(rows: pd.DataFrame) -> dict:
-        return {"s": rows["s"].sum(), "n": rows["n"].sum()}
+    def merge(values: dict[str, np.ndarray], starts: np.ndarray) -> dict[str, np.ndarray]:
+        return {c: np.add.reduceat(values[c], starts) for c in ("s", "n")}
 
-    sums = userfn.reduce_by_key(pairs, ["year"], merge, "year INT, s DOUBLE, n BIGINT")
+    sums = userfn.reduce_segments(pairs, ["year"], merge, "year INT, s DOUBLE, n BIGINT")
     return sums.select(
         "year", F.round("s", 4).alias("total"), "n", F.round(F.col("s") / F.col("n"), 6).alias("mean")
     )

@@ -54,11 +54,18 @@ class PublishingWriter(DataSourceArrowWriter):
     def __init__(self, uri: str, schema: StructType, replace: bool):
         self.uri, self.schema, self.replace = uri, schema.json(), replace
         self.folder = uuid.uuid4().hex
+        # Made here and not by the tasks: one that is still running when the write is given up must not make it again.
+        store, root = fs.FileSystem.from_uri(uri)
+        store.create_dir(f"{root}/{self.folder}", recursive=True)
 
     def write_file(self, out: pa.NativeFile, batches: Iterator[pa.RecordBatch]) -> int:
         """Write the rows of a task and return their number."""
         raise NotImplementedError
 
+    def facts(self) -> dict:
+        """More about the file just written, for its entry in the manifest."""
+        return {}
+
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         first = next((b for b in iterator if b.num_rows), None)
         if first is None:
@@ -69,15 +76,16 @@ class PublishingWriter(DataSourceArrowWriter):
             yield from iterator
 
         store, root = fs.FileSystem.from_uri(self.uri)
-        store.create_dir(f"{root}/{self.folder}", recursive=True)
         name = f"{self.folder}/part-{uuid.uuid4().hex}"  # another name for each attempt
         with store.open_output_stream(f"{root}/{name}") as out:
             n = self.write_file(out, rows())
             size = out.tell()
-        return Written([{"name": name, "rows": n, "bytes": size}])
+        return Written([{"name": name, "rows": n, "bytes": size, **self.facts()}])
 
     def commit(self, messages: list[Written | None]) -> None:
         files = [f for m in messages if m for f in m.files]
+        if not files:
+            self.abort(messages)  # an empty table needs no folder
         known = versions(self.uri)
         if not self.replace and known:
             files = manifest(self.uri)["files"] + files

@@ -6,9 +6,13 @@ batch is run again after a failure, so restarts from the checkpoint do not count
 
 from __future__ import annotations
 
+import threading
+from collections.abc import Callable
+
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pyspark.sql.types import StructType
 
 from gridloom.functions.scalars import VALID_UPPER, parse_number
@@ -113,11 +117,15 @@ def batch_stats(
     return _start(writer, available_now)
 
 
-def _table_per_batch(df: DataFrame, mode: str, out: str, checkpoint: str, available_now: bool) -> StreamingQuery:
+def _table_per_batch(
+    df: DataFrame, mode: str, out: str, checkpoint: str, available_now: bool, after_write: Callable[[int], None] | None = None
+) -> StreamingQuery:
     _prepare(df.sparkSession, out, df.schema)
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        if after_write is not None:
+            after_write(batch_id)
 
     writer = df.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", checkpoint)
     return _start(writer, available_now)
@@ -140,6 +148,126 @@ def tumbling_stats(
     return _table_per_batch(stats, "update", out, checkpoint, available_now)
 
 
+def line_counts(
+    lines: DataFrame, out: str, checkpoint: str, available_now: bool = True, after_write: Callable[[int], None] | None = None
+) -> StreamingQuery:
+    """Lines per source folder over the whole stream so far, kept in the state store.
+
+    ``after_write(batch_id)`` is called when the result of a batch is written and before Spark commits the batch.
+    """
+    counts = lines.groupBy("f").agg(F.count(F.lit(1)).alias("n"))
+    return _table_per_batch(counts, "complete", out, checkpoint, available_now, after_write)
+
+
+def tumbling_with_late(
+    events: DataFrame, width: str, lateness: str, hi: float, out: str, checkpoint: str, available_now: bool = True
+) -> StreamingQuery:
+    """``(sum, count)`` per event-time window, and the rows that came too late in a table of their own.
+
+    The watermark is the newest time of all earlier batches less ``lateness``. A valid row is late if its window had
+    ended by then, or if it has no time. Per batch, partial sums go to ``windows``, late rows to ``late`` and the newest time
+    to ``marks``, each overwritten when a batch is repeated, which then decides as before: it reads the mark of the batch before it.
+    """
+    spark = events.sparkSession
+    _prepare(spark, f"{out}/windows", "start TIMESTAMP, s DOUBLE, n BIGINT")
+    _prepare(spark, f"{out}/late", "ts TIMESTAMP, value STRING, f INT, number DOUBLE")
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        def put(df: DataFrame, part: str) -> None:
+            df.write.mode("overwrite").parquet(f"{out}/{part}/batch_id={batch_id}")
+
+        def mark_before() -> int | None:
+            if batch_id == 0:
+                return None
+            return spark.read.schema("newest BIGINT").parquet(f"{out}/marks/batch_id={batch_id - 1}").first()[0]
+
+        before = mark_before()
+        batch.persist()
+        try:
+            rows = valid(parse(batch), hi).select("ts", "value", "f", "number")
+            placed = rows.select("*", F.window("ts", width).alias("w"))  # leaves out rows without a time
+            limit = F.timestamp_micros(F.lit(before).cast("bigint")) - F.expr(f"INTERVAL '{lateness}'")
+            late = F.coalesce(F.col("w.end") <= limit, F.lit(False))
+            put(sum_count(placed.where(~late), F.col("w.start").alias("start")), "windows")
+            put(placed.where(late).drop("w").unionByName(rows.where("ts is null")), "late")
+            newest = batch.agg(F.unix_micros(F.max("ts"))).first()[0]
+            known = [x for x in (before, newest) if x is not None]
+            put(spark.createDataFrame([(max(known, default=None),)], "newest BIGINT"), "marks")
+        finally:
+            batch.unpersist()
+
+    return _start(events.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint), available_now)
+
+
+# --- running ------------------------------------------------------------------------------
+
+
+class CommitLedger(StreamingQueryListener):
+    """What queries have committed, in order: ``(query id, batch id, start offsets, end offsets, rows)``.
+
+    Spark reports a batch after its commit, so a batch that failed is in no row. A query keeps its id over restarts.
+    """
+
+    def __init__(self):
+        self.rows: list[tuple[str, int, tuple, tuple, int]] = []
+        self._ended: dict[str, threading.Event] = {}
+
+    def _end(self, run_id) -> threading.Event:
+        return self._ended.setdefault(str(run_id), threading.Event())
+
+    def onQueryStarted(self, event) -> None:
+        self._end(event.runId)
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        starts, ends = tuple(s.startOffset for s in p.sources), tuple(s.endOffset for s in p.sources)
+        if starts != ends:  # a trigger without data commits nothing
+            self.rows.append((str(p.id), p.batchId, starts, ends, p.numInputRows))
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self._end(event.runId).set()
+
+    def wait(self, query: StreamingQuery, seconds: float = 60) -> None:
+        """Until all reports of an ended run are in."""
+        if not self._end(query.runId).wait(seconds):
+            raise TimeoutError(f"no end of run {query.runId} was reported")
+
+    def check(self) -> None:
+        """Fail unless each query's batches follow one another: no offset left out, none committed twice."""
+        last: dict[str, tuple[int, tuple]] = {}
+        for query_id, batch_id, starts, ends, _ in self.rows:
+            if query_id in last and (batch_id, starts) != (last[query_id][0] + 1, last[query_id][1]):
+                raise RuntimeError(f"batch {batch_id} starts at {starts}, the one before ended at {last[query_id]}")
+            last[query_id] = batch_id, ends
+
+
+def with_restarts(start: Callable[[], StreamingQuery], ledger: CommitLedger | None = None, restarts: int = 3) -> int:
+    """Run a bounded stream to its end; after a failure start it again from its checkpoint. The number of restarts."""
+    for attempt in range(restarts + 1):
+        query = start()
+        try:
+            query.awaitTermination()
+            return attempt
+        except StreamingQueryException:
+            if attempt == restarts:
+                raise
+        finally:
+            if ledger is not None:
+                ledger.wait(query)
+    raise ValueError("restarts is negative")
+
+
+def drain(query: StreamingQuery) -> None:
+    """Let a live stream take everything that its source has now, batch after batch, and stop it."""
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+
+
 def finish(query: StreamingQuery) -> None:
     """Wait for a bounded stream and fail if rows came later than its lateness allows: Spark drops those.
 
@@ -177,3 +305,18 @@ def latest_windows(spark: SparkSession, out: str) -> DataFrame:
     stored = spark.read.schema("start TIMESTAMP, s DOUBLE, n BIGINT, batch_id BIGINT").parquet(out)
     last = F.max_by(F.struct("s", "n"), "batch_id").alias("t")
     return stored.groupBy("start").agg(last).select("start", "t.s", "t.n")
+
+
+def latest_counts(spark: SparkSession, out: str) -> DataFrame:
+    stored = spark.read.schema("f INT, n BIGINT, batch_id BIGINT").parquet(out)
+    return stored.groupBy("f").agg(F.max_by("n", "batch_id").alias("n"))
+
+
+def windows_on_time(spark: SparkSession, out: str) -> DataFrame:
+    """``start, s, n`` of ``tumbling_with_late``, over all batches."""
+    stored = spark.read.schema("start TIMESTAMP, s DOUBLE, n BIGINT, batch_id BIGINT").parquet(f"{out}/windows")
+    return stored.groupBy("start").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+
+
+def late_rows(spark: SparkSession, out: str) -> DataFrame:
+    return spark.read.schema("ts TIMESTAMP, value STRING, f INT, number DOUBLE, batch_id BIGINT").parquet(f"{out}/late")

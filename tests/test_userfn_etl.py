@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -68,6 +69,33 @@ def test_reduce_by_key_merges_only_the_keys_of_a_batch(spark):
     assert calls.value <= 4 * 3000
 
 
+def test_reduce_segments_merges_many_keys_in_one_call(spark):
+    df = spark.range(0, 60_000, 1, 3).select((F.col("id") % 3000).cast("string").alias("k"), F.lit(1).cast("bigint").alias("n"), F.col("id").alias("top"))
+    calls = spark.sparkContext.accumulator(0)
+
+    def merge(values, starts):
+        calls.add(1)
+        return {"n": np.add.reduceat(values["n"], starts), "top": np.maximum.reduceat(values["top"], starts)}
+
+    for held in (1 << 20, 10):
+        got = userfn.reduce_segments(df, ["k"], merge, "k STRING, n BIGINT, top BIGINT", held_rows=held).collect()
+        assert {r.k: (r.n, r.top) for r in got} == {str(i): (20, 57_000 + i) for i in range(3000)} and len(got) == 3000
+    assert calls.value < 300
+
+
+def test_reduce_segments_with_null_and_hot_keys_and_no_rows(spark):
+    key = F.when(F.col("id") % 3 == 0, F.lit(None)).when(F.col("id") % 7 == 0, F.col("id")).otherwise(-1)
+    df = spark.range(30_000).select(key.alias("a"), (F.col("id") % 2).cast("int").alias("b"), F.encode(F.lit("x"), "utf-8").alias("state"))
+
+    def merge(values, starts):
+        return {"state": [b"".join(part) for part in np.split(values["state"], starts[1:])]}
+
+    schema = "a BIGINT, b INT, state BINARY"
+    got = {(r.a, r.b): len(r.state) for r in userfn.reduce_segments(df, ["a", "b"], merge, schema).collect()}
+    assert got == {(r.a, r.b): r["count"] for r in df.groupBy("a", "b").count().collect()}
+    assert userfn.reduce_segments(df.where("b = 5"), ["a", "b"], merge, schema).count() == 0
+
+
 def test_round_trips(spark):
     dims = GridDims(3, 4, 2)
     vox = spark.range(dims.cells).select(F.col("id").alias("index"), (F.col("id") * 2).cast("int").alias("value"))
