@@ -160,42 +160,41 @@ def missed_rays(ids: DataFrame, geo: TiltGeometry) -> DataFrame:
 def ray_entries(geo: TiltGeometry, ray: int) -> tuple[np.ndarray, np.ndarray]:
     """Pixels and lengths of one ray, in pixel order: the row of ``ray_matrix``, as arrays.
 
-    The same steps as the relational form (crossings, twins, segments, midpoints), for kernels that need
-    a ray at a time and would otherwise have to be sent the matrix.
+    For kernels that need a ray at a time. A column of pixels is a stretch of the ray, and so is a row; a pixel's length
+    is what its two stretches share. Each column meets only the rows between its two ends, so the work is
+    linear in the side of the image and nothing is sorted but the result.
     """
     none = np.zeros(0, np.int64), np.zeros(0)
-    t = geo.angle(ray // geo.n_ray) * np.pi / 180.0
-    o = (ray % geo.n_ray - (geo.n_ray - 1) / 2.0) * geo.ray_width
-
-    def snap(value, eps):
-        return np.where(np.abs(value) < eps, 0.0, value)
-
-    ox, oy = float(snap(np.cos(t) * o, EPS_ORIGIN)), float(snap(np.sin(t) * o, EPS_ORIGIN))
-    a, b = float(snap(-np.sin(t), EPS_DIRECTION)), float(snap(np.cos(t), EPS_DIRECTION))
-    if (b == 0 and abs(oy - geo.half) < EPS_BOUNDARY) or (a == 0 and abs(ox - geo.half) < EPS_BOUNDARY):
-        return none
-    g = (np.arange(geo.n_side + 1) - geo.n_side / 2.0) * geo.pixel_width
-    parts = []
-    if a != 0:
-        s = (g - ox) / a
-        parts.append(np.stack([s, g, b * s + oy]))
-    if b != 0:
-        s = (g - oy) / b
-        parts.append(np.stack([s, a * s + ox, g]))
-    points = np.concatenate(parts, axis=1)
-    points = points[:, (np.abs(points[1]) <= geo.half) & (np.abs(points[2]) <= geo.half)]
-    points = points[:, np.argsort(points[0], kind="stable")]
-    if points.shape[1] < 2:
+    n, width, half = geo.n_side, geo.pixel_width, geo.half
+    angle = geo.angle(ray // geo.n_ray) * np.pi / 180.0
+    offset = (ray % geo.n_ray - (geo.n_ray - 1) / 2.0) * geo.ray_width
+    ox, oy = (0.0 if abs(v) < EPS_ORIGIN else v for v in (np.cos(angle) * offset, np.sin(angle) * offset))
+    dx, dy = (0.0 if abs(v) < EPS_DIRECTION else v for v in (-np.sin(angle), np.cos(angle)))
+    if dx == 0 or dy == 0:  # along the pixels of one column or row; a ray on a line belongs to the pixels right of it or below
+        at, steps = (ox, np.arange(n) * n) if dx == 0 else (oy, np.arange(n))
+        line = int(np.floor(at / width + n / 2.0)) if dx == 0 else int(np.floor(n / 2.0 - at / width))
+        if abs(at - half) < EPS_BOUNDARY or abs(at) > half or not 0 <= line < n:
+            return none
+        return steps + (line if dx == 0 else line * n), np.full(n, float(width))
+
+    lines = (np.arange(n + 1) - n / 2.0) * width
+    by_column, by_row = (lines - ox) / dx, (lines - oy) / dy  # where on the ray the lines are met
+    column_in, column_out = np.minimum(by_column[:-1], by_column[1:]), np.maximum(by_column[:-1], by_column[1:])
+    row_in, row_out = np.minimum(by_row[:-1], by_row[1:]), np.maximum(by_row[:-1], by_row[1:])
+    column_in, column_out = np.maximum(column_in, row_in.min()), np.minimum(column_out, row_out.max())
+    columns = np.flatnonzero(column_out > column_in)
+    if not len(columns):
         return none
-    twin = (np.abs(np.diff(points[1])) <= EPS_SAME_POINT) & (np.abs(np.diff(points[2])) <= EPS_SAME_POINT)
-    _, x, y = points[:, np.append(~twin, True)]
-    length = np.hypot(np.diff(x), np.diff(y))
-    mx, my = snap(0.5 * (x[:-1] + x[1:]), EPS_DIRECTION), snap(0.5 * (y[:-1] + y[1:]), EPS_DIRECTION)
-    row = np.floor(geo.n_side / 2.0 - my / geo.pixel_width)
-    pix = (row * geo.n_side + np.floor(mx / geo.pixel_width + geo.n_side / 2.0)).astype(np.int64)
-    inside = (pix >= 0) & (pix < geo.pixels)
-    found, at = np.unique(pix[inside], return_inverse=True)
-    return found, np.bincount(at, weights=length[inside], minlength=len(found))
+    ends = (np.stack([column_in[columns], column_out[columns]]) * dy + oy) / width + n / 2.0
+    low, high = (np.clip(np.floor(e).astype(np.int64), 0, n - 1) for e in (ends.min(axis=0), ends.max(axis=0)))
+    met = high - low + 1
+    first = np.repeat(np.cumsum(met) - met, met)
+    column, row = np.repeat(columns, met), np.repeat(low, met) + np.arange(met.sum()) - first
+    shared = np.minimum(column_out[column], row_out[row]) - np.maximum(column_in[column], row_in[row])
+    real = shared * max(abs(dx), abs(dy)) > EPS_SAME_POINT  # less is one point met twice, at a corner
+    pixels, length = ((n - 1 - row) * n + column)[real], shared[real] * np.hypot(dx, dy)
+    order = np.argsort(pixels)
+    return pixels[order], length[order]
 
 
 def row_norms(matrix: DataFrame) -> DataFrame:
