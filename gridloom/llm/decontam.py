@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 @dataclass(frozen=True)
 class MatchSettings:
     error_rate: float = 0.08  # edits per character of an item, rounded down
-    min_chars: int = 20  # shorter items are searched without edits, as whole words
+    min_chars: int = 20  # shorter items are searched as whole words, with the same share of edits
     block_chars: int = 4_000_000  # characters of items in one pass
 
 
@@ -38,7 +38,7 @@ def cut(item: str, parts: int) -> list[tuple[int, str]]:
     return [(a, item[a:b]) for a, b in zip(at, at[1:])]
 
 
-def myers(pattern: dict[str, int], size: int, text: str) -> tuple[int, int]:
+def myers(pattern: dict[str | None, int], size: int, text: str | list[str | None]) -> tuple[int, int]:
     """Smallest edit distance of the pattern to a substring of ``text``, and where the first such substring ends.
 
     ``pattern`` has for each character the bit mask of its places.
@@ -65,13 +65,18 @@ def myers(pattern: dict[str, int], size: int, text: str) -> tuple[int, int]:
     return best, end
 
 
-def masks(item: str) -> dict[str, int]:
-    out: dict[str, int] = defaultdict(int)
+def masks(item: str | list[str | None]) -> dict[str | None, int]:
+    out: dict[str | None, int] = defaultdict(int)
     for k, char in enumerate(item):
         out[char] |= 1 << k
     return dict(out)
 
 
+def framed(text: str, errors: int) -> list[str | None]:
+    """With more marks at both ends than edits allowed: Myers' distance to a part is then the one to the whole."""
+    return [None] * (errors + 1) + list(text) + [None] * (errors + 1)
+
+
 def whole_words(text: str, start: int, end: int) -> bool:
     """Whether neither end of the stretch lies within a word."""
     return not any(0 < at < len(text) and text[at - 1].isalnum() and text[at].isalnum() for at in (start, end))
@@ -81,7 +86,7 @@ class Matcher:
     """Search of one block of items, ``(item_id, normalised text)``."""
 
     def __init__(self, items: list[tuple[int, str]], s: MatchSettings):
-        self.items = [(i, x, int(len(x) * s.error_rate) if len(x) >= s.min_chars else 0) for i, x in items if x]
+        self.items = [(i, x, int(len(x) * s.error_rate)) for i, x in items if x]
         self.short = [len(x) < s.min_chars for _, x, _ in self.items]
         pieces: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for k, (_, item, errors) in enumerate(self.items):
@@ -94,6 +99,19 @@ class Matcher:
             self.automaton.make_automaton()
         self.forward = [masks(x) for _, x, _ in self.items]
         self.backward = [masks(x[::-1]) for _, x, _ in self.items]
+        self.framed = [masks(framed(x, e)) if short else None for (_, x, e), short in zip(self.items, self.short)]
+
+    def _whole_words(self, k: int, text: str, start: int) -> tuple[int, int, int] | None:
+        """Nearest stretch of whole words to a short item that begins near ``start``: ``(distance, start, end)``."""
+        _, item, errors = self.items[k]
+        found = []
+        for a in range(max(0, start - 2 * errors), start + 2 * errors + 1):
+            for b in range(max(a, start + len(item) - 2 * errors), min(len(text), start + len(item) + 2 * errors) + 1):
+                if whole_words(text, a, b):
+                    distance, _ = myers(self.framed[k], len(item) + 2 * (errors + 1), framed(text[a:b], errors))
+                    if distance <= errors:
+                        found.append((distance, a, b))
+        return min(found, default=None)
 
     def find(self, text: str) -> list[tuple[int, int, int, int]]:
         """Best occurrence of each item found: ``(item_id, distance, start, end)`` in the normalised text."""
@@ -105,9 +123,12 @@ class Matcher:
                 start = stop + 1 - length - offset  # where the item would begin without edits
                 if k in best and best[k][0] == 0 or any(abs(start - x) <= errors for x in seen[k][-8:]):
                     continue
-                if self.short[k] and not whole_words(text, start, start + len(item)):
-                    continue
                 seen[k].append(start)
+                if self.short[k]:
+                    found = self._whole_words(k, text, start)
+                    if found and (k not in best or found < best[k]):
+                        best[k] = found
+                    continue
                 if text.startswith(item, start) and start >= 0:
                     best[k] = (0, start, start + len(item))
                     continue
@@ -160,7 +181,7 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, s: MatchSettings = Mat
     """One row per document and item found in it: ``doc_id, item_id, distance, start, end`` (of the best occurrence, in
     the lower-cased text with single spaces).
 
-    Null and empty texts and items match nothing; items shorter than ``min_chars`` match as whole words without edits. Rows
+    Null and empty texts and items match nothing; items shorter than ``min_chars`` match as whole words only. Rows
     with repeated ids are searched each by itself. Without items or documents the result is empty.
     """
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))

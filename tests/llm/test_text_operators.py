@@ -228,3 +228,35 @@ def test_rows_are_judged_by_their_own_text_and_short_items_as_words(spark, frame
         kept = decontam.without_contaminated(frame(rows), items, blocks)
         assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([rows[k] for k in (1, 3, 5, 6, 7)], key=str)
         assert kept.schema == frame([]).schema
+
+
+def plain_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_short_items_are_found_with_their_edits():
+    rnd = random.Random(5)
+    words = ["the", "fox", "of", "ten", "ab", "aab", "aba", "b", "fix"]
+    matched = 0
+    for _ in range(400):
+        item = " ".join(rnd.choices(words, k=rnd.randint(1, 6)))[:19].strip()
+        chars = list(item)
+        for _ in range(rnd.randint(0, 2)):  # a damaged copy among other words
+            at = rnd.randrange(len(chars))
+            chars[at : at + 1] = rnd.choice([[], ["x"], [chars[at], "y"]])
+            chars = chars or ["z"]
+        text = decontam.normal(" ".join([*rnd.choices(words, k=3), "".join(chars), *rnd.choices(words, k=3)]))
+        k = int(len(item) * 0.08)
+        ends = [i for i in range(len(text) + 1) if decontam.whole_words(text, i, i)]
+        want = min((plain_distance(item, text[a:b]) for a in ends for b in ends if a < b and abs(b - a - len(item)) <= k), default=99)
+        found = decontam.Matcher([(7, item)], decontam.MatchSettings()).find(text)
+        assert [(x[0], x[1]) for x in found] == ([(7, want)] if want <= k else []), (item, text)
+        for _, distance, a, b in found:
+            assert plain_distance(item, text[a:b]) == distance and a in ends and b in ends
+        matched += bool(found) and found[0][1] > 0
+    assert matched > 5
