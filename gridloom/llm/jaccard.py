@@ -406,7 +406,10 @@ class JaccardJoin:
         return materialize(pairs.drop("hits"), "candidates")
 
     def _verify(self, pairs: DataFrame) -> DataFrame:
-        """The linked pairs, written: those that pass the other orders, then the exact similarity of their sets. ``pairs`` goes."""
+        """Linked pairs, written: those that pass the other orders, then the exact similarity of their sets. ``pairs`` goes.
+
+        A pair whose ends the links found before connect already is left out: it joins no components.
+        """
         given = pairs
         s = self.s
         ids = pairs.select(F.col("x").alias("id")).unionByName(pairs.select(F.col("y").alias("id")))
@@ -420,14 +423,30 @@ class JaccardJoin:
         pairs = pairs.join(sets.select(F.col("id").alias("y"), F.col("heads").alias("y_heads")), "y")
         for r in range(s.orders - 1):
             pairs = pairs.where(F.arrays_overlap(F.col("x_heads")[r], F.col("y_heads")[r]))
-        passed = pairs = materialize(pairs.select("x", "y").distinct(), "passed")
-        for side, name in (("x", "left"), ("y", "right")):
-            pairs = pairs.join(sets.select(F.col("id").alias(side), F.col("tokens").alias(name)), side)
-        links = materialize(pairs.select("x", "y", "left", "right").mapInArrow(_verifier(s), "x bigint, y bigint"), "links")
-        discard(given, sets, passed)
+        passed = materialize(pairs.select("x", "nx", "y").distinct(), "passed")
+        # A set travels with each of its pairs, so one pair of each larger set is compared first: most others are then
+        # within a component and need no comparison.
+        least = passed.groupBy("y").agg(F.min(F.struct("nx", "x")).alias("least"))
+        chosen = materialize(least.select(F.col("least.x").alias("x"), "y"), "chosen")
+        first = self._exact(chosen, sets)
+        groups = materialize(components(first, "x", "y"), "groups")
+        rest = passed.select("x", "y").join(chosen, ["x", "y"], "left_anti")
+        for side in ("x", "y"):
+            named = groups.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
+            rest = rest.join(named, side, "left").withColumn(f"c{side}", F.coalesce(f"c{side}", side))
+        rest = materialize(rest.where("cx <> cy").select("x", "y"), "rest")
+        links = first.unionByName(self._exact(rest, sets))
+        discard(given, sets, passed, chosen, groups, rest)
         sent.unpersist()
         return links
 
+    def _exact(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        """Those of ``pairs`` whose whole sets are similar enough, written."""
+        for side, name in (("x", "left"), ("y", "right")):
+            pairs = pairs.join(sets.select(F.col("id").alias(side), F.col("tokens").alias(name)), side)
+        kernel = _verifier(self.s)
+        return materialize(pairs.select("x", "y", "left", "right").mapInArrow(kernel, "x bigint, y bigint"), "links")
+
 
 def similarity_components(docs: DataFrame, s: JaccardSettings = JaccardSettings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: ``<id_col>, n_shingles, component_id`` (the smallest id reachable by links).

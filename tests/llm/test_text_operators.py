@@ -51,6 +51,26 @@ def test_jaccard_components_of_a_large_group(frame, settings):
     assert got == all_pairs(dict(rows), settings.words, settings.percent)
 
 
+def test_jaccard_compares_few_sets_of_a_large_group(frame, monkeypatch):
+    rows, sent, passed = near_copies(5, 200), [], []
+    exact, write = jaccard.JaccardJoin._exact, jaccard.materialize
+
+    def counted(join, pairs, sets):
+        sent.append(pairs.count())
+        return exact(join, pairs, sets)
+
+    def written(df, label):
+        out = write(df, label)
+        passed.extend([out.count()] if label == "passed" else [])
+        return out
+
+    monkeypatch.setattr(jaccard.JaccardJoin, "_exact", counted)
+    monkeypatch.setattr(jaccard, "materialize", written)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similarity_components(frame(rows)).collect()}
+    assert got == all_pairs(dict(rows), 5, 80)
+    assert sum(sent) < sum(passed) and sent[0] < len(rows)
+
+
 def test_jaccard_edge_cases(frame):
     same = "one two three four five six seven"
     rows = [(3, same), (1, same.upper() + "\n"), (2, None), (4, ""), (5, " \t"), (6, "one two"), (7, "One  TWO"), (None, same), (8, "x" * 300_000), (8, "x" * 300_000)]
