@@ -16,14 +16,14 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
-from urllib.parse import quote
+from urllib.parse import quote, urlsplit
 
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.session import materialize, scratch_path
+from gridloom.session import materialize, qualified, scratch_path
 
 GZIP = b"\x1f\x8b\x08"
 #: Version lines begin with one of these; all have one length.
@@ -77,9 +77,21 @@ def gzip_member(raw: bytes) -> bytes:
     return packer.compress(raw) + packer.flush()
 
 
-def _writer(folder: str, limit: int):
+def store_of(home: str, path: str) -> tuple[fs.FileSystem, str]:
+    """File system of ``path`` and the path in it. Without a scheme it is taken as Spark takes it: in the store of ``home``,
+    the qualified working folder of the driver, and below that folder unless it starts with a slash."""
+    if path.startswith("file:/"):
+        return fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+    if "://" in path:
+        return fs.FileSystem.from_uri(path)
+    scheme, authority, folder = urlsplit(home)[:3]
+    whole = path if path.startswith("/") else f"{folder}/{path}"
+    return (fs.LocalFileSystem(), whole) if scheme == "file" else fs.FileSystem.from_uri(f"{scheme}://{authority}{whole}")
+
+
+def _writer(home: str, folder: str, limit: int):
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, base = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+        store, base = store_of(home, folder)
         out, name, count, size, done = None, "", 0, 0, []
         for batch in batches:
             for row in range(batch.num_rows):
@@ -146,7 +158,8 @@ def page_of(record_id):
 def write_archives(records: DataFrame, folder: str, limit: int = ARCHIVE_BYTES) -> DataFrame:
     """Write rows of ``decide_revisits`` as archives of about ``limit`` bytes at most into ``folder`` (a path or URI that
     all executors reach); the report of finished archives (``path, records, bytes``), as a written table."""
-    return materialize(records.mapInArrow(_writer(folder, limit), REPORT), "archives")
+    home = qualified(records.sparkSession, ".")
+    return materialize(records.mapInArrow(_writer(home, folder, limit), REPORT), "archives")
 
 
 # --- reading ---------------------------------------------------------------------------------------------
@@ -288,7 +301,7 @@ def salvage(source, size: int) -> Iterator[tuple[int, int, str | None, dict | No
     return walk(source, size, read_any, (GZIP, *VERSIONS))
 
 
-def _reader():
+def _reader(home: str):
     def row_of(path: str, offset: int, length: int, problem: str | None, record: dict | None) -> dict:
         row = {"path": path, "offset": offset, "length": length, "problem": problem}
         if record is None:
@@ -318,7 +331,7 @@ def _reader():
         rows, held = [], 0
         for batch in batches:
             for path in batch.column(0).to_pylist():
-                store, place = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+                store, place = store_of(home, path)
                 with store.open_input_file(place) as source:
                     for found in salvage(source, source.size()):
                         rows.append(row_of(path, *found))
@@ -338,7 +351,7 @@ def read_archives(paths: DataFrame) -> DataFrame:
     An archive is one task's work at most; its records are streamed. An empty archive gives no rows.
     """
     tasks = int(paths.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return paths.select("path").repartition(tasks, "path").mapInArrow(_reader(), FOUND)
+    return paths.select("path").repartition(tasks, "path").mapInArrow(_reader(qualified(paths.sparkSession, ".")), FOUND)
 
 
 def records_of(found: DataFrame) -> DataFrame:

@@ -269,6 +269,25 @@ def test_round_trip_edge_cases(spark):
     assert warc.round_trip(pages.where("false")).count() == 0
 
 
+def test_archive_folders_with_and_without_a_scheme(spark, tmp_path):
+    local = [warc.store_of("file:///home/x", p) for p in ("/a/b", "file:/a/b", "file:///a/b", "a/b")]
+    assert [type(s).__name__ for s, _ in local] == ["LocalFileSystem"] * 4
+    assert [p for _, p in local] == ["/a/b", "/a/b", "/a/b", "/home/x/a/b"]
+    pages = spark.createDataFrame([(i, f"http://h/{i}", "t" * i) for i in range(5)], "page_id BIGINT, url STRING, html STRING")
+    for n, folder in enumerate((f"{tmp_path}/plain", f"file:{tmp_path}/short", f"file://{tmp_path}/long")):
+        report = warc.write_archives(warc.decide_revisits(pages), folder)
+        assert warc.records_of(warc.read_archives(report)).count() == 5
+        assert any((tmp_path / ("plain", "short", "long")[n]).glob("part-*.warc.gz"))
+
+
+def test_paths_without_a_scheme_go_to_the_default_store(monkeypatch):
+    asked = []
+    monkeypatch.setattr(warc.fs, "FileSystem", type("Stores", (), {"from_uri": staticmethod(lambda uri: asked.append(uri) or (None, uri))}))
+    for path in ("/user/x/warc", "warc", "other://b/warc"):
+        warc.store_of("hdfs://names:8020/user/y", path)
+    assert asked == ["hdfs://names:8020/user/x/warc", "hdfs://names:8020/user/y/warc", "other://b/warc"]
+
+
 def test_small_archives_and_gap_log(spark, tmp_path):
     pages = spark.createDataFrame([(i, f"http://h/{i}", f"text {i} " * 30) for i in range(30)], "page_id BIGINT, url STRING, html STRING")
     report = warc.write_archives(warc.decide_revisits(pages), f"{tmp_path}/warc", limit=2000)
