@@ -214,19 +214,56 @@ def _poster(sent, s: JaccardSettings):
     return kernel
 
 
+def slot_counts(tokens: np.ndarray) -> np.ndarray:
+    """How many tokens fall in each slot, at most 255; a power of two of slots, two to four tokens a slot on average."""
+    slots = 64
+    while slots * 4 < len(tokens):
+        slots *= 2
+    at = (mix64(tokens) & np.uint64(slots - 1)).astype(np.int64)
+    return np.minimum(np.bincount(at, minlength=slots), 255).astype(np.uint8)
+
+
+def least_difference(a: np.ndarray, b: np.ndarray) -> int:
+    """Tokens that only one of two sets has, at least, by their ``slot_counts``: each of them moves one count by one."""
+    a, b = a.astype(np.int64), b.astype(np.int64)
+    if len(a) < len(b):
+        a, b = b, a
+    while len(a) > len(b):  # slots that agree in the lower bits, added and cut at 255 as if counted so
+        a = np.minimum(a[: len(a) // 2] + a[len(a) // 2 :], 255)
+    return int(np.abs(a - b).sum())
+
+
+def _nearer(s: JaccardSettings):
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.zeros(batch.num_rows, bool)
+            sizes = zip(batch.column("xn").to_pylist(), batch.column("yn").to_pylist())
+            for k, (n, m) in enumerate(sizes):
+                a, b = (np.frombuffer(batch.column(c)[k].as_buffer(), np.uint8) for c in ("xs", "ys"))
+                both = (s.percent * (n + m) + 99 + s.percent) // (100 + s.percent)
+                keep[k] = least_difference(a, b) <= n + m - 2 * both
+            ids = [batch.column(c).filter(pa.array(keep)) for c in ("x", "nx", "y")]
+            yield pa.RecordBatch.from_arrays(ids, ["x", "nx", "y"])
+
+    return kernel
+
+
 def _keeper(sent, s: JaccardSettings):
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes, wanted = sent.value
         for batch in batches:
             batch = _filtered(batch, wanted)
             for i, j, hashes, bounds in word_groups(batch.column(2)):
-                sets, heads = [], []
+                sets, heads, sizes, slots = [], [], [], []
                 for found, grades in shingle_sets(hashes, bounds, s.words, classes):
                     sets.append(found.tobytes())
+                    sizes.append(len(found))
+                    slots.append(slot_counts(found).tobytes())
                     size = prefix_length(len(found), shared_with_any(len(found), s), 1)
                     heads.append([in_order(found, grades, r)[:size].view(np.int64) for r in range(1, s.orders)])
                 columns = [batch.column(0).slice(i, j - i), pa.array(sets, pa.binary()), pa.array(heads, pa.list_(pa.list_(pa.int64())))]
-                yield pa.RecordBatch.from_arrays(columns, ["id", "tokens", "heads"])
+                columns += [pa.array(sizes, pa.int32()), pa.array(slots, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "tokens", "heads", "size", "slots"])
 
     return kernel
 
@@ -415,7 +452,7 @@ class JaccardJoin:
         ids = pairs.select(F.col("x").alias("id")).unionByName(pairs.select(F.col("y").alias("id")))
         sent = self.spark.sparkContext.broadcast((self.classes, row_filter(ids)))
         filtered = self.docs.where("id is not null").select("id", _slot().alias("slot"), "text")
-        sets = filtered.mapInArrow(_keeper(sent, s), "id bigint, tokens binary, heads array<array<bigint>>")
+        sets = filtered.mapInArrow(_keeper(sent, s), "id bigint, tokens binary, heads array<array<bigint>>, size int, slots binary")
         sets = materialize(sets.where(F.length("tokens") > 0), "sets")
         short = (F.col("nx") - self._both(F.col("nx"), F.col("nx")) + 1).cast("int")
         heads = F.transform("heads", lambda h: F.slice(h, F.lit(1), short))
@@ -423,7 +460,13 @@ class JaccardJoin:
         pairs = pairs.join(sets.select(F.col("id").alias("y"), F.col("heads").alias("y_heads")), "y")
         for r in range(s.orders - 1):
             pairs = pairs.where(F.arrays_overlap(F.col("x_heads")[r], F.col("y_heads")[r]))
-        passed = materialize(pairs.select("x", "nx", "y").distinct(), "passed")
+        pairs = met = materialize(pairs.select("x", "nx", "y").distinct(), "met")
+        # Counts by slot are a sixteenth of a set or less, and rule out most pairs of long texts, for which parity bits are too few.
+        for side in ("x", "y"):
+            counts = sets.select(F.col("id").alias(side), F.col("size").alias(f"{side}n"), F.col("slots").alias(f"{side}s"))
+            pairs = pairs.join(counts, side)
+        near = pairs.select("x", "nx", "y", "xn", "xs", "yn", "ys").mapInArrow(_nearer(s), "x bigint, nx int, y bigint")
+        passed = materialize(near.distinct(), "passed")
         # A set travels with each of its pairs, so one pair of each larger set is compared first: most others are then
         # within a component and need no comparison.
         least = passed.groupBy("y").agg(F.min(F.struct("nx", "x")).alias("least"))
@@ -436,7 +479,7 @@ class JaccardJoin:
             rest = rest.join(named, side, "left").withColumn(f"c{side}", F.coalesce(f"c{side}", side))
         rest = materialize(rest.where("cx <> cy").select("x", "y"), "rest")
         links = first.unionByName(self._exact(rest, sets))
-        discard(given, sets, passed, chosen, groups, rest)
+        discard(given, sets, met, passed, chosen, groups, rest)
         sent.unpersist()
         return links
 

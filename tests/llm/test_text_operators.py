@@ -51,6 +51,18 @@ def test_jaccard_components_of_a_large_group(frame, settings):
     assert got == all_pairs(dict(rows), settings.words, settings.percent)
 
 
+def test_jaccard_slot_counts_never_say_too_much():
+    rnd = np.random.default_rng(5)
+    for n in (1, 3, 200, 255, 257, 1000, 5000):
+        a = rnd.integers(0, 2**63, n).astype(np.uint64)
+        for kept, new in ((n, 0), (n, n // 4 + 1), (n // 2, 0), (n // 2, n), (0, 3 * n)):
+            b = np.concatenate([a[:kept], rnd.integers(0, 2**63, new).astype(np.uint64)])
+            least = jaccard.least_difference(jaccard.slot_counts(a), jaccard.slot_counts(b))
+            assert least <= n - kept + new
+            assert least == jaccard.least_difference(jaccard.slot_counts(b), jaccard.slot_counts(a))
+    assert jaccard.least_difference(jaccard.slot_counts(a), jaccard.slot_counts(a)) == 0
+
+
 def test_jaccard_compares_few_sets_of_a_large_group(frame, monkeypatch):
     rows, sent, passed = near_copies(5, 200), [], []
     exact, write = jaccard.JaccardJoin._exact, jaccard.materialize
