@@ -160,6 +160,19 @@ def row_sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 # --- training --------------------------------------------------------------------------------------------
 
 
+def id_type(s: SubwordSettings) -> str:
+    return "<u2" if s.bits <= 16 else "<u4"
+
+
+def pack_counts(counts: np.ndarray) -> bytes:
+    """In the narrowest type that holds all of them; most texts need one byte a feature."""
+    return counts.astype(np.min_scalar_type(counts.max(initial=0)).newbyteorder("<")).tobytes()
+
+
+def unpack_counts(packed: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(packed, f"<u{len(packed) // max(n, 1) or 1}")
+
+
 def _bags(s: SubwordSettings):
     """Per sampled row its distinct features and their counts, packed."""
 
@@ -173,8 +186,8 @@ def _bags(s: SubwordSettings):
                 for features in row_features(data[offsets[i] : offsets[i + 1]], s):
                     bag += np.bincount(features, minlength=1 << s.bits)
                 found = np.flatnonzero(bag)
-                ids.append(found.astype("<i4").tobytes())
-                weights.append(bag[found].astype("<i4").tobytes())
+                ids.append(found.astype(id_type(s)).tobytes())
+                weights.append(pack_counts(bag[found]))
             columns = [batch.column(0), pa.array(ids, pa.binary()), pa.array(weights, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["label", "ids", "counts"])
 
@@ -194,12 +207,11 @@ def train(rows: list[tuple[int, np.ndarray, np.ndarray]], s: SubwordSettings) ->
     if len(rows) == 0 or sizes.min() == 0:
         return vectors @ output * 0, bias
     importance = len(rows) / (2 * sizes)
-    shares = [counts / max(1, counts.sum()) for _, _, counts in rows]
     steps, done = s.epochs * len(rows), 0
     for _ in range(s.epochs):
         for k in random.permutation(len(rows)):
-            label, ids, _ = rows[k]
-            share = shares[k].astype(np.float32)
+            label, ids, counts = rows[k]
+            share = (counts.astype(float) / max(1, counts.sum())).astype(np.float32)  # made again: all of them would take more room than the rows
             rate = s.rate * (1 - done / steps)
             done += 1
             mean = share @ vectors[ids]
@@ -218,11 +230,14 @@ def train(rows: list[tuple[int, np.ndarray, np.ndarray]], s: SubwordSettings) ->
 
 def _trainer(s: SubwordSettings):
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = []
+        packed = []
         for batch in batches:
-            for label, ids, counts in zip(*(batch.column(c).to_pylist() for c in ("label", "ids", "counts"))):
-                rows.append((label, np.frombuffer(ids, "<i4"), np.frombuffer(counts, "<i4")))
-        rows.sort(key=lambda r: (r[0], len(r[1]), r[1].tobytes(), r[2].tobytes()))  # any order of arrival gives one model
+            packed.extend(zip(*(batch.column(c).to_pylist() for c in ("label", "ids", "counts"))))
+        packed.sort(key=lambda r: (r[0], len(r[1]), *r[1:]))  # any order of arrival gives one model
+        rows = []
+        for label, raw, counts in packed:
+            ids = np.frombuffer(raw, id_type(s))
+            rows.append((label, ids, unpack_counts(counts, len(ids))))
         weights, bias = train(rows, s)
         margin = (weights[:, 1] - weights[:, 0]).astype("<f4").tobytes()
         yield pa.RecordBatch.from_pylist([{"margin": margin, "bias": float(bias[1] - bias[0])}])

@@ -5,6 +5,7 @@ import hashlib
 import io
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -132,6 +133,28 @@ def test_features_of_a_word_do_not_depend_on_its_place():
         assert first[0] == words[at]
 
 
+def test_the_training_task_holds_a_few_bytes_for_each_feature():
+    s = subword.SubwordSettings(epochs=1)
+    rnd = random.Random(5)
+    texts = [" ".join("".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(4000)) for _ in range(40)]
+    rows = pa.RecordBatch.from_pydict({"label": [i % 2 for i in range(40)], "text": texts})
+    bags = list(subword._bags(s)(iter([rows])))
+    data = [np.frombuffer(x.encode(), np.uint8) for x in texts]
+    features = sum(len(np.unique(np.concatenate(list(subword.row_features(x, s))))) for x in data)
+    tracemalloc.start()
+    list(subword._trainer(s)(iter(bags)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert features > 1_500_000 and peak < 10 * features  # the model is about 4 of them
+
+
+def test_counts_of_features_in_any_width():
+    for counts in ([], [1], [255, 3], [256, 1], [70_000, 1, 2], [1 << 33]):
+        packed = subword.pack_counts(np.array(counts, np.int64))
+        assert subword.unpack_counts(packed, len(counts)).tolist() == counts
+    assert len(subword.pack_counts(np.array([255, 3]))) == 2
+
+
 # --- language mixture ---------------------------------------------------------------------------------------
 
 
