@@ -1,6 +1,6 @@
 """Repeated passages of lines by winnowing over line hashes.
 
-Of the lines that begin within half of ``min_words`` words of a line's beginning, the one with the smallest hash is a
+Of the lines that begin within ``window`` words of a line's beginning, the one with the smallest hash is a
 fingerprint; every line has such a window. The choice depends on the lines of the window alone, so equal passages have
 equal fingerprints. A fingerprint is known by its surroundings, to the right (with the lines that begin within
 ``min_words`` words of its beginning) and to the left (with those that end within ``min_words`` words before its end), so an
@@ -8,9 +8,10 @@ early line that stands by itself can't be taken for the passage. Each of the two
 row per key on that side however often a line is repeated, and the match is extended line by line both ways, as far as
 twice ``min_words`` words. Stretches of matched lines with at least ``min_words`` words are deleted.
 
-A run of at least one and a half times ``min_words`` holds a fingerprint with its right side, whatever stands around the
+A run of at least ``min_words + window - 1`` words holds a fingerprint with its right side, whatever stands around the
 run. The lines between two fingerprints of a run belong to the right side of the first of them. Shorter runs are found
-where a fingerprint has its side within them.
+where a fingerprint has its side within them. With the window of one word every line is a fingerprint, and every run of
+``min_words`` is found; wider windows leave fewer fingerprints to write and join.
 
 Only DataFrame functions are used.
 """
@@ -40,14 +41,14 @@ def _lines(docs: DataFrame) -> DataFrame:
     return lines.select("id", "th", "pos", hashed.alias("h"), (spaces + 1).cast("long").alias("w"))
 
 
-def _anchors(lines: DataFrame, min_words: int) -> DataFrame:
+def _anchors(lines: DataFrame, min_words: int, window: int) -> DataFrame:
     """``id, th, pos, w, keys, right, left`` of each fingerprint; ``keys`` has one hash of the content of either side.
 
     ``right`` holds the lines behind the fingerprint that begin within ``reach`` words of its end, ``left`` those before it
     that end within ``reach`` words of its beginning, nearest first. Every line weighs a word at least, so there are no more
     than ``reach`` lines on a side. Sides of fewer than ``min_words`` words have no key.
     """
-    window, reach = max(1, min_words // 2), 2 * min_words
+    reach = 2 * min_words
     doc = Window.partitionBy("id", "th")
     by_pos, by_words = doc.orderBy("pos"), doc.orderBy("at")
     # Rows of one document come together once; all windows below reuse that placement.
@@ -88,9 +89,9 @@ def _common(mine: Column, other: Column) -> Column:
     return F.aggregate(agree, start, step, lambda s: s["n"])
 
 
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, window: int = 1) -> DataFrame:
     """The lines to delete: ``id, th, pos, w, source`` (id of the document with the earlier run)."""
-    anchors = materialize(_anchors(_lines(_document(docs, id_col, text_col)), min_words), "anchors")
+    anchors = materialize(_anchors(_lines(_document(docs, id_col, text_col)), min_words, window), "anchors")
     # Places alone are joined by key; the neighbours follow for the repeated ones.
     keyed = materialize(anchors.select("id", "th", "pos", F.explode("keys").alias("key")), "keyed")
     place = F.struct(F.col("id").isNull().alias("nil"), "id", "th", "pos")
@@ -126,7 +127,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return hits
 
 
-def delete_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def delete_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, window: int = 1) -> DataFrame:
     """``row`` (a struct of the columns of ``docs``, with ``text_col`` without the repeated lines), ``lines`` and
     ``deleted`` (line counts), ``words`` (deleted), ``sources`` (ids of earlier documents) and ``emptied`` (no
     word is left of a text that lost lines), for every row of ``docs``.
@@ -135,7 +136,7 @@ def delete_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     one empty line and stays null. Rows of equal id and text are one document and get the same result; rows of equal id
     and different text are ordered by a hash of the text. ``docs`` may have any other columns.
     """
-    gone = repeated_lines(docs, id_col, text_col, min_words).groupBy("id", "th")
+    gone = repeated_lines(docs, id_col, text_col, min_words, window).groupBy("id", "th")
     gone = gone.agg(F.collect_set("pos").alias("gone"), F.sum("w").alias("words"), F.array_sort(F.collect_set("source")).alias("sources"))
     gone = gone.withColumnRenamed("id", "gone_id").withColumnRenamed("th", "gone_th")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))

@@ -134,7 +134,8 @@ FROM facts LEFT JOIN sources USING (doc_id)
 
 @query("op7_line_dedup", LINES_SQL)
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = linerepeats.delete_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    # The window of LINES_SQL.
+    rows = linerepeats.delete_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), window=linerepeats.MIN_WORDS // 2)
     return rows.select(
         "row.doc_id",
         F.col("lines").alias("n_lines"),

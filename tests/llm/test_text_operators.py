@@ -166,6 +166,18 @@ def test_every_window_that_stood_before_is_deleted(frame, words):
         assert all(any(x == y for y in rest) for x in (got[i].split("\n") if got[i] else []))
 
 
+def test_a_run_of_just_enough_words_is_deleted_whatever_its_hashes(frame):
+    rnd = random.Random(8)
+    rows = []
+    for k in range(40):
+        run = "\n".join(f"w{rnd.random()} v{rnd.random()}" for _ in range(5))  # ten words
+        rows += [(2 * k, f"a{k} b{k} c{k}\n{run}\nd{k} e{k} f{k}"), (2 * k + 1, f"g{k} h{k} i{k}\n{run}\nj{k} k{k} l{k}")]
+    got = {i: n for i, _, n, _, _ in deleted(frame, rows, 10)}
+    assert got == {i: 5 * (i % 2) for i in got}
+    wide = linerepeats.delete_repeats(frame(rows), min_words=10, window=5)
+    assert all(r.deleted <= got[r.row.doc_id] for r in wide.collect())
+
+
 def mixed_documents(seed, distinct):
     rnd = random.Random(seed)
     pool = [" ".join(f"t{rnd.randrange(30)}" for _ in range(rnd.randrange(1, 6))) + (f" p{k}" if distinct else "") for k in range(40)]
